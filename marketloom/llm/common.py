@@ -28,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, with no lineage behind it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes shuffle files of what is not referenced any more
+    return out
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -11,8 +11,9 @@ words the whole sequence; with none nothing, and then it is linked with nothing)
    the depth at which it stops is the region's own (wide where few share the prefix, deep where many do).  Its
    likeliest partners by estimated similarity are confirmed on the full sets.
 4. Closure, so that no link is lost in dense regions: with the components so far, every class outside the largest
-   component of its region is compared there with all classes of other components, in salted blocks; what the
-   estimate does not rule out is confirmed on the full sets.
+   component of its region is compared there with all classes of other components, in a grid of blocks; what the
+   estimate does not rule out is confirmed on the full sets (in large regions inside the block, until one link for
+   each pair of components is found).
 
 A pair of similarity 0.75 meets in no region with probability (1 - 0.75**3)**21 = 1e-5, and is ruled out by the
 estimate (below 0.55, 3.7 standard deviations off) with probability 1e-4; both fall fast with similarity.
@@ -38,6 +39,8 @@ SHINGLE, SIMILARITY = 5, 75
 VALUES, ORDERS, DEPTH = 64, 21, 3
 #: Neighbours looked at on each side, partners confirmed in the first pass, rows of a closure block.
 REACH, PARTNERS, BLOCK = 24, 2, 1024
+#: Regions up to this size send their pairs out; larger ones confirm them where they stand.
+SMALL = 32
 #: Equal signature values below which a pair is ruled out.
 LEAST_EQUAL = 35
 _R = np.random.default_rng(5)
@@ -146,25 +149,73 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = (region[-REACH:], ids[-REACH:], sig[-REACH:])
 
 
+def _candidates(table: pa.Table):
+    """The rows of one block of a region, and for each guest those that may be linked with it: of another component,
+    not ruled out by the estimate, and met in no earlier order, so that a pair is looked at once over all orders."""
+    sig, ids, comp = _matrix(table["sig"]), table["id"].to_numpy(), table["component"].to_numpy()
+    is_guest = table["guest"].to_numpy(zero_copy_only=False)
+    guests, own = np.flatnonzero(is_guest), np.flatnonzero(~is_guest)
+    order = int(table["region"][0].as_py()) & 31
+    for g in guests.tolist():
+        other = own[comp[own] != comp[g]]
+        equal = sig[other] == sig[g]
+        first = equal[:, : ORDERS * DEPTH].reshape(-1, ORDERS, DEPTH).all(axis=2).argmax(axis=1)
+        total = equal.sum(axis=1)
+        hit = (total >= LEAST_EQUAL) & (first == order)
+        yield g, other[hit][np.argsort(-total[hit], kind="stable")], ids, comp
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in a block of a region that the estimate does not rule out."""
-    for table in _groups(batches, ["region", "salt"]):
-        sig, ids, comp = _matrix(table["sig"]), table["id"].to_numpy(), table["component"].to_numpy()
-        guest, own = np.flatnonzero(table["guest"].to_numpy(zero_copy_only=False)), np.flatnonzero(~table["guest"].to_numpy(zero_copy_only=False))
+    """Pairs of small regions: at most SMALL - 1 for a class and region."""
+    for table in _groups(batches, ["region", "own_part", "guest_part"]):
         a, b = [], []
-        for g in guest.tolist():
-            other = own[comp[own] != comp[g]]
-            hit = other[(sig[other] == sig[g]).sum(axis=1) >= LEAST_EQUAL]
+        for g, hit, ids, _ in _candidates(table):
             a.append(np.minimum(ids[hit], ids[g]))
             b.append(np.maximum(ids[hit], ids[g]))
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
+def _confirm_across(similarity: int):
+    """Links of large regions, confirmed on the sets where the block stands: one for each pair of components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["region", "own_part", "guest_part"]):
+            column = table["shingles"].combine_chunks()
+            at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while x in root:
+                    x = root[x]
+                return x
+
+            a, b = [], []
+            for g, hit, ids, comp in _candidates(table):
+                mine = values[at[g] : at[g + 1]]
+                for k in hit.tolist():
+                    x, y = find(int(comp[g])), find(int(comp[k]))
+                    if x == y:
+                        continue
+                    theirs = values[at[k] : at[k + 1]]
+                    if 100 * min(len(mine), len(theirs)) < similarity * max(len(mine), len(theirs)):
+                        continue
+                    place = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+                    both = int((theirs[place] == mine).sum())
+                    if 100 * both >= similarity * (len(mine) + len(theirs) - both):
+                        root[max(x, y)] = min(x, y)
+                        a.append(ids[g])
+                        b.append(ids[k])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, sets in shingle_sets(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], ["id", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,27 +254,41 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: in
     top = near.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("equal", "b")), asc=False), 1, PARTNERS).alias("top"))
     pairs = top.select("a", F.explode("top.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        some = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = rows.join(some, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles array<long>")
-        sets = cut(sets)
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return cut(rows.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles array<long>"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.withColumn("shared", shared).where(F.col("shared") * 100 >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
-    edges = cut(confirmed(pairs).union(same))
+    pairs = cut(pairs)
+    edges = cut(confirmed(pairs, sets_of(ends(pairs))).union(same))
     found = components(edges)
-    label = members.join(found, members.id == found.node, "left").select("region", "id", "size", F.coalesce("component", "id").alias("component"))
-    label = cut(label)
+    label = cut(members.join(found, members.id == found.node, "left").select("region", "id", "size", F.coalesce("component", "id").alias("component")))
     share = label.groupBy("region", "component").agg(F.count("*").alias("n"))
-    mixed = share.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("region", "largest")
-    salts = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = label.join(mixed, "region").join(reps, "id")
-    own = open_.select("region", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), "id", "component", "sig", F.lit(False).alias("guest"))
-    guests = open_.where("component <> largest").select("region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "id", "component", "sig", F.lit(True).alias("guest"))
-    more = own.unionByName(guests).repartition(partitions(spark), "region", "salt").sortWithinPartitions("region", "salt").mapInArrow(_across, "a long, b long").distinct()
-    edges = cut(edges.union(confirmed(more)))
+    mixed = share.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("guests"), F.count("*").alias("k")).where("k > 1").select("region", "largest", "guests")
+    # a grid of blocks: own rows by guests, BLOCK of each at most
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("id"), parts(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    open_ = label.join(mixed, "region")
+    own = open_.select("region", part("size").alias("own_part"), every("guests").alias("guest_part"), "id", "component", "size", F.lit(False).alias("guest"))
+    guests = open_.where("component <> largest").select("region", every("size").alias("own_part"), part("guests").alias("guest_part"), "id", "component", "size", F.lit(True).alias("guest"))
+    grid = own.unionByName(guests)
+
+    def blocks(some: DataFrame) -> DataFrame:
+        return some.repartition(partitions(spark), "region", "own_part", "guest_part").sortWithinPartitions("region", "own_part", "guest_part")
+
+    more = blocks(grid.where(F.col("size") <= SMALL).join(reps, "id").drop("size")).mapInArrow(_across, "a long, b long").distinct()
+    more = cut(more)
+    large = cut(grid.where(F.col("size") > SMALL).drop("size"))
+    sets = sets_of(large.select("id").union(ends(more)))
+    direct = blocks(large.join(reps, "id").join(sets, "id")).mapInArrow(_confirm_across(similarity), "a long, b long")
+    edges = cut(edges.union(confirmed(more, sets)).union(direct))
     found = cut(components(edges))
     of_set = classes.join(found, classes.id == found.node, "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = signed.join(of_set, "set_key", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -13,7 +13,7 @@ How it runs: documents are dealt into chunks of a few MB by a hash of their id.
    for each distinct run.  Where a key's runs meet, all suffixes there are put in order by their
    ``length``-byte prefix, so that equal prefixes are neighbours; a suffix with a smaller document before it
    (previous smaller) or after it (next smaller) in its row of equal prefixes is a later copy.
-3. Each chunk takes back its later copies, adds those that it found inside itself, and cuts its texts.
+3. Each chunk takes back its later copies, with those that it found inside itself in step 2, and cuts its texts.
 
 Suffixes are ordered by a 64-bit fingerprint of the prefix instead of its bytes; equal prefixes stand together in
 either order.  The texts are shuffled once and that shuffle is read three times.  Nothing is collected.
@@ -123,117 +123,133 @@ def _shared_keys(key, table):
     return pa.table({"chunk": pa.array([chunks[k] for k in some], pa.int32()), "keys": pa.array([out[k].tobytes() for k in some], pa.binary())})
 
 
-def _inside(chunk: _Chunk, shared: np.ndarray):
-    """Later copies inside the chunk, and the runs that others have to see.
-
-    Yields, part by part: (first row, offsets, windows that are later copies here, runs to send as
-    start, count, key, window hashes)."""
-    length, seen = chunk.length, np.zeros(0, np.uint64)
-    again = []
-    for _, _, _, _, _, _, keys in chunk.parts():  # keys met twice or more in the chunk
-        again.append(keys)
-    every = np.sort(np.concatenate(again)) if again else seen
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    del again, every
-    known_h, known_d = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for i, _j, raw, off, starts, counts, keys in chunk.parts():
-        ask = np.isin(keys, shared, assume_unique=False)
-        local = np.isin(keys, twice)
-        pick = np.flatnonzero(ask | local)
-        starts, counts, keys, ask = starts[pick], counts[pick], keys[pick], ask[pick]
-        at = _ragged(starts, counts)
-        h = span_hashes(prefix_sums(raw), at, at + length) if len(at) else np.zeros(0, np.uint64)
-        doc = chunk.ids[i + np.searchsorted(off, at, side="right") - 1]
-        # the first document of the chunk with each window: parts come in id order, so what is known is smaller
-        order = np.lexsort((doc, h))
-        hs, ds = h[order], doc[order]
-        head = np.ones(len(hs), bool)
-        head[1:] = hs[1:] != hs[:-1]
-        first = np.empty(len(h), np.int64)
-        least = ds[head]
-        uniq = hs[head]
-        if len(known_h) and len(uniq):
-            where = np.minimum(np.searchsorted(known_h, uniq), len(known_h) - 1)
-            least = np.where(known_h[where] == uniq, np.minimum(known_d[where], least), least)
-        first[order] = least[np.cumsum(head) - 1] if len(hs) else least
-        later = doc > first
-        if len(twice):  # keep what later parts may repeat
-            keep = np.isin(np.repeat(keys, counts), twice)
-            if keep.any():
-                u, at_u = np.unique(h[keep], return_index=True)
-                f = first[keep][at_u]
-                known_h, k = np.unique(np.concatenate([known_h, u]), return_index=True)
-                known_d = np.concatenate([known_d, f])[k]
-        yield i, raw, off, at, later, starts, counts, keys, ask
+def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among distinct sorted values."""
+    if not len(sorted_values):
+        return np.zeros(len(x), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
+def _in_two_documents(chunk: _Chunk) -> np.ndarray:
+    """Keys that two or more ids of the chunk hold."""
+    found = []
+    for i, _j, _raw, off, starts, _counts, keys in chunk.parts():
+        doc = chunk.ids[i + np.searchsorted(off, starts, side="right") - 1]
+        order = np.argsort(keys, kind="stable")  # ids ascend inside a part
+        k, d = keys[order], doc[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+        found.append((k[new], d[new]))
+    if not found:
+        return np.zeros(0, np.uint64)
+    k, d = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+    order = np.argsort(k, kind="stable")
+    k, d = k[order], d[order]
+    return np.unique(k[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])])
+
+
+def _bits(flags: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One bit for each window of each run (RUN at most)."""
+    first = np.cumsum(counts) - counts
+    place = (np.arange(len(flags)) - np.repeat(first, counts)).astype(np.uint64)
+    return np.bitwise_or.reduceat(flags.astype(np.uint64) << place, first) if len(counts) else np.zeros(0, np.uint64)
+
+
+_SENT = {"bucket": pa.int32(), "chunk": pa.int32(), "rows": pa.binary(), "pos": pa.binary(), "ids": pa.binary(), "sizes": pa.binary(), "data": pa.binary(), "bits": pa.binary()}
 
 
 def _send_runs(length: int, gram: int, buckets: int):
+    """The runs that other chunks have to see, once for each distinct run of the chunk; and, as ``bits`` for the chunk
+    itself, the windows that are later copies inside it."""
+
     def run(key, left, right):
+        me = key[0].as_py()
         chunk = _Chunk(left, length, gram)
         shared = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in right["keys"].to_pylist()] or [np.zeros(0, np.uint64)]))
-        rows: dict[str, list] = {k: [] for k in ("bucket", "rows", "pos", "ids", "sizes", "data")}
-        if len(shared):
-            for i, raw, off, _at, later, starts, counts, keys, ask in _inside(chunk, shared):
+        twice = _in_two_documents(chunk)
+        rows: list[tuple] = []
+        known_h, known_d = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for i, _j, raw, off, starts, counts, keys in chunk.parts() if len(shared) or len(twice) else ():
+            ask, local = _member(shared, keys), _member(twice, keys)
+            pick = np.flatnonzero(ask | local)
+            if not len(pick):
+                continue
+            starts, counts, keys, ask, local = starts[pick], counts[pick], keys[pick], ask[pick], local[pick]
+            doc = i + np.searchsorted(off, starts, side="right") - 1
+            fresh = np.ones(len(keys), bool)
+            if local.any():
+                at = _ragged(starts[local], counts[local])
+                h = span_hashes(prefix_sums(raw), at, at + length)
+                own = np.repeat(chunk.ids[doc[local]], counts[local])
+                order = np.argsort(h, kind="stable")  # parts and rows come in id order, so the first is the smallest
+                hs, ds = h[order], own[order]
+                head = np.ones(len(hs), bool)
+                head[1:] = hs[1:] != hs[:-1]
+                uniq, least = hs[head], ds[head]
+                if len(known_h):
+                    where = np.minimum(np.searchsorted(known_h, uniq), len(known_h) - 1)
+                    least = np.where(known_h[where] == uniq, np.minimum(known_d[where], least), least)
+                later = np.empty(len(h), bool)
+                later[order] = ds > least[np.cumsum(head) - 1]
+                if i + len(off) - 1 < len(chunk.ids):  # parts follow
+                    known_h, k = np.unique(np.concatenate([known_h, uniq]), return_index=True)
+                    known_d = np.concatenate([known_d, least])[k]
+                bits = _bits(later, counts[local])
+                hit = np.flatnonzero(bits)
+                if len(hit):
+                    d = doc[local][hit]
+                    rows.append((me % buckets, d.astype(np.int32).tobytes(), (starts[local][hit] - off[d - i]).astype(np.int64).tobytes(), b"", b"", b"", bits[hit].tobytes()))
                 # a run whose windows are all later copies here has nothing new for others
-                fresh = np.add.reduceat(~later, np.cumsum(counts) - counts) > 0 if len(counts) else np.zeros(0, bool)
-                pick = np.flatnonzero(ask & fresh)
-                if not len(pick):
-                    continue
-                b = _bucket(keys[pick], buckets)
-                order = np.lexsort((keys[pick], b))
-                pick, b = pick[order], b[order]
-                size = counts[pick] + length - 1
-                data = raw[_ragged(starts[pick], size)]
-                at = np.concatenate([[0], np.cumsum(size)])
-                doc = i + np.searchsorted(off, starts[pick], side="right") - 1
-                for lo, hi in zip(cuts := np.flatnonzero(np.diff(b, prepend=b[:1] + 1)), [*cuts[1:], len(b)], strict=True):
-                    rows["bucket"].append(int(b[lo]))
-                    rows["rows"].append(doc[lo:hi].astype(np.int32).tobytes())
-                    rows["pos"].append((starts[pick[lo:hi]] - off[doc[lo:hi] - i]).astype(np.int64).tobytes())
-                    rows["ids"].append(chunk.ids[doc[lo:hi]].tobytes())
-                    rows["sizes"].append(size[lo:hi].astype(np.uint8).tobytes())
-                    rows["data"].append(data[at[lo] : at[hi]].tobytes())
-        n = len(rows["bucket"])
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "chunk": pa.array([key[0].as_py()] * n, pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("rows", "pos", "ids", "sizes", "data")}})
+                fresh[local] = np.bitwise_count(bits).astype(np.int64) < counts[local]
+            pick = np.flatnonzero(ask & fresh)
+            if not len(pick):
+                continue
+            b = _bucket(keys[pick], buckets)
+            order = np.lexsort((keys[pick], b))
+            pick, b = pick[order], b[order]
+            size = counts[pick] + length - 1
+            data = raw[_ragged(starts[pick], size)]
+            at = np.concatenate([[0], np.cumsum(size)])
+            d = doc[pick]
+            for lo, hi in zip(cuts := np.flatnonzero(np.diff(b, prepend=b[:1] + 1)), [*cuts[1:], len(b)], strict=True):
+                rows.append((int(b[lo]), d[lo:hi].astype(np.int32).tobytes(), (starts[pick[lo:hi]] - off[d[lo:hi] - i]).astype(np.int64).tobytes(), chunk.ids[d[lo:hi]].tobytes(), size[lo:hi].astype(np.uint8).tobytes(), data[at[lo] : at[hi]].tobytes(), b""))
+        columns = list(zip(*[(r[0], me, *r[1:]) for r in rows], strict=True)) or [[] for _ in _SENT]
+        return pa.table({k: pa.array(list(v), t) for (k, t), v in zip(_SENT.items(), columns, strict=True)})
 
     return run
 
 
 def _later_copies(length: int):
     def run(key, table):
-        cols = {k: table[k].to_pylist() for k in ("chunk", "rows", "pos", "ids", "sizes", "data")}
-        n = [len(x) // 4 for x in cols["rows"]]
-        rows = np.concatenate([np.frombuffer(x, np.int32) for x in cols["rows"]])
-        pos = np.concatenate([np.frombuffer(x, np.int64) for x in cols["pos"]])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in cols["ids"]])
-        size = np.concatenate([np.frombuffer(x, np.uint8) for x in cols["sizes"]]).astype(np.int64)
-        chunk = np.repeat(np.array(cols["chunk"], np.int32), n)
-        raw = np.frombuffer(b"".join(cols["data"]), np.uint8)
-        begin, counts = np.cumsum(size) - size, size - length + 1
-        at = _ragged(begin, counts)
-        h = span_hashes(prefix_sums(raw), at, at + length)
-        run_of = np.repeat(np.arange(len(size)), counts)
-        doc = ids[run_of]
-        order = np.argsort(h, kind="stable")  # suffixes with equal prefixes become neighbours
-        hs, ds = h[order], doc[order]
-        head = np.ones(len(hs), bool)
-        head[1:] = hs[1:] != hs[:-1]
-        # previous or next smaller document in the row of equal prefixes: there is one unless the row's least is reached
-        least = np.minimum.reduceat(ds, np.flatnonzero(head))[np.cumsum(head) - 1]
-        later = np.zeros(len(h), bool)
-        later[order] = ds > least
-        bits = np.bitwise_or.reduceat(later.astype(np.uint64) << (at - np.repeat(begin, counts)).astype(np.uint64), np.cumsum(counts) - counts)
-        hit = np.flatnonzero(bits)
-        order = hit[np.argsort(chunk[hit], kind="stable")]
-        out: dict[str, list] = {k: [] for k in ("chunk", "rows", "pos", "bits")}
-        c = chunk[order]
-        for lo, hi in zip(cuts := np.flatnonzero(np.diff(c, prepend=c[:1] - 1)), [*cuts[1:], len(c)], strict=True):
-            part = order[lo:hi]
-            out["chunk"].append(int(c[lo]))
-            out["rows"].append(rows[part].tobytes())
-            out["pos"].append(pos[part].tobytes())
-            out["bits"].append(bits[part].astype(np.uint64).tobytes())
-        return pa.table({"chunk": pa.array(out["chunk"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("rows", "pos", "bits")}})
+        out = [(r["chunk"], r["rows"], r["pos"], r["bits"]) for r in table.filter(pc.equal(pc.binary_length(table["data"]), 0)).select(["chunk", "rows", "pos", "bits"]).to_pylist()]
+        table = table.filter(pc.greater(pc.binary_length(table["data"]), 0))
+        if table.num_rows:
+            cols = {k: table[k].to_pylist() for k in ("chunk", "rows", "pos", "ids", "sizes", "data")}
+            n = [len(x) // 4 for x in cols["rows"]]
+            every = lambda name, kind: np.frombuffer(b"".join(cols[name]), kind)
+            rows, pos, ids, size = every("rows", np.int32), every("pos", np.int64), every("ids", np.int64), every("sizes", np.uint8).astype(np.int64)
+            chunk, raw = np.repeat(np.array(cols["chunk"], np.int32), n), every("data", np.uint8)
+            counts = size - length + 1
+            at = _ragged(np.cumsum(size) - size, counts)
+            h = span_hashes(prefix_sums(raw), at, at + length)
+            doc = np.repeat(ids, counts)
+            order = np.argsort(h, kind="stable")  # suffixes with equal prefixes become neighbours
+            hs, ds = h[order], doc[order]
+            head = np.ones(len(hs), bool)
+            head[1:] = hs[1:] != hs[:-1]
+            # previous or next smaller document in the row of equal prefixes: there is one unless the row's least is reached
+            least = np.minimum.reduceat(ds, np.flatnonzero(head))[np.cumsum(head) - 1]
+            later = np.zeros(len(h), bool)
+            later[order] = ds > least
+            bits = _bits(later, counts)
+            hit = np.flatnonzero(bits)
+            order = hit[np.argsort(chunk[hit], kind="stable")]
+            c = chunk[order]
+            for lo, hi in zip(cuts := np.flatnonzero(np.diff(c, prepend=c[:1] - 1)), [*cuts[1:], len(c)], strict=True):
+                part = order[lo:hi]
+                out.append((int(c[lo]), rows[part].tobytes(), pos[part].tobytes(), bits[part].tobytes()))
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table({k: pa.array(list(v), t) for (k, t), v in zip({"chunk": pa.int32(), "rows": pa.binary(), "pos": pa.binary(), "bits": pa.binary()}.items(), columns, strict=True)})
 
     return run
 
@@ -241,35 +257,37 @@ def _later_copies(length: int):
 def _cut(length: int, gram: int):
     def run(key, left, right):
         chunk = _Chunk(left, length, gram)
-        join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in right[name].to_pylist()] or [np.zeros(0, kind)])
-        rows, pos, bits = join("rows", np.int32).astype(np.int64), join("pos", np.int64), join("bits", np.uint64)
+        every = lambda name, kind: np.frombuffer(b"".join(right[name].to_pylist()), kind)
+        rows, pos, bits = every("rows", np.int32).astype(np.int64), every("pos", np.int64), every("bits", np.uint64)
         order = np.argsort(rows, kind="stable")
         rows, pos, bits = rows[order], pos[order], bits[order]
-        out: dict[str, list] = {k: [] for k in ("id", "kept", "from", "to")}
-        for i, raw, off, at, later, *_ in _inside(chunk, np.zeros(0, np.uint64)):
+        out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "kept", "from", "to")}
+        shift = np.arange(RUN, dtype=np.uint64)
+        for i, _j, raw, off in slices(chunk.texts):
             mark = np.zeros(len(raw) + 1, np.int32)
             lo, hi = np.searchsorted(rows, [i, i + len(off) - 1])
-            shift = np.arange(64, dtype=np.uint64)
-            if hi > lo:
-                on = (bits[lo:hi, None] >> shift) & np.uint64(1) != 0
-                r, k = np.nonzero(on)
-                starts = off[rows[lo:hi][r] - i] + pos[lo:hi][r] + k
+            for a in range(lo, hi, 100_000):
+                part = np.s_[a : min(hi, a + 100_000)]
+                r, k = np.nonzero((bits[part, None] >> shift) & np.uint64(1))
+                starts = off[rows[part][r] - i] + pos[part][r] + k
                 np.add.at(mark, starts, 1)
                 np.add.at(mark, starts + length, -1)
-            np.add.at(mark, at[later], 1)
-            np.add.at(mark, at[later] + length, -1)
             gone = np.cumsum(mark[:-1]) > 0
+            touched = np.add.reduceat(np.append(gone, False), np.minimum(off[:-1], len(raw))) if len(off) > 1 else []
             for k in range(len(off) - 1):
                 a, b = int(off[k]), int(off[k + 1])
-                g = gone[a:b]
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
-                out["id"].append(int(chunk.ids[i + k]))
-                out["kept"].append(raw[a:b][~g].tobytes())
-                out["from"].append(edge[::2].tolist())
-                out["to"].append(edge[1::2].tolist())
-        lone = left.filter(pc.is_null(left["id"]))["text"].to_pylist()
-        m = len(lone)
-        return pa.table({"id": pa.array(out["id"] + [None] * m, pa.int64()), "n_bytes": pa.array([len(x) + sum(b - a for a, b in zip(f, t, strict=True)) for x, f, t in zip(out["kept"], out["from"], out["to"], strict=True)] + [len(x.encode()) for x in lone], pa.int64()), "kept": pa.array(out["kept"] + [x.encode() for x in lone], pa.binary()), "span_from": pa.array(out["from"] + [[]] * m, pa.list_(pa.int64())), "span_to": pa.array(out["to"] + [[]] * m, pa.list_(pa.int64()))})
+                ups = downs = []
+                kept = raw[a:b]
+                if b > a and touched[k]:
+                    g = gone[a:b]
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
+                    ups, downs, kept = edge[::2].tolist(), edge[1::2].tolist(), kept[~g]
+                for name, v in zip(out, (int(chunk.ids[i + k]), b - a, kept.tobytes(), ups, downs), strict=True):
+                    out[name].append(v)
+        for x in left.filter(pc.is_null(left["id"]))["text"].to_pylist():
+            for name, v in zip(out, (None, len(x.encode()), x.encode(), [], []), strict=True):
+                out[name].append(v)
+        return pa.table({"id": pa.array(out["id"], pa.int64()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "kept": pa.array(out["kept"], pa.binary()), "span_from": pa.array(out["from"], pa.list_(pa.int64())), "span_to": pa.array(out["to"], pa.list_(pa.int64()))})
 
     return run
 
@@ -282,7 +300,7 @@ def cut_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length:
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
     keys = dealt.groupBy("chunk").applyInArrow(_send_keys(length, gram, buckets), "bucket int, chunk int, keys binary")
     shared = keys.groupBy("bucket").applyInArrow(_shared_keys, "chunk int, keys binary")
-    runs = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_runs(length, gram, buckets), "bucket int, chunk int, rows binary, pos binary, ids binary, sizes binary, data binary")
+    runs = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_runs(length, gram, buckets), "bucket int, chunk int, rows binary, pos binary, ids binary, sizes binary, data binary, bits binary")
     later = runs.groupBy("bucket").applyInArrow(_later_copies(length), "chunk int, rows binary, pos binary, bits binary")
     out = dealt.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(_cut(length, gram), "id long, n_bytes long, kept binary, span_from array<long>, span_to array<long>")
     return out.withColumnRenamed("id", id)
