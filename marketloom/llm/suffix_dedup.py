@@ -24,6 +24,7 @@ Cutting may split a UTF-8 character: ``kept`` is binary, and ``cut_texts`` drops
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -254,7 +255,7 @@ def _later_copies(length: int):
     return run
 
 
-def _cut(length: int, gram: int):
+def _cut(length: int, gram: int, as_text: bool):
     def run(key, left, right):
         chunk = _Chunk(left, length, gram)
         every = lambda name, kind: np.frombuffer(b"".join(right[name].to_pylist()), kind)
@@ -287,13 +288,17 @@ def _cut(length: int, gram: int):
         for x in left.filter(pc.is_null(left["id"]))["text"].to_pylist():
             for name, v in zip(out, (None, len(x.encode()), x.encode(), [], []), strict=True):
                 out[name].append(v)
+        if as_text:  # broken characters go; the digest of the whole text tells rows of one id apart
+            whole = [hashlib.sha256(x.encode()).hexdigest() for x in [*chunk.texts.to_pylist(), *left.filter(pc.is_null(left["id"]))["text"].to_pylist()]]
+            return pa.table({"id": pa.array(out["id"], pa.int64()), "digest": pa.array(whole, pa.string()), "kept": pa.array([x.decode("utf-8", "ignore") for x in out["kept"]], pa.string())})
         return pa.table({"id": pa.array(out["id"], pa.int64()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "kept": pa.array(out["kept"], pa.binary()), "span_from": pa.array(out["from"], pa.list_(pa.int64())), "span_to": pa.array(out["to"], pa.list_(pa.int64()))})
 
     return run
 
 
-def cut_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``id``, ``n_bytes``, ``kept`` (binary), ``span_from`` and ``span_to`` (the removed byte runs) for each row."""
+def cut_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """``id``, ``n_bytes``, ``kept`` (binary), ``span_from`` and ``span_to`` (the removed byte runs) for each row;
+    with ``as_text`` instead ``id``, ``digest`` (SHA-256 of the whole text) and ``kept`` as a string."""
     rows = text_column(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // BUCKET_BYTES))
@@ -302,13 +307,15 @@ def cut_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length:
     shared = keys.groupBy("bucket").applyInArrow(_shared_keys, "chunk int, keys binary")
     runs = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_runs(length, gram, buckets), "bucket int, chunk int, rows binary, pos binary, ids binary, sizes binary, data binary, bits binary")
     later = runs.groupBy("bucket").applyInArrow(_later_copies(length), "chunk int, rows binary, pos binary, bits binary")
-    out = dealt.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(_cut(length, gram), "id long, n_bytes long, kept binary, span_from array<long>, span_to array<long>")
+    schema = "id long, digest string, kept string" if as_text else "id long, n_bytes long, kept binary, span_from array<long>, span_to array<long>"
+    out = dealt.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(_cut(length, gram, as_text), schema)
     return out.withColumnRenamed("id", id)
 
 
 def cut_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with every repeat cut from ``text``; a document of which nothing is left stays with an empty text.
-    Needs one row for each id."""
-    cut = cut_repeats(docs, id, text, length)
-    kept = cut.select(id, F.decode(F.col("kept"), F.lit("UTF-8")).alias("__kept"))
-    return docs.join(kept, id).withColumn(text, F.col("__kept")).select(docs.columns)
+    """``docs`` with every repeat cut from ``text``; a document of which nothing is left stays with an empty text, as
+    does one without a text."""
+    kept = cut_repeats(docs, id, text, length, as_text=True).dropDuplicates([id, "digest"]).select(F.col(id).alias("__id"), F.col("digest").alias("__digest"), F.col("kept").alias("__kept"))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    joined = docs.withColumn("__whole", F.sha2(whole, 256)).join(kept, (F.col(id) == F.col("__id")) & (F.col("__whole") == F.col("__digest")), "left")
+    return joined.withColumn(text, F.coalesce("__kept", whole)).select(docs.columns)
