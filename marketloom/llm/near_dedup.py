@@ -221,6 +221,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest connected node) from ``a``, ``b``; nodes without edges are left out."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    last = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -228,9 +229,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         new = cut(large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
         # a forest of stars does not change any more
-        if new.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(new, ["u", "v"], "left_anti").isEmpty():
+        stamp = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if stamp == last:
             break
-        now = new
+        last, now = stamp, new
     return new.select(F.col("u").alias("node"), F.col("v").alias("component")).union(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
