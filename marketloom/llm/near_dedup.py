@@ -41,6 +41,8 @@ VALUES, ORDERS, DEPTH = 64, 21, 3
 REACH, PARTNERS, BLOCK = 24, 2, 1024
 #: Regions up to this size send their pairs out; larger ones confirm them where they stand.
 SMALL = 32
+#: Ids (16 bytes each) up to which texts are looked up by a broadcast.
+BROADCAST_IDS = 500_000
 #: Equal signature values below which a pair is ruled out.
 LEAST_EQUAL = 35
 _R = np.random.default_rng(5)
@@ -257,7 +259,9 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: in
     pairs = top.select("a", F.explode("top.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return cut(rows.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles array<long>"))
+        ids = cut(ids.distinct())
+        few = ids.count() <= BROADCAST_IDS  # else both sides are shuffled, whole texts among them
+        return cut(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles array<long>"))
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
