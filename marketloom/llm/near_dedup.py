@@ -222,20 +222,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest connected node) from ``a``, ``b``; nodes without edges are left out."""
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    last = None
+    new = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
+        now = cut(new)
+        # in a forest of stars no node has two centres, and no centre has one
+        nodes = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("centres"), F.lit(0).alias("leaves")), F.struct(F.col("v").alias("node"), F.lit(0).alias("centres"), F.lit(1).alias("leaves")))).alias("e")).select("e.*")
+        if nodes.groupBy("node").agg(F.sum("centres").alias("centres"), F.sum("leaves").alias("leaves")).where("centres > 1 OR centres = 1 AND leaves > 0").isEmpty():
+            break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        new = cut(large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
-        # a forest of stars does not change any more
-        stamp = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if stamp == last:
-            break
-        last, now = stamp, new
-    return new.select(F.col("u").alias("node"), F.col("v").alias("component")).union(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        new = large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def link(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
@@ -294,8 +293,7 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: in
     large = cut(grid.where(F.col("size") > SMALL).drop("size"))
     sets = sets_of(large.select("id").union(ends(more)))
     direct = blocks(large.join(reps, "id").join(sets, "id")).mapInArrow(_confirm_across(similarity), "a long, b long")
-    edges = cut(edges.union(confirmed(more, sets)).union(direct))
-    found = cut(components(edges))
+    found = cut(components(cut(found.union(confirmed(more, sets)).union(direct).toDF("a", "b"))))
     of_set = classes.join(found, classes.id == found.node, "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = signed.join(of_set, "set_key", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id)
