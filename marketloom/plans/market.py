@@ -12,9 +12,10 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import signals as M
 from ..operators import windows as W
-from .registry import _METRICS, _N, _NORMAL, AS_OF, OVER, query, r, rows
+from .registry import _METRICS, _N, _NORMAL, OVER, query, r, rows
 
 EARNINGS_DAY = "1998-06-01"
+FRESH_AT = "2024-01-09 00:00:00"
 CHAIN = ["ticker", "trade_date", "expiration", "opt_right", "strike"]
 
 
@@ -25,9 +26,9 @@ def _day() -> Column:
 # --- predicates and projections --------------------------------------------------------------------------------------
 
 
-@query("p02_fresh_articles", f"SELECT id, ticker FROM {{articles}} WHERE published_at IS NOT NULL AND CAST(published_at AS TIMESTAMP) >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS")
+@query("p02_fresh_articles", f"SELECT id, ticker FROM {{articles}} WHERE published_at IS NOT NULL AND CAST(published_at AS TIMESTAMP) >= TIMESTAMP '{FRESH_AT}' - INTERVAL 7 DAYS")
 def _(get):
-    return get("articles").where(F.col("published_at") >= F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 7 DAYS")).select("id", "ticker")
+    return get("articles").where(F.col("published_at") >= F.lit(FRESH_AT).cast("timestamp") - F.expr("INTERVAL 7 DAYS")).select("id", "ticker")
 
 
 @query(
