@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CAPACITY = 4096
 #: Documents in a block, and bins in a run.
 BLOCK_ROWS, RUN = 20_000, 64
@@ -128,7 +130,8 @@ def pack(sized: DataFrame, id: str = "doc_id", size: str = "n_tokens", source: s
     """``id``, ``piece``, ``n_tokens``, ``bin_id`` and ``bin_offset`` of every document or piece of one."""
     kind = sized.schema[id].dataType.simpleString()
     rows = sized.select(F.col(id).alias("id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size"), F.col(source).cast("string").alias("source"), F.col(cluster).cast("string").alias("cluster"))
-    blocks = max(1, -(-sized.count() // BLOCK_ROWS))
+    rows = cut(rows)  # sizes are costly: counted and packed from one writing
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "size", "source", "cluster"), F.lit(blocks)))
     return dealt.groupBy("block").applyInArrow(_pack(capacity), f"id {kind}, piece long, n_tokens long, bin_id string, bin_offset long").withColumnRenamed("id", id)
 
