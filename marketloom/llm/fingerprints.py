@@ -1,11 +1,14 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with Spark functions only.
 
-A paragraph is a line with a visible character; a text under 1,200 code points also counts its sentences, and a line
-over 2,000 code points counts as its sentences.  A digest (64 bits) goes into one cell of each of three parts of a
-sketch; a cell holds a count, the XOR of its digests and the XOR of their checks.  The difference of two sketches
+A paragraph is a line with a visible character, or a piece of one.  Every line, of whatever size, is also cut at its
+sentence ends, and every sentence into pieces of at most 96 code points: after a word of a class of last letters past 32
+code points, else at the last white space, else at 96.  The cuts hang on what stands there, not on the size of the text,
+so an edited text keeps the digests of what it keeps.  A digest (64 bits) goes into one cell of each of three parts
+of a sketch; a cell holds a count, the XOR of its digests and the XOR of their checks.  The difference of two sketches
 holds the differing digests alone; peeling takes a digest from each cell that holds just one, until the cells are
-empty.  If some stay, a sketch four times as large is tried; past the largest (larger than both digest lists
-together, so that failing is a matter of chance) the digest lists are compared.  Likeness: shared / all digests.
+empty.  Texts are compared by a sketch in blocks: digests are dealt by hash into blocks of about BLOCK, as many as the
+digests need, and each block is peeled on its own.  If cells stay, a larger sketch of the block is tried; past the
+largest (so that failing is a matter of chance) the digests of the block are compared.  Likeness: shared / all digests.
 
 Nulls are empty texts.  Texts without paragraphs are alike (1), and unlike any other (0).  Equal texts have equal
 fingerprints.
@@ -18,17 +21,21 @@ from pyspark.sql import functions as F
 
 from .common import text_column
 
-#: Cells of each of the three parts of the stored sketch, and of those tried in turn.
-PART, TRIES = 8, (8, 32, 128, 512)
+#: Cells of each of the three parts of the stored sketch, and of those tried in turn for a block.
+PART, TRIES = 8, (8, 16, 64)
 ROUNDS = 24
-SHORT, LONG = 1200, 2000
+#: Digests of both texts in a block.
+BLOCK = 16
+#: Least and most code points of a piece that is cut inside a sentence.
+LEAST, MOST = 32, 96
+PIECE = f"(?s).{{{LEAST - 1},{MOST - 1}}}?[aeiout,;:](?= )|.{{1,{MOST}}}(?![^ ])|.{{1,{MOST}}}"
 
 
 def digests(text: str) -> str:
     """SQL: the sorted distinct paragraph digests of a text column."""
     lines = f"split({text}, '\\n')"
-    sentences = lambda x: f"split({x}, '(?<=[.!?]) +')"
-    parts = f"flatten(transform({lines}, l -> CASE WHEN length({text}) < {SHORT} THEN concat(array(l), {sentences('l')}) WHEN length(l) > {LONG} THEN {sentences('l')} ELSE array(l) END))"
+    pieces = f"flatten(transform(split(l, '(?<=[.!?]) +'), s -> regexp_extract_all(s, '{PIECE}', 0)))"
+    parts = f"flatten(transform({lines}, l -> concat(array(l), {pieces})))"
     return f"array_sort(array_distinct(transform(filter({parts}, p -> trim(p) <> ''), p -> xxhash64(trim(p)))))"
 
 
@@ -57,12 +64,24 @@ def _peeled(cells: str, size: int) -> str:
     return f"transform(array({state}), s -> CASE WHEN exists(s.cells, c -> c.n <> 0 OR c.k <> 0 OR c.h <> 0) THEN NULL ELSE s.n END)[0]"
 
 
+def differing(a: str, b: str, exact: bool = True) -> str:
+    """SQL: how many digests stand in one of two arrays only, through their sketches in blocks.  Without ``exact``: null
+    where peeling alone does not tell."""
+    tries = [f"CASE WHEN {3 * s} >= abs(size(u) - size(v)) THEN {_peeled(difference(sketch('u', s), sketch('v', s)), s)} END" for s in TRIES]
+    last = ["size(array_except(u, v)) + size(array_except(v, u))"] if exact else []
+    block = f"CASE WHEN u = v THEN 0 ELSE coalesce({', '.join([*tries, *last])}) END"
+    # two levels of dealing, each by bits that place no digest inside a small sketch, so a text costs n * sqrt(n)
+    deal = lambda x, bits: f"transform(sequence(0, w - 1), j -> filter({x}, k -> pmod(shiftrightunsigned(k, {bits}), w) = j))"
+    total = lambda x: f"aggregate({x}, 0, (x, y) -> x + y)"
+    inner = total(f"zip_with({deal('f', 24)}, {deal('g', 24)}, (u, v) -> {block})")
+    wide = f"greatest(1, cast(ceil(sqrt((size({a}) + size({b})) / {BLOCK})) as int))"
+    return f"transform(array({wide}), w -> {total(f'zip_with({deal(a, 51)}, {deal(b, 51)}, (f, g) -> {inner})')})[0]"
+
+
 def likeness(a: str, b: str) -> str:
     """SQL: shared / all digests of two digest arrays, through their sketches."""
     total = f"(size({a}) + size({b}))"
-    tries = [f"CASE WHEN {3 * s * 4} >= abs(size({a}) - size({b})) THEN {_peeled(difference(sketch(a, s), sketch(b, s)), s)} END" for s in TRIES]
-    exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    n = f"CASE WHEN {a} = {b} THEN 0 ELSE coalesce({', '.join([*tries, exact])}) END"
+    n = f"CASE WHEN {a} = {b} THEN 0 ELSE {differing(a, b)} END"
     return f"transform(array(cast({n} as double)), d -> CASE WHEN {total} = 0 THEN 1D ELSE greatest(0D, ({total} - d) / ({total} + d)) END)[0]"
 
 
