@@ -92,6 +92,18 @@ def performance(trades: DataFrame) -> DataFrame:
     return trades.where("status = 'CLOSED'").agg(F.count("*").alias("n"), F.sum("pnl").alias("net"), F.count_if(F.col("pnl") > 0).alias("wins"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.when(loss > 0, win / loss).alias("profit_factor"), F.avg("pnl").alias("expectancy"))
 
 
+def pnl_curve(trades: DataFrame) -> DataFrame:
+    """``id`` and cumulative profit over all closed trades in order of closing day and id; no profit counts as 0.  A
+    running sum over the days (one row for each) is added to one within each day; decimals make it exact."""
+    day = F.date_add("opened_date", F.col("holding_days").cast("int"))
+    closed = trades.where("status = 'CLOSED'").select("id", day.alias("day"), F.coalesce("pnl", F.lit(0.0)).cast("decimal(28,8)").alias("pnl"))
+    days = closed.groupBy("day").agg(F.sum("pnl").alias("made"))
+    before = days.select("day", (F.sum("made").over(Window.orderBy(F.asc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("made")).alias("before"))
+    w = Window.partitionBy("day").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    here = closed.withColumn("within", F.sum("pnl").over(w))
+    return here.join(before, here.day.eqNullSafe(before.day)).select("id", (F.col("before") + F.col("within")).cast("double").alias("cumulative"))
+
+
 def attribution(trades: DataFrame, by: list[str]) -> DataFrame:
     """Trades, profit and mean return on risk by each of several labels, in one pass of grouping sets."""
     named = trades.where("status = 'CLOSED'").withColumns({b: F.coalesce(F.col(b).cast("string"), F.lit("Unknown")) for b in by})

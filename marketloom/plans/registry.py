@@ -368,6 +368,11 @@ def _(get):
     return t.select("id", F.sum("pnl").over(w).alias("cumulative"))
 
 
+@query("w28_pnl_curve_all", f"SELECT id, ROUND(CAST(SUM(CAST(COALESCE(pnl, 0) AS DECIMAL(28, 8))) OVER (ORDER BY opened_date + CAST(holding_days AS INT) NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS DOUBLE), {DIGITS}) AS cumulative FROM {_METRICS} WHERE status = 'CLOSED'")
+def _(get):
+    return A.pnl_curve(A.trade_metrics(get("trades")))
+
+
 @query("f13_surprise_pct", "SELECT ticker, seq, ROUND(CASE WHEN ABS(eps_estimate) >= 0.01 THEN LEAST(GREATEST((eps_actual - eps_estimate) / ABS(eps_estimate) * 100, CASE WHEN eps_actual IS NOT NULL THEN -200 END), 200 + 0 * eps_actual) END, 4) AS surprise FROM {earnings_events}")
 def _(get):
     return get("earnings_events").select("ticker", "seq", S.surprise_pct(F.col("eps_actual"), F.col("eps_estimate")).alias("surprise"))

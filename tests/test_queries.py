@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from marketloom.plans import registry
-from marketloom.sources.fixtures import BASE
+from marketloom.sources.fixtures import BASE, table
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -50,3 +50,10 @@ def test_recovered_volatility(spark):
     df = registry.queries()["o03_implied_vol"](spark, DATA)
     assert df.where("found is not null and abs(found - iv) > 0.002").isEmpty()
     assert df.where("found is null").count() < 0.05 * df.count()
+
+
+def test_pnl_curve_has_every_closed_trade(spark):
+    got = registry.queries()["w28_pnl_curve_all"](spark, DATA).toPandas()
+    closed = table(spark, DATA, "trades").where("status = 'CLOSED'")
+    assert closed.select("ticker").distinct().count() > 1
+    assert sorted(got["id"]) == sorted(r.id for r in closed.select("id").collect())
