@@ -156,3 +156,10 @@ def sized(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text
     rows = docs.select(F.col(id).alias(id), F.col(source).cast("string").alias("source"), text_.alias("text"))
     rows = rows.withColumn("cluster", F.sha2(F.regexp_replace(F.trim(F.lower("text")), "\\s+", " "), 256))
     return rows.mapInArrow(run, f"`{id}` {kind}, n_tokens long, source string, cluster string")
+
+
+def with_components(sized: DataFrame, linked: DataFrame, id: str = "doc_id") -> DataFrame:
+    """``sized`` with the near-copy component (of ``near_dedup.link``) as the cluster.  Texts without words and null ids,
+    which are linked with nothing, keep the cluster of their folded text."""
+    near = linked.where(F.col(id).isNotNull() & (F.col("n_shingles") > 0)).groupBy(id).agg(F.min("component_id").alias("component"))
+    return sized.join(near, id, "left").withColumn("cluster", F.coalesce(F.concat(F.lit("near-"), "component"), "cluster")).drop("component")

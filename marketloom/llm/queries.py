@@ -45,9 +45,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes are token counts; a duplicate cluster is one folded text (A-Z lower-cased, white space collapsed)."""
+    """Sizes are token counts; a duplicate cluster is a component of near copies (op3)."""
     docs = _table(spark, sf_dir, "documents")
-    return packing.pack(packing.sized(docs, public_tokenizers.path(VOCABULARY)))
+    sized = packing.sized(docs, public_tokenizers.path(VOCABULARY))
+    return packing.pack(packing.with_components(sized, near_dedup.link(docs)))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketloom.llm import bpe, fingerprints, licenses, near_dedup, packing, quality, suffix_dedup, token_store, toxicity
+from marketloom.llm import bpe, fingerprints, licenses, near_dedup, packing, quality, queries, suffix_dedup, token_store, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, size int"
@@ -200,3 +200,10 @@ def test_fingerprints_of_long_texts_are_peeled(spark):
     got = df.collect()
     assert [r.n for r in got] == [len(set(a) ^ set(b)) for a, b in rows]
     assert [r.peeled for r in got] == [r.n for r in got]
+
+
+def test_packing_query_keeps_near_copies_apart(spark, tmp_path):
+    texts = [prose(70, 150) + " " + prose(80 + k, 4) for k in range(3)] + ["", " ", prose(90, 20)]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.bin_id for r in queries.op5_packing(spark, str(tmp_path)).collect()}
+    assert len({got[0], got[1], got[2]}) == 3 and got[3] != got[4] and len(got) == len(texts)
