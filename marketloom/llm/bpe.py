@@ -2,36 +2,81 @@
 
 ``encode`` gives the ids that the tokenizers library gives for the whole text, ``decode`` the text of ids.
 
-* A text is first cut at spaces and single line ends between two visible characters.  The byte-level
-  pre-tokenizer always starts a piece there, so the cut parts ("units") encode on their own, and each task keeps the
-  ids of units it has met in a table of bounded size.
+* A text is first cut at spaces and single line ends between two visible characters, and between an ASCII letter and
+  a mark.  The byte-level pre-tokenizer always starts a piece there, so the cut parts ("units") encode on their own.
+  Each task keeps the ids of units it has met in a table of bounded size, looked up for a whole slice of texts at
+  once; units are compared by all of their bytes.
 * A text of over ``split_chars`` characters is dealt out as pieces of that size, cut anywhere, to many
   tasks.  The ids of neighbouring pieces are then joined as a tree: a window around each join is encoded
   anew and grows until it agrees with both sides at a word start on its left and on its right.
 
-Nulls are empty texts.  Empty texts have no ids.  Repeated rows each keep a row.  Only the named columns are
-read, so further columns may have any name.
+Nulls are empty texts.  Empty texts have no ids.  Repeated rows each keep a row, equal texts (ties) get equal ids, and
+an empty table gives no rows.  Ids may be of any type.  Only the named columns are read, so further columns may have
+any name.
 """
 
 from __future__ import annotations
 
 import os
-import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, partitions, text_column
+from .common import arrow_batches, binary_array, mix, partitions, ragged, slices, text_column
 
-#: Units kept by a task, and the longest unit that is kept.
-MEMO_UNITS, MEMO_CHARS = 1_000_000, 48
+#: Units that a task keeps; the longest unit in the exact 24-byte table, and in the table of longer ones.
+MEMO_UNITS, TABLE_BYTES, LONG_BYTES = 1 << 20, 24, 96
+_SLOTS = 1 << 22
 #: Characters at a cut that may belong to a special token or a contraction split by it.
 MARGIN = 32
 
 _CODECS: dict[str, Codec] = {}
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_LETTER, _MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _PLAIN[0x21:0x7F] = True
+_MARK[list(b",.;:!?")] = True
+
+
+def units(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Starts of the units of a slice of texts: each text's start, each space and each line end between two visible
+    characters (and what follows the line end), and each mark after an ASCII letter."""
+    n = len(raw)
+    visible = _PLAIN[raw]
+    high = raw >= 0x80
+    if high.any():
+        visible |= high
+        for lead, second, size in ((0xC2, (0x85, 0xA0), 2), (0xE1, (0x9A,), 3), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3)):
+            at = np.flatnonzero(raw[: n - 1] == lead)
+            for p in range(size) if len(at) else ():  # these may be white space
+                visible[at[np.isin(raw[at + 1], second)] + p] = False
+    first = np.zeros(n + 1, bool)
+    first[off] = True
+    inner = ~first[:n]
+    between = np.zeros(n, bool)  # a visible character of the same text on either side
+    between[1:-1] = visible[:-2] & visible[2:] & inner[1:-1] & inner[2:]
+    start = ~inner
+    start |= between & ((raw == 0x20) | (raw == 0x0A))
+    start[1:] |= between[:-1] & (raw[:-1] == 0x0A)
+    start[1:] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]
+    return np.flatnonzero(start)
+
+
+class _Ids:
+    """A growing array."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def extend(self, more) -> None:
+        n = self.n + len(more)
+        if n > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(max(n, 2 * len(self.data)) - self.n, self.data.dtype)])
+        self.data[self.n : n] = more
+        self.n = n
 
 
 class Codec:
@@ -44,10 +89,13 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ",."}
         table = {c: b for b, c in byte_letters().items()}
         self.tokens = {i: bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        size = max(self.tokens) + 1
+        self.token_size = np.array([len(self.tokens.get(i, b"")) for i in range(size)] + [0], np.int64)  # the last: outside
+        self.token_at = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -55,30 +103,93 @@ class Codec:
             _CODECS[path] = cls(path)
         return _CODECS[path]
 
+    def _forget(self) -> None:
+        self.slot = np.full(_SLOTS, -1, np.int32)
+        self.key = [_Ids(np.uint64) for _ in range(3)]
+        self.size, self.at, self.count, self.ids = _Ids(np.int32), _Ids(np.int64), _Ids(np.int64), _Ids(np.uint32)
+        self.long: dict[bytes, int] = {}
+
+    def _add(self, texts: list[bytes], keys: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        """Encode units and keep their ids; their entry numbers."""
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        first = self.size.n
+        counts = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.at.extend(self.ids.n + np.cumsum(counts) - counts)
+        self.count.extend(counts)
+        self.ids.extend(np.fromiter(chain.from_iterable(coded), np.uint32, int(counts.sum())))
+        for have, more in zip(self.key, keys, strict=True):
+            have.extend(more)
+        self.size.extend(sizes)
+        return np.arange(first, self.size.n)
+
+    def entries(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each unit of a slice, and the first unit of each text and the end."""
+        if self.size.n > MEMO_UNITS or self.ids.n > 16 * MEMO_UNITS:
+            self._forget()
+        starts = units(raw, off) if len(raw) else np.zeros(0, np.int64)
+        size = np.diff(starts, append=len(raw))
+        padded = np.concatenate([raw, np.zeros(TABLE_BYTES + 8, np.uint8)])
+        word = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        keys = [word[starts + 8 * k] & _LOW_BYTES[np.clip(size - 8 * k, 0, 8)] for k in range(3)]
+        h = mix(keys[0] + mix(keys[1] + mix(keys[2] + size.astype(np.uint64))))
+        slot = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
+        entry = self.slot[slot].astype(np.int64)
+        hit = (entry >= 0) & (size <= TABLE_BYTES) & (self.size.data[entry] == size)
+        for have, k in zip(self.key, keys, strict=True):
+            hit &= have.data[entry] == k
+        new = np.flatnonzero(~hit & (size <= TABLE_BYTES))
+        if len(new):
+            order = new[np.lexsort((size[new], keys[2][new], keys[1][new], keys[0][new]))]
+            head = np.ones(len(order), bool)
+            head[1:] = size[order][1:] != size[order][:-1]
+            for k in keys:
+                head[1:] |= k[order][1:] != k[order][:-1]
+            one = order[head]
+            data = raw.tobytes()
+            got = self._add([data[a:b] for a, b in zip(starts[one].tolist(), (starts + size)[one].tolist(), strict=True)], [k[one] for k in keys], size[one])
+            self.slot[slot[one]] = got
+            entry[order] = got[np.cumsum(head) - 1]
+        far = np.flatnonzero(size > TABLE_BYTES).tolist()
+        if far:
+            texts = [raw[starts[k] : starts[k] + size[k]].tobytes() for k in far]
+            ask = [t for t in dict.fromkeys(texts) if t not in self.long]
+            zero = np.zeros(len(ask), np.uint64)
+            known = self.long | dict(zip(ask, self._add(ask, [zero] * 3, zero.astype(np.int32)).tolist(), strict=True)) if ask else self.long
+            entry[far] = [known[t] for t in texts]
+            self.long.update({t: known[t] for t in ask if len(t) <= LONG_BYTES})
+        return entry, np.searchsorted(starts, off)
+
+    def encode_slice(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts of a slice, one after the other, and the n + 1 offsets of each text's ids."""
+        entry, first = self.entries(raw, off)
+        counts = self.count.data[entry]
+        at = np.concatenate([[0], np.cumsum(counts)])
+        return self.ids.data[ragged(self.at.data[entry], counts)], at[first]
+
+    def count_slice(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """How many ids each text of a slice has."""
+        entry, first = self.entries(raw, off)
+        return np.diff(np.concatenate([[0], np.cumsum(self.count.data[entry])])[first])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        units = [space_units(t) for t in texts]
-        met = set().union(*units)
-        new = met.difference(self.memo)
-        if new and len(self.memo) + len(new) > MEMO_UNITS:
-            self.memo, new = {}, met
-        memo, long, ask = self.memo, {}, []
-        for p in new:
-            # a word and one mark after it are two pieces of the pre-tokenizer
-            if p[-1] in ",." and p[-2:-1].isalpha() and (w := memo.get(p[:-1])) and p[1:-1].isalpha() and p[:-1].isprintable() and max(p) < "\u0250":
-                memo[p] = w + self.marks[p[-1]]
-            else:
-                ask.append(p)
-        if ask:
-            for p, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-                (memo if len(p) <= MEMO_CHARS else long)[p] = pack(e.ids)
-        table = memo | long if long else memo
-        return [b"".join(map(table.__getitem__, parts)) for parts in units]
+        out = []
+        for _, _, raw, off in slices(pa.array(texts, pa.large_string())):
+            ids, at = self.encode_slice(raw, off)
+            out += [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        return out
+
+    def decode_slice(self, raw: np.ndarray, off: np.ndarray) -> list[str]:
+        """The texts of little-endian ids (as bytes, with offsets); bytes that are no UTF-8 give U+FFFD."""
+        ids = np.minimum(np.frombuffer(raw.tobytes(), "<u4"), np.uint32(len(self.token_size) - 1)).astype(np.int64)
+        size = self.token_size[ids]
+        data = self.token_bytes[ragged(self.token_at[ids], size)].tobytes()
+        at = np.concatenate([[0], np.cumsum(size)])[off // 4].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def decode(self, ids: bytes) -> str:
-        """The text of little-endian ids, special tokens kept; bytes that are no UTF-8 give U+FFFD."""
-        t = self.tokens
-        return b"".join([t[i] for i in np.frombuffer(ids, "<u4").tolist() if i in t]).decode("utf-8", "replace")
+        """The text of little-endian ids, special tokens kept."""
+        return self.decode_slice(np.frombuffer(ids, np.uint8), np.array([0, len(ids)]))[0]
 
     def words(self, text: str) -> tuple[np.ndarray, list[int]]:
         """Ids of a text and, for each, the number of the pre-tokenizer's word that it is in."""
@@ -152,51 +263,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-#: White space besides the space itself.
-OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-
-
-def pack(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-def space_units(text: str) -> list[str]:
-    """Parts of a text, cut before each space, and around each line end, between two visible characters."""
-    if not text:
-        return []
-    parts = text.split(" ")
-    if "" not in parts and not any(c in text and (c + " " in text or " " + c in text) for c in OTHER_SPACE):
-        out = [parts[0], *[" " + p for p in parts[1:]]]
-        if "\n" not in text:
-            return out
-        lines: list[str] = []
-        for p in out:
-            if "\n" in p and len(ends := p.split("\n")) == 2 and all(ends) and not ends[0][-1].isspace() and not ends[1][0].isspace():
-                lines += [ends[0], "\n", ends[1]]
-            else:
-                lines.append(p)
-        return lines
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and out[-1] and not p[0].isspace() and not out[-1][-1].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return out
-
-
 def _encode_rows(path: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
             kept = [i for i, f in enumerate(batch.schema) if f.name != text]
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            step = max(1, min(len(texts), 64))
-            ids: list[bytes] = []
-            for i in range(0, len(texts), step):
-                ids += codec.encode(texts[i : i + step])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*(batch.schema.field(i).name for i in kept), "n_tokens", "ids"])
+            names = [*(batch.schema.field(i).name for i in kept), "n_tokens", "ids"]
+            for i, j, raw, off in slices(batch.column(batch.schema.get_field_index(text))):
+                ids, at = codec.encode_slice(raw, off)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in kept), pa.array(np.diff(at), pa.int64()), binary_array(ids.astype("<u4"), 4 * at)], names)
 
     return run
 
@@ -247,7 +322,8 @@ def decode(coded: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
+            for i, j, raw, off in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(codec.decode_slice(raw, off), pa.string())], ["id", "text"])
 
     return coded.select(F.col(id).alias("id"), F.col(ids).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id)
 
@@ -261,7 +337,9 @@ def round_trip(coded: DataFrame, path: str, id: str = "doc_id", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
-            texts = [hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]), pa.array(texts)], [id, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for i, j, raw, off in slices(batch.column(2)):
+                texts = [hashlib.sha256(t.encode()).hexdigest() for t in codec.decode_slice(raw, off)]
+                own = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(own, pa.string()), pa.array(texts, pa.string())], [id, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return coded.select(F.col(id), "n_tokens", F.col(ids)).mapInArrow(run, f"`{id}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,18 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder that the cluster names.  Where none is named, a temporary one, in local mode only: on a cluster the
+    executors could not see it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -28,9 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, with no lineage behind it."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes shuffle files of what is not referenced any more
-    return out
+    return df.checkpoint(eager=True)
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -44,6 +46,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def integer_id(df: DataFrame, id: str) -> Column:
+    """The id column as a long; ids of another kind than whole numbers are refused before any work."""
+    kind = df.schema[id].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"column {id} must hold whole numbers, not {kind.simpleString()}")
+    return F.col(f"`{id}`").cast("long")
+
+
 def text_column(df: DataFrame, text: str) -> DataFrame:
     """``text`` as a string, null as the empty text."""
     return df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
@@ -79,6 +89,16 @@ def slices(array: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         i = j
 
 
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary array over the bytes of ``data`` with n + 1 byte offsets (under 2 GB)."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 _RANDOM = np.random.default_rng(20240607)
 #: One random odd-mixed value for each byte.
 BYTE_VALUE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -25,34 +25,43 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Codec
-from .common import arrow_batches, partitions, text_column
+from .common import arrow_batches, partitions, slices, text_column
 
 BLOCK = "part int, seq int, start long, first_id long, last_id long, n_tokens long, width int, dict_hash string, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary"
-#: Rows, and ids of each, that the dictionary is trained on; its size.
-SAMPLE_ROWS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 2048, 65_536
+#: Rows that the dictionary is trained on at most, ids in a window of a row, windows of a row; the dictionary's size.
+SAMPLE_ROWS, SAMPLE_IDS, SAMPLE_WINDOWS, DICTIONARY_BYTES = 1000, 512, 4, 65_536
 #: A block is closed at so many documents or payload bytes.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
 
 
-def _narrow(ids: bytes, end_id: int) -> tuple[np.ndarray, int]:
-    a = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
+def _narrow(ids: np.ndarray, end_id: int) -> tuple[np.ndarray, int]:
+    a = np.append(ids, np.uint32(end_id))
     width = 2 if a.max() < 65_536 else 4
     return a.astype("<u2" if width == 2 else "<u4"), width
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id: str, text: str, end_id: int) -> bytes:
-    """A dictionary from a bounded sample of rows; empty where the sample is too small to train one."""
+    """A dictionary from at most SAMPLE_ROWS rows, those of the whole table with the smallest hash of their text, and
+    from windows of SAMPLE_IDS ids spread evenly over each; empty where the sample is too small to train one."""
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(tokenizer)
         for batch in batches:
-            ids = codec.encode(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([_narrow(x[: 4 * SAMPLE_IDS], end_id)[0].tobytes() for x in ids], pa.binary())], ["s"])
-
-    rows = text_column(docs.select(F.col(text).alias("text")), "text").limit(SAMPLE_ROWS).mapInArrow(run, "s binary").collect()
+            out = []
+            for _, _, raw, off in slices(batch.column(0)):
+                ids, at = codec.encode_slice(raw, off)
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = _narrow(ids[a:b], end_id)[0]
+                    step = max(SAMPLE_IDS, len(own) // SAMPLE_WINDOWS)
+                    out += [own[k : k + SAMPLE_IDS].tobytes() for k in range(0, len(own), step)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["s"])
+
+    rows = text_column(docs.select(F.col(text).alias("text")), "text")
+    picked = rows.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(SAMPLE_ROWS)  # hashes alone are sorted
+    rows = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), "h").dropDuplicates(["h"]).select("text").mapInArrow(run, "s binary").collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.s) for r in rows]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(bytes(r.s) for r in rows)).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -91,11 +100,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 64):
-                for doc, ids in zip(doc_ids[i : i + 64], codec.encode(texts[i : i + 64]), strict=True):
-                    block.append((doc, *_narrow(ids, end_id)))
-                    size += len(ids)
+            doc_ids = batch.column(0).to_pylist()
+            for i, j, raw, off in slices(batch.column(1)):
+                ids, at = codec.encode_slice(raw, off)
+                for k in range(i, j):
+                    a, b = int(at[k - i]), int(at[k - i + 1])
+                    block.append((doc_ids[k], *_narrow(ids[a:b], end_id)))
+                    size += 4 * (b - a)
                     if len(block) >= BLOCK_DOCS or size >= 4 * BLOCK_BYTES:
                         yield close()
         if block:
