@@ -4,12 +4,13 @@ A document's set holds its distinct 5-word shingles (A-Z lower-cased; words ``[^
 words the whole sequence; with none nothing, and then it is linked with nothing).  Two documents are linked if
 ``100 * intersection >= similarity * union``; the component of a document is the smallest id that links lead to.
 
-1. Documents with one set are one class (a group-by of the set's digest), so thousands of copies cost one row.
+1. Documents with one set are one class (a group-by of the set's 64-bit hash), so thousands of copies cost one row.
 2. The forest: 21 orders of the classes, each by another rotation of a 64-value MinHash signature.  A region is a
    run of an order with a common prefix of 3 values; regions of one class are dropped before signatures move.
-3. Sorted neighbours: in each order, a class looks at its neighbours by longest common prefix within the region;
-   the depth at which it stops is the region's own (wide where few share the prefix, deep where many do).  Its
-   likeliest partners by estimated similarity are confirmed on the full sets.
+3. Longest-common-prefix neighbours: in each sorted order, the common prefixes of adjacent classes give that of any two
+   (the least between them); a class looks at its neighbours by longest common prefix, at most REACH on each side, so the
+   depth at which it stops is its region's own: the region's prefix where few share it, deeper where many do.  The
+   likeliest partners over all orders are confirmed on the full sets.
 4. Closure, so that no link is lost in dense regions: with the components so far, every class outside the largest
    component of its region is compared there with all classes of other components, in a grid of blocks; what the
    estimate does not rule out is confirmed on the full sets (in large regions inside the block, until one link for
@@ -19,8 +20,10 @@ A pair of similarity 0.75 meets in no region with probability (1 - 0.75**3)**21
 estimate (below 0.55, 3.7 standard deviations off) with probability 1e-4; both fall fast with similarity.
 Components come from alternating large-star and small-star steps over edges, written out at each step.
 
-Nulls are texts without words.  Rows with one id are one document for links; every row keeps a row.  Rows with a
-null id are linked with nothing.  Shingles are compared by 64-bit hashes.
+Nulls are texts without words.  An id that stands with several texts is one document for links (its sets are tied to
+each other); every row keeps a row.  Rows with a null id are linked with nothing.  Ties (copies) go to the smallest id.
+An empty table gives no rows.  Ids must be whole numbers (others are refused).  Texts of any length are read whole, and
+further columns may have any name.  Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .common import LOWER, arrow_batches, cut, mix, partitions, prefix_sums, slices, span_hashes, text_column, words
+from .common import LOWER, arrow_batches, cut, integer_id, mix, partitions, prefix_sums, slices, span_hashes, text_column, words
 
 SHINGLE, SIMILARITY = 5, 75
 VALUES, ORDERS, DEPTH = 64, 21, 3
@@ -74,6 +78,11 @@ def shingle_sets(array: pa.Array, n: int = SHINGLE) -> Iterator[tuple[int, list[
         yield i, out
 
 
+def _node(shingles: np.ndarray) -> int | None:
+    """The hash that stands for a set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) if len(shingles) else None
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, sets in shingle_sets(batch.column(1)):
@@ -85,12 +94,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = (np.cumsum(sizes) - sizes)[some]
                 for k in range(VALUES):
                     sig[some, k] = np.minimum.reduceat((every * _MULTIPLY[k] + _ADD[k]) >> np.uint64(32), at)
-            key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array(sizes, pa.int64()), pa.array(key, pa.binary()), pa.array([r.tobytes() if n else None for r, n in zip(sig, sizes, strict=True)], pa.binary())], ["id", "n_shingles", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array(sizes, pa.int64()), pa.array(map(_node, sets), pa.int64()), pa.array([r.tobytes() if n else None for r, n in zip(sig, sizes, strict=True)], pa.binary())], ["id", "n_shingles", "node", "sig"])
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(region, id) of every class and order."""
+    """(region, node) of every class and order."""
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").astype(np.uint64).reshape(-1, VALUES)
         for t in range(ORDERS):
@@ -98,7 +106,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(DEPTH):
                 key = mix(key * np.uint64(0x100000001B3) + sig[:, t * DEPTH + k])
             key = (key & ~np.uint64(31)) | np.uint64(t)  # the order is the low five bits
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], ["region", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], ["region", "node"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -128,33 +136,49 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, VALUES)
 
 
+def adjacent_prefixes(turned: np.ndarray) -> np.ndarray:
+    """How many leading values each row of a sorted matrix has in common with the row before it (the first: 0)."""
+    differ = np.ones((len(turned), turned.shape[1] + 1), bool)  # past the last value rows always differ
+    differ[1:, :-1] = turned[1:] != turned[:-1]
+    out = differ.argmax(axis=1)
+    out[:1] = 0
+    return out
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each class's likeliest neighbour in a sorted order, among REACH before it in its region."""
+    """Each class's neighbour with the longest common prefix in a sorted order (of equal ones the likeliest), among REACH
+    on each side in its region."""
     tail = None
     for batch in batches:
         region = batch.column(0).to_numpy()
-        ids, sig = batch.column(1).to_numpy(), _matrix(batch.column(2))
+        nodes, sig = batch.column(1).to_numpy(), _matrix(batch.column(2))
         if tail is not None:
-            region, ids, sig = np.concatenate([tail[0], region]), np.concatenate([tail[1], ids]), np.concatenate([tail[2], sig])
-        n = len(ids)
-        best, who = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for s in range(1, min(REACH, n - 1) + 1):
-            i = np.flatnonzero(region[s:] == region[:-s]) + s
-            if not len(i):
+            region, nodes, sig = np.concatenate([tail[0], region]), np.concatenate([tail[1], nodes]), np.concatenate([tail[2], sig])
+        n = len(nodes)
+        prefix = adjacent_prefixes(sig)
+        prefix[1:][region[1:] != region[:-1]] = 0
+        best, likely, who = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        run = prefix[1:]
+        for s in range(1, min(REACH, n - 1) + 1):  # run[k]: common prefix of rows k and k + s
+            if s > 1:
+                run = np.minimum(run[:-1], prefix[s:])
+            k = np.flatnonzero(run >= DEPTH)
+            if not len(k):
                 break
-            equal = (sig[i] == sig[i - s]).sum(axis=1)
-            for x, y in ((i, i - s), (i - s, i)):
-                more = equal > best[x]
-                best[x[more]], who[x[more]] = equal[more], ids[y[more]]
-        hit = np.flatnonzero(best >= LEAST_EQUAL)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(who[hit]), pa.array(best[hit])], ["a", "b", "equal"])
-        tail = (region[-REACH:], ids[-REACH:], sig[-REACH:])
+            equal = (sig[k + s] == sig[k]).sum(axis=1)
+            for x, y in ((k, k + s), (k + s, k)):
+                more = (equal >= LEAST_EQUAL) & ((run[k] > best[x]) | (run[k] == best[x]) & (equal > likely[x]))
+                x, y = x[more], y[more]
+                best[x], likely[x], who[x] = run[k[more]], equal[more], nodes[y]
+        hit = np.flatnonzero(best)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(who[hit]), pa.array(likely[hit])], ["a", "b", "equal"])
+        tail = (region[-REACH:], nodes[-REACH:], sig[-REACH:])
 
 
 def _candidates(table: pa.Table):
     """The rows of one block of a region, and for each guest those that may be linked with it: of another component,
     not ruled out by the estimate, and met in no earlier order, so that a pair is looked at once over all orders."""
-    sig, ids, comp = _matrix(table["sig"]), table["id"].to_numpy(), table["component"].to_numpy()
+    sig, ids, comp = _matrix(table["sig"]), table["node"].to_numpy(), table["component"].to_numpy()
     is_guest = table["guest"].to_numpy(zero_copy_only=False)
     guests, own = np.flatnonzero(is_guest), np.flatnonzero(~is_guest)
     order = int(table["region"][0].as_py()) & 31
@@ -216,8 +240,8 @@ def _confirm_across(similarity: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, sets in shingle_sets(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], ["id", "shingles"])
+        for _, sets in shingle_sets(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,65 +265,82 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: in
     """``id``, ``n_shingles``, ``component_id`` and ``kept`` (``id`` is the component's) for each row of ``docs``."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    rows = text_column(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "text")
-    signed = cut(rows.mapInArrow(_signatures, "id long, n_shingles long, set_key binary, sig binary"))
-    known = signed.where("id IS NOT NULL AND set_key IS NOT NULL")
-    classes = cut(known.groupBy("set_key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
-    # ids that stand with different sets join their classes
-    same = known.join(classes.select("set_key", F.col("id").alias("class")), "set_key").select(F.col("id").alias("a"), F.col("class").alias("b"))
-    reps = classes.groupBy("id").agg(F.min_by("sig", "set_key").alias("sig"))
-    regions = classes.select("id", "sig").mapInArrow(_regions, "region long, id long").distinct()
+    rows = text_column(docs.select(integer_id(docs, id).alias("id"), F.col(text).alias("text")), "text")
+    signed = cut(rows.mapInArrow(_signatures, "id long, n_shingles long, node long, sig binary"))
+    known = signed.where("id IS NOT NULL AND node IS NOT NULL")
+    classes = cut(known.groupBy("node").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
+    # the classes of one id are tied
+    held = known.select("id", "node").distinct()
+    several = held.groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    same = cut(held.join(several, "id").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    reps = classes.select("node", "sig")
+    regions = reps.mapInArrow(_regions, "region long, node long")
     crowded = regions.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(regions.join(crowded, "region").select("region", "id", "size"))
-    placed = members.join(reps, "id")
-    turned = placed.select("region", "id", "sig", F.expr(f"concat(substring(sig, cast((region & 31) * {DEPTH * 4} + 1 as int)), substring(sig, 1, cast((region & 31) * {DEPTH * 4} as int)))").alias("turn"))
-    near = turned.repartitionByRange(partitions(spark), "region", "turn").sortWithinPartitions("region", "turn").select("region", "id", "sig").mapInArrow(_neighbours, "a long, b long, equal long")
-    top = near.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("equal", "b")), asc=False), 1, PARTNERS).alias("top"))
+    members = cut(regions.join(crowded, "region").select("region", "node", "size"))
+    placed = members.join(reps, "node")
+    turned = placed.select("region", "node", F.expr(f"concat(substring(sig, cast((region & 31) * {DEPTH * 4} + 1 as int)), substring(sig, 1, cast((region & 31) * {DEPTH * 4} as int)))").alias("turn"))
+    near = turned.repartitionByRange(partitions(spark), "region", "turn").sortWithinPartitions("region", "turn").mapInArrow(_neighbours, "a long, b long, equal long")
+    top = near.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("equal", "b")), asc=False), 1, PARTNERS).alias("top"))  # one of each order at most
     pairs = top.select("a", F.explode("top.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        ids = cut(ids.distinct())
-        few = ids.count() <= BROADCAST_IDS  # else both sides are shuffled, whole texts among them
-        return cut(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles array<long>"))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """The shingles of each node, from a text of the class's smallest id."""
+        nodes = cut(nodes.distinct().join(classes.select("node", "id"), "node"))
+        few = nodes.count() <= BROADCAST_IDS  # else both sides are shuffled, whole texts among them
+        ids = nodes.select("id").distinct()
+        found = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").where("node IS NOT NULL")
+        return cut(found.dropDuplicates(["node"]))
 
     def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.withColumn("shared", shared).where(F.col("shared") * 100 >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
     pairs = cut(pairs)
     edges = cut(confirmed(pairs, sets_of(ends(pairs))).union(same))
     found = components(edges)
-    label = cut(members.join(found, members.id == found.node, "left").select("region", "id", "size", F.coalesce("component", "id").alias("component")))
+    label = cut(members.join(found, "node", "left").select("region", "node", "size", F.coalesce("component", "node").alias("component")))
     share = label.groupBy("region", "component").agg(F.count("*").alias("n"))
     mixed = share.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("guests"), F.count("*").alias("k")).where("k > 1").select("region", "largest", "guests")
     # a grid of blocks: own rows by guests, BLOCK of each at most
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    part = lambda n: F.pmod(F.xxhash64("id"), parts(n)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("node"), parts(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
     open_ = label.join(mixed, "region")
-    own = open_.select("region", part("size").alias("own_part"), every("guests").alias("guest_part"), "id", "component", "size", F.lit(False).alias("guest"))
-    guests = open_.where("component <> largest").select("region", every("size").alias("own_part"), part("guests").alias("guest_part"), "id", "component", "size", F.lit(True).alias("guest"))
+    own = open_.select("region", part("size").alias("own_part"), every("guests").alias("guest_part"), "node", "component", "size", F.lit(False).alias("guest"))
+    guests = open_.where("component <> largest").select("region", every("size").alias("own_part"), part("guests").alias("guest_part"), "node", "component", "size", F.lit(True).alias("guest"))
     grid = own.unionByName(guests)
 
     def blocks(some: DataFrame) -> DataFrame:
         return some.repartition(partitions(spark), "region", "own_part", "guest_part").sortWithinPartitions("region", "own_part", "guest_part")
 
-    more = blocks(grid.where(F.col("size") <= SMALL).join(reps, "id").drop("size")).mapInArrow(_across, "a long, b long").distinct()
+    more = blocks(grid.where(F.col("size") <= SMALL).join(reps, "node").drop("size")).mapInArrow(_across, "a long, b long").distinct()
     more = cut(more)
     large = cut(grid.where(F.col("size") > SMALL).drop("size"))
-    sets = sets_of(large.select("id").union(ends(more)))
-    direct = blocks(large.join(reps, "id").join(sets, "id")).mapInArrow(_confirm_across(similarity), "a long, b long")
-    found = cut(components(cut(found.union(confirmed(more, sets)).union(direct).toDF("a", "b"))))
-    of_set = classes.join(found, classes.id == found.node, "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    out = signed.join(of_set, "set_key", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    sets = sets_of(large.select("node").union(ends(more)))
+    direct = blocks(large.join(reps, "node").join(sets, "node")).mapInArrow(_confirm_across(similarity), "a long, b long")
+    found = components(cut(found.union(confirmed(more, sets)).union(direct).toDF("a", "b")))
+    placed = cut(classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")))
+    smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_node = placed.join(smallest, "component").select("node", "component_id")
+    out = signed.join(of_node, "node", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id)
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows whose component holds a smaller id (a null id stays)."""
-    gone = link(docs, id, text, similarity).where("not kept").select(id).distinct()
-    return docs.join(gone, id, "left_anti")
+    """``docs`` without the rows whose component holds a smaller id.  Of rows with one id, one stays, that with the least
+    text (and the least hash of its other columns); rows with a null id all stay."""
+    gone = link(docs, id, text, similarity).where("not kept").select(F.col(id).alias("gone")).distinct()
+    own = F.col(f"`{id}`")
+    left = docs.join(gone, own.cast("long") == F.col("gone"), "left_anti")
+    twice = cut(docs.where(own.isNotNull()).groupBy(own.alias("twice")).count().where("count > 1").select("twice"))
+    if twice.isEmpty():
+        return left
+    repeated = left.join(twice, own == F.col("twice"), "left_semi")
+    names = [f"`{c}`" for c in docs.columns]
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != text and not isinstance(f.dataType, MapType)]
+    one = repeated.groupBy(own.alias("twice")).agg(F.min_by(F.struct(*names), F.struct(F.col(f"`{text}`"), F.xxhash64(*others))).alias("row"))
+    return left.join(twice, own == F.col("twice"), "left_anti").unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
