@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .bpe import Codec
+from .common import arrow_batches, cut, slices
 
 CAPACITY = 4096
 #: Documents in a block, and bins in a run.
@@ -139,18 +140,15 @@ def pack(sized: DataFrame, id: str = "doc_id", size: str = "n_tokens", source: s
 def sized(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``id``, ``n_tokens``, ``source`` and ``cluster`` (SHA-256 of the text with A-Z lower-cased and white space
     collapsed) of each row.  Long texts are counted by their own task; nothing is shuffled."""
-    from .bpe import Codec
-    from .common import arrow_batches
-
     arrow_batches(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches):
         codec = Codec.of(tokenizer)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            n = [len(x) // 4 for k in range(0, len(texts), 64) for x in codec.encode(texts[k : k + 64])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(1), batch.column(3)], [id, "n_tokens", "source", "cluster"])
+            for i, j, raw, off in slices(batch.column(2)):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codec.count_slice(raw, off), pa.int64()), part.column(1), part.column(3)], [id, "n_tokens", "source", "cluster"])
 
     text_ = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id).alias(id), F.col(source).cast("string").alias("source"), text_.alias("text"))
