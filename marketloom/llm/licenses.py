@@ -3,15 +3,18 @@
 Texts become words (A-Z lower-cased; words of ASCII letters, digits and non-ASCII characters) joined by single spaces.
 Base phrases are found where their words stand consecutively.  Longer notices are found with errors: a notice that
 may have k errors is split into k + 1 seeds, one of which must stand unchanged (pigeonhole); an Aho-Corasick automaton
-finds seeds, and the regex library's bounded-error matching checks the text around each and reports the span.
-Numbers, and words that tell licenses apart, must stand unchanged in the span.
+finds seeds, and the regex library's bounded-error matching checks the text around each, never past the ends of the
+seed's own text, and reports the span.  Numbers, and words that tell licenses apart, must stand unchanged in the span.
 
-Nulls and empty texts have no words and no labels.  Repeated rows each keep a row; only the id and text columns
-are read.
+Nulls and empty texts have no words and no labels.  Repeated rows each keep a row, an empty table gives no rows, and
+of two notices on one span (a tie) both are reported.  A text's labels hang on that text alone, whatever stands beside
+it, and texts of any length are read whole.  Only the id (of any type) and text columns are read, so further columns may
+have any name.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,17 @@ NOTICES = (
     ("licensed under the gnu general public license version 2", "gpl-2", 5, ()),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 7, ()),
     ("mozilla public license version 2 0", "mpl-2", 3, ()),
+    ("licensed under the gnu lesser general public license version 3", "lgpl-3", 5, ("lesser",)),
+    ("licensed under the gnu lesser general public license version 2 1", "lgpl-2.1", 5, ("lesser",)),
+    ("licensed under the gnu affero general public license version 3", "agpl-3", 5, ("affero",)),
+    ("the software is provided as is without warranty of any kind express or implied", "mit", 6, ()),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse", "bsd", 7, ()),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", 6, ()),
+    ("distributed under the boost software license version 1 0", "bsl-1", 4, ("boost",)),
+    ("eclipse public license version 2 0", "epl-2", 3, ("eclipse",)),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 6, ()),
+    ("creative commons attribution sharealike 4 0 international", "cc-by-sa", 5, ("sharealike",)),
+    ("cc0 1 0 universal public domain dedication", "cc0", 3, ("cc0",)),
 )
 _BREAKS = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
@@ -61,21 +75,25 @@ class Scanner:
             self.machine.add_word(key, (len(key), value))
         self.machine.make_automaton()
 
-    def scan(self, text: str) -> list[tuple[str, int, int, int, bool]]:
-        """(label, first character, end, errors, base?) of each place in `` words ... `` text."""
+    def scan(self, text: str, bounds: list[int] | None = None) -> list[tuple[str, int, int, int, float, bool]]:
+        """(label, first character, end, errors, right share of the notice, base?) of each place in `` words ... `` text.
+        ``bounds``: where texts start and the last ends, if several stand one after the other."""
+        bounds = bounds or [0, len(text)]
         out, tried = [], set()
         for end, (size, entries) in self.machine.iter(text):
             start = end - size + 1
             for kind, x, y in entries:
                 if kind == "phrase":
-                    out.append((y, start + 1, end, 0, True))
+                    out.append((y, start + 1, end, 0, 1.0, True))
                     continue
                 notice, label, errors, keep, pattern = self.notices[x]
-                lo = max(0, start - y - errors)
-                if (x, lo) in tried:
+                if (x, start - y) in tried:
                     continue
-                tried.add((x, lo))
-                m = pattern.search(text, lo, min(len(text), start - y + len(notice) + errors))
+                tried.add((x, start - y))
+                k = bisect_right(bounds, start) - 1
+                if end >= bounds[k + 1]:
+                    continue  # the seed itself goes over the end of a text
+                m = pattern.search(text, max(bounds[k], start - y - errors), min(bounds[k + 1], start - y + len(notice) + errors))
                 if m:
                     a, b = m.span()
                     a, b = a + (text[a] == " "), b - (text[b - 1] == " ")
@@ -83,7 +101,8 @@ class Scanner:
                     own = text[lo : hi if hi >= 0 else len(text)].split()
                     rest = iter(own)
                     if all(w in rest for w in keep) and all(w in keep for w in own if w.isdigit()):
-                        out.append((label, lo, hi if hi >= 0 else len(text), sum(m.fuzzy_counts), False))
+                        wrong = sum(m.fuzzy_counts)
+                        out.append((label, lo, hi if hi >= 0 else len(text), wrong, max(0.0, 1 - wrong / len(notice)), False))
         return out
 
 
@@ -97,9 +116,6 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: dict[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, notices)
-        longest = {}
-        for notice, label, *_ in notices:
-            longest[label] = max(longest.get(label, 1), len(notice))
         for batch in batches:
             for i, j, raw, off in slices(batch.column(1)):
                 low = LOWER[raw]
@@ -115,12 +131,12 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: dict[
                 step = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 joined[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = low[step]
                 found: list[list] = [[] for _ in range(n)]
-                for label, a, b, errors, base in set(scanner.scan(joined.tobytes().decode("latin-1"))):
+                zero = np.cumsum(count) - count
+                bounds = [*(at[zero[count > 0]] - 1).tolist(), len(joined)]  # the space before each text's first word
+                for label, a, b, errors, right, base in set(scanner.scan(joined.tobytes().decode("latin-1"), bounds)) if len(at) else ():
                     w, v = int(np.searchsorted(at, a, side="right")) - 1, int(np.searchsorted(at, b, side="left"))
-                    if w >= 0 and v > w and doc[w] == doc[v - 1]:
-                        d = int(doc[w])
-                        zero = int(count[:d].sum())
-                        found[d].append({"label": label, "first_word": w - zero, "end_word": v - zero, "errors": errors, "right": max(0.0, 1 - errors / longest.get(label, 20)), "base": base})
+                    d = int(doc[w])
+                    found[d].append({"label": label, "first_word": w - int(zero[d]), "end_word": v - int(zero[d]), "errors": errors, "right": right, "base": base})
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(count, pa.int64()), pa.array([sorted(f, key=lambda p: (p["first_word"], p["label"], p["end_word"], p["errors"])) for f in found], pa.list_(place))], ["id", "n_words", "places"])
 
     rows = text_column(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text")
