@@ -11,11 +11,15 @@ SAMPLE = 6000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, allowed, id: str = "doc_id", text: str = "text", most: int = SAMPLE) -> DataFrame:
-    """``id``, ``text``, ``label`` of at most ``most`` labelled rows; ``allowed`` is a condition on ``id``."""
+    """``id``, ``text``, ``label`` of the rows of at most ``most`` labelled ids; ``allowed`` is a condition on ``id``.  Ids
+    with two labels are left out; an id that stands with two texts gives a row for each."""
     picked = (
         labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label"))
         .where(allowed(F.col("id")) & F.col("label").isin(0, 1))
-        .dropDuplicates(["id"])
+        .groupBy("id")
+        .agg(F.min("label").alias("label"), F.max("label").alias("other"))
+        .where("label = other")
+        .drop("other")
         .orderBy(F.xxhash64("id"), "id")
         .limit(most)
     )

@@ -6,11 +6,13 @@ Base counts over words ``[^\\x20\\x09-\\x0D]+`` of the whole text: ``n_words``,
 than half of them repeated.
 
 The model is a logistic regression on hashed word unigrams and bigrams and byte trigrams and 5-grams, as shares of
-the text, trained on a bounded sample of labelled rows (``logit.SAMPLE``), calibrated on a fifth that the weights did
-not see.  ``kept`` is false if ``base_failed``, else whether the probability reaches ``threshold``.
+the text, trained on a bounded sample of labelled rows (``SAMPLE``), calibrated on a fifth that the weights did
+not see.  ``kept`` is false if ``base_failed``, else whether the probability reaches ``threshold`` (a tie is kept).
 
 Nulls and empty texts have no words, fail the base rules and score the model's bias.  Without labels of both
-kinds the model is not fitted and scores 1, so the base rules decide.  Rows with a null id are scored like others.
+kinds the model is not fitted and scores 1, so the base rules decide.  Ids with two labels are not learned from.  Rows
+with a null id are scored like others, repeated rows get equal scores, an empty table gives no rows.  Texts of any length
+are read whole.  Ids may be of any type, and further columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,15 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import logit
-from .common import LOWER, SPACES, arrow_batches, mix, prefix_sums, slices, span_hashes, text_column, words
+from .common import LOWER, SLICE_BYTES, SPACES, arrow_batches, mix, prefix_sums, slices, span_hashes, text_column, words
 
 #: Hash buckets of each kind of n-gram.
 WORD_SPACE, GRAM_SPACE = 2048, 2048
 THRESHOLD = 0.5
+#: Labelled rows that the model is fitted on at most, its ridge, and the steps of the fit.
+SAMPLE, RIDGE, STEPS = 4000, 0.01, 40
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _LINE_END = np.zeros(256, bool)
@@ -107,31 +113,33 @@ SPACE = WORD_SPACE + GRAM_SPACE
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A dense feature vector of fixed size for each sampled text."""
+    """``label``, ``held`` and a feature array of fixed size for each sampled text."""
     for batch in batches:
-        for i, j, raw, off in slices(batch.column(0)):
+        for i, j, raw, off in slices(batch.column(0), SLICE_BYTES // 4):
             x = np.zeros((j - i) * SPACE, np.float64)
             for bucket, doc, share in features(raw, off, base_counts(raw, off)):
                 x += np.bincount(doc * SPACE + bucket, share, minlength=len(x))
-            x = x.reshape(j - i, SPACE).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
-
-
-def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 4000) -> tuple[np.ndarray, float, float, float] | None:
-    """Weights, bias, slope and shift of the model; None where a kind of label is missing."""
-    rows = logit.sample(docs, labels, label, lambda c: c.isNotNull(), id, text, sample).select("text", "label")
-    got = rows.mapInArrow(_vectors, "label int, x binary").collect()
-    y = np.array([r.label for r in got], float)
-    if len(set(y.tolist())) < 2:
-        return None
-    x = np.frombuffer(b"".join(r.x for r in got), "<f4").reshape(len(y), SPACE)
-    scale = np.sqrt((x * x).mean(axis=0) + 1e-8)
-    x = x / scale / np.sqrt(SPACE) * 8
-    held = np.arange(len(y)) % 5 == 0
-    w = logit.fit(x[~held], y[~held])
-    z = x @ w[:-1].astype(np.float32) + w[-1]
-    slope, shift = logit.platt(z[held], y[held])
-    return w[:-1] / scale / np.sqrt(SPACE) * 8, float(w[-1]), slope, shift
+            offsets = pa.array(np.arange(0, len(x) + 1, SPACE, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.float32)))], ["label", "held", "x"])
+
+
+def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float, float, float] | None:
+    """Weights, bias, slope and shift of the model; None where a kind of label is missing.  The weights are fitted by
+    Spark over the sample's partitions; a fifth of the sample, chosen by a hash of the id, calibrates them."""
+    rows = logit.sample(docs, labels, label, lambda c: c.isNotNull(), id, text, sample)
+    rows = rows.select("text", "label", (F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 0).alias("held"))
+    rows = rows.mapInArrow(_vectors, "label int, held boolean, x array<float>").persist()
+    try:
+        kinds = {(r.label, r.held) for r in rows.select("label", "held").distinct().collect()}
+        if len({k for k, held in kinds if not held}) < 2:
+            return None
+        data = rows.select(F.col("label").cast("double").alias("label"), "held", array_to_vector("x").alias("features"))
+        fitted = LogisticRegression(regParam=RIDGE, elasticNetParam=0.0, maxIter=STEPS).fit(data.where("not held").select("label", "features"))
+        held = fitted.transform(data.where("held")).select("label", vector_to_array("rawPrediction")[1].alias("z")).collect()  # a fifth of the sample, two numbers a row
+    finally:
+        rows.unpersist()
+    slope, shift = logit.platt(np.array([r.z for r in held]), np.array([r.label for r in held]))
+    return fitted.coefficients.toArray(), float(fitted.intercept), slope, shift
 
 
 def score(docs: DataFrame, model: tuple | None, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -4,8 +4,11 @@ Shallow trees are grown on a bounded labelled sample; every path to a node becom
 statistics; a lasso logistic regression keeps few of them; the kept rules are compiled into one Spark column
 expression, so scoring is an expression over the statistics' columns.
 
-Nulls and empty texts have statistics of 0.  Without labels of both kinds the score is the share of label 1 in the
-sample (0.5 if it is empty).  Rows with a null id are scored like others; repeated rows get equal scores.
+Nulls and empty texts have statistics of 0.  Without labels of both kinds, or where no split tells the rows apart (equal
+texts, say), the score is the share of label 1 in the sample (0.5 if it is empty).  Ids with two labels are not learned
+from.  Rows with a null id are scored like others; repeated rows and ties get equal scores; an empty table gives no rows.
+Texts of any length are read whole.  Only the id (of any type) and text columns are read, so further columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -103,6 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     data = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(rows.withColumn("label", F.col("label").cast("double")))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=TREE_DEPTH, maxBins=64, minInstancesPerNode=3, seed=11, featureSubsetStrategy="onethird").fit(data)
     rules = paths(forest)
+    if not rules:
+        return F.lit(float(good) / total)
     hits = rows.select(F.col("label").cast("double").alias("label"), array_to_vector(F.array(*[condition(r).cast("double") for r in rules])).alias("features"))
     model = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False).fit(hits)
     z = F.lit(float(model.intercept))
