@@ -35,6 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more (a loop leaves many behind)."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches small where texts are long; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,17 +1,26 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with Spark functions only.
 
 A paragraph is a line with a visible character, or a piece of one.  Every line, of whatever size, is also cut at its
-sentence ends, and every sentence into pieces of at most 96 code points: after a word of a class of last letters past 32
-code points, else at the last white space, else at 96.  The cuts hang on what stands there, not on the size of the text,
-so an edited text keeps the digests of what it keeps.  A digest (64 bits) goes into one cell of each of three parts
-of a sketch; a cell holds a count, the XOR of its digests and the XOR of their checks.  The difference of two sketches
-holds the differing digests alone; peeling takes a digest from each cell that holds just one, until the cells are
-empty.  Texts are compared by a sketch in blocks: digests are dealt by hash into blocks of about BLOCK, as many as the
-digests need, and each block is peeled on its own.  If cells stay, a larger sketch of the block is tried; past the
-largest (so that failing is a matter of chance) the digests of the block are compared.  Likeness: shared / all digests.
-
-Nulls are empty texts.  Texts without paragraphs are alike (1), and unlike any other (0).  Equal texts have equal
-fingerprints.
+sentence ends, and every sentence into pieces of at most 192 code points: after a word of a class of last letters past 64
+code points, else at the last white space, else at 192.  The cuts hang on what stands there, not on the size of the text,
+so an edited text keeps the digests of what it keeps.
+
+A digest (64 bits) goes into one cell of each of three parts of a sketch; a cell holds a count, the XOR of its digests and
+the XOR of their checks.  The difference of two sketches holds the differing digests alone; peeling takes a digest from
+each cell that holds just one, until the cells are empty.
+
+The fingerprint is a sketch as text, with a cell in each part for every DIGESTS digests, so it is small and two versions
+that differ little can be compared by their fingerprints alone (``difference``; a wider one is folded to the narrower).
+``compare`` knows both texts, so it begins with a sketch of the size that their digest counts let expect to do, and rows
+whose cells stay are tried again with a larger one, up to TRIES times; what stays then counts as the least that it can
+hold.  Cells are rows of an aggregation, and only those that hold something are rows, so a wide sketch costs no more than
+a narrow one.  All steps of a row are done where its id range stands: one shuffle of the texts, none for the sketches.
+Likeness: shared / all digests, from the sizes of both and the number of digests that differ.
+
+Nulls are empty texts.  Texts without paragraphs are alike (1), and unlike any other (0).  Equal texts (ties) have equal
+fingerprints.  Repeated rows and equal ids follow each other in text order, null ids come last, and an empty table gives no
+rows.  Ids must be whole numbers (others are refused).  Only the id and text columns are read, so further columns may have
+any name; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -19,100 +28,120 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import cut, integer_id, partitions, text_column
 
-#: Cells of each of the three parts of the stored sketch, and of those tried in turn for a block.
-PART, TRIES = 8, (8, 16, 64)
-ROUNDS = 24
-#: Digests of both texts in a block.
-BLOCK = 16
+#: Digests for each cell of a part of a fingerprint, and its least cells; cells of a part for each digest in a comparison,
+#: their least and most, and how much wider the next try is.
+DIGESTS, LEAST_CELLS = 8, 8
+WIDER, FIRST_CELLS, MOST_CELLS, NEXT = 16, 1 << 10, 1 << 20, 16
+#: Tries of a comparison, and turns over the three parts in each.
+TRIES, TURNS = 2, 3
+#: Rows of an id range.
+RANGE = 1000
 #: Least and most code points of a piece that is cut inside a sentence.
-LEAST, MOST = 32, 96
+LEAST, MOST = 64, 192
 PIECE = f"(?s).{{{LEAST - 1},{MOST - 1}}}?[aeiout,;:](?= )|.{{1,{MOST}}}(?![^ ])|.{{1,{MOST}}}"
 
 
 def digests(text: str) -> str:
-    """SQL: the sorted distinct paragraph digests of a text column."""
+    """SQL: the distinct paragraph digests of a text column."""
     lines = f"split({text}, '\\n')"
     pieces = f"flatten(transform(split(l, '(?<=[.!?]) +'), s -> regexp_extract_all(s, '{PIECE}', 0)))"
     parts = f"flatten(transform({lines}, l -> concat(array(l), {pieces})))"
-    return f"array_sort(array_distinct(transform(filter({parts}, p -> trim(p) <> ''), p -> xxhash64(trim(p)))))"
+    return f"array_distinct(transform(filter(transform({parts}, p -> trim(p)), p -> p <> ''), p -> xxhash64(p)))"
 
 
-def _place(key: str, part: str, size: int) -> str:
-    return f"pmod(shiftrightunsigned({key}, 17 * {part}), {size}L)"
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``value``, which is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def sketch(keys: str, size: int) -> str:
-    """SQL: the cells of a sketch, part by part."""
-    inside = f"filter({keys}, k -> {_place('k', 'cast(div_floor as int)', size)} = at)".replace("cast(div_floor as int)", f"cast(floor(i / {size}) as int)").replace("= at", f"= i % {size}")
-    cell = f"aggregate({inside}, named_struct('n', 0L, 'k', 0L, 'h', 0L), (c, k) -> named_struct('n', c.n + 1L, 'k', c.k ^ k, 'h', c.h ^ xxhash64(k)))"
-    return f"transform(sequence(0L, {3 * size - 1}L), i -> {cell})"
+def width(n: str, least: int = LEAST_CELLS, most: int = MOST_CELLS) -> str:
+    """SQL: the least power of two that reaches ``n``, between two limits."""
+    return f"shiftleft(1L, least({most.bit_length() - 1}, greatest({least.bit_length() - 1}, coalesce(cast(ceil(log2({n})) as int), 0))))"
 
 
-def difference(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
+def _place(key: str, part: str, size: str) -> str:
+    return f"shiftright({key}, 20 * {part}) & ({size} - 1L)"
 
 
-def _peeled(cells: str, size: int) -> str:
-    """SQL: how many digests differ, or null if peeling stops early."""
-    pure = "transform(filter(s.cells, c -> abs(c.n) = 1 AND c.h = xxhash64(c.k)), c -> named_struct('k', c.k, 'n', c.n))"
-    hit = f"filter(pure, x -> {_place('x.k', f'cast(floor(i / {size}) as int)', size)} = i % {size})"
-    less = f"transform(s.cells, (c, i) -> aggregate({hit}, c, (d, x) -> named_struct('n', d.n - x.n, 'k', d.k ^ x.k, 'h', d.h ^ xxhash64(x.k))))"
-    step = f"transform(array(array_distinct({pure})), pure -> named_struct('cells', {less}, 'n', s.n + size(pure), 'on', size(pure) > 0))[0]"
-    state = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'n', 0, 'on', true), (s, r) -> CASE WHEN s.on THEN {step} ELSE s END)"
-    return f"transform(array({state}), s -> CASE WHEN exists(s.cells, c -> c.n <> 0 OR c.k <> 0 OR c.h <> 0) THEN NULL ELSE s.n END)[0]"
+def _cells(rows: DataFrame) -> DataFrame:
+    """What each cell holds, from contributions; empty cells vanish."""
+    held = rows.groupBy("bucket", "place", "sketch", "part", "cell").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"), F.max("size").alias("size"))
+    return held.where("n <> 0 OR k <> 0 OR h <> 0")
 
 
-def differing(a: str, b: str, exact: bool = True) -> str:
-    """SQL: how many digests stand in one of two arrays only, through their sketches in blocks.  Without ``exact``: null
-    where peeling alone does not tell."""
-    tries = [f"CASE WHEN {3 * s} >= abs(size(u) - size(v)) THEN {_peeled(difference(sketch('u', s), sketch('v', s)), s)} END" for s in TRIES]
-    last = ["size(array_except(u, v)) + size(array_except(v, u))"] if exact else []
-    block = f"CASE WHEN u = v THEN 0 ELSE coalesce({', '.join([*tries, *last])}) END"
-    # two levels of dealing, each by bits that place no digest inside a small sketch, so a text costs n * sqrt(n)
-    deal = lambda x, bits: f"transform(sequence(0, w - 1), j -> filter({x}, k -> pmod(shiftrightunsigned(k, {bits}), w) = j))"
-    total = lambda x: f"aggregate({x}, 0, (x, y) -> x + y)"
-    inner = total(f"zip_with({deal('f', 24)}, {deal('g', 24)}, (u, v) -> {block})")
-    wide = f"greatest(1, cast(ceil(sqrt((size({a}) + size({b})) / {BLOCK})) as int))"
-    return f"transform(array({wide}), w -> {total(f'zip_with({deal(a, 51)}, {deal(b, 51)}, (f, g) -> {inner})')})[0]"
+#: Sketches of a row: the differences to the edited text and to the next text, the stored ones of both texts, plain facts.
+EDIT, STEP, OWN, OTHER, FACTS = range(5)
+_ROW = "named_struct('sketch', {0}, 'part', {1}, 'cell', {2}, 'n', {3}, 'k', {4}, 'h', {5}, 'size', {6})"
 
 
-def likeness(a: str, b: str) -> str:
-    """SQL: shared / all digests of two digest arrays, through their sketches."""
-    total = f"(size({a}) + size({b}))"
-    n = f"CASE WHEN {a} = {b} THEN 0 ELSE {differing(a, b)} END"
-    return f"transform(array(cast({n} as double)), d -> CASE WHEN {total} = 0 THEN 1D ELSE greatest(0D, ({total} - d) / ({total} + d)) END)[0]"
+def _sizes(wider: int) -> str:
+    """SQL: the cells in a part of each sketch of a row."""
+    pair = lambda other: width(f"{wider} * greatest(size(own), size({other}))", FIRST_CELLS)
+    return f"named_struct('e', {pair('other')}, 's', {pair('following')}, 'o', {width(f'size(own) / {DIGESTS}')}, 't', {width(f'size(other) / {DIGESTS}')})"
 
 
-def fingerprint(keys: str) -> str:
-    """SQL: the stored sketch as text."""
-    cells = f"transform({sketch(keys, PART)}, c -> concat(hex(c.n), '.', hex(c.k)))"
-    return f"concat(cast(size({keys}) as string), ':', sha2(concat_ws(',', {keys}), 256), ':', array_join({cells}, ','))"
+def _lists() -> str:
+    """SQL: the digests of each sketch of a row, one array after the other."""
+    of = [("own", EDIT, 1, "e"), ("other", EDIT, -1, "e"), ("own", STEP, 1, "s"), ("following", STEP, -1, "s"), ("own", OWN, 1, "o"), ("other", OTHER, 1, "t")]
+    return ", ".join(f"transform({keys}, k -> {_ROW.format(sketch, 0, '0L', f'{n}L', 'k', '0L', f'sizes.{size}')})" for keys, sketch, n, size in of)
+
+
+def peeled(cells: DataFrame, turns: int = TURNS, keep: bool = False) -> DataFrame:
+    """The cells after peeling, part by part (a digest has one cell in a part, so it is taken once), with a row of part 3 for
+    the digests taken of each side, or for each digest where ``keep`` (``k``, and ``n``: 1 or -1)."""
+    for turn in range(3 * turns):
+        p = turn % 3
+        q, r = [x for x in range(3) if x != p]
+        side = _ROW.format("sketch", "3", "k" if keep else "n", "n" if keep else "1L", "k" if keep else "0L", "0L", "size")
+        taken = [_ROW.format("sketch", str(x), _place("k", str(x), "size"), "-n", "k", "h", "size") for x in (q, r)]
+        stays = _ROW.format("sketch", "part", "cell", "n", "k", "h", "size")
+        pure = f"sketch <= {STEP} AND part = {p} AND abs(n) = 1 AND h = xxhash64(k)"
+        moved = cells.select("bucket", "place", F.expr(f"explode(CASE WHEN {pure} THEN array({side}, {', '.join(taken)}) ELSE array({stays}) END)").alias("x")).select("bucket", "place", "x.*")
+        cells = _cells(moved)
+    return cells
+
+
+def stored(text: str) -> str:
+    """SQL: the cells of a fingerprint: a map from place (part * size + cell) to count, digests and checks."""
+    number = lambda at: f"cast(conv(split(c, '[.]')[{at}], 16, -10) as bigint)"
+    cell = f"named_struct('key', cast(split(c, '[.]')[0] as bigint), 'value', named_struct('n', cast(split(c, '[.]')[1] as bigint), 'k', {number(2)}, 'h', {number(3)}))"
+    return f"map_from_entries(transform(filter(split(split({text}, ':')[2], ','), c -> c <> ''), c -> {cell}))"
+
+
+def difference(pairs: DataFrame, a: str = "fingerprint", b: str = "edited_fingerprint") -> DataFrame:
+    """From pairs of fingerprints alone: ``row`` (a number of the pair), ``k`` and ``n``: each digest that peeling recovers,
+    1 if the first has it, -1 if the second; ``n`` is null, and ``k`` too, for what can't be peeled."""
+    numbered = pairs.select(F.monotonically_increasing_id().alias("place"), F.expr("0").alias("bucket"), F.col(a).alias("a"), F.col(b).alias("b"))
+    sized = numbered.withColumn("size", F.expr("least(cast(split(a, ':')[1] as bigint), cast(split(b, ':')[1] as bigint))"))
+    side = lambda f, sign: sized.select("bucket", "place", F.expr(f"cast(split({f}, ':')[1] as bigint)").alias("own"), "size", F.expr(f"explode({stored(f)})").alias("at", "c")).select("bucket", "place", F.lit(EDIT).alias("sketch"), F.expr("cast(at div own as int)").alias("part"), F.expr("at % own & (size - 1L)").alias("cell"), (F.col("c.n") * sign).alias("n"), "c.k", "c.h", "size")
+    left = peeled(_cells(side("a", 1).unionByName(side("b", -1))), keep=True)
+    return left.select(F.col("place").alias("row"), F.expr("CASE WHEN part = 3 THEN k END").alias("k"), F.expr("CASE WHEN part = 3 THEN n END").alias("n"))
 
 
 def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """``id``, ``text``, ``n_chars``, and the text of the next document in descending id order (after the last: the
-    first).  Rows are dealt by id range, so a window never holds all; the text after the last of a range comes by an
+    """``bucket`` and ``place`` (which tell rows apart), ``id``, ``text``, ``n_chars``, digests (``keys``), and text and digests of the next document in descending id order
+    (after the last: the first).  Rows are dealt by id range, so a window never holds all; the text after the last of a range comes by an
     equi-join.  Repeated ids follow each other in descending text order; null ids come last."""
-    rows = text_column(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "text")
+    rows = text_column(docs.select(integer_id(docs, id).alias("id"), F.col(text).alias("text")), "text")
     spread = rows.agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).first()
     n, lo, hi = spread.n, spread.lo or 0, spread.hi or 0
-    buckets = buckets or max(1, -(-n // 2000))
+    buckets = buckets or max(1, -(-n // RANGE))
     bounds = rows.agg(F.percentile_approx("id", [(k + 1) / buckets for k in range(min(buckets, 512) - 1)], 100_000)).first()[0] if 1 < buckets <= 512 else None
     if bounds:
         at = F.aggregate(F.array(*[F.lit(b) for b in sorted(set(bounds))]), F.lit(0), lambda s, b: s + F.when(F.col("id") > b, 1).otherwise(0))
     else:  # too many ranges to list: equal widths
         at = F.floor((F.col("id") - F.lit(lo)) / F.lit(max(1, -(-(hi - lo + 1) // buckets)))).cast("int")
-    rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(at))
+    rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(at)).repartition(max(partitions(docs.sparkSession), -(-buckets // 2)), "bucket").withColumn("keys", F.expr(digests("text")))
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("id"), F.desc("text"))
-    placed = rows.withColumn("following", F.lead("text").over(order)).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
-    highest = rows.groupBy("bucket").agg(F.max("id").alias("top"))  # one row for each range
-    tops = rows.join(highest, "bucket").where(F.col("id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.max("text").alias("head"))
+    placed = rows.withColumn("following", F.lead(F.struct("text", "keys")).over(order)).withColumn("place", F.row_number().over(order))
+    tops = placed.where("place = 1").select(F.col("bucket").alias("next"), F.col("text").alias("head"))  # the same shuffle, read again
     # one row for each range, ids only
     ring = rows.groupBy("bucket").agg(F.lit(1).alias("one")).select("bucket", F.coalesce(F.lead("bucket").over(Window.orderBy(F.desc("bucket"))), F.max("bucket").over(Window.partitionBy())).alias("next"))
-    heads = ring.join(tops.select(F.col("bucket").alias("next"), "head"), "next").select("bucket", "head")
-    return placed.join(heads, "bucket").select("id", "text", F.length("text").alias("n_chars"), F.when(F.col("last"), F.col("head")).otherwise(F.col("following")).alias("next_text"))
+    heads = ring.join(tops, "next").select("bucket", "head")
+    both = placed.join(heads, "bucket")
+    return both.select("bucket", "place", "id", "text", F.length("text").alias("n_chars"), "keys", F.expr("CASE WHEN following IS NULL THEN head ELSE following.text END").alias("next_text"), F.expr(f"CASE WHEN following IS NULL THEN {digests('head')} ELSE following.keys END").alias("next_keys"))
 
 
 def edited(text: str = "text", n: str = "n_chars", following: str = "next_text") -> str:
@@ -121,8 +150,45 @@ def edited(text: str = "text", n: str = "n_chars", following: str = "next_text")
     return f"concat(substring({text}, 1, cast({n} as int) - {half}), substring({following}, 1, {half}))"
 
 
-def compare(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``."""
+def compare(docs: DataFrame, id: str = "doc_id", text: str = "text", recovered: bool = False) -> DataFrame:
+    """``id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``; with
+    ``recovered`` also ``lost`` and ``gained``, the digests that peeling finds in the text alone and in the edited text
+    alone."""
     rows = with_next(docs, id, text).withColumn("edited", F.expr(edited()))
-    keyed = rows.select("id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.expr(digests("text")).alias("own"), F.expr(digests("edited")).alias("other"), F.expr(digests("next_text")).alias("following"))
-    return keyed.select(F.col("id").alias(id), "n_chars", "edited_sha256", F.expr(fingerprint("own")).alias("fingerprint"), F.expr(fingerprint("other")).alias("edited_fingerprint"), F.expr(likeness("own", "other")).alias("near_edited"), F.expr(likeness("own", "following")).alias("near_next"))
+    keyed = rows.select("bucket", "place", "id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("keys").alias("own"), F.expr(digests("edited")).alias("other"), F.col("next_keys").alias("following"))
+    # the facts of a row travel as numbers beside its cells, so that the texts are gone through once
+    word = lambda k: f"cast(conv(substring(edited_sha256, {16 * k + 1}, 16), 16, -10) as bigint)"
+    facts = [_ROW.format(FACTS, 0, "0L", "CASE WHEN id IS NULL THEN 2L ELSE 1L END", "coalesce(id, 0L)", "n_chars", "0L"), _ROW.format(FACTS, 1, "cast(size(own) as bigint)", "1L", word(0), word(1), "cast(size(other) as bigint)"), _ROW.format(FACTS, 2, "cast(size(following) as bigint)", "1L", word(2), word(3), "0L")]
+
+    def run(some: DataFrame, wider: int) -> DataFrame:
+        sizes, lists = _sizes(wider), _lists()
+        single = some.withColumn("sizes", F.expr(sizes)).select("bucket", "place", F.expr(f"explode(concat(array({', '.join(facts)}), {lists}))").alias("d")).select("bucket", "place", "d.*")
+        parts = ", ".join(_ROW.format("sketch", p, _place("k", str(p), "size"), "n", "k", "xxhash64(k)", "size") for p in range(3))
+        every = single.select("bucket", "place", F.expr(f"explode(CASE WHEN sketch = {FACTS} THEN array({_ROW.format('sketch', 'part', 'cell', 'n', 'k', 'h', 'size')}) ELSE array({parts}) END)").alias("d")).select("bucket", "place", "d.*")
+        return peeled(_cells(every), keep=recovered)
+
+    def whole(cells: DataFrame) -> DataFrame:
+        pick = lambda what, of: F.max(F.expr(f"CASE WHEN sketch = {FACTS} AND part = {of} THEN {what} END"))
+        taken = lambda s: F.coalesce(F.sum(F.expr(f"CASE WHEN sketch = {s} AND part = 3 THEN abs(n) END")), F.lit(0))
+        stuck = lambda s: F.coalesce(F.sum(F.expr(f"CASE WHEN sketch = {s} AND part = 0 THEN greatest(abs(n), 2L) END")), F.lit(0))
+        cell = lambda s: F.collect_list(F.expr(f"CASE WHEN sketch = {s} THEN named_struct('at', part * size + cell, 'size', size, 'n', n, 'k', k, 'h', h) END"))
+        digest = lambda n: F.collect_list(F.expr(f"CASE WHEN sketch = {EDIT} AND part = 3 AND n = {n} THEN k END"))
+        more = [digest(1).alias("lost"), digest(-1).alias("gained")] if recovered else []
+        return cells.groupBy("bucket", "place").agg(
+            pick("CASE WHEN n = 1 THEN k END", 0).alias("id"), pick("h", 0).alias("n_chars"), pick("cell", 1).alias("n_own"), pick("size", 1).alias("n_other"), pick("cell", 2).alias("n_following"),
+            *[pick(c, p).alias(f"w{k}") for k, (c, p) in enumerate((("k", 1), ("h", 1), ("k", 2), ("h", 2)))],
+            (taken(EDIT) + stuck(EDIT)).alias("d_edit"), (taken(STEP) + stuck(STEP)).alias("d_step"), (stuck(EDIT) + stuck(STEP)).alias("stuck"), cell(OWN).alias("own"), cell(OTHER).alias("other"), *more,
+        )
+
+    done = whole(run(keyed, WIDER))
+    for k in range(1, TRIES):
+        done = cut(done)
+        failed = done.where("stuck > 0").select("bucket", "place")
+        if failed.isEmpty():
+            break
+        again = whole(run(keyed.join(F.broadcast(failed), ["bucket", "place"], "left_semi"), WIDER * NEXT**k))  # one row in some 100,000
+        done = done.where("stuck = 0").unionByName(again)
+    near = lambda a, b, d: F.expr(f"CASE WHEN {a} + {b} = 0 THEN 1D ELSE greatest(0D, ({a} + {b} - {d}) / cast({a} + {b} + {d} as double)) END")
+    text_of = lambda c, n: F.expr(f"concat({n}, ':', coalesce({c}[0].size, {LEAST_CELLS}), ':', array_join(transform(sort_array({c}), c -> concat(c.at, '.', c.n, '.', hex(c.k), '.', hex(c.h))), ','))")
+    digest = F.expr("lower(concat(" + ", ".join(f"lpad(hex(w{k}), 16, '0')" for k in range(4)) + "))")
+    return done.select(F.col("id").alias(id), "n_chars", digest.alias("edited_sha256"), text_of("own", "n_own").alias("fingerprint"), text_of("other", "n_other").alias("edited_fingerprint"), near("n_own", "n_other", "d_edit").alias("near_edited"), near("n_own", "n_following", "d_step").alias("near_next"), *(["lost", "gained"] if recovered else []))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from .common import LOWER, arrow_batches, cut, integer_id, mix, partitions, prefix_sums, slices, span_hashes, text_column, words
+from .common import LOWER, arrow_batches, cut, integer_id, mix, partitions, prefix_sums, release, slices, span_hashes, text_column, words
 
 SHINGLE, SIMILARITY = 5, 75
 VALUES, ORDERS, DEPTH = 64, 21, 3
@@ -249,6 +249,7 @@ def components(edges: DataFrame) -> DataFrame:
     new = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
         now = cut(new)
+        release(edges.sparkSession)
         # in a forest of stars no node has two centres, and no centre has one
         nodes = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("centres"), F.lit(0).alias("leaves")), F.struct(F.col("v").alias("node"), F.lit(0).alias("centres"), F.lit(1).alias("leaves")))).alias("e")).select("e.*")
         if nodes.groupBy("node").agg(F.sum("centres").alias("centres"), F.sum("leaves").alias("leaves")).where("centres > 1 OR centres = 1 AND leaves > 0").isEmpty():
@@ -300,6 +301,7 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: in
         return both.withColumn("shared", shared).where(F.col("shared") * 100 >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
     pairs = cut(pairs)
+    release(spark)
     edges = cut(confirmed(pairs, sets_of(ends(pairs))).union(same))
     found = components(edges)
     label = cut(members.join(found, "node", "left").select("region", "node", "size", F.coalesce("component", "node").alias("component")))
@@ -322,7 +324,9 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: in
     large = cut(grid.where(F.col("size") > SMALL).drop("size"))
     sets = sets_of(large.select("node").union(ends(more)))
     direct = blocks(large.join(reps, "node").join(sets, "node")).mapInArrow(_confirm_across(similarity), "a long, b long")
-    found = components(cut(found.union(confirmed(more, sets)).union(direct).toDF("a", "b")))
+    links = cut(found.union(confirmed(more, sets)).union(direct).toDF("a", "b"))
+    release(spark)
+    found = components(links)
     placed = cut(classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")))
     smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = placed.join(smallest, "component").select("node", "component_id")
