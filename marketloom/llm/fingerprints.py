@@ -35,9 +35,9 @@ from .common import cut, integer_id, partitions, text_column
 DIGESTS, LEAST_CELLS = 8, 8
 WIDER, FIRST_CELLS, MOST_CELLS, NEXT = 16, 1 << 10, 1 << 20, 16
 #: Tries of a comparison, and turns over the three parts in each.
-TRIES, TURNS = 2, 3
+TRIES, TURNS = 3, 2
 #: Rows of an id range.
-RANGE = 1000
+RANGE = 500
 #: Least and most code points of a piece that is cut inside a sentence.
 LEAST, MOST = 64, 192
 PIECE = f"(?s).{{{LEAST - 1},{MOST - 1}}}?[aeiout,;:](?= )|.{{1,{MOST}}}(?![^ ])|.{{1,{MOST}}}"
@@ -133,7 +133,7 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets:
         at = F.aggregate(F.array(*[F.lit(b) for b in sorted(set(bounds))]), F.lit(0), lambda s, b: s + F.when(F.col("id") > b, 1).otherwise(0))
     else:  # too many ranges to list: equal widths
         at = F.floor((F.col("id") - F.lit(lo)) / F.lit(max(1, -(-(hi - lo + 1) // buckets)))).cast("int")
-    rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(at)).repartition(max(partitions(docs.sparkSession), -(-buckets // 2)), "bucket").withColumn("keys", F.expr(digests("text")))
+    rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(at)).repartition(max(partitions(docs.sparkSession), buckets), "bucket").withColumn("keys", F.expr(digests("text")))
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("id"), F.desc("text"))
     placed = rows.withColumn("following", F.lead(F.struct("text", "keys")).over(order)).withColumn("place", F.row_number().over(order))
     tops = placed.where("place = 1").select(F.col("bucket").alias("next"), F.col("text").alias("head"))  # the same shuffle, read again
