@@ -189,6 +189,6 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text", recovered:
         again = whole(run(keyed.join(F.broadcast(failed), ["bucket", "place"], "left_semi"), WIDER * NEXT**k))  # one row in some 100,000
         done = done.where("stuck = 0").unionByName(again)
     near = lambda a, b, d: F.expr(f"CASE WHEN {a} + {b} = 0 THEN 1D ELSE greatest(0D, ({a} + {b} - {d}) / cast({a} + {b} + {d} as double)) END")
-    text_of = lambda c, n: F.expr(f"concat({n}, ':', coalesce({c}[0].size, {LEAST_CELLS}), ':', array_join(transform(sort_array({c}), c -> concat(c.at, '.', c.n, '.', hex(c.k), '.', hex(c.h))), ','))")
+    text_of = lambda c, n: F.expr(f"concat({n}, ':', coalesce(get({c}, 0).size, {LEAST_CELLS}), ':', array_join(transform(sort_array({c}), c -> concat(c.at, '.', c.n, '.', hex(c.k), '.', hex(c.h))), ','))")
     digest = F.expr("lower(concat(" + ", ".join(f"lpad(hex(w{k}), 16, '0')" for k in range(4)) + "))")
     return done.select(F.col("id").alias(id), "n_chars", digest.alias("edited_sha256"), text_of("own", "n_own").alias("fingerprint"), text_of("other", "n_other").alias("edited_fingerprint"), near("n_own", "n_other", "d_edit").alias("near_edited"), near("n_own", "n_following", "d_step").alias("near_next"), *(["lost", "gained"] if recovered else []))
