@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages, each over all that its predecessor kept."""
+"""A corpus pipeline of five stages, each over all that its predecessor kept.
+
+Null and empty texts fail the quality rules and go there, as do rows of an id's repeats past the first at the third
+stage (null ids all stay).  Ties go to the smallest id.  An empty table passes through all stages.  Texts are read whole
+whatever their length.  All stages but the last keep the columns of ``documents``, further ones too, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketloom.llm import near_dedup, packing, quality, suffix_dedup, toxicity
 from marketloom.llm.common import shared_dir
@@ -32,8 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller id holds are cut; every document stays."""
-    return suffix_dedup.cut_texts(docs)
+    """Passages that a document with a smaller id holds are cut; every document stays, with the length of what is left."""
+    cut = suffix_dedup.cut_texts(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
