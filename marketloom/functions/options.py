@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import norm_cdf, norm_pdf
+from .scalars import ERFC, norm_cdf, norm_pdf
 
 RATE = 0.042
 
@@ -43,16 +48,46 @@ def with_greeks(chain: DataFrame, spot: str = "underlying_price", strike: str =
     })
 
 
-def implied_vol(target: Column, spot: Column, strike: Column, t: Column, right: Column, steps: int = 60, rate: float = RATE) -> Column:
-    """Bisection in [1e-4, 5] as a native aggregate; null outside the values that the interval can reach."""
-    lo, hi = 1e-4, 5.0
-    start = F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+def _normal(x: np.ndarray) -> np.ndarray:
+    """Normal distribution function, with the same rational approximation as ``norm_cdf``."""
+    z = np.abs(x) / np.sqrt(2)
+    t = 1 / (1 + 0.5 * z)
+    tail = 0.5 * t * np.exp(-z * z + np.polyval(ERFC, t))
+    return np.where(x >= 0, 1 - tail, tail)
+
+
+def _value(s: np.ndarray, k: np.ndarray, t: np.ndarray, v: np.ndarray, call: np.ndarray, rate: float) -> np.ndarray:
+    root = v * np.sqrt(t)
+    d1 = (np.log(s / k) + (rate + v * v / 2) * t) / root
+    own, owed = s * _normal(d1), k * np.exp(-rate * t) * _normal(d1 - root)
+    return np.where(call, own - owed, own - owed - s + k * np.exp(-rate * t))
+
+
+def with_implied_vol(chain: DataFrame, target: str, spot: str = "underlying_price", strike: str = "strike", years: str = "t", right: str = "opt_right", name: str = "found", steps: int = 100, tol: float = 1e-6, rate: float = RATE) -> DataFrame:
+    """``chain`` with the volatility in [1e-4, 5] at which the model gives ``target``: bisection until the value is within
+    ``tol`` or ``steps`` are done, for a whole Arrow batch at once.  Null for prices of 0 or less, at or past expiry, under the
+    intrinsic value, and over the value at the upper end."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chain.schema)
 
-    def step(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        low = price(spot, strike, t, mid, right, rate) < target
-        return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(mid).alias("hi"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, s, k, t = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (target, spot, strike, years))
+            call = np.array(pc.equal(batch.column(right), "C").fill_null(False).to_pylist(), bool)
+            with np.errstate(all="ignore"):
+                ok = (t > 0) & (s > 0) & (k > 0) & (p > 0) & (p >= np.maximum(0, np.where(call, s - k, k - s)) - tol)
+                ok &= _value(s, k, t, np.full(len(p), 5.0), call, rate) >= p
+                at = np.flatnonzero(ok)
+                out, lo, hi = np.full(len(p), np.nan), np.full(len(p), 1e-4), np.full(len(p), 5.0)
+                for _ in range(steps):
+                    if not len(at):
+                        break
+                    mid = (lo[at] + hi[at]) / 2
+                    value = _value(s[at], k[at], t[at], mid, call[at], rate)
+                    out[at] = mid
+                    high = value > p[at]
+                    hi[at], lo[at] = np.where(high, mid, hi[at]), np.where(high, lo[at], mid)
+                    at = at[np.abs(value - p[at]) >= tol]
+                out[at] = (lo[at] + hi[at]) / 2
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64(), from_pandas=True)], [*batch.schema.names, name])
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: (s["lo"] + s["hi"]) / 2)
-    reach = (target >= price(spot, strike, t, F.lit(lo), right, rate)) & (target <= price(spot, strike, t, F.lit(hi), right, rate))
-    return F.when((t > 0) & (target > 0) & reach, found)
+    return chain.mapInArrow(run, f"{kinds}, {name} double")

@@ -33,11 +33,15 @@ def present(parts: list[Column]) -> Column:
     return sum((p.isNotNull().cast("double") for p in parts), F.lit(0.0))
 
 
+#: What a headline may begin with and its key leaves out, in this order: a notice, an outlet.
+HEADLINE_PREFIXES = (r"^(update|exclusive|breaking|correct(ed)?)\s*\d*\s*[-:]\s*", r"^[a-z .]{2,20}\s+[-–—]\s+")
+
+
 def headline_key(headline: Column) -> Column:
     """SHA-1 of the normalised headline; an empty headline has the empty key."""
     s = F.lower(F.trim(headline))
-    s = F.regexp_replace(s, r"^(update|exclusive|breaking|corrected)\s*\d*\s*:\s*", "")
-    s = F.regexp_replace(s, r"^[a-z]{2,20} - ", "")
+    for prefix in HEADLINE_PREFIXES:
+        s = F.regexp_replace(s, prefix, "")
     s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9]+", " "), r"\s+", " "))
     return F.when(F.coalesce(headline, F.lit("")) == "", F.lit("")).otherwise(F.sha1(s))
 
@@ -57,7 +61,10 @@ def normalize_ticker(text: Column) -> Column:
 
 
 #: Ratings and what they count.
-RATING_VALUES = {"strongbuy": 1.0, "buy": 0.7, "outperform": 0.6, "overweight": 0.6, "hold": 0.0, "neutral": 0.0, "marketperform": 0.0, "underperform": -0.6, "underweight": -0.6, "sell": -0.7, "strongsell": -1.0}
+RATING_VALUES = {
+    "strongbuy": 1.0, "buy": 0.6, "outperform": 0.5, "overweight": 0.5, "hold": 0.0, "neutral": 0.0, "marketperform": 0.0,
+    "underperform": -0.5, "underweight": -0.5, "sell": -0.8, "strongsell": -1.0,
+}
 
 
 def rating_value(rating: Column) -> Column:
@@ -78,7 +85,7 @@ def surprise_pct(actual: Column, estimate: Column) -> Column:
 
 def tradeability_label(score: Column) -> Column:
     """Strict limits: 0.20 itself is neutral."""
-    return F.when(score > 0.5, "STRONG BUY SETUP").when(score > 0.2, "BULLISH SETUP").when(score > -0.2, "NEUTRAL").when(score > -0.5, "BEARISH SETUP").when(score.isNotNull(), "STRONG SELL SETUP")
+    return F.when(score > 0.5, "STRONG BUY").when(score > 0.2, "BULLISH").when(score > -0.2, "NEUTRAL").when(score > -0.5, "BEARISH").when(score.isNotNull(), "STRONG SELL")
 
 
 def sentiment_label(score: Column) -> Column:
@@ -123,31 +130,53 @@ def norm_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / F.lit(2.5066282746310002)
 
 
+#: Coefficients of the approximation below, the highest power first.
+ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+
+
 def norm_cdf(x: Column) -> Column:
     """Normal distribution function by a rational approximation of the complementary error function (relative error
     under 1.2e-7), as column arithmetic: Spark SQL has no erf."""
     z = F.abs(x) / F.lit(1.4142135623730951)
     t = 1 / (1 + 0.5 * z)
-    poly = F.lit(0.17087277)
-    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+    poly = F.lit(ERFC[0])
+    for c in ERFC[1:]:
         poly = F.lit(c) + t * poly
     tail = 0.5 * t * F.exp(-z * z + poly)
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
-#: Macro categories in the order in which they are tried, by substring.
-MACRO_CATEGORIES = (
-    ("Inflation", "cpi|ppi|pce|inflation|price index"), ("Employment", "payroll|unemployment|jobless|jobs|employment|jolts"),
-    ("Fed / Rates", "fomc|fed |federal reserve|interest rate|minutes|powell"), ("Growth", "gdp|ism|pmi|industrial production|durable goods|factory"),
-    ("Consumer", "retail sales|consumer|michigan"), ("Housing", "housing|home|mortgage|building permits"),
-)
+#: Macro categories and their words in the order in which they are tried, and the words of importance.
+MACRO_CATEGORIES = {
+    "Fed / Rates": ("fomc", "federal reserve", "fed rate", "interest rate", "fed chair", "minutes"),
+    "Inflation": ("cpi", "consumer price", "pce", "personal consumption", "ppi", "producer price", "inflation"),
+    "Labour": ("nonfarm", "payroll", "unemployment", "jobs", "jobless", "labor", "employment", "adp", "jolts"),
+    "GDP": ("gdp", "gross domestic"),
+    "Consumer": ("retail sales", "consumer confidence", "consumer sentiment", "spending"),
+    "Manufacturing": ("ism", "pmi", "manufacturing", "services", "industrial"),
+    "Housing": ("housing", "home sales", "building permits", "starts", "existing home"),
+    "Trade": ("trade", "balance", "imports", "exports"),
+    "Treasury": ("treasury", "auction", "bond", "yield"),
+}
+MACRO_IMPORTANCE = {
+    "High": ("fomc", "federal reserve", "interest rate decision", "nonfarm payroll", "cpi", "pce", "gdp", "unemployment rate", "fed chair"),
+    "Medium": ("ppi", "retail sales", "ism", "pmi", "consumer confidence", "housing starts", "jobless claims", "adp", "jolts", "durable goods"),
+}
+
+
+def _first_named(name: Column, words: dict[str, tuple[str, ...]], other: str) -> Column:
+    low = F.lower(name)
+    tries = [F.when(low.rlike("|".join(w)), F.lit(label)) for label, w in words.items()]  # no word holds a pattern sign
+    return F.when(name.isNotNull(), F.coalesce(*tries, F.lit(other)))
 
 
 def macro_category(name: Column) -> Column:
-    out, low = None, F.lower(name)
-    for label, pattern in MACRO_CATEGORIES:
-        out = F.when(low.rlike(pattern), label) if out is None else out.when(low.rlike(pattern), label)
-    return out.otherwise("Other")
+    """The first category one of whose words stands in the name, by substring."""
+    return _first_named(name, MACRO_CATEGORIES, "Other")
+
+
+def macro_importance(name: Column) -> Column:
+    return _first_named(name, MACRO_IMPORTANCE, "Low")
 
 
 def absolute_url(url: Column, site: str) -> Column:

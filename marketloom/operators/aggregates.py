@@ -42,20 +42,33 @@ def recency_sentiment(articles: DataFrame, as_of: str, tau_hours: float = 48.0)
     return articles.where("sentiment is not null").groupBy("ticker").agg(S.clamp(F.sum(F.col("sentiment") * w) / F.sum(w), -1.0, 1.0).alias("recency"))
 
 
+def _has(text: Column, *words: str) -> Column:
+    """Does one of the words stand in the text, in either case?"""
+    up = F.upper(F.coalesce(text, F.lit("")))
+    out = F.lit(False)
+    for w in words:
+        out = out | up.contains(w)
+    return out
+
+
+def analyst_flags(action: Column, target: Column) -> dict[str, Column]:
+    return {"upgrades": _has(action, "UPGRADE"), "downgrades": _has(action, "DOWNGRADE"), "raises": _has(target, "RAISE", "INCREASE"), "cuts": _has(target, "LOWER", "DECREASE", "CUT")}
+
+
 def analyst_event_score(action: Column, target: Column, rating: Column) -> Column:
-    a, p = F.upper(F.coalesce(action, F.lit(""))), F.upper(F.coalesce(target, F.lit("")))
-    base = F.when(a.contains("UPGRADE"), 2.0).when(a.contains("DOWNGRADE"), -2.0).when(a.contains("INITIAT") | a.contains("REINSTAT"), 1.5 * S.rating_bias(rating)).otherwise(0.0)
-    return base + F.when(p.contains("RAISE"), 1.0).when(p.contains("LOWER") | p.contains("CUT"), -1.0).otherwise(0.0)
+    f = analyst_flags(action, target)
+    base = F.when(f["upgrades"], 2.0).when(f["downgrades"], -2.0).when(_has(action, "INITIAT", "REINST"), 1.5 * S.rating_bias(rating)).otherwise(0.0)
+    return base + F.when(f["raises"], 1.0).when(f["cuts"], -1.0).otherwise(0.0)
+
+
+def momentum_state(score: Column) -> Column:
+    return F.when(score >= 4, "STRONGLY POSITIVE").when(score >= 1.5, "POSITIVE").when(score <= -4, "STRONGLY NEGATIVE").when(score <= -1.5, "NEGATIVE").otherwise("NEUTRAL")
 
 
 def analyst_momentum(events: DataFrame) -> DataFrame:
-    s = F.sum("event_score")
-    return (
-        events.withColumn("event_score", analyst_event_score(F.col("action_company"), F.col("action_pt"), F.col("rating_current")))
-        .groupBy("ticker")
-        .agg(s.alias("momentum"), F.count_if(F.col("action_company") == "Upgrades").alias("upgrades"), F.count_if(F.col("action_company") == "Downgrades").alias("downgrades"), F.count_if(F.col("action_pt") == "Raises").alias("raises"), F.count_if(F.col("action_pt") == "Lowers").alias("cuts"))
-        .withColumn("state", F.when(F.col("momentum") >= 4, "STRONG POSITIVE").when(F.col("momentum") >= 1.5, "POSITIVE").when(F.col("momentum") <= -4, "STRONG NEGATIVE").when(F.col("momentum") <= -1.5, "NEGATIVE").otherwise("NEUTRAL"))
-    )
+    flags = analyst_flags(F.col("action_company"), F.col("action_pt"))
+    scored = events.withColumn("event_score", analyst_event_score(F.col("action_company"), F.col("action_pt"), F.col("rating_current")))
+    return scored.groupBy("ticker").agg(F.sum("event_score").alias("momentum"), *[F.count_if(c).alias(k) for k, c in flags.items()]).withColumn("state", momentum_state(F.col("momentum")))
 
 
 def resolved(outcomes: DataFrame) -> DataFrame:

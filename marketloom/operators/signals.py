@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from . import windows as W
 
-#: Weights of the signals that a price panel can give.
-WEIGHTS = {"technical": 0.13, "momentum": 0.18, "volume": 0.06}
+#: Weights of the nine signals, and the confidence under which a signal does not count.
+WEIGHTS = {"sentiment": 0.12, "technical": 0.13, "momentum": 0.18, "fundamental": 0.08, "event": 0.14, "volume": 0.08, "short_interest": 0.06, "options_iv": 0.14, "analyst": 0.07}
 FLOOR = 0.15
+#: The signals that a price panel can give.
+PANEL = ("technical", "momentum", "volume")
 
 
 def bands(x: Column, steps: list[tuple[float, float]], other: float, strict: bool = False) -> Column:
@@ -25,16 +27,13 @@ def bands(x: Column, steps: list[tuple[float, float]], other: float, strict: boo
 def panel(bars: DataFrame) -> DataFrame:
     """Point-in-time features of every bar: backward windows only, one exchange and one sort by ticker."""
     b = W.with_returns(bars)
-    hl = W.high_low(252)
     b = b.withColumns({
-        **hl, "volume_ratio": W.volume_ratio(30), "slope": W.slope(), "accel": W.acceleration(), "vol": W.annual_vol(), "streak": W.streak(),
-        "vector": W.return_vector(120), **{f"fwd_{h}": W.forward(h) for h in (5, 10, 21, 63)},
+        **W.high_low(252), "volume_ratio": W.volume_ratio(30), "slope": W.slope(), "accel": W.acceleration(), "vol": W.annual_vol(),
+        **{f"fwd_{h}": W.forward(h) for h in (5, 10, 21, 63)},
     })
+    b = W.run_features(b)
     rng = F.nullif(F.col("high_n") - F.col("low_n"), F.lit(0.0))
-    return b.withColumns({
-        "position": (F.col("close") - F.col("low_n")) / rng, "from_high": F.col("close") / F.col("high_n") - 1, "n_returns": F.size("vector"),
-        "rsi": W.wilder_rsi(F.col("vector")), "signed_ratio": F.col("volume_ratio") * F.when(F.col("ret") < 0, -1).otherwise(1),
-    }).drop("vector")
+    return b.withColumns({"position": (F.col("close") - F.col("low_n")) / rng, "from_high": F.col("close") / F.col("high_n") - 1, "signed_ratio": F.col("volume_ratio") * F.when(F.col("ret") < 0, -1).otherwise(1)})
 
 
 def ranked(features: DataFrame, names: list[str] = ("position", "from_high", "signed_ratio", "slope", "accel")) -> DataFrame:
@@ -42,6 +41,7 @@ def ranked(features: DataFrame, names: list[str] = ("position", "from_high", "si
     return features.withColumns({f"xs_{n}": W.percentile_score(F.col(n), ["trade_date"]) for n in names})
 
 
+#: The limits and values of the bands below are fixed values.
 def technical(df: DataFrame) -> DataFrame:
     parts = [
         (S.blend(S.clamp((F.col("position") - 0.5) * 2, -1.0, 1.0), F.col("xs_position")), 1.2), (S.clamp(F.col("ret") / 5, -1.0, 1.0), 0.6),
@@ -69,15 +69,18 @@ def volume(df: DataFrame) -> DataFrame:
     return df.withColumn("volume_signal", S.blend(s, F.col("xs_signed_ratio"), 0.4)).withColumn("volume_conf", F.least(F.lit(1.0), F.abs(ratio - 1)))
 
 
-def composite(df: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """Confidence-weighted mean of the signals at or over the confidence floor; ``coverage`` is the weight that stayed."""
-    columns = {"technical": "technical", "momentum": "momentum", "volume": "volume_signal"}
-    used = {k: F.col(columns[k]).isNotNull() & (F.col(f"{k}_conf") >= FLOOR) for k in weights}
-    top = sum((F.when(used[k], F.col(columns[k]) * w * F.col(f"{k}_conf")).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
-    low = sum((F.when(used[k], w * F.col(f"{k}_conf")).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
-    cover = sum((F.when(used[k], F.lit(w)).otherwise(0.0) for k, w in weights.items()), F.lit(0.0)) / sum(weights.values())
-    score = S.clamp(F.round(F.coalesce(top / F.nullif(low, F.lit(0.0)), F.lit(0.0)), 4), -1.0, 1.0)
-    return df.withColumn("score", score).withColumn("coverage", F.round(cover, 3)).withColumn("label", S.tradeability_label(F.col("score")))
+def composite(df: DataFrame, signals: tuple[str, ...] = PANEL, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """Confidence-weighted mean of the signals (columns ``<name>`` or ``<name>_signal``, and ``<name>_conf``) at or over the
+    confidence floor.  ``coverage`` is the share of the full weight that stayed, ``possible`` that of all signals given.  Where
+    no signal reaches the floor, ``score`` is null."""
+    named = {k: F.col(f"{k}_signal") if f"{k}_signal" in df.columns else F.col(k) for k in signals}
+    used = {k: c.isNotNull() & (F.col(f"{k}_conf") >= FLOOR) for k, c in named.items()}
+    full = sum(weights.values())
+    top = sum((F.when(used[k], c * weights[k] * F.col(f"{k}_conf")).otherwise(0.0) for k, c in named.items()), F.lit(0.0))
+    low = sum((F.when(used[k], weights[k] * F.col(f"{k}_conf")).otherwise(0.0) for k in named), F.lit(0.0))
+    cover = sum((F.when(used[k], F.lit(weights[k])).otherwise(0.0) for k in named), F.lit(0.0)) / full
+    score = F.round(S.clamp(top / F.nullif(low, F.lit(0.0)), -1.0, 1.0), 4)
+    return df.withColumns({"score": score, "coverage": F.round(cover, 3), "possible": F.lit(round(sum(weights[k] for k in signals) / full, 3))}).withColumn("label", S.tradeability_label(F.col("score")))
 
 
 def score_panel(bars: DataFrame) -> DataFrame:
@@ -86,8 +89,8 @@ def score_panel(bars: DataFrame) -> DataFrame:
 
 def backtest(bars: DataFrame, first_session: int = 260, least_returns: int = 30) -> DataFrame:
     """The signal replayed on every bar with history enough, with its forward returns."""
-    s = score_panel(bars)
-    return s.where((F.col("session_no") > first_session) & (F.col("n_returns") >= least_returns)).withColumn("label", F.replace("label", F.lit(" "), F.lit("_"))).select("ticker", "trade_date", "score", "coverage", "label", "fwd_5", "fwd_10", "fwd_21", "fwd_63")
+    s = score_panel(bars).where((F.col("session_no") > first_session) & (F.col("n_returns") >= least_returns) & F.col("score").isNotNull())
+    return s.select("ticker", "trade_date", "score", F.col("possible").alias("coverage"), F.replace("label", F.lit(" "), F.lit("_")).alias("label"), "fwd_5", "fwd_10", "fwd_21", "fwd_63")
 
 
 def iv_rank(iv: DataFrame, days: int = 365, least: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -76,27 +77,53 @@ def realized_vol(bars: DataFrame, n: int = 30, least: int = 9, name: str = "real
     return logs.withColumn(name, F.when(F.count("__log").over(w) >= least, F.stddev_samp("__log").over(w) * math.sqrt(252))).drop("__log")
 
 
-def streak(n: int = 14) -> Column:
-    """Signed run of up (zero counts) or down days that ends here, within the last n returns."""
-    days = F.reverse(F.collect_list("ret").over(last(n)))
-    up = days[0] >= 0
-    run = F.aggregate(days, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.when(s["on"] & ((x >= 0) == up), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("on"))))["n"]
-    return F.when(F.size(days) > 0, F.when(up, run).otherwise(-run))
-
-
-def wilder_rsi(returns: Column, period: int = 14) -> Column:
-    """RSI over an array of returns, oldest first: seeded by the mean of the first ``period``; no losses give 100,
-    then no gains 0."""
-    gain, loss = (lambda x: F.greatest(x, F.lit(0.0))), (lambda x: F.greatest(-x, F.lit(0.0)))
-    seed = lambda f: F.aggregate(F.slice(returns, 1, period), F.lit(0.0), lambda s, x: s + f(x)) / period
-    step = lambda s, x: F.struct(((s["g"] * (period - 1) + gain(x)) / period).alias("g"), ((s["l"] * (period - 1) + loss(x)) / period).alias("l"))
-    tail = F.slice(returns, F.lit(period + 1), F.greatest(F.size(returns) - period, F.lit(0)))
-    end = F.aggregate(tail, F.struct(seed(gain).alias("g"), seed(loss).alias("l")), step, lambda s: F.when(s["l"] == 0, 100.0).when(s["g"] == 0, 0.0).otherwise(100 - 100 / (1 + s["g"] / s["l"])))
-    return F.when(F.size(returns) >= period + 1, end)
-
-
-def return_vector(n: int = 120) -> Column:
-    return F.collect_list("ret").over(last(n))
+def _wilder(seen: np.ndarray, size: np.ndarray, period: int) -> np.ndarray:
+    """RSI of each row of ``seen`` (returns, oldest first, right-aligned, ``size`` of them), all rows at once."""
+    n, width = seen.shape
+    gain, loss = np.maximum(seen, 0), np.maximum(-seen, 0)
+    start = width - size
+    at = np.arange(width)[None, :]
+    first = (at >= start[:, None]) & (at < (start + period)[:, None])
+    g, drop = (gain * first).sum(axis=1) / period, (loss * first).sum(axis=1) / period
+    for k in range(period, width):
+        on = k >= start + period
+        g, drop = np.where(on, (g * (period - 1) + gain[:, k]) / period, g), np.where(on, (drop * (period - 1) + loss[:, k]) / period, drop)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.where(drop == 0, 100.0, np.where(g == 0, 0.0, 100 - 100 / (1 + g / drop)))
+    return np.where(size > period, out, np.nan)
+
+
+def run_features(bars: DataFrame, bars_seen: int = 120, period: int = 14, run: int = 14, block: int = 4096) -> DataFrame:
+    """``bars`` with ``rsi`` (Wilder's, over the last ``bars_seen`` returns), ``n_returns`` (how many of these there are) and
+    ``streak`` (signed run of up, zero counts, or down days that ends here, within ``run`` returns).  One Arrow pass over a
+    ticker's history, which one task holds (its sessions bound it), in blocks of rows."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("session_no", kind="stable")
+        r = pdf["ret"].to_numpy(float)
+        n = len(r)
+        padded = np.concatenate([np.full(bars_seen - 1, np.nan), r])
+        rsi, count, streak = np.full(n, np.nan), np.zeros(n, np.int32), np.full(n, np.nan)
+        for lo in range(0, n, block):
+            hi = min(n, lo + block)
+            seen = np.lib.stride_tricks.sliding_window_view(padded[lo : hi + bars_seen - 1], bars_seen)
+            known = ~np.isnan(seen)
+            size = known.sum(axis=1)
+            if not known[:, ::-1][np.arange(bars_seen)[None, :] < size[:, None]].all():  # gaps: close them up
+                seen = np.take_along_axis(seen, np.argsort(known, axis=1, kind="stable"), axis=1)
+            count[lo:hi] = size
+            seen = np.where(np.arange(bars_seen)[None, :] >= (bars_seen - size)[:, None], seen, 0.0)
+            rsi[lo:hi] = _wilder(seen, size, period)
+            tail, have = seen[:, ::-1][:, :run], np.minimum(run, known[:, ::-1][:, :run].sum(axis=1))
+            up = tail[:, 0] >= 0
+            same = ((tail >= 0) == up[:, None]) & (np.arange(tail.shape[1])[None, :] < have[:, None])
+            length = np.where(same.all(axis=1), same.shape[1], np.argmin(same, axis=1))
+            streak[lo:hi] = np.where(have > 0, np.where(up, length, -length), np.nan)
+        return pdf.assign(rsi=rsi, n_returns=count, streak=streak)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema)
+    out = bars.groupBy("ticker").applyInPandas(add, f"{kinds}, rsi double, n_returns int, streak double")
+    return out.withColumns({"rsi": F.nanvl("rsi", F.lit(None).cast("double")), "streak": F.nanvl("streak", F.lit(None).cast("double")).cast("int")})
 
 
 def forward(n: int) -> Column:

@@ -366,17 +366,13 @@ def _(get):
 
 @query(
     "m27_analyst_event_score",
-    """SELECT external_id, s AS score, CASE WHEN s >= 4 THEN 'STRONG POSITIVE' WHEN s >= 1.5 THEN 'POSITIVE' WHEN s <= -4 THEN 'STRONG NEGATIVE' WHEN s <= -1.5 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS state FROM (SELECT external_id,
+    """SELECT external_id, s AS score, CASE WHEN s >= 4 THEN 'STRONGLY POSITIVE' WHEN s >= 1.5 THEN 'POSITIVE' WHEN s <= -4 THEN 'STRONGLY NEGATIVE' WHEN s <= -1.5 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS state FROM (SELECT external_id,
       CAST(CASE action_company WHEN 'Upgrades' THEN 2.0 WHEN 'Downgrades' THEN -2.0 WHEN 'Initiates' THEN CASE WHEN rating_current IN ('Buy', 'Overweight') THEN 1.5 WHEN rating_current IN ('Sell', 'Underperform') THEN -1.5 ELSE 0 END ELSE 0 END
       + CASE action_pt WHEN 'Raises' THEN 1.0 WHEN 'Lowers' THEN -1.0 ELSE 0 END AS DOUBLE) AS s FROM {analyst_rating_events})""",
 )
 def _(get):
-    act = F.lower("action_company")
-    move = F.when(act.contains("upgrade"), 2.0).when(act.contains("downgrade"), -2.0).when(act.rlike("initiat|reinst"), S.rating_bias(F.col("rating_current")) * 1.5).otherwise(0.0)
-    target = F.when(F.lower("action_pt").contains("raise"), 1.0).when(F.lower("action_pt").rlike("lower|cut"), -1.0).otherwise(0.0)
-    s = F.col("score")
-    state = F.when(s >= 4, "STRONG POSITIVE").when(s >= 1.5, "POSITIVE").when(s <= -4, "STRONG NEGATIVE").when(s <= -1.5, "NEGATIVE").otherwise("NEUTRAL")
-    return get("analyst_rating_events").select("external_id", (move + target).alias("score")).withColumn("state", state)
+    scored = A.analyst_event_score(F.col("action_company"), F.col("action_pt"), F.col("rating_current"))
+    return get("analyst_rating_events").select("external_id", scored.alias("score")).withColumn("state", A.momentum_state(F.col("score")))
 
 
 @query(

@@ -114,8 +114,7 @@ def _(get):
     SELECT ticker, session_no, {r(rsi='CASE WHEN l = 0 THEN 100 WHEN g = 0 THEN 0 ELSE 100 - 100 / (1 + g / l) END')} FROM s""",
 )
 def _(get):
-    b = W.with_returns(get("bars")).select(*KEY, W.return_vector().alias("v"))
-    return b.select(*KEY, W.wilder_rsi(F.col("v")).alias("rsi")).where("rsi is not null")
+    return W.run_features(W.with_returns(get("bars").select(*KEY, "close"))).select(*KEY, "rsi").where("rsi is not null")
 
 
 @query(
@@ -154,7 +153,7 @@ def _(get):
     SELECT ticker, session_no, CAST(CASE WHEN v[1] >= 0 THEN 1 ELSE -1 END * COALESCE(LIST_POSITION(LIST_TRANSFORM(v, lambda x: (x >= 0) = (v[1] >= 0)), false) - 1, LEN(v)) AS INT) AS streak FROM v WHERE LEN(v) > 0""",
 )
 def _(get):
-    return W.with_returns(get("bars")).select(*KEY, W.streak().cast("int").alias("streak")).where("streak is not null")
+    return W.run_features(W.with_returns(get("bars").select(*KEY, "close"))).select(*KEY, "streak").where("streak is not null")
 
 
 @query(
@@ -289,7 +288,7 @@ def _(get):
 
 # --- aggregations ------------------------------------------------------------------------------------------------------
 
-_NORMAL = "TRIM(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(LOWER(TRIM(headline)), '^(update|exclusive|breaking|corrected)\\s*\\d*\\s*:\\s*', ''), '^[a-z]{2,20} - ', ''), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NORMAL = "TRIM(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(LOWER(TRIM(headline)), '^(update|exclusive|breaking|correct(ed)?)\\s*\\d*\\s*[-:]\\s*', ''), '^[a-z .]{2,20}\\s+[-–—]\\s+', ''), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in A.SOURCE_WEIGHTS.items()) + " ELSE 1.0 END"
 _STORIES = f"(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker, CASE WHEN COALESCE(headline, '') = '' THEN CONCAT('#', id) ELSE {_NORMAL.replace('{2,20}', '{{2,20}}')} END ORDER BY {_WEIGHT} DESC, id) AS k FROM {{articles}}) WHERE k = 1)".replace("{{articles}}", "{articles}").replace("{{2,20}}", "{2,20}")
 
@@ -325,7 +324,7 @@ def _(get):
     """WITH e AS (SELECT *, CASE WHEN action_company = 'Upgrades' THEN 2.0 WHEN action_company = 'Downgrades' THEN -2.0 WHEN action_company = 'Initiates' THEN CASE WHEN rating_current IN ('Buy', 'Overweight') THEN 1.5 WHEN rating_current IN ('Sell', 'Underperform') THEN -1.5 ELSE 0 END ELSE 0 END
       + CASE action_pt WHEN 'Raises' THEN 1.0 WHEN 'Lowers' THEN -1.0 ELSE 0 END AS s FROM {analyst_rating_events}),
     g AS (SELECT ticker, CAST(SUM(s) AS DOUBLE) AS momentum, COUNT(*) FILTER (WHERE action_company = 'Upgrades') AS upgrades, COUNT(*) FILTER (WHERE action_company = 'Downgrades') AS downgrades, COUNT(*) FILTER (WHERE action_pt = 'Raises') AS raises, COUNT(*) FILTER (WHERE action_pt = 'Lowers') AS cuts FROM e GROUP BY ticker)
-    SELECT *, CASE WHEN momentum >= 4 THEN 'STRONG POSITIVE' WHEN momentum >= 1.5 THEN 'POSITIVE' WHEN momentum <= -4 THEN 'STRONG NEGATIVE' WHEN momentum <= -1.5 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS state FROM g""",
+    SELECT *, CASE WHEN momentum >= 4 THEN 'STRONGLY POSITIVE' WHEN momentum >= 1.5 THEN 'POSITIVE' WHEN momentum <= -4 THEN 'STRONGLY NEGATIVE' WHEN momentum <= -1.5 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS state FROM g""",
 )
 def _(get):
     return A.analyst_momentum(get("analyst_rating_events"))
@@ -378,7 +377,7 @@ def _(get):
     return get("earnings_events").select("ticker", "seq", S.surprise_pct(F.col("eps_actual"), F.col("eps_estimate")).alias("surprise"))
 
 
-@query("f14_f15_labels", "SELECT ticker, prediction_date, CASE WHEN score > 0.5 THEN 'STRONG BUY SETUP' WHEN score > 0.2 THEN 'BULLISH SETUP' WHEN score > -0.2 THEN 'NEUTRAL' WHEN score > -0.5 THEN 'BEARISH SETUP' ELSE 'STRONG SELL SETUP' END AS setup, CASE WHEN score >= 0.2 THEN 'BULLISH' WHEN score <= -0.2 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment FROM {predictions}")
+@query("f14_f15_labels", "SELECT ticker, prediction_date, CASE WHEN score > 0.5 THEN 'STRONG BUY' WHEN score > 0.2 THEN 'BULLISH' WHEN score > -0.2 THEN 'NEUTRAL' WHEN score > -0.5 THEN 'BEARISH' ELSE 'STRONG SELL' END AS setup, CASE WHEN score >= 0.2 THEN 'BULLISH' WHEN score <= -0.2 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment FROM {predictions}")
 def _(get):
     return get("predictions").select("ticker", "prediction_date", S.tradeability_label(F.col("score")).alias("setup"), S.sentiment_label(F.col("score")).alias("sentiment"))
 
@@ -469,10 +468,9 @@ def _(get):
 
 @query("o03_implied_vol")
 def _(get):
-    """The volatility behind each model price, from the price alone (one session in 21, all strikes)."""
-    c = O.with_greeks(get("option_chain").where("iv is not null and dte = 35"))
-    t = F.col("dte") / F.lit(365.0)
-    return c.select("ticker", "trade_date", "opt_right", "strike", F.round("iv", 3).alias("iv"), F.round(O.implied_vol(F.col("price"), F.col("underlying_price"), F.col("strike"), t, F.col("opt_right"), 40), 3).alias("found"))
+    """The volatility behind each model price, from the price alone."""
+    c = O.with_greeks(get("option_chain").where("iv is not null")).select("ticker", "trade_date", "expiration", "opt_right", "strike", "underlying_price", F.round("iv", 3).alias("iv"), "price", (F.col("dte") / F.lit(365.0)).alias("t"))
+    return O.with_implied_vol(c, "price").select("ticker", "trade_date", "expiration", "opt_right", "strike", "iv", F.round("found", 3).alias("found"))
 
 
 # --- streaming forms, on the whole table ------------------------------------------------------------------------------------

@@ -37,8 +37,9 @@ def test_put_call_parity_and_iv_round_trip(spark):
     s, k, t, v = F.lit(100.0), F.lit(105.0), F.lit(0.25), F.lit(0.3)
     call, put = one(spark, O.price(s, k, t, v, F.lit("C"))), one(spark, O.price(s, k, t, v, F.lit("P")))
     assert call - put == pytest.approx(100 - 105 * math.exp(-0.042 * 0.25), abs=1e-9)
-    assert one(spark, O.implied_vol(F.lit(call), s, k, t, F.lit("C"))) == pytest.approx(0.3, abs=1e-5)
-    assert one(spark, O.implied_vol(F.lit(0.0), s, k, t, F.lit("C"))) is None
+    chain = spark.createDataFrame([(1, call, "C"), (2, put, "P"), (3, 0.0, "C"), (4, 200.0, "C")], "id int, p double, opt_right string").withColumns({"underlying_price": s, "strike": k, "t": t})
+    found = {r.id: r.found for r in O.with_implied_vol(chain, "p").collect()}
+    assert found[1] == pytest.approx(0.3, abs=1e-5) and found[2] == pytest.approx(0.3, abs=1e-5) and found[3] is None and found[4] is None
 
 
 def test_weekdays_between(spark):
@@ -75,9 +76,50 @@ def test_percentile_score_ties_and_small_groups(spark):
 
 
 def test_wilder_rsi_ends(spark):
-    up, down, short = [1.0] * 20, [-1.0] * 20, [1.0] * 14
-    f = lambda v: one(spark, W.wilder_rsi(F.array(*map(F.lit, v))))
-    assert f(up) == 100 and f(down) == 0 and f(short) is None
+    def f(values):
+        bars = spark.createDataFrame([("a", k, v) for k, v in enumerate([None, *values])], "ticker string, session_no int, ret double")
+        return {r.session_no: (r.rsi, r.n_returns, r.streak) for r in W.run_features(bars).collect()}[len(values)]
+
+    assert f([1.0] * 20) == (100, 20, 14) and f([-1.0] * 20) == (0, 20, -14) and f([1.0] * 14)[0] is None
+    assert f([-1.0, 1.0, 0.0])[2] == 2
+    values, g, drop = [math.sin(k) for k in range(130)], 0.0, 0.0
+    seen = values[-120:]
+    g, drop = sum(max(v, 0) for v in seen[:14]) / 14, sum(max(-v, 0) for v in seen[:14]) / 14
+    for v in seen[14:]:
+        g, drop = (g * 13 + max(v, 0)) / 14, (drop * 13 + max(-v, 0)) / 14
+    assert f(values)[0] == pytest.approx(100 - 100 / (1 + g / drop)) and f(values)[1] == 120
+
+
+def test_headline_keys_golden(spark):
+    import hashlib
+
+    key = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    for text in ("Fed holds rates", "UPDATE 2-Fed holds rates", "CORRECTED: Fed holds rates!", "correct 3 - Fed holds rates", "Reuters – Fed holds rates", "dow jones st.  — Fed  holds, rates"):
+        assert one(spark, S.headline_key(F.lit(text))) == key("fed holds rates"), text
+    assert one(spark, S.headline_key(F.lit(""))) == ""
+
+
+@pytest.mark.parametrize(("name", "category", "importance"), [("FOMC minutes", "Fed / Rates", "High"), ("Consumer price index", "Inflation", "Low"), ("Core CPI", "Inflation", "High"), ("ADP employment", "Labour", "Medium"), ("GDP", "GDP", "High"), ("ISM services", "Manufacturing", "Medium"), ("Housing starts", "Housing", "Medium"), ("Trade balance", "Trade", "Low"), ("10-year auction", "Treasury", "Low"), ("Parade", "Other", "Low")])
+def test_macro_names_golden(spark, name, category, importance):
+    assert (one(spark, S.macro_category(F.lit(name))), one(spark, S.macro_importance(F.lit(name)))) == (category, importance)
+
+
+@pytest.mark.parametrize(("rating", "value"), [("Strong Buy", 1.0), ("buy", 0.6), ("Outperform", 0.5), ("market_perform", 0.0), ("Underweight", -0.5), ("SELL", -0.8), ("odd", None)])
+def test_rating_values_golden(spark, rating, value):
+    assert one(spark, S.rating_value(F.lit(rating))) == value
+
+
+def test_analyst_events_golden(spark):
+    rows = [("Upgrades", "Increases", None, 3.0), ("downgrade", "Decreases", None, -3.0), ("Reinstated", "", "Strong Buy", 1.5), ("Initiates", "Cuts", "Underweight", -2.5), (None, None, None, 0.0)]
+    df = spark.createDataFrame(rows, "a string, p string, r string, want double")
+    assert df.where(A.analyst_event_score(F.col("a"), F.col("p"), F.col("r")) != F.col("want")).isEmpty()
+    assert one(spark, A.momentum_state(F.lit(4.0))) == "STRONGLY POSITIVE" and one(spark, A.momentum_state(F.lit(-1.5))) == "NEGATIVE"
+
+
+def test_composite_covers_the_full_weight_and_may_be_null(spark):
+    df = spark.createDataFrame([(0.5, 1.0, None, 0.0, 0.2, 0.1), (0.5, 0.1, None, 0.0, 0.2, 0.1)], "technical double, technical_conf double, momentum double, momentum_conf double, volume_signal double, volume_conf double")
+    a, b = M.composite(df).collect()
+    assert (a.score, a.coverage, a.possible) == (0.5, 0.13, 0.39) and b.score is None and b.label is None
 
 
 def test_past_scores_ignore_the_future(spark):
