@@ -144,5 +144,6 @@ def backtest_summary(observations: DataFrame, horizons: tuple[int, ...] = (5, 10
     """Forward returns by label and holding period, against the mean of all rows of the period."""
     long = observations.select("label", F.explode(F.array(*[F.struct(F.lit(h).alias("holding_days"), F.col(f"fwd_{h}").alias("r")) for h in horizons])).alias("x")).select("label", "x.*").where("r is not null")
     g = long.groupBy("label", "holding_days").agg(F.count("*").alias("n"), F.avg("r").alias("mean_return"), F.median("r").alias("median_return"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.coalesce(F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0)) * F.sqrt(F.lit(252.0) / F.first("holding_days")), F.lit(0.0)).alias("sharpe"), F.max("r").alias("best"), F.min("r").alias("worst"))
-    base = long.groupBy("holding_days").agg(F.avg("r").alias("benchmark_mean"), F.avg((F.col("r") > 0).cast("double")).alias("benchmark_win_rate"))
-    return g.join(F.broadcast(base), "holding_days").withColumn("excess", F.col("mean_return") - F.col("benchmark_mean"))  # one row for each horizon
+    every = Window.partitionBy("holding_days")  # one row for each label: the means of all rows follow from theirs
+    mean = lambda c: F.sum(F.col(c) * F.col("n")).over(every) / F.sum("n").over(every)
+    return g.withColumns({"benchmark_mean": mean("mean_return"), "benchmark_win_rate": mean("win_rate")}).withColumn("excess", F.col("mean_return") - F.col("benchmark_mean"))

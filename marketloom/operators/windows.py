@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -98,9 +99,9 @@ def run_features(bars: DataFrame, bars_seen: int = 120, period: int = 14, run: i
     ``streak`` (signed run of up, zero counts, or down days that ends here, within ``run`` returns).  One Arrow pass over a
     ticker's history, which one task holds (its sessions bound it), in blocks of rows."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session_no", kind="stable")
-        r = pdf["ret"].to_numpy(float)
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("session_no")
+        r = table["ret"].to_numpy(zero_copy_only=False).astype(float)
         n = len(r)
         padded = np.concatenate([np.full(bars_seen - 1, np.nan), r])
         rsi, count, streak = np.full(n, np.nan), np.zeros(n, np.int32), np.full(n, np.nan)
@@ -119,11 +120,12 @@ def run_features(bars: DataFrame, bars_seen: int = 120, period: int = 14, run: i
             same = ((tail >= 0) == up[:, None]) & (np.arange(tail.shape[1])[None, :] < have[:, None])
             length = np.where(same.all(axis=1), same.shape[1], np.argmin(same, axis=1))
             streak[lo:hi] = np.where(have > 0, np.where(up, length, -length), np.nan)
-        return pdf.assign(rsi=rsi, n_returns=count, streak=streak)
+        for name, v, kind in (("rsi", rsi, pa.float64()), ("n_returns", count, pa.int32()), ("streak", streak, pa.int32())):
+            table = table.append_column(name, pa.array(v, kind, from_pandas=True))
+        return table
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema)
-    out = bars.groupBy("ticker").applyInPandas(add, f"{kinds}, rsi double, n_returns int, streak double")
-    return out.withColumns({"rsi": F.nanvl("rsi", F.lit(None).cast("double")), "streak": F.nanvl("streak", F.lit(None).cast("double")).cast("int")})
+    return bars.groupBy("ticker").applyInArrow(add, f"{kinds}, rsi double, n_returns int, streak int")
 
 
 def forward(n: int) -> Column:
@@ -162,8 +164,9 @@ def percentile_score(value: Column, by: list[str], higher: bool = True, least: i
     some = value.isNotNull()
     group = Window.partitionBy(*by)
     n = F.count(value).over(group)
-    rank = F.rank().over(group.orderBy(value.asc_nulls_last())) - 1
-    ties = F.count(value).over(Window.partitionBy(*by, value)) - 1
+    ordered = group.orderBy(value.asc_nulls_last())  # one sort gives both ends of a row of ties
+    rank = F.rank().over(ordered) - 1
+    ties = F.count(value).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - 1 - rank
     flat = F.min(value).over(group) == F.max(value).over(group)
     score = F.round(((rank + ties / 2) / (n - 1) * 2 - 1) * (1 if higher else -1), digits)
     return F.when(some & (n >= least), F.when(flat, 0.0).otherwise(score))
