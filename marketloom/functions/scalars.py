@@ -50,13 +50,18 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def keyword_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda k: k != "")
+    return F.filter(F.transform(F.split(text, ","), strip), lambda k: k != "")
 
 
 def normalize_ticker(text: Column) -> Column:
     """The ticker in upper case, or null where it is not one."""
-    t = F.upper(F.trim(text))
+    t = F.upper(strip(text))
     return F.when(t.rlike(r"^[A-Z0-9][A-Z0-9.\-]{0,14}$"), t)
 
 

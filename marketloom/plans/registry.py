@@ -501,4 +501,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import market  # noqa: E402, F401  registers the rest
+from . import context, market  # noqa: E402, F401  these register the rest

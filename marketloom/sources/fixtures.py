@@ -103,6 +103,28 @@ SELECT o_orderkey AS id, o_custkey % s.n AS ticker, DATE '2020-01-01' + CAST(40
        CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(100 + (o_orderkey * 3) % 900 AS DOUBLE) END AS planned_max_loss,
        2 + o_orderkey % 40 AS holding_days
 FROM {orders} CROSS JOIN (SELECT COUNT(*) AS n FROM {supplier}) s
+""",
+    "macro_events": """
+SELECT o_orderkey AS id, CASE o_orderkey % 12 WHEN 0 THEN 'FOMC minutes' WHEN 1 THEN 'Consumer price index' WHEN 2 THEN 'Core CPI' WHEN 3 THEN 'ADP employment'
+         WHEN 4 THEN 'GDP second estimate' WHEN 5 THEN 'Retail sales' WHEN 6 THEN 'ISM services' WHEN 7 THEN 'Housing starts' WHEN 8 THEN 'Trade balance'
+         WHEN 9 THEN '10-year auction' WHEN 10 THEN 'Nonfarm payroll' ELSE 'Town parade' END AS name,
+       DATE '2020-01-01' + CAST(o_orderkey % 400 AS INT) AS event_date, CAST(o_orderkey % 24 AS INT) AS event_hour
+FROM {orders} WHERE o_orderkey % 5 = 1
+""",
+    "rates": """
+SELECT trade_date, CASE WHEN SUM(volume) % 17 = 0 THEN NULL ELSE (250 + SUM(volume * 3) % 260) / CAST(100 AS DOUBLE) END AS two_year,
+       (300 + SUM(volume * 7) % 200) / CAST(100 AS DOUBLE) AS ten_year FROM {bars} GROUP BY trade_date
+""",
+    "snapshots": """
+SELECT s_suppkey AS ticker, (500 + (s_suppkey * 7919) % 20000) / CAST(100 AS DOUBLE) AS price, ((s_suppkey * 104729) % 801 - 400) / CAST(100 AS DOUBLE) AS change_pct,
+       CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE ((s_suppkey * 31) % 140) / CAST(10 AS DOUBLE) END AS short_ratio,
+       CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN ((s_suppkey * 13) % 30) / CAST(100 AS DOUBLE) ELSE CAST((s_suppkey * 13) % 30 AS DOUBLE) END AS short_pct_float,
+       CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE (10 + (s_suppkey * 17) % 40) / CAST(10 AS DOUBLE) END AS analyst_mean_score,
+       CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE (500 + (s_suppkey * 7907) % 26000) / CAST(100 AS DOUBLE) END AS target_price,
+       CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE ((s_suppkey * 23) % 250) / CAST(100 AS DOUBLE) END AS beta,
+       CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST((s_suppkey * 37) % 101 AS DOUBLE) END AS iv_rank,
+       CASE WHEN s_suppkey % 8 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN ((s_suppkey * 41) % 90) / CAST(100 AS DOUBLE) ELSE CAST((s_suppkey * 41) % 90 AS DOUBLE) END AS iv
+FROM {supplier}
 """,
     "ticks": """
 SELECT event_id, ts, user_id % 8 AS ticker, 100 + (event_id * 7919 % 401 - 200) / CAST(100 AS DOUBLE) AS price,
