@@ -100,4 +100,4 @@ def iv_rank(iv: DataFrame, days: int = 365, least: int = 20) -> DataFrame:
     lo, hi, n = F.min("iv").over(w), F.max("iv").over(w), F.count("iv").over(w)
     below = F.size(F.filter(F.collect_list("iv").over(w), lambda x: x < F.col("iv")))
     some = n >= least
-    return iv.withColumn("day", day).select("ticker", "snapshot_date", "iv", F.when(some, F.when(hi > lo, (F.col("iv") - lo) / (hi - lo) * 100).otherwise(50.0)).alias("iv_rank"), F.when(some, below * 100.0 / n).alias("iv_percentile"), n.alias("days"))
+    return iv.withColumn("day", day).select("ticker", "snapshot_date", "iv", lo.alias("low"), hi.alias("high"), F.when(some, F.when(hi - lo > 1e-9, (F.col("iv") - lo) / (hi - lo) * 100).otherwise(50.0)).alias("iv_rank"), F.when(some, below * 100.0 / n).alias("iv_percentile"), n.alias("days"))

@@ -431,29 +431,29 @@ def _(get):
     return O.with_greeks(get("option_chain").where("iv is not null")).select(*CHAIN, "prob_itm")
 
 
-_DELTA = f"(SELECT ticker, trade_date, strike, bid, ask, ROUND(ABS(n1 - 1), 5) + CASE WHEN bid >= 0.05 AND open_interest >= 100 AND volume >= 10 AND (ask - bid) / ((ask + bid) / 2) <= 0.10 THEN 0 ELSE 10 END AS d FROM {_N} WHERE dte = 35 AND opt_right = 'P')"
+_DELTA = f"(SELECT ticker, trade_date, dte, strike, bid, ask, ROUND(ABS(n1 - 1), 5) + CASE WHEN bid >= 0.05 AND open_interest >= 100 AND volume >= 10 AND (ask - bid) / ((ask + bid) / 2) <= 0.10 THEN 0 ELSE 10 END AS d FROM {_N} WHERE opt_right = 'P')"
 _COST = "ROUND(ABS((CASE WHEN d >= 10 THEN d - 10 ELSE d END) - {target}) + CASE WHEN d >= 10 THEN 0.15 ELSE 0 END, 5)"
 
 
 @query(
     "t03_o06_put_spread_legs",
-    f"""WITH c AS {_DELTA}, s AS (SELECT * FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker, trade_date ORDER BY {_COST.replace('{target}', '0.30')}, strike) = 1),
-    l AS (SELECT c.* FROM c JOIN s ON s.ticker = c.ticker AND s.trade_date = c.trade_date AND s.strike <> c.strike QUALIFY ROW_NUMBER() OVER (PARTITION BY c.ticker, c.trade_date ORDER BY {_COST.replace('{target}', '0.15').replace(' d ', ' c.d ').replace('THEN d -', 'THEN c.d -')}, c.strike) = 1)
-    SELECT s.ticker, s.trade_date, s.strike AS short_strike, l.strike AS long_strike, ROUND(l.ask - s.bid, 4) AS net_debit, ROUND((l.ask + l.bid) / 2 - (s.ask + s.bid) / 2, 4) AS net_debit_mid FROM s LEFT JOIN l USING (ticker, trade_date)""",
+    f"""WITH c AS {_DELTA}, s AS (SELECT * FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker, trade_date, dte ORDER BY {_COST.replace('{target}', '0.30')}, strike) = 1),
+    l AS (SELECT c.* FROM c JOIN s ON s.ticker = c.ticker AND s.trade_date = c.trade_date AND s.dte = c.dte AND s.strike <> c.strike QUALIFY ROW_NUMBER() OVER (PARTITION BY c.ticker, c.trade_date, c.dte ORDER BY {_COST.replace('{target}', '0.15').replace(' d ', ' c.d ').replace('THEN d -', 'THEN c.d -')}, c.strike) = 1)
+    SELECT s.ticker, s.trade_date, s.dte, s.strike AS short_strike, l.strike AS long_strike, ROUND(l.ask - s.bid, 4) AS net_debit, ROUND((l.ask + l.bid) / 2 - (s.ask + s.bid) / 2, 4) AS net_debit_mid FROM s LEFT JOIN l ON l.ticker = s.ticker AND l.trade_date = s.trade_date AND l.dte = s.dte""",
     4,
 )
 def _(get):
     """Two legs in turn: the second may not take the first one's strike.  Both come from one pass over a chain's day,
-    whose puts at one expiry are a bounded list."""
-    c = O.with_greeks(get("option_chain").where("iv is not null and dte = 35 and opt_right = 'P'"))
+    whose puts at one expiry are a bounded list.  Every expiry of a day has its spread."""
+    c = O.with_greeks(get("option_chain").where("iv is not null and opt_right = 'P'"))
     strict = (F.col("bid") >= 0.05) & (F.col("open_interest") >= 100) & (F.col("volume") >= 10) & ((F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2) <= 0.10)
     cost = lambda target: F.round(F.abs(F.round(F.abs("delta"), 5) - target) + F.when(strict, 0.0).otherwise(0.15), 5)
     quote = F.struct("strike", "bid", "ask")
     short = F.min_by(quote, F.struct(cost(0.30), "strike"))
     longs = F.sort_array(F.collect_list(F.struct(cost(0.15).alias("cost"), "strike", "bid", "ask")))
-    g = c.groupBy("ticker", "trade_date").agg(short.alias("s"), longs.alias("ls")).withColumn("l", F.get(F.filter("ls", lambda x: x["strike"] != F.col("s.strike")), F.lit(0)))
+    g = c.groupBy("ticker", "trade_date", "dte").agg(short.alias("s"), longs.alias("ls")).withColumn("l", F.get(F.filter("ls", lambda x: x["strike"] != F.col("s.strike")), F.lit(0)))
     mid = lambda leg: (F.col(f"{leg}.ask") + F.col(f"{leg}.bid")) / 2
-    return g.select("ticker", "trade_date", F.col("s.strike").alias("short_strike"), F.col("l.strike").alias("long_strike"), (F.col("l.ask") - F.col("s.bid")).alias("net_debit"), (mid("l") - mid("s")).alias("net_debit_mid"))
+    return g.select("ticker", "trade_date", "dte", F.col("s.strike").alias("short_strike"), F.col("l.strike").alias("long_strike"), (F.col("l.ask") - F.col("s.bid")).alias("net_debit"), (mid("l") - mid("s")).alias("net_debit_mid"))
 
 
 _ATM = "(SELECT ticker, trade_date, dte, AVG(iv) AS atm FROM (SELECT * FROM {option_chain} WHERE iv > 0.01 AND iv < 5 QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker, trade_date, dte, opt_right ORDER BY ABS(strike - underlying_price), strike) = 1) GROUP BY ticker, trade_date, dte)"

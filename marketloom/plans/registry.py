@@ -187,18 +187,19 @@ def _(get):
     return get("bars").select(*KEY, W.percentile_last("close", 60).alias("pct"))
 
 
-_IV = "(SELECT ticker, trade_date AS snapshot_date, AVG(iv) AS iv FROM {option_chain} WHERE iv IS NOT NULL GROUP BY ticker, trade_date)"
+_IV = "(SELECT ticker, trade_date AS snapshot_date, 0.2 + ((ticker * 31 + session_no * 17) % 97) / CAST(400 AS DOUBLE) AS iv FROM {bars} WHERE session_no % 7 = 0)"
 
 
 @query(
     "w24_iv_rank",
     f"""WITH s AS {_IV}, a AS (SELECT s.ticker, s.snapshot_date, s.iv, MIN(p.iv) AS lo, MAX(p.iv) AS hi, COUNT(*) AS n, COUNT(*) FILTER (WHERE p.iv < s.iv) AS below
       FROM s JOIN s p ON p.ticker = s.ticker AND p.snapshot_date BETWEEN s.snapshot_date - 365 AND s.snapshot_date GROUP BY s.ticker, s.snapshot_date, s.iv)
-    SELECT ticker, snapshot_date, ROUND(iv, 6) AS iv, ROUND(CASE WHEN n >= 10 THEN CASE WHEN hi - lo > 1e-9 THEN ROUND((iv - lo) / (hi - lo) * 100, 3) ELSE 50 END END, 3) AS iv_rank, n AS days FROM a""",
+    SELECT ticker, snapshot_date, ROUND(iv, 6) AS iv, ROUND(lo, 6) AS low, ROUND(hi, 6) AS high, ROUND(CASE WHEN n >= 20 THEN CASE WHEN hi - lo > 1e-9 THEN (iv - lo) / (hi - lo) * 100 ELSE 50 END END, 4) AS iv_rank, ROUND(CASE WHEN n >= 20 THEN below * 100.0 / n END, 4) AS iv_percentile, n AS days FROM a""",
 )
 def _(get):
-    iv = get("option_chain").where("iv is not null").groupBy("ticker", F.col("trade_date").alias("snapshot_date")).agg(F.avg("iv").alias("iv"))
-    return M.iv_rank(iv, least=10).select("ticker", "snapshot_date", "iv", F.round("iv_rank", 3).alias("iv_rank"), "days")
+    """Chain snapshots of every seventh session, so that a year holds enough of them."""
+    iv = get("bars").where("session_no % 7 = 0").select("ticker", F.col("trade_date").alias("snapshot_date"), F.expr("0.2D + ((ticker * 31 + session_no * 17) % 97) / 400D").alias("iv"))
+    return M.iv_rank(iv).select("ticker", "snapshot_date", "iv", "low", "high", F.round("iv_rank", 4).alias("iv_rank"), F.round("iv_percentile", 4).alias("iv_percentile"), "days")
 
 
 # --- signals and backtest --------------------------------------------------------------------------------------------
@@ -360,9 +361,10 @@ def _(get):
     return A.portfolio_risk(A.trade_metrics(get("trades")))
 
 
-@query("w28_pnl_curve", f"SELECT id, {r(cumulative='SUM(pnl) OVER (ORDER BY opened_date + CAST(holding_days AS INT), id ROWS UNBOUNDED PRECEDING)')} FROM {_METRICS} WHERE status = 'CLOSED' AND ticker = 3")
+@query("w28_pnl_curve", f"SELECT id, {r(cumulative='SUM(pnl) OVER (PARTITION BY ticker ORDER BY opened_date + CAST(holding_days AS INT), id ROWS UNBOUNDED PRECEDING)')} FROM {_METRICS} WHERE status = 'CLOSED'")
 def _(get):
-    t = A.trade_metrics(get("trades").where("ticker = 3")).where("status = 'CLOSED'")
+    """A curve for each ticker; the one over all trades follows."""
+    t = A.trade_metrics(get("trades")).where("status = 'CLOSED'")
     w = Window.partitionBy("ticker").orderBy(F.date_add("opened_date", F.col("holding_days").cast("int")), "id").rowsBetween(Window.unboundedPreceding, 0)
     return t.select("id", F.sum("pnl").over(w).alias("cumulative"))
 
@@ -458,12 +460,12 @@ def _(get):
 
 @query(
     "a22_atm_iv",
-    """WITH k AS (SELECT ticker, trade_date, iv, ROW_NUMBER() OVER (PARTITION BY ticker, trade_date, opt_right ORDER BY ABS(strike - underlying_price), strike) AS k FROM {option_chain} WHERE dte = 35 AND iv > 0.01 AND iv < 3)
-    SELECT ticker, trade_date, ROUND(MEDIAN(iv), 6) AS atm_iv FROM k WHERE k <= 2 GROUP BY ticker, trade_date""",
+    """WITH k AS (SELECT ticker, trade_date, dte, iv, ROW_NUMBER() OVER (PARTITION BY ticker, trade_date, dte, opt_right ORDER BY ABS(strike - underlying_price), strike) AS k FROM {option_chain} WHERE iv > 0.01 AND iv < 3)
+    SELECT ticker, trade_date, dte, ROUND(MEDIAN(iv), 6) AS atm_iv FROM k WHERE k <= 2 GROUP BY ticker, trade_date, dte""",
 )
 def _(get):
-    near = J.latest_n(get("option_chain").where("dte = 35 and iv > 0.01 and iv < 3"), ["ticker", "trade_date", "opt_right"], [F.abs(F.col("strike") - F.col("underlying_price")), F.col("strike")], 2)
-    return near.groupBy("ticker", "trade_date").agg(F.median("iv").alias("atm_iv"))
+    near = J.latest_n(get("option_chain").where("iv > 0.01 and iv < 3"), ["ticker", "trade_date", "dte", "opt_right"], [F.abs(F.col("strike") - F.col("underlying_price")), F.col("strike")], 2)
+    return near.groupBy("ticker", "trade_date", "dte").agg(F.median("iv").alias("atm_iv"))
 
 
 @query("o03_implied_vol")

@@ -28,3 +28,10 @@ def activity(events: DataFrame, gap: str = "30 minutes", key: str = "ticker", la
 def dedupe(articles: DataFrame, keys: list[str], late: str = "7 days") -> DataFrame:
     """One row of each key while its watermark lasts; join the stored table with ``insert_new`` for older ones."""
     return articles.withWatermark("published_at", late).dropDuplicatesWithinWatermark(keys)
+
+
+def alerts(scores: DataFrame, session: str = "1 day", bull: float = 0.6, bear: float = -0.3) -> DataFrame:
+    """One alert for a ticker, direction and session, at the first score that fires."""
+    direction = F.when(F.col("score") >= bull, "BULLISH").when(F.col("score") <= bear, "BEARISH")
+    fired = scores.withColumn("direction", direction).where("direction is not null").withWatermark("at", session)
+    return fired.groupBy("ticker", "direction", F.window("at", session)).agg(F.min("at").alias("first_at"), F.count("*").alias("fired")).select("ticker", "direction", F.col("window.start").alias("session"), "first_at", "fired")
