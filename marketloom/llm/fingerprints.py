@@ -33,7 +33,7 @@ from .common import cut, integer_id, partitions, text_column
 #: Digests for each cell of a part of a fingerprint, and its least cells; cells of a part for each digest in a comparison,
 #: their least and most, and how much wider the next try is.
 DIGESTS, LEAST_CELLS = 8, 8
-WIDER, FIRST_CELLS, MOST_CELLS, NEXT = 16, 1 << 10, 1 << 20, 16
+WIDER, FIRST_CELLS, MOST_CELLS, NEXT = 64, 1 << 14, 1 << 20, 16
 #: Tries of a comparison, and turns over the three parts in each.
 TRIES, TURNS = 3, 2
 #: Rows of an id range.
@@ -180,15 +180,18 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text", recovered:
             (taken(EDIT) + stuck(EDIT)).alias("d_edit"), (taken(STEP) + stuck(STEP)).alias("d_step"), (stuck(EDIT) + stuck(STEP)).alias("stuck"), cell(OWN).alias("own"), cell(OTHER).alias("other"), *more,
         )
 
-    done = whole(run(keyed, WIDER))
+    near = lambda a, b, d: F.expr(f"CASE WHEN {a} + {b} = 0 THEN 1D ELSE greatest(0D, ({a} + {b} - {d}) / cast({a} + {b} + {d} as double)) END")
+    text_of = lambda c, n: F.expr(f"concat({n}, ':', coalesce(get({c}, 0).size, {LEAST_CELLS}), ':', array_join(transform(sort_array({c}), c -> concat(c.at, '.', c.n, '.', hex(c.k), '.', hex(c.h))), ','))")
+    digest = F.expr("lower(concat(" + ", ".join(f"lpad(hex(w{k}), 16, '0')" for k in range(4)) + "))")
+    columns = [F.col("id").alias(id), "n_chars", digest.alias("edited_sha256"), text_of("own", "n_own").alias("fingerprint"), text_of("other", "n_other").alias("edited_fingerprint"), near("n_own", "n_other", "d_edit").alias("near_edited"), near("n_own", "n_following", "d_step").alias("near_next"), *(["lost", "gained"] if recovered else [])]
+
+    done = whole(run(keyed, WIDER)).select("bucket", "place", "stuck", *columns)
     for k in range(1, TRIES):
         done = cut(done)
         failed = done.where("stuck > 0").select("bucket", "place")
         if failed.isEmpty():
             break
-        again = whole(run(keyed.join(F.broadcast(failed), ["bucket", "place"], "left_semi"), WIDER * NEXT**k))  # one row in some 100,000
+        # one row in some 100 million: their ids are few, and only their texts are gone through again
+        again = whole(run(keyed.join(F.broadcast(failed), ["bucket", "place"], "left_semi"), WIDER * NEXT**k)).select("bucket", "place", "stuck", *columns)
         done = done.where("stuck = 0").unionByName(again)
-    near = lambda a, b, d: F.expr(f"CASE WHEN {a} + {b} = 0 THEN 1D ELSE greatest(0D, ({a} + {b} - {d}) / cast({a} + {b} + {d} as double)) END")
-    text_of = lambda c, n: F.expr(f"concat({n}, ':', coalesce(get({c}, 0).size, {LEAST_CELLS}), ':', array_join(transform(sort_array({c}), c -> concat(c.at, '.', c.n, '.', hex(c.k), '.', hex(c.h))), ','))")
-    digest = F.expr("lower(concat(" + ", ".join(f"lpad(hex(w{k}), 16, '0')" for k in range(4)) + "))")
-    return done.select(F.col("id").alias(id), "n_chars", digest.alias("edited_sha256"), text_of("own", "n_own").alias("fingerprint"), text_of("other", "n_other").alias("edited_fingerprint"), near("n_own", "n_other", "d_edit").alias("near_edited"), near("n_own", "n_following", "d_step").alias("near_next"), *(["lost", "gained"] if recovered else []))
+    return done.drop("bucket", "place", "stuck")
