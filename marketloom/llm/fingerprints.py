@@ -25,10 +25,12 @@ any name; texts of any length are read whole.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, integer_id, partitions, text_column
+from .common import integer_id, partitions, shared_dir, text_column
 
 #: Digests for each cell of a part of a fingerprint, and its least cells; cells of a part for each digest in a comparison,
 #: their least and most, and how much wider the next try is.
@@ -37,7 +39,7 @@ WIDER, FIRST_CELLS, MOST_CELLS, NEXT = 64, 1 << 14, 1 << 20, 16
 #: Tries of a comparison, and turns over the three parts in each.
 TRIES, TURNS = 3, 2
 #: Rows of an id range.
-RANGE = 500
+RANGE = 250
 #: Least and most code points of a piece that is cut inside a sentence.
 LEAST, MOST = 64, 192
 PIECE = f"(?s).{{{LEAST - 1},{MOST - 1}}}?[aeiout,;:](?= )|.{{1,{MOST}}}(?![^ ])|.{{1,{MOST}}}"
@@ -187,7 +189,9 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text", recovered:
 
     done = whole(run(keyed, WIDER)).select("bucket", "place", "stuck", *columns)
     for k in range(1, TRIES):
-        done = cut(done)
+        path = f"{shared_dir(docs.sparkSession)}/fingerprints-{uuid.uuid4().hex}"
+        done.write.option("compression", "zstd").parquet(path)  # compressed, as a checkpoint is not
+        done = docs.sparkSession.read.parquet(path)
         failed = done.where("stuck > 0").select("bucket", "place")
         if failed.isEmpty():
             break
