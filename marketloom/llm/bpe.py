@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, binary_array, mix, partitions, ragged, slices, text_column
+from .common import arrow_batches, binary_array, mix, partitions, ragged, slices, text_column, utf8
 
 #: Units that a task keeps; the longest unit in the exact 24-byte table, and in the table of longer ones.
 MEMO_UNITS, TABLE_BYTES, LONG_BYTES = 1 << 20, 24, 96
@@ -109,14 +109,46 @@ class Codec:
         self.size, self.at, self.count, self.ids = _Ids(np.int32), _Ids(np.int64), _Ids(np.int64), _Ids(np.uint32)
         self.long: dict[bytes, int] = {}
 
+    def _alone(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, one after the other, and how many each has."""
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        counts = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(counts.sum())), counts
+
+    def _together(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``_alone``, for units with a space before a visible character and a visible end: put one after the other they
+        are a text whose units they are, so one call encodes all.  None if a token goes over a unit's end after all."""
+        text = raw[ragged(starts, size)].tobytes().decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        at, ends = np.cumsum(self.token_size[ids]), np.cumsum(size)
+        last = np.searchsorted(at, ends)
+        if len(at) == 0 or at[-1] != ends[-1] or (at[last] != ends).any():
+            return None
+        return ids, np.diff(last, prepend=-1)
+
+    def _add_units(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+        """Encode units that stand in ``raw`` and keep their ids; their entry numbers."""
+        ends = starts + size
+        plain = (size > 1) & (raw[starts] == 0x20) & _PLAIN[raw[np.minimum(starts + 1, len(raw) - 1)]] & _PLAIN[raw[ends - 1]]
+        out = np.empty(len(starts), np.int64)
+        coded = self._together(raw, starts[plain], size[plain]) if plain.any() else None
+        if coded:
+            out[plain] = self._keep(*coded, [k[plain] for k in keys], size[plain])
+        rest = np.flatnonzero(~plain) if coded else np.arange(len(starts))
+        if len(rest):
+            data = raw.tobytes()
+            out[rest] = self._add([data[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)], [k[rest] for k in keys], size[rest])
+        return out
+
     def _add(self, texts: list[bytes], keys: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
         """Encode units and keep their ids; their entry numbers."""
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        return self._keep(*self._alone(texts), keys, sizes)
+
+    def _keep(self, ids: np.ndarray, counts: np.ndarray, keys: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
         first = self.size.n
-        counts = np.fromiter(map(len, coded), np.int64, len(coded))
         self.at.extend(self.ids.n + np.cumsum(counts) - counts)
         self.count.extend(counts)
-        self.ids.extend(np.fromiter(chain.from_iterable(coded), np.uint32, int(counts.sum())))
+        self.ids.extend(ids)
         for have, more in zip(self.key, keys, strict=True):
             have.extend(more)
         self.size.extend(sizes)
@@ -127,28 +159,28 @@ class Codec:
         if self.size.n > MEMO_UNITS or self.ids.n > 16 * MEMO_UNITS:
             self._forget()
         starts = units(raw, off) if len(raw) else np.zeros(0, np.int64)
-        size = np.diff(starts, append=len(raw))
+        distinct = binary_array(raw, np.append(starts, len(raw))).dictionary_encode()
+        which, first = distinct.indices.to_numpy(), np.searchsorted(starts, off)
+        raw, bounds = utf8(distinct.dictionary)
+        starts, size = bounds[:-1], np.diff(bounds)
         padded = np.concatenate([raw, np.zeros(TABLE_BYTES + 8, np.uint8)])
         word = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
         keys = [word[starts + 8 * k] & _LOW_BYTES[np.clip(size - 8 * k, 0, 8)] for k in range(3)]
         h = mix(keys[0] + mix(keys[1] + mix(keys[2] + size.astype(np.uint64))))
-        slot = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
-        entry = self.slot[slot].astype(np.int64)
-        hit = (entry >= 0) & (size <= TABLE_BYTES) & (self.size.data[entry] == size)
-        for have, k in zip(self.key, keys, strict=True):
-            hit &= have.data[entry] == k
+        slots = [((h >> np.uint64(k)) & np.uint64(_SLOTS - 1)).astype(np.int64) for k in (0, 32)]
+        entry, hit = np.full(len(size), -1, np.int64), np.zeros(len(size), bool)
+        for slot in slots:
+            at = self.slot[slot].astype(np.int64)
+            same = (at >= 0) & (size <= TABLE_BYTES) & (self.size.data[at] == size)
+            for have, k in zip(self.key, keys, strict=True):
+                same &= have.data[at] == k
+            entry[same] = at[same]
+            hit |= same
         new = np.flatnonzero(~hit & (size <= TABLE_BYTES))
         if len(new):
-            order = new[np.lexsort((size[new], keys[2][new], keys[1][new], keys[0][new]))]
-            head = np.ones(len(order), bool)
-            head[1:] = size[order][1:] != size[order][:-1]
-            for k in keys:
-                head[1:] |= k[order][1:] != k[order][:-1]
-            one = order[head]
-            data = raw.tobytes()
-            got = self._add([data[a:b] for a, b in zip(starts[one].tolist(), (starts + size)[one].tolist(), strict=True)], [k[one] for k in keys], size[one])
-            self.slot[slot[one]] = got
-            entry[order] = got[np.cumsum(head) - 1]
+            got = entry[new] = self._add_units(raw, starts[new], size[new], [k[new] for k in keys])
+            free = self.slot[slots[0][new]] < 0  # else the unit goes to its other slot
+            self.slot[np.where(free, slots[0][new], slots[1][new])] = got
         far = np.flatnonzero(size > TABLE_BYTES).tolist()
         if far:
             texts = [raw[starts[k] : starts[k] + size[k]].tobytes() for k in far]
@@ -157,7 +189,7 @@ class Codec:
             known = self.long | dict(zip(ask, self._add(ask, [zero] * 3, zero.astype(np.int32)).tolist(), strict=True)) if ask else self.long
             entry[far] = [known[t] for t in texts]
             self.long.update({t: known[t] for t in ask if len(t) <= LONG_BYTES})
-        return entry, np.searchsorted(starts, off)
+        return entry[which], first
 
     def encode_slice(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts of a slice, one after the other, and the n + 1 offsets of each text's ids."""
