@@ -137,9 +137,9 @@ def pack(sized: DataFrame, id: str = "doc_id", size: str = "n_tokens", source: s
     return dealt.groupBy("block").applyInArrow(_pack(capacity), f"id {kind}, piece long, n_tokens long, bin_id string, bin_offset long").withColumnRenamed("id", id)
 
 
-def sized(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``id``, ``n_tokens``, ``source`` and ``cluster`` (SHA-256 of the text with A-Z lower-cased and white space
-    collapsed) of each row.  Long texts are counted by their own task; nothing is shuffled."""
+def sized(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", source: str = "source", linked: bool = False) -> DataFrame:
+    """``id``, ``n_tokens``, ``source`` and ``cluster`` (SHA-256 of the text lower-cased and with white space collapsed) of
+    each row; nothing is shuffled.  ``linked`` leaves the cluster null where ``with_components`` puts the component."""
     arrow_batches(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
 
@@ -152,7 +152,10 @@ def sized(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text
 
     text_ = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id).alias(id), F.col(source).cast("string").alias("source"), text_.alias("text"))
-    rows = rows.withColumn("cluster", F.sha2(F.regexp_replace(F.trim(F.lower("text")), "\\s+", " "), 256))
+    cluster = F.sha2(F.regexp_replace(F.trim(F.lower("text")), "\\s+", " "), 256)
+    if linked:
+        cluster = F.when(F.col(id).isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), cluster)
+    rows = rows.withColumn("cluster", cluster)
     return rows.mapInArrow(run, f"`{id}` {kind}, n_tokens long, source string, cluster string")
 
 

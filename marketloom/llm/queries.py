@@ -47,7 +47,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes are token counts; a duplicate cluster is a component of near copies (op3)."""
     docs = _table(spark, sf_dir, "documents")
-    sized = packing.sized(docs, public_tokenizers.path(VOCABULARY))
+    sized = packing.sized(docs, public_tokenizers.path(VOCABULARY), linked=True)
     return packing.pack(packing.with_components(sized, near_dedup.link(docs)))
 
 
