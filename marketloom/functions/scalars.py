@@ -186,3 +186,65 @@ def macro_importance(name: Column) -> Column:
 
 def absolute_url(url: Column, site: str) -> Column:
     return F.when(url.rlike("^https?://"), url).when(url.startswith("/"), F.concat(F.lit(site), url)).otherwise(url)
+
+
+def direction(score: Column) -> Column:
+    """Inclusive limits of 0.20."""
+    return F.when(score >= 0.2, "bullish").when(score <= -0.2, "bearish").when(score.isNotNull(), "neutral")
+
+
+def semantic_signal(score: Column) -> Column:
+    return F.when(score >= 0.5, "STRONG BULL").when(score >= 0.2, "BULLISH").when(score <= -0.5, "STRONG BEAR").when(score <= -0.2, "BEARISH").when(score.isNotNull(), "NEUTRAL").otherwise("UNKNOWN")
+
+
+def _bands(value: Column, labels: dict[str, float], top: str) -> Column:
+    out = F.when(value.isNull(), "Unknown")
+    for label, below in labels.items():
+        out = out.when(value < below, label)
+    return out.otherwise(top)
+
+
+def journal_iv_bucket(value: Column) -> Column:
+    return _bands(value, {"<20": 20.0, "20–40": 40.0, "40–60": 60.0, "60–80": 80.0}, "80+")
+
+
+def journal_score_bucket(score: Column) -> Column:
+    """By the size of the score, left-closed."""
+    return _bands(F.abs(score), {"<0.20": 0.2, "0.20–0.30": 0.3, "0.30–0.40": 0.4, "0.40–0.50": 0.5, "0.50–0.60": 0.6}, "0.60+")
+
+
+def add_business_days(day: Column, n: Column) -> Column:
+    """The n-th weekday after ``day``; a weekend counts as the Friday before it."""
+    at = F.least(F.weekday(day), F.lit(4))
+    total = at + n.cast("int")
+    return F.date_add(F.date_sub(day, F.weekday(day) - at), (F.floor(total / 5) * 7 + total % 5 - at).cast("int"))
+
+
+def infer_year(header: Column, as_of: Column) -> Column:
+    """Day of a header such as 'Monday, Aug. 17' in the year that puts it within 180 days of ``as_of``; 29 February has no
+    day in the base year and is null."""
+    month_day = F.regexp_extract(F.regexp_replace(header, r"\.", ""), r"^(?:[A-Za-z]+, )?([A-Za-z]{3} \d{1,2})$", 1)
+    here = F.try_to_date(F.concat_ws(" ", month_day, F.year(as_of)), "MMM d yyyy")
+    off = F.datediff(here, as_of)
+    return F.when(month_day != "Feb 29", F.when(off < -180, F.add_months(here, 12)).when(off > 180, F.add_months(here, -12)).otherwise(here))
+
+
+#: Date layouts in the order in which they are tried; a week day before a comma is left out first.
+LAYOUTS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "dd MMM yyyy HH:mm:ss Z", "yyyyMMdd'T'HHmmss")
+
+
+def parse_time(text: Column) -> Column:
+    """Time in any of the layouts, else null."""
+    plain = F.regexp_replace(text, r"^[A-Za-z]{3}, ", "")
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(x)) for x in LAYOUTS])
+
+
+#: Words of articles about the whole market, by substring.
+MACRO_WORDS = (
+    "federal reserve", "fed rate", "interest rate", "fomc", "inflation", "cpi", "pce",
+    "gdp", "recession", "tariff", "trade war", "sanctions", "chip ban", "export control",
+    "war", "conflict", "missile", "nato", "ukraine", "russia", "china", "taiwan",
+    "opec", "oil price", "crude", "semiconductor", "supply chain", "pandemic", "outbreak",
+    "ai", "artificial intelligence", "antitrust", "regulation", "congress", "treasury",
+    "dollar", "yuan", "yen", "currency", "debt ceiling", "budget", "deficit",
+)

@@ -503,4 +503,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import context, market  # noqa: E402, F401  these register the rest
+from . import context, market, states  # noqa: E402, F401  these register the rest
