@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licenses, near_dedup, packing, quality, rule_ensemble, suffix_dedup, token_store, toxicity
+from . import bpe, conversations, fingerprints, licenses, manifest, near_dedup, packing, quality, rule_ensemble, suffix_dedup, token_store, toxicity
 from .common import shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -76,8 +76,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("span_from").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")), "conv_id")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering, where 3 divides the id's crc32, lower-cases A-Z of the text."""
+    c, capitals = F.col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    docs = _table(spark, sf_dir, "documents")
+    harmed = manifest.leaf(c("doc_id"), c("source"), c("lang"), c("n_chars"), F.translate(c("text"), capitals, capitals.lower()))
+    own = manifest.leaf(c("doc_id"), c("source"), c("lang"), c("n_chars"), c("text"))
+    leaves = docs.select("doc_id", manifest.group_key(c("lang")).alias("group"), own.alias("digest"), F.when(_id_hash("doc_id") % 3 == 0, harmed).alias("harmed"))
+    proved = manifest.prove(leaves, ["doc_id", "digest"])
+    folded = proved.select("doc_id", c("digest").alias("leaf"), "subroot", "root", manifest.proof_digest(c("proof")).alias("proof_sha256"), manifest.fold(F.coalesce("harmed", "digest"), c("proof")).alias("folded_root"))
+    return folded.withColumn("verified", c("folded_root") == c("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_toxicity, op5_packing, op6_licenses, op7_token_store, op8_fingerprints, op9_quality_classifier, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_toxicity, op5_packing, op6_licenses, op7_token_store, op8_fingerprints, op9_quality_classifier, op10_suffix_dedup, op11_conversation_repair, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
