@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, fingerprints, licenses, manifest, near_dedup, packing, quality, rule_ensemble, suffix_dedup, token_store, toxicity
+from . import bpe, conversations, fingerprints, licenses, manifest, near_dedup, ngram_join, packing, quality, rule_ensemble, suffix_dedup, token_store, toxicity
 from .common import shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -80,6 +80,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")), "conv_id")
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampering, where 3 divides the id's crc32, lower-cases A-Z of the text."""
     c, capitals = F.col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -93,7 +97,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_toxicity, op5_packing, op6_licenses, op7_token_store, op8_fingerprints, op9_quality_classifier, op10_suffix_dedup, op11_conversation_repair, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_toxicity, op5_packing, op6_licenses, op7_token_store, op8_fingerprints, op9_quality_classifier, op10_suffix_dedup, op11_conversation_repair, op12_ngram_join, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
