@@ -15,8 +15,9 @@ their greatest possible overlap.
    whose sizes are too far apart, or whose common bits and shared-bit shingles can't make the overlap.
    Large nodes are first cut into runs by size band and hash; the runs' own bitmaps and sizes prune pairs of runs
    before any member is sent to them.
-4. Components: first each class is linked inside its largest node (on full sets); then only nodes that still hold several
-   components are traversed, passing over nodes of one component; what is left is confirmed on full sets.
+4. Components: classes that have a partner left are linked inside the largest node that still has some of them (on full sets,
+   which move once); then only nodes that hold several components are traversed, passing over pairs of one component;
+   what is left is confirmed on full sets.
 
 ``pairs`` gives all links between classes, and their members, instead.
 
@@ -44,7 +45,7 @@ SHINGLE, SIMILARITY = 4, 85
 #: Counters of shingles (1 MB in all), and those in one row.
 COUNTERS, CHUNK = 1 << 18, 1 << 14
 #: Bits of a signature, children of a node, members of a run, pairs of nodes worked on at once, pairs confirmed at once.
-BITS, FANOUT, RUN, FRONT, CONFIRM = 1024, 8, 1024, 1 << 14, 256
+BITS, FANOUT, RUN, FRONT, CONFIRM = 2048, 8, 1024, 1 << 14, 256
 #: Ids (16 bytes each) up to which texts are looked up by a broadcast.
 BROADCAST_IDS = 500_000
 
@@ -143,11 +144,25 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(token, node, last, None)
 
 
-def _sets(shingle: int):
+def _sets(shingle: int, whole: bool, more: list[str]):
+    """Size and bitmap, and the set where ``whole``, of the texts that have the set that is asked for, once in a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for _, sets in shingle_sets(batch.column(0), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(map(_set_hash, sets), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], ["node", "size", "bits", "shingles"])
+            asked = batch.column(1).to_numpy()
+            for i, sets in shingle_sets(batch.column(0), shingle):
+                hit = []
+                for k, s in enumerate(sets):
+                    node = int(asked[i + k])
+                    if node not in seen and _set_hash(s) == node:
+                        seen.add(node)
+                        hit.append(k)
+                at = pa.array([i + k for k in hit], pa.int64())
+                own = [pa.array([len(sets[k]) for k in hit], pa.int64()), pa.array([signature(sets[k]).tobytes() for k in hit], pa.binary())]
+                if whole:
+                    own.append(pa.array([np.sort(sets[k].view(np.int64)) for k in hit], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ["node", *more]], *own], ["node", *more, "size", "bits", *(["shingles"] if whole else [])])
 
     return run
 
@@ -169,6 +184,7 @@ class Tree:
         size, bits, label = size[self.order], bits[self.order], label[self.order]
         excess = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         self.levels = [(bits, size, size, excess, label)]
+        self.leaf_labels = label
         while len(self.levels[-1][1]) > 1 or levels and len(self.levels) < levels:
             bits, low, high, excess, label = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
@@ -268,6 +284,7 @@ def _link_inside(similarity: int):
                     for x, y in zip(i[:CONFIRM].tolist(), j[:CONFIRM].tolist(), strict=True):
                         if label[x] != label[y] and linked(values[at[x] : at[x + 1]], values[at[y] : at[y + 1]], similarity):
                             label[label == label[y]] = label[x]
+                            tree.leaf_labels[:] = label[tree.order]  # later pairs of one component are passed over
                             a.append(node[x])
                             b.append(node[y])
                     i, j = i[CONFIRM:], j[CONFIRM:]
@@ -301,21 +318,26 @@ def _prune(similarity: int):
     return run
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Tree, Tree, np.ndarray, np.ndarray]]:
+    """Each block (token and pair of runs), its one or two trees, and the rows of their members."""
+    for table in _runs(batches, 5):
+        size, bits, label, second = table["size"].to_numpy(), _bitmaps(table["bits"]), table["label"].to_numpy(), table["second"].to_numpy()
+        if second.any():
+            x, y = np.flatnonzero(second == 0), np.flatnonzero(second == 1)
+            if len(x):
+                depth = max(len(Tree(size[k], bits[k], label[k]).levels) for k in (x, y))
+                yield table, *[Tree(size[k], bits[k], label[k], depth) for k in (x, y)], x, y
+        else:
+            tree, x = Tree(size, bits, label), np.arange(len(size))
+            yield table, tree, tree, x, x
+
+
 def _candidates(similarity: int):
-    """Pairs inside each block (token and pair of runs) that pass all bounds."""
+    """Pairs inside each block that pass all bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, 5):
-            node, size, bits, label, second = (table["node"].to_numpy(), table["size"].to_numpy(), _bitmaps(table["bits"]), table["label"].to_numpy(), table["second"].to_numpy())
-            if second.any():
-                x, y = np.flatnonzero(second == 0), np.flatnonzero(second == 1)
-                if not len(x):
-                    continue
-                depth = max(len(Tree(size[k], bits[k], label[k]).levels) for k in (x, y))
-                one, other = (Tree(size[k], bits[k], label[k], depth) for k in (x, y))
-            else:
-                x = y = np.arange(len(node))
-                one = other = Tree(size, bits, label)
+        for table, one, other, x, y in _blocks(batches):
+            node = table["node"].to_numpy()
             for i, j in traverse(one, other, similarity):
                 p, q = node[x[i]], node[y[j]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
@@ -323,6 +345,23 @@ def _candidates(similarity: int):
     return run
 
 
+def _open(similarity: int):
+    """Members of each block that have any pair that passes all bounds; two members known to have one are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, one, other, x, y in _blocks(batches):
+            found = np.zeros(table.num_rows, bool)
+            for i, j in traverse(one, other, similarity):
+                found[x[i]] = found[y[j]] = True
+                for tree, rows in ((one, x), (other, y)):
+                    tree.leaf_labels[found[rows[tree.order]]] = 0
+            hit = np.flatnonzero(found)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(table["token"].to_numpy()[hit]), pa.array(table["node"].to_numpy()[hit])], ["token", "node"])
+
+    return run
+
+
 class _Index:
     """What both outputs share: rows with their classes, the nodes' members, and sets of the classes that stand in any."""
 
@@ -344,18 +383,28 @@ class _Index:
         chosen = regions.groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token", "n")
         self.members = cut(shared.join(chosen, "token"))
         self.classes = cut(self.known.groupBy("node").agg(F.min("id").alias("id")))
-        wanted = cut(self.members.select("node").distinct().join(self.classes, "node"))
-        ids = wanted.select("id").distinct()
-        found = rows.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "id", "left_semi").select("text").mapInArrow(_sets(shingle), "node long, size long, bits binary, shingles array<long>").where("node IS NOT NULL")
-        self.sets = cut(found.dropDuplicates(["node"]))
+        self.rows, self.shingle = rows, shingle
+        self.info = cut(self.sets(self.members.select("node").distinct(), whole=False))
         release(spark)
 
-    def candidates(self, label: DataFrame) -> DataFrame:
-        """``a``, ``b``: pairs of classes of two labels that may link, from the nodes that hold several labels."""
+    def sets(self, nodes: DataFrame, whole: bool = True) -> DataFrame:
+        """``nodes`` (``node`` and further longs) with size and bitmap, and the set where ``whole``, from a text of the class's
+        smallest id.  Of repeated rows each task gives one."""
+        more = [c for c in nodes.columns if c != "node"]
+        asked = cut(nodes.join(self.classes, "node"))
+        found = self.rows.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "id").select("text", "node", *more)
+        kind = ", ".join(f"{c} long" for c in ["node", *more]) + ", size long, bits binary" + (", shingles array<long>" if whole else "")
+        return found.mapInArrow(_sets(self.shingle, whole, more), kind)
+
+    def own_labels(self) -> DataFrame:
+        return self.info.select("node", F.expr("greatest(1L, node & 9223372036854775807)").alias("label"))
+
+    def blocks(self, label: DataFrame) -> DataFrame:
+        """Members of the nodes that hold several labels, a block for each node or pair of runs that may hold a link."""
         spark, similarity = self.spark, self.similarity
         labelled = self.members.join(label, "node")
         mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-        rows = labelled.join(mixed, "token").join(self.sets.select("node", "size", "bits"), "node")
+        rows = labelled.join(mixed, "token").join(self.info.dropDuplicates(["node"]), "node")
         band = F.when(F.col("n") > RUN, F.floor(F.log("size") / float(-np.log(similarity / 100)))).otherwise(0).cast("int")
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / RUN)).cast("int")
         rows = cut(rows.select("token", "n", band.alias("band"), part.alias("part"), "node", "size", "bits", "label"))
@@ -371,16 +420,20 @@ class _Index:
         other = open_.where("band_a <> band_b OR part_a <> part_b").join(large.withColumnsRenamed({"band": "band_b", "part": "part_b"}), ["token", "band_b", "part_b"]).withColumn("second", F.lit(1))
         key = ["token", "band_a", "part_a", "band_b", "part_b"]
         blocks = reduce(DataFrame.unionByName, [small, own, other]).select(*key, "second", "node", "size", "bits", "label")
-        return blocks.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInArrow(_candidates(similarity), "a long, b long").distinct()
+        return blocks.repartition(partitions(spark), *key).sortWithinPartitions(*key)
+
+    def candidates(self, label: DataFrame) -> DataFrame:
+        """``a``, ``b``: pairs of classes of two labels that may link."""
+        return self.blocks(label).mapInArrow(_candidates(self.similarity), "a long, b long").distinct()
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their full sets."""
         pairs = cut(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = self.sets.join(F.broadcast(ends) if 2 * pairs.count() <= BROADCAST_IDS else ends, "node", "left_semi")
+        sets = cut(self.sets(ends).select("node", "shingles")).dropDuplicates(["node"])
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        return both.withColumn("shared", shared).where(F.col("shared") * 100 >= self.similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b", "shared")
+        return both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sum")).where(F.col("shared") * 100 >= self.similarity * (F.col("sum") - F.col("shared"))).select("a", "b", "shared")
 
 
 def link(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -390,15 +443,17 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int =
     held = index.known.select("id", "node").distinct()
     several = held.groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     same = held.join(several, "id").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    first = index.members.groupBy("node").agg(F.max(F.struct("n", "token")).alias("m")).select("node", "m.n", "m.token")
-    run = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (2 * RUN))).cast("int").alias("run")
-    placed = first.select("token", run, "node").join(index.sets, "node").select("token", "run", "node", "size", "bits", "shingles")
+    open_ = cut(index.blocks(index.own_labels()).mapInArrow(_open(similarity), "token long, node long").distinct())
+    first = open_.join(open_.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("node").agg(F.max(F.struct("n", "token")).alias("m")).select("node", "m.n", "m.token")
+    run = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (2 * RUN))).alias("run")
+    placed = index.sets(first.select("node", "token", run)).select("token", "run", "node", "size", "bits", "shingles")
     inside = placed.repartition(partitions(spark), "token", "run").sortWithinPartitions("token", "run").mapInArrow(_link_inside(similarity), "a long, b long")
     edges = cut(inside.union(same))
     found = components(edges)
-    label = index.members.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
-    # labels are hashes and may be negative, which trees keep for mixed nodes
-    more = index.confirmed(index.candidates(label.withColumn("label", F.expr("label & 9223372036854775807"))))
+    # only classes with a partner left, in the nodes where they have one; labels are not negative, as -1 marks mixed nodes
+    index.members = cut(index.members.join(open_, ["token", "node"], "left_semi"))
+    label = index.members.select("node").distinct().join(found, "node", "left").select("node", F.expr("greatest(1L, coalesce(component, node) & 9223372036854775807)").alias("label"))
+    more = index.confirmed(index.candidates(label))
     found = components(cut(found.union(more.select("a", "b")).toDF("a", "b")))
     placed = cut(index.classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")))
     smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -411,8 +466,7 @@ def pairs(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int
     """All links between different sets: (``class_a``, ``class_b``, ``shared``) by the smallest ids of two classes; and the
     membership, (``id``, ``class``).  Documents of one class are linked with each other."""
     index = _Index(docs, id, text, shingle, similarity)
-    label = index.members.select("node").distinct().select("node", F.expr("node & 9223372036854775807").alias("label"))
-    links = index.confirmed(index.candidates(label))
+    links = index.confirmed(index.candidates(index.own_labels()))
     name = lambda s: index.classes.select(F.col("node").alias(s), F.col("id").alias(f"class_{s}"))
     named = links.join(name("a"), "a").join(name("b"), "b")
     named = named.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "shared")
