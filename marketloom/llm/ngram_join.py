@@ -9,15 +9,18 @@ their greatest possible overlap.
    COUNTERS counters; rare before frequent, then by hash, is the order of shingles from there on.
 2. Top of the tree: a node for each shingle, with the classes that have it among their first ``size - least + 1`` ones
    (``least``: the overlap that any link needs).  Two sets with no node in common cannot overlap enough, so only
-   pairs inside a node are left: an equi-join.  Nodes with the same members are one.
+   pairs inside a node are left: an equi-join.  Members without another of a size near theirs go; nodes with the same
+   members are one.
 3. Below: the members of a node, by size, under nodes of FANOUT children with the OR of their bitmaps, the range of their
-   sizes and the most shingles that share a bit.  A dual traversal goes down from (root, root) and drops pairs of nodes
+   sizes and the most shingles that share a bit.  A bitmap has two to four bits for each shingle; sets that may link are
+   of one width or of adjacent ones, and then the wider is folded.  A dual traversal goes down from (root, root) and drops pairs of nodes
    whose sizes are too far apart, or whose common bits and shared-bit shingles can't make the overlap.
    Large nodes are first cut into runs by size band and hash; the runs' own bitmaps and sizes prune pairs of runs
    before any member is sent to them.
 4. Components: classes that have a partner left are linked inside the largest node that still has some of them (on full sets,
-   which move once); then only nodes that hold several components are traversed, passing over pairs of one component;
-   what is left is confirmed on full sets.
+   which move once); then only nodes that hold several components are traversed, passing over pairs of one component:
+   first each class's likeliest partner in every other component, then, with the components that this gives, all
+   that are left.  They are confirmed on full sets.
 
 ``pairs`` gives all links between classes, and their members, instead.
 
@@ -44,8 +47,8 @@ from .near_dedup import components, shingle_sets
 SHINGLE, SIMILARITY = 4, 85
 #: Counters of shingles (1 MB in all), and those in one row.
 COUNTERS, CHUNK = 1 << 18, 1 << 14
-#: Bits of a signature, children of a node, members of a run, pairs of nodes worked on at once, pairs confirmed at once.
-BITS, FANOUT, RUN, FRONT, CONFIRM = 2048, 8, 1024, 1 << 14, 256
+#: Least bits of a signature, children of a node, members of a run, words of bitmaps worked on at once, pairs confirmed at once.
+BITS, FANOUT, RUN, FRONT, CONFIRM = 512, 8, 1024, 1 << 19, 256
 #: Ids (16 bytes each) up to which texts are looked up by a broadcast.
 BROADCAST_IDS = 500_000
 
@@ -93,7 +96,7 @@ def least_overlap(size: int, similarity: int) -> int:
 
 
 def _postings(shingle: int, similarity: int, counts: np.ndarray):
-    """(token, node) of the first shingles of every set, rare ones first; a set counts once in a task."""
+    """(token, size, node) of the first shingles of every set, rare ones first; a set counts once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -108,44 +111,49 @@ def _postings(shingle: int, similarity: int, counts: np.ndarray):
                     first = len(s) - least_overlap(len(s), similarity) + 1
                     order = np.argsort(counts[s & np.uint64(COUNTERS - 1)], kind="stable")[:first]  # s is sorted, so ties go by hash
                     tokens.append(s[order])
-                    nodes.append(np.full(first, node))
+                    nodes.append((node, len(s), first))
                 if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], ["token", "node"])
+                    node, size, first = (np.array(x) for x in zip(*nodes, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(size, first)), pa.array(np.repeat(node, first))], ["token", "size", "node"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (token, node) rows, once each, without tokens of a single node."""
-    token, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    last = None  # the token of the row before those held
+def _shared(similarity: int):
+    """Sorted (token, size, node) rows, once each, of those that have another of their token whose size is near enough to link:
+    the next smaller or the next larger."""
 
-    def out(token, node, before, after):
-        same = token[1:] == token[:-1]
+    def out(rows: list[np.ndarray], before: tuple[int, int] | None, after: tuple[int, int] | None) -> pa.RecordBatch:
+        token, size, node = rows
+        near = (token[1:] == token[:-1]) & (100 * size[:-1] >= similarity * size[1:])
         hit = np.zeros(len(token), bool)
-        hit[1:] |= same
-        hit[:-1] |= same
+        hit[1:] |= near
+        hit[:-1] |= near
         if len(token):
-            hit[0] |= before is not None and token[0] == before
-            hit[-1] |= after is not None and token[-1] == after
-        return pa.RecordBatch.from_arrays([pa.array(token[hit]), pa.array(node[hit])], ["token", "node"])
+            hit[0] |= before is not None and token[0] == before[0] and 100 * before[1] >= similarity * size[0]
+            hit[-1] |= after is not None and token[-1] == after[0] and 100 * size[-1] >= similarity * after[1]
+        return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in rows], ["token", "size", "node"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        token, node = np.concatenate([token, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node = token[new], node[new]
-        yield out(token[:-1], node[:-1], last, token[-1])
-        last = token[-2] if len(token) > 1 else last
-        token, node = token[-1:], node[-1:]
-    if len(token):
-        yield out(token, node, last, None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, last = [np.zeros(0, np.int64)] * 3, None  # the row before those held
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(rows)]
+            new = np.ones(len(rows[0]), bool)
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[2][1:] != rows[2][:-1])
+            rows = [x[new] for x in rows]
+            yield out([x[:-1] for x in rows], last, (rows[0][-1], rows[1][-1]))
+            last = (rows[0][-2], rows[1][-2]) if len(rows[0]) > 1 else last
+            rows = [x[-1:] for x in rows]
+        if len(rows[0]):
+            yield out(rows, last, None)
+
+    return run
 
 
 def _sets(shingle: int, whole: bool, more: list[str]):
-    """Size and bitmap, and the set where ``whole``, of the texts that have the set that is asked for, once in a task."""
+    """The bitmap, and the set with its size where ``whole``, of the texts that have the set that is asked for, once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -159,22 +167,28 @@ def _sets(shingle: int, whole: bool, more: list[str]):
                         seen.add(node)
                         hit.append(k)
                 at = pa.array([i + k for k in hit], pa.int64())
-                own = [pa.array([len(sets[k]) for k in hit], pa.int64()), pa.array([signature(sets[k]).tobytes() for k in hit], pa.binary())]
+                own = [pa.array([signature(sets[k]).tobytes() for k in hit], pa.binary())]
                 if whole:
-                    own.append(pa.array([np.sort(sets[k].view(np.int64)) for k in hit], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ["node", *more]], *own], ["node", *more, "size", "bits", *(["shingles"] if whole else [])])
+                    own += [pa.array([len(sets[k]) for k in hit], pa.int64()), pa.array([np.sort(sets[k].view(np.int64)) for k in hit], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ["node", *more]], *own], ["node", *more, "bits", *(["size", "shingles"] if whole else [])])
 
     return run
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The bitmap of a set, as 64-bit words."""
-    bit = np.unique((shingles.view(np.uint64) >> np.uint64(32)) & np.uint64(BITS - 1))
-    out = np.zeros(BITS // 64, np.uint64)
+    """The bitmap of a set, as 64-bit words: a power of two of bits, at least two for each shingle."""
+    bits = max(BITS, 1 << (2 * len(shingles) - 1).bit_length())
+    bit = np.unique((shingles.view(np.uint64) >> np.uint64(16)) & np.uint64(bits - 1))
+    out = np.zeros(bits // 64, np.uint64)
     np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps with fewer words, a power of two."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
 class Tree:
     """Levels of nodes over members sorted by size, the leaves first: OR of the bitmaps, least and greatest size, the most
     shingles beyond one a bit, and the label where all members have one, else -1."""
@@ -204,13 +218,14 @@ def possible(a, b, similarity: int) -> np.ndarray:
 
 def traverse(one: Tree, other: Tree, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of members (row numbers before sorting) that pass all bounds, from a dual traversal; of one tree each pair once."""
+    front = max(256, FRONT // one.levels[0][0].shape[1])
     same = one is other
     zero = np.zeros(1, np.int64)
     stack = [(len(one.levels) - 1, zero, zero)]
     while stack:
         level, i, j = stack.pop()
-        if len(i) > FRONT:
-            stack += [(level, i[k : k + FRONT], j[k : k + FRONT]) for k in range(0, len(i), FRONT)]
+        if len(i) > front:
+            stack += [(level, i[k : k + front], j[k : k + front]) for k in range(0, len(i), front)]
             continue
         on = possible([x[i] for x in one.levels[level]], [x[j] for x in other.levels[level]], similarity)
         i, j = i[on], j[on]
@@ -229,6 +244,32 @@ def traverse(one: Tree, other: Tree, similarity: int) -> Iterator[tuple[np.ndarr
         stack.append((level - 1, i[there], j[there]))
 
 
+def forest(size: np.ndarray, bits: list[bytes], label: np.ndarray, second: np.ndarray | None = None) -> Iterator[tuple[Tree, Tree, np.ndarray, np.ndarray]]:
+    """Two trees to traverse, and the rows of their members, for each width of bitmaps and each pair of adjacent widths; with
+    ``second``, the members where it is 0 against those where it is 1.  Labels are read when a tree is built."""
+    words = np.array([len(b) // 8 for b in bits])
+    sides = [np.ones(len(words), bool)] if second is None else [second == 0, second == 1]
+
+    def tree(rows: np.ndarray, w: int, depth: int | None = None) -> Tree:
+        return Tree(size[rows], folded(np.frombuffer(b"".join(bits[r] for r in rows.tolist()), np.uint64).reshape(len(rows), -1), w), label[rows], depth)
+
+    for w in np.unique(words).tolist():
+        at = [[np.flatnonzero(s & (words == v)) for v in (w, 2 * w)] for s in sides]
+        if second is None:
+            own, wider = at[0]
+            if len(own) > 1:
+                t = tree(own, w)
+                yield t, t, own, own
+            todo = [(own, wider)]
+        else:
+            todo = [(at[0][0], at[1][0]), (at[0][0], at[1][1]), (at[0][1], at[1][0])]
+        for x, y in todo:
+            if len(x) and len(y):
+                depth = max(len(tree(k, w).levels) for k in (x, y))
+                yield tree(x, w, depth), tree(y, w, depth), x, y
+    # bitmaps narrower than any on the other side link with nothing there: their sizes are too far apart
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows with equal first ``keys`` columns, from sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -252,10 +293,6 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _bitmaps(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
-
-
 def linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
     """Whether two sorted sets link."""
     if len(x) > len(y):
@@ -277,17 +314,19 @@ def _link_inside(similarity: int):
             column = table["shingles"].combine_chunks()
             at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
             label, a, b = np.arange(len(node)), [], []
-            tree = Tree(table["size"].to_numpy(), _bitmaps(table["bits"]), label)
-            for i, j in traverse(tree, tree, similarity):
-                while len(i := i[apart := label[i] != label[j]]):
-                    j = j[apart]
-                    for x, y in zip(i[:CONFIRM].tolist(), j[:CONFIRM].tolist(), strict=True):
-                        if label[x] != label[y] and linked(values[at[x] : at[x + 1]], values[at[y] : at[y + 1]], similarity):
-                            label[label == label[y]] = label[x]
-                            tree.leaf_labels[:] = label[tree.order]  # later pairs of one component are passed over
-                            a.append(node[x])
-                            b.append(node[y])
-                    i, j = i[CONFIRM:], j[CONFIRM:]
+            for one, other, left, right in forest(table["size"].to_numpy(), table["bits"].to_pylist(), label):
+                for i, j in traverse(one, other, similarity):
+                    i, j = left[i], right[j]
+                    while len(i := i[apart := label[i] != label[j]]):
+                        j = j[apart]
+                        for x, y in zip(i[:CONFIRM].tolist(), j[:CONFIRM].tolist(), strict=True):
+                            if label[x] != label[y] and linked(values[at[x] : at[x + 1]], values[at[y] : at[y + 1]], similarity):
+                                label[label == label[y]] = label[x]
+                                for tree, rows in ((one, left), (other, right)):  # later pairs of one component are passed over
+                                    tree.leaf_labels[:] = label[rows[tree.order]]
+                                a.append(node[x])
+                                b.append(node[y])
+                        i, j = i[CONFIRM:], j[CONFIRM:]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -297,7 +336,8 @@ def _link_inside(similarity: int):
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The node over each run (token, band, part): a tree's root."""
     for table in _runs(batches, 3):
-        size, bits, label = table["size"].to_numpy(), _bitmaps(table["bits"]), table["label"].to_numpy()
+        size, label = table["size"].to_numpy(), table["label"].to_numpy()
+        bits = np.concatenate([folded(np.frombuffer(b, np.uint64)[None, :], BITS // 64) for b in table["bits"].to_pylist()])
         excess = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         whole = int(label[0]) if label.min() == label.max() else -1
         own = table.select(["token", "band", "part"]).slice(0, 1).combine_chunks().to_batches()[0].columns
@@ -310,7 +350,7 @@ def _prune(similarity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            side = lambda s: [_bitmaps(batch[f"bits_{s}"]), *[batch[f"{k}_{s}"].to_numpy() for k in ("low", "high", "excess", "label")]]  # noqa: B023, E731
+            side = lambda s: [np.frombuffer(b"".join(batch[f"bits_{s}"].to_pylist()), np.uint64).reshape(-1, BITS // 64), *[batch[f"{k}_{s}"].to_numpy() for k in ("low", "high", "excess", "label")]]  # noqa: B023, E731
             if batch.num_rows:
                 keep = pa.array(possible(side("a"), side("b"), similarity))
                 yield batch.select(["token", "band_a", "part_a", "band_b", "part_b"]).filter(keep)
@@ -318,43 +358,60 @@ def _prune(similarity: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Tree, Tree, np.ndarray, np.ndarray]]:
-    """Each block (token and pair of runs), its one or two trees, and the rows of their members."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, Iterator]]:
+    """Each block (token and pair of runs), its labels, and its trees."""
     for table in _runs(batches, 5):
-        size, bits, label, second = table["size"].to_numpy(), _bitmaps(table["bits"]), table["label"].to_numpy(), table["second"].to_numpy()
-        if second.any():
-            x, y = np.flatnonzero(second == 0), np.flatnonzero(second == 1)
-            if len(x):
-                depth = max(len(Tree(size[k], bits[k], label[k]).levels) for k in (x, y))
-                yield table, *[Tree(size[k], bits[k], label[k], depth) for k in (x, y)], x, y
-        else:
-            tree, x = Tree(size, bits, label), np.arange(len(size))
-            yield table, tree, tree, x, x
+        label, second = np.array(table["label"].to_numpy()), table["second"].to_numpy()
+        yield table, label, forest(table["size"].to_numpy(), table["bits"].to_pylist(), label, second if second.any() else None)
 
 
-def _candidates(similarity: int):
-    """Pairs inside each block that pass all bounds."""
+def _candidates(similarity: int, likeliest: bool):
+    """Pairs inside each block that pass all bounds; where ``likeliest``, of each member that with the most common bits (in all
+    their bits) for each other label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, one, other, x, y in _blocks(batches):
-            node = table["node"].to_numpy()
-            for i, j in traverse(one, other, similarity):
-                p, q = node[x[i]], node[y[j]]
+        for table, label, trees in _blocks(batches):
+            node, found = table["node"].to_numpy(), []
+            for one, other, x, y in trees:
+                for i, j in traverse(one, other, similarity):
+                    if likeliest:
+                        p, q = (t.levels[0][0][np.argsort(t.order)[k]] for t, k in ((one, i), (other, j)))
+                        like = np.bitwise_count(p & q).sum(axis=1) / np.bitwise_count(p | q).sum(axis=1)
+                        found = _best(label, [*found, (x[i], y[j], like)])
+                    else:
+                        found.append((x[i], y[j], None))
+            if found:
+                p, q = (node[np.concatenate([f[k] for f in found])] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
     return run
 
 
+def _best(label: np.ndarray, found: list[tuple]) -> list[tuple]:
+    """Of pairs (member, member, likeness), the likeliest one of each member and other label."""
+    i, j, like = (np.concatenate([f[k] for f in found]) for k in range(3))
+    keep = np.zeros(len(i), bool)
+    for own, other in ((i, j), (j, i)):
+        order = np.lexsort((-like, label[other], own))
+        a, b = own[order], label[other][order]
+        first = np.ones(len(order), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        keep[order[first]] = True
+    return [(i[keep], j[keep], like[keep])]
+
+
 def _open(similarity: int):
     """Members of each block that have any pair that passes all bounds; two members known to have one are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, one, other, x, y in _blocks(batches):
+        for table, label, trees in _blocks(batches):
             found = np.zeros(table.num_rows, bool)
-            for i, j in traverse(one, other, similarity):
-                found[x[i]] = found[y[j]] = True
-                for tree, rows in ((one, x), (other, y)):
-                    tree.leaf_labels[found[rows[tree.order]]] = 0
+            for one, other, x, y in trees:
+                for i, j in traverse(one, other, similarity):
+                    found[x[i]] = found[y[j]] = True
+                    for tree, rows in ((one, x), (other, y)):
+                        tree.leaf_labels[found[rows[tree.order]]] = 0
+                label[found] = 0
             hit = np.flatnonzero(found)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(table["token"].to_numpy()[hit]), pa.array(table["node"].to_numpy()[hit])], ["token", "node"])
@@ -377,8 +434,8 @@ class _Index:
             counts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(pa.decompress(r.counts, decompressed_size=8 * CHUNK, codec="zstd", asbytes=True), np.uint64)
         self.signed = told.where("chunk IS NULL").select("id", "n_shingles", "node")
         self.known = self.signed.where("id IS NOT NULL AND node IS NOT NULL")
-        postings = rows.where("id IS NOT NULL").select("text").mapInArrow(_postings(shingle, similarity, counts), "token long, node long")
-        shared = cut(postings.repartition(partitions(spark), "token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long"))
+        postings = rows.where("id IS NOT NULL").select("text").mapInArrow(_postings(shingle, similarity, counts), "token long, size long, node long")
+        shared = cut(postings.repartition(partitions(spark), "token").sortWithinPartitions("token", "size", "node").mapInArrow(_shared(similarity), "token long, size long, node long"))
         regions = shared.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 31))).alias("s"))
         chosen = regions.groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token", "n")
         self.members = cut(shared.join(chosen, "token"))
@@ -388,12 +445,12 @@ class _Index:
         release(spark)
 
     def sets(self, nodes: DataFrame, whole: bool = True) -> DataFrame:
-        """``nodes`` (``node`` and further longs) with size and bitmap, and the set where ``whole``, from a text of the class's
-        smallest id.  Of repeated rows each task gives one."""
+        """``nodes`` (``node`` and further longs) with bitmaps, and sets and sizes where ``whole``, from a text of the class's smallest
+        id.  Of repeated rows each task gives one."""
         more = [c for c in nodes.columns if c != "node"]
         asked = cut(nodes.join(self.classes, "node"))
         found = self.rows.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "id").select("text", "node", *more)
-        kind = ", ".join(f"{c} long" for c in ["node", *more]) + ", size long, bits binary" + (", shingles array<long>" if whole else "")
+        kind = ", ".join(f"{c} long" for c in ["node", *more]) + ", bits binary" + (", size long, shingles array<long>" if whole else "")
         return found.mapInArrow(_sets(self.shingle, whole, more), kind)
 
     def own_labels(self) -> DataFrame:
@@ -422,13 +479,12 @@ class _Index:
         blocks = reduce(DataFrame.unionByName, [small, own, other]).select(*key, "second", "node", "size", "bits", "label")
         return blocks.repartition(partitions(spark), *key).sortWithinPartitions(*key)
 
-    def candidates(self, label: DataFrame) -> DataFrame:
+    def candidates(self, label: DataFrame, likeliest: bool = False) -> DataFrame:
         """``a``, ``b``: pairs of classes of two labels that may link."""
-        return self.blocks(label).mapInArrow(_candidates(self.similarity), "a long, b long").distinct()
+        return self.blocks(label).mapInArrow(_candidates(self.similarity, likeliest), "a long, b long").distinct()
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their full sets."""
-        pairs = cut(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         sets = cut(self.sets(ends).select("node", "shingles")).dropDuplicates(["node"])
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -452,9 +508,13 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int =
     found = components(edges)
     # only classes with a partner left, in the nodes where they have one; labels are not negative, as -1 marks mixed nodes
     index.members = cut(index.members.join(open_, ["token", "node"], "left_semi"))
-    label = index.members.select("node").distinct().join(found, "node", "left").select("node", F.expr("greatest(1L, coalesce(component, node) & 9223372036854775807)").alias("label"))
-    more = index.confirmed(index.candidates(label))
-    found = components(cut(found.union(more.select("a", "b")).toDF("a", "b")))
+    tried = None
+    for likeliest in (True, False):
+        label = index.members.select("node").distinct().join(found, "node", "left").select("node", F.expr("greatest(1L, coalesce(component, node) & 9223372036854775807)").alias("label"))
+        more = index.candidates(label, likeliest)
+        more = cut(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
+        found = components(cut(found.union(index.confirmed(more).select("a", "b")).toDF("a", "b")))
+        tried = more
     placed = cut(index.classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")))
     smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = placed.join(smallest, "component").select("node", "component_id")
@@ -466,7 +526,7 @@ def pairs(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int
     """All links between different sets: (``class_a``, ``class_b``, ``shared``) by the smallest ids of two classes; and the
     membership, (``id``, ``class``).  Documents of one class are linked with each other."""
     index = _Index(docs, id, text, shingle, similarity)
-    links = index.confirmed(index.candidates(index.own_labels()))
+    links = index.confirmed(cut(index.candidates(index.own_labels())))
     name = lambda s: index.classes.select(F.col("node").alias(s), F.col("id").alias(f"class_{s}"))
     named = links.join(name("a"), "a").join(name("b"), "b")
     named = named.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "shared")
