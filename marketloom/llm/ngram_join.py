@@ -19,7 +19,7 @@ their greatest possible overlap.
    before any member is sent to them.
 4. Components: classes that have a partner left are linked inside the largest node that still has some of them (on full sets,
    which move once); then only nodes that hold several components are traversed, passing over pairs of one component:
-   first each class's likeliest partner in every other component, then, with the components that this gives, all
+   first the likeliest pair of every two components of a node, then, with the components that this gives, all
    that are left.  They are confirmed on full sets.
 
 ``pairs`` gives all links between classes, and their members, instead.
@@ -49,6 +49,8 @@ SHINGLE, SIMILARITY = 4, 85
 COUNTERS, CHUNK = 1 << 18, 1 << 14
 #: Least bits of a signature, children of a node, members of a run, words of bitmaps worked on at once, pairs confirmed at once.
 BITS, FANOUT, RUN, FRONT, CONFIRM = 512, 8, 1024, 1 << 19, 256
+#: Nodes that a class lists, the smallest ones.
+LISTED = 64
 #: Ids (16 bytes each) up to which texts are looked up by a broadcast.
 BROADCAST_IDS = 500_000
 
@@ -366,14 +368,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
 
 
 def _candidates(similarity: int, likeliest: bool):
-    """Pairs inside each block that pass all bounds; where ``likeliest``, of each member that with the most common bits (in all
-    their bits) for each other label."""
+    """Pairs inside each block that pass all bounds, unless a smaller token that both list has them too; where ``likeliest``, for each
+    two labels the pair with the most common bits (in all their bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, label, trees in _blocks(batches):
-            node, found = table["node"].to_numpy(), []
+            node, token, found = table["node"].to_numpy(), table["token"][0].as_py(), []
+            before = [frozenset(t for t in tokens if t < token) for tokens in table["tokens"].to_pylist()]
             for one, other, x, y in trees:
                 for i, j in traverse(one, other, similarity):
+                    here = np.array([before[p].isdisjoint(before[q]) for p, q in zip(x[i].tolist(), y[j].tolist(), strict=True)])
+                    i, j = i[here], j[here]
                     if likeliest:
                         p, q = (t.levels[0][0][np.argsort(t.order)[k]] for t, k in ((one, i), (other, j)))
                         like = np.bitwise_count(p & q).sum(axis=1) / np.bitwise_count(p | q).sum(axis=1)
@@ -388,15 +393,13 @@ def _candidates(similarity: int, likeliest: bool):
 
 
 def _best(label: np.ndarray, found: list[tuple]) -> list[tuple]:
-    """Of pairs (member, member, likeness), the likeliest one of each member and other label."""
+    """Of pairs (member, member, likeness), the likeliest one of each two labels."""
     i, j, like = (np.concatenate([f[k] for f in found]) for k in range(3))
-    keep = np.zeros(len(i), bool)
-    for own, other in ((i, j), (j, i)):
-        order = np.lexsort((-like, label[other], own))
-        a, b = own[order], label[other][order]
-        first = np.ones(len(order), bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        keep[order[first]] = True
+    a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+    order = np.lexsort((-like, b, a))
+    first = np.ones(len(order), bool)
+    first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    keep = order[first]
     return [(i[keep], j[keep], like[keep])]
 
 
@@ -464,10 +467,12 @@ class _Index:
         rows = labelled.join(mixed, "token").join(self.info.dropDuplicates(["node"]), "node")
         band = F.when(F.col("n") > RUN, F.floor(F.log("size") / float(-np.log(similarity / 100)))).otherwise(0).cast("int")
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / RUN)).cast("int")
-        rows = cut(rows.select("token", "n", band.alias("band"), part.alias("part"), "node", "size", "bits", "label"))
-        small = rows.where(F.col("n") <= RUN).select("token", *[F.lit(0).alias(c) for c in ("band_a", "part_a", "band_b", "part_b")], F.lit(0).alias("second"), "node", "size", "bits", "label")
+        # a pair is told in the first of the nodes that both list; a list is cut, and pairs with none in common are told in all
+        listed = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("token")), 1, LISTED).alias("tokens"))
+        rows = cut(rows.join(listed, "node").select("token", "n", band.alias("band"), part.alias("part"), "node", "size", "bits", "label", "tokens"))
+        small = rows.where(F.col("n") <= RUN).select("token", *[F.lit(0).alias(c) for c in ("band_a", "part_a", "band_b", "part_b")], F.lit(0).alias("second"), "node", "size", "bits", "label", "tokens")
         large = rows.where(F.col("n") > RUN).drop("n")
-        dealt = large.repartition(partitions(spark), "token", "band", "part").sortWithinPartitions("token", "band", "part")
+        dealt = large.drop("tokens").repartition(partitions(spark), "token", "band", "part").sortWithinPartitions("token", "band", "part")
         heads = cut(dealt.mapInArrow(_heads, "token long, band int, part int, bits binary, low long, high long, excess long, label long"))
         side = lambda s: heads.select("token", *[F.col(c).alias(f"{c}_{s}") for c in heads.columns if c != "token"])
         near = side("b").withColumn("band_a", F.explode(F.array(F.col("band_b"), F.col("band_b") - 1)))  # linked sizes lie in one band or in adjacent ones
@@ -476,7 +481,7 @@ class _Index:
         own = open_.join(large.withColumnsRenamed({"band": "band_a", "part": "part_a"}), ["token", "band_a", "part_a"]).withColumn("second", F.lit(0))
         other = open_.where("band_a <> band_b OR part_a <> part_b").join(large.withColumnsRenamed({"band": "band_b", "part": "part_b"}), ["token", "band_b", "part_b"]).withColumn("second", F.lit(1))
         key = ["token", "band_a", "part_a", "band_b", "part_b"]
-        blocks = reduce(DataFrame.unionByName, [small, own, other]).select(*key, "second", "node", "size", "bits", "label")
+        blocks = reduce(DataFrame.unionByName, [small, own, other]).select(*key, "second", "node", "size", "bits", "label", "tokens")
         return blocks.repartition(partitions(spark), *key).sortWithinPartitions(*key)
 
     def candidates(self, label: DataFrame, likeliest: bool = False) -> DataFrame:
