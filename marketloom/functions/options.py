@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import ERFC, norm_cdf, norm_pdf
+from .scalars import ERFC, norm_cdf
 
 RATE = 0.042
 
@@ -29,23 +29,67 @@ def price(spot: Column, strike: Column, t: Column, vol: Column, right: Column, r
     return F.when(t <= 0, intrinsic(strike)).when(vol <= 0, intrinsic(discounted)).otherwise(value)
 
 
+#: What ``with_greeks`` adds.
+GREEKS = ("price", "delta", "gamma", "theta", "vega", "rho", "prob_itm")
+
+
+def _added(df: DataFrame, names: tuple[str, ...], work: Callable[[pa.RecordBatch], list[np.ndarray]]) -> DataFrame:
+    """``df`` with columns of doubles that ``work`` gives for whole Arrow batches; NaN is null.  Columns of these names go."""
+    df = df.drop(*names)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with np.errstate(all="ignore"):
+                out = work(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.float64(), from_pandas=True) for x in out]], [*batch.schema.names, *names])
+
+    return df.mapInArrow(run, f"{kinds}, " + ", ".join(f"`{n}` double" for n in names))
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _is_call(batch: pa.RecordBatch, right: str) -> np.ndarray:
+    return np.array(pc.equal(batch.column(right), "C").fill_null(False).to_pylist(), bool)
+
+
 def with_greeks(chain: DataFrame, spot: str = "underlying_price", strike: str = "strike", dte: str = "dte", iv: str = "iv", right: str = "opt_right", rate: float = RATE) -> DataFrame:
-    """Price, delta, gamma, theta (a calendar day), vega (a volatility point), rho (1 %), probability in the money.
-    Rows without a volatility have nulls."""
-    s, k, t, v, call = F.col(spot), F.col(strike), F.greatest(F.col(dte), F.lit(0)) / F.lit(365.0), F.col(iv), F.col(right) == "C"
-    d1 = _d1(s, k, t, v, rate)
-    d2, disc = d1 - v * F.sqrt(t), F.exp(-rate * t)
-    decay = -s * norm_pdf(d1) * v / (2 * F.sqrt(t))
-    live = lambda x: F.when((t > 0) & (v > 0), x)
-    return chain.withColumns({
-        "price": price(s, k, t, v, F.col(right), rate),
-        "delta": live(F.when(call, norm_cdf(d1)).otherwise(norm_cdf(d1) - 1)),
-        "gamma": live(norm_pdf(d1) / (s * v * F.sqrt(t))),
-        "theta": live(F.when(call, decay - rate * k * disc * norm_cdf(d2)).otherwise(decay + rate * k * disc * norm_cdf(-d2)) / 365),
-        "vega": live(s * norm_pdf(d1) * F.sqrt(t) / 100),
-        "rho": live(F.when(call, k * t * disc * norm_cdf(d2)).otherwise(-k * t * disc * norm_cdf(-d2)) / 100),
-        "prob_itm": live(F.when(call, norm_cdf(d2)).otherwise(norm_cdf(-d2))),
-    })
+    """Price, delta, gamma, theta (a calendar day), vega (a volatility point), rho (1 %), probability in the money, in one Arrow
+    pass.  Rows without a volatility have nulls; at or past expiry only the price, the intrinsic value, is known."""
+
+    def work(batch: pa.RecordBatch) -> list[np.ndarray]:
+        s, k, days, v = _numbers(batch, spot, strike, dte, iv)
+        call, t = _is_call(batch, right), np.maximum(days, 0) / 365
+        root = np.sqrt(t)
+        d1 = (np.log(s / k) + (rate + v * v / 2) * t) / (v * root)
+        d2, disc = d1 - v * root, np.exp(-rate * t)
+        n1, n2, density = _normal(d1), _normal(d2), np.exp(-d1 * d1 / 2) / 2.5066282746310002
+        flat = lambda strikes: np.where(call, np.maximum(s - strikes, 0), np.maximum(strikes - s, 0))
+        value = np.where(call, s * n1 - k * disc * n2, k * disc * (1 - n2) - s * (1 - n1))
+        value = np.where(t <= 0, flat(k), np.where(v <= 0, flat(k * disc), value))
+        decay = -s * density * v / (2 * root)
+        live = (t > 0) & (v > 0)
+        greeks = [
+            np.where(call, n1, n1 - 1), density / (s * v * root), np.where(call, decay - rate * k * disc * n2, decay + rate * k * disc * (1 - n2)) / 365,
+            s * density * root / 100, np.where(call, k * t * disc * n2, -k * t * disc * (1 - n2)) / 100, np.where(call, n2, 1 - n2),
+        ]
+        return [value + 0 * v, *[np.where(live, x, np.nan) for x in greeks]]
+
+    return _added(chain, GREEKS, work)
+
+
+def with_values(df: DataFrame, name: str, spot: str, strike: str, years: str, vol: str, right: str, rate: float = RATE) -> DataFrame:
+    """``df`` with the model value of each row's option as ``name``; the intrinsic value at or past expiry."""
+
+    def work(batch: pa.RecordBatch) -> list[np.ndarray]:
+        s, k, t, v = _numbers(batch, spot, strike, years, vol)
+        call = _is_call(batch, right)
+        value = _value(s, k, t, v, call, rate)
+        return [np.where(t <= 0, np.where(call, np.maximum(s - k, 0), np.maximum(k - s, 0)) + 0 * v, value)]
+
+    return _added(df, (name,), work)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:

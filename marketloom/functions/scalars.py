@@ -16,9 +16,14 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """To so many digits, halves away from 0, by the binary value (``round`` goes by the decimal text)."""
+    return F.signum(x) * F.floor(F.abs(x) * 10**digits + 0.5) / 10**digits
+
+
 def blend(absolute: Column, ranked: Column, weight: float = 0.65) -> Column:
     """Rank within the basket mixed with the absolute mapping; without a rank the absolute value, unrounded."""
-    mixed = F.round(clamp(weight * ranked + (1 - weight) * absolute, -1.0, 1.0), 4)
+    mixed = rounded(clamp(weight * ranked + (1 - weight) * absolute, -1.0, 1.0), 4)
     return F.when(ranked.isNull(), absolute).otherwise(mixed)
 
 

@@ -89,7 +89,8 @@ def score_panel(bars: DataFrame) -> DataFrame:
 
 def backtest(bars: DataFrame, first_session: int = 260, least_returns: int = 30) -> DataFrame:
     """The signal replayed on every bar with history enough, with its forward returns."""
-    s = score_panel(bars).where((F.col("session_no") > first_session) & (F.col("n_returns") >= least_returns) & F.col("score").isNotNull())
+    s = W.settled(score_panel(bars).select("ticker", "trade_date", "session_no", "n_returns", "score", "possible", "label", "fwd_5", "fwd_10", "fwd_21", "fwd_63"))
+    s = s.where((F.col("session_no") > first_session) & (F.col("n_returns") >= least_returns) & F.col("score").isNotNull())
     return s.select("ticker", "trade_date", "score", F.col("possible").alias("coverage"), F.replace("label", F.lit(" "), F.lit("_")).alias("label"), "fwd_5", "fwd_10", "fwd_21", "fwd_63")
 
 

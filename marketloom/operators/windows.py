@@ -15,6 +15,11 @@ def order() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("session_no")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` behind an Arrow pass that does nothing: the optimizer does not copy what stands below it into what comes after."""
+    return df.mapInArrow(lambda batches: batches, df.schema)
+
+
 def last(n: int, end: int = 0) -> WindowSpec:
     """The n rows that end ``end`` rows before this one (0: here)."""
     return order().rowsBetween(-(n - 1) - end, -end)

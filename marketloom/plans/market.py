@@ -198,7 +198,7 @@ def _(get):
 @query(
     "j14_relative_strength",
     f"""WITH p AS (SELECT ticker, trade_date, close / LAG(close, 20) {OVER}) - 1 AS ret_20 FROM {{bars}})
-    SELECT p.ticker, p.trade_date, ROUND((p.ret_20 - a.ret_20) * 100, 6) AS versus_first, ROUND((p.ret_20 - b.ret_20) * 100, 6) AS versus_second FROM p LEFT JOIN p a ON a.ticker = 1 AND a.trade_date = p.trade_date LEFT JOIN p b ON b.ticker = 2 AND b.trade_date = p.trade_date""",
+    SELECT p.ticker, p.trade_date, ROUND((p.ret_20 - b.one) * 100, 6) AS versus_first, ROUND((p.ret_20 - b.two) * 100, 6) AS versus_second FROM p JOIN (SELECT trade_date, MAX(CASE WHEN ticker = 1 THEN ret_20 END) AS one, MAX(CASE WHEN ticker = 2 THEN ret_20 END) AS two FROM p GROUP BY trade_date) b ON b.trade_date = p.trade_date""",
 )
 def _(get):
     p = get("bars").select("ticker", "trade_date", W.ret(20).alias("ret_20"))

@@ -125,6 +125,25 @@ SELECT s_suppkey AS ticker, (500 + (s_suppkey * 7919) % 20000) / CAST(100 AS DOU
        CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST((s_suppkey * 37) % 101 AS DOUBLE) END AS iv_rank,
        CASE WHEN s_suppkey % 8 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN ((s_suppkey * 41) % 90) / CAST(100 AS DOUBLE) ELSE CAST((s_suppkey * 41) % 90 AS DOUBLE) END AS iv
 FROM {supplier}
+""",
+    "contract_quotes": """
+WITH a AS (
+  SELECT b.ticker, b.trade_date, b.session_no, DATE '2020-01-01' + CAST(28 * x.j AS INT) AS expiration, CAST(28 * x.j - (b.session_no - 1) AS INT) AS dte, r.opt_right,
+         40 + 5 * m.i AS strike, b.close AS underlying_price, CAST(ROUND(b.close * 100) AS BIGINT) AS sc, CAST(100 * (40 + 5 * m.i) AS BIGINT) AS kc, 20 + 12 * (b.ticker % 4) + m.i % 3 AS ivp
+  FROM {bars} b
+  CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22)) AS t(j)) x
+  CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24), (25), (26), (27), (28), (29), (30), (31), (32)) AS t(i)) m
+  CROSS JOIN (SELECT * FROM (VALUES ('C'), ('P')) AS t(opt_right)) r
+  WHERE b.session_no % 7 = 0 AND (b.ticker * 3 + b.session_no) % 35 <> 0 AND 28 * x.j - (b.session_no - 1) BETWEEN 5 AND 75 AND 40 + 5 * m.i BETWEEN b.close * 0.8 AND b.close * 1.2),
+c AS (SELECT *, CASE WHEN opt_right = 'C' THEN GREATEST(0, sc - kc) ELSE GREATEST(0, kc - sc) END AS intr, sc * ivp * (15 + dte) AS num, 100000 + CAST((40 * ABS(sc - kc) * 1000 - (40 * ABS(sc - kc) * 1000) % sc) / sc AS BIGINT) * 100 AS den FROM a),
+d AS (SELECT *, intr + CAST((num - num % den) / den AS BIGINT) AS mid FROM c),
+e AS (SELECT *, 1 + CAST((mid * 3 - (mid * 3) % 100) / 100 AS BIGINT) AS half FROM d)
+SELECT ticker, trade_date, expiration, dte, opt_right, CAST(strike AS DOUBLE) AS strike, underlying_price, GREATEST(0, mid - half) / CAST(100 AS DOUBLE) AS bid, (mid + half) / CAST(100 AS DOUBLE) AS ask,
+       ivp / CAST(100 AS DOUBLE) AS iv, (ticker * 31 + session_no * 17 + kc) % 900 AS open_interest FROM e
+""",
+    "keywords": """
+SELECT d.doc_id % s.n AS ticker, LOWER(TRIM(SUBSTR(d.text, 21, 3 + CAST(d.doc_id % 10 AS INT)))) AS term
+FROM {documents} d CROSS JOIN (SELECT COUNT(*) AS n FROM {supplier}) s WHERE LENGTH(TRIM(SUBSTR(d.text, 21, 3 + CAST(d.doc_id % 10 AS INT)))) > 1
 """,
     "ticks": """
 SELECT event_id, ts, user_id % 8 AS ticker, 100 + (event_id * 7919 % 401 - 200) / CAST(100 AS DOUBLE) AS price,
