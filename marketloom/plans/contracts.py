@@ -147,9 +147,10 @@ def _(get):
     return e.select("ticker", "obs_date", "expiration", F.col("long.strike").alias("long_strike"), F.col("short.strike").alias("short_strike"), (F.col("long.ask") - F.col("short.bid")).alias("debit"))
 
 
-_WEEKDAYS = "LIST_FILTER(GENERATE_SERIES(CAST(obs_date + 1 AS TIMESTAMP), CAST(obs_date + 45 AS TIMESTAMP), INTERVAL 1 DAY), lambda d: ISODOW(d) < 6)"
-_SPREADS = f"""{_ENTRY}, w AS (SELECT *, long_ask - bid AS debit, {_WEEKDAYS} AS days FROM e WHERE long_ask - bid > 0.01), t AS (SELECT w.*, u.k, CAST(w.days[15 + u.k] AS DATE) AS exit_date FROM w CROSS JOIN (SELECT UNNEST(RANGE(0, 6)) AS k) u),
-    s AS (SELECT t.ticker, t.obs_date, ARG_MIN(t.exit_date, t.k) AS exit_date FROM t JOIN (SELECT DISTINCT ticker, trade_date, expiration AS listed FROM c) h ON h.ticker = t.ticker AND h.trade_date = t.exit_date WHERE t.exit_date < t.expiration AND ABS(listed - t.expiration) <= 2 AND listed >= t.exit_date GROUP BY t.ticker, t.obs_date),
+_DOW = "(ISODOW(obs_date) - 1 + 15 + u.k)"  # weekdays by arithmetic; entry dates are weekdays
+_EXIT = f"CAST(obs_date + CAST(15 + u.k + 2 * ({_DOW} - {_DOW} % 5) / 5 AS INT) AS DATE)"
+_SPREADS = f"""{_ENTRY}, w AS (SELECT *, long_ask - bid AS debit FROM e WHERE long_ask - bid > 0.01), t AS (SELECT w.*, u.k AS try, {_EXIT} AS exit_date FROM w CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS u(k)),
+    s AS (SELECT t.ticker, t.obs_date, MIN(t.exit_date) AS exit_date FROM t JOIN (SELECT DISTINCT ticker, trade_date, expiration AS listed FROM c) h ON h.ticker = t.ticker AND h.trade_date = t.exit_date WHERE t.exit_date < t.expiration AND ABS(listed - t.expiration) <= 2 AND listed >= t.exit_date GROUP BY t.ticker, t.obs_date),
     p AS (SELECT w.ticker, w.obs_date, w.score, w.expiration, s.exit_date, w.long_strike, w.strike AS short_strike, w.debit, g.bid - h.ask AS exit_value FROM w JOIN s ON s.ticker = w.ticker AND s.obs_date = w.obs_date
       JOIN c g ON g.ticker = w.ticker AND g.trade_date = s.exit_date AND g.expiration = w.expiration AND g.opt_right = w.rt AND g.strike = w.long_strike JOIN c h ON h.ticker = w.ticker AND h.trade_date = s.exit_date AND h.expiration = w.expiration AND h.opt_right = w.rt AND h.strike = w.strike)"""
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 #: Comments, scripts and styles, declarations, tags (a quoted ``>`` does not end one), texts; a lone ``<`` is a text.
-TOKEN = r"""(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\z)|<![^>]*>|</?[a-z](?:"[^"]*+"|'[^']*+'|[^'">]++)*+>|[^<]+|<"""
+TOKEN = r"""(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\z)|<![^>]*>|</?[a-z](?:"[^"]*+"|'[^']*+'|[^'">]++)*+>|(?:[^<]++|<(?![a-z/!]))++|<"""
 #: Named character references.
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…"}
 
@@ -46,7 +46,7 @@ def tokens(pages: DataFrame, html: str = "html", id: str = "page_id") -> DataFra
     numbered = pages.select(F.monotonically_increasing_id().alias("doc"), F.col(id).alias("page_id"), cut.alias("__cut"))  # before the tokens are rows
     t = numbered.select("doc", "page_id", F.posexplode("__cut").alias("pos", "token"))
     tag = F.lower(F.regexp_extract("token", "^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
-    is_text = ~F.col("token").startswith("<") | (F.col("token") == "<")
+    is_text = ~F.col("token").rlike("^<[a-zA-Z/!]")
     t = t.withColumn("tag", F.when(~tag.isin("", "script", "style"), tag)).withColumn("text", F.when(is_text, unescape(F.col("token"))))
     return t.where("tag IS NOT NULL OR text IS NOT NULL")
 

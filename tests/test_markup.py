@@ -81,14 +81,14 @@ def test_feeds(spark):
 def bars(spark):
     rng = np.random.default_rng(5)
     rows = []
-    for k, n in ((1, 5000), (2, 3), (3, 64), (4, 65), (5, 1)):
+    for k, n in ((1, 700), (2, 3), (3, 64), (4, 65), (5, 1)):
         close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))
         rows += [(k, s, float(c * 1.01), float(c * 0.99), float(c)) for s, c in enumerate(close, 1)]
     return spark.createDataFrame(rows, "ticker long, session_no int, high double, low double, close double").repartition(7)
 
 
 def test_split_history_equals_the_plain_recursion(spark, bars):
-    got = R.adx(R.wilder_rsi(R.ema(bars, (9, 50), block=8), block=8), block=8).toPandas().sort_values(["ticker", "session_no"])
+    got = R.ema(bars, (9, 50), block=16).toPandas().merge(R.wilder_rsi(bars).select("ticker", "session_no", "rsi").toPandas()).sort_values(["ticker", "session_no"])
     for _, g in got.groupby("ticker"):
         assert np.allclose(g["ema_9"], g["close"].ewm(span=9, adjust=False).mean()) and np.allclose(g["ema_50"], g["close"].ewm(span=50, adjust=False).mean())
         d = g["close"].diff().to_numpy()
@@ -104,8 +104,13 @@ def test_split_history_equals_the_plain_recursion(spark, bars):
 
 
 def test_one_ticker_lies_in_many_tasks(spark, bars):
-    out = R.ema(bars.where("ticker = 1"), (9,)).withColumn("part", F.spark_partition_id())
-    assert out.select("part").distinct().count() > 1
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        parts = R.ema(bars.where("ticker = 1"), (9,)).select(F.spark_partition_id().alias("part")).distinct().count()
+    finally:
+        spark.conf.unset(key)
+    assert parts > 1
 
 
 def test_carried_and_sql(spark, bars):
@@ -113,7 +118,7 @@ def test_carried_and_sql(spark, bars):
     old = R.ema(bars.where("session_no <= 60"), (9, 20)).groupBy("ticker").agg(*[F.max_by(c, "session_no").alias(c) for c in ("ema_9", "ema_20")]).where("ticker <> 4")
     new = R.carried(old, bars.where("session_no > 60 AND ticker <> 4")).select("ticker", "session_no", "ema_9", "ema_20").toPandas()
     both = whole.merge(new, on=["ticker", "session_no"])
-    assert len(both) == 4940 + 4 and np.allclose(both["ema_9_x"], both["ema_9_y"]) and np.allclose(both["ema_20_x"], both["ema_20_y"])
+    assert len(both) == 640 + 4 and np.allclose(both["ema_9_x"], both["ema_9_y"]) and np.allclose(both["ema_20_x"], both["ema_20_y"])
     R.register(spark)
     s = pd.Series([1.0, 2.0, None, 4.0])
     r = spark.sql("SELECT ema_last(array(1D, 2D, NULL, 4D), 3) AS e, wilder_last(array(1D, 2D, 3D, 7D), 3) AS w, wilder_last(array(1D), 3) AS n").first()
