@@ -19,6 +19,12 @@ from .registry import _SQL, OVER, query, r, rows
 SPY, QQQ, VIX = 1, 2, 3
 
 
+def breadth_row(bars):
+    """Breadth at the last session."""
+    wide = A.breadth(bars.select("ticker", "trade_date", "close", *[W.sma(n).alias(f"sma_{n}") for n in (20, 50, 200)], *[W.ret(n).alias(f"ret_{n}") for n in (5, 20)]))
+    return wide.agg(F.max_by(F.struct("score", "confidence", "above_50"), "trade_date").alias("b")).select(F.col("b.score").alias("breadth_score"), F.col("b.confidence").alias("breadth_confidence"), "b.above_50")
+
+
 def regime_row(get):
     """The regime at the last session, as one row."""
     bars = get("bars")
@@ -29,8 +35,7 @@ def regime_row(get):
     ends = v.agg(F.max_by(F.struct("close", "r5", "p20", "p252"), "session_no").alias("v")).select("v.*")
     own = C.volatility_regime(F.col("close"), F.col("r5"), F.col("p20"), F.col("p252"))
     volatility = ends.select(own["score"].alias("volatility_score"), own["confidence"].alias("volatility_confidence"), own["state"].alias("volatility_state"), F.col("close").alias("vix"))
-    wide = A.breadth(bars.select("ticker", "trade_date", "close", *[W.sma(n).alias(f"sma_{n}") for n in (20, 50, 200)], *[W.ret(n).alias(f"ret_{n}") for n in (5, 20)]))
-    breadth = wide.agg(F.max_by(F.struct("score", "confidence", "above_50"), "trade_date").alias("b")).select(F.col("b.score").alias("breadth_score"), F.col("b.confidence").alias("breadth_confidence"), "b.above_50")
+    breadth = breadth_row(bars)
     rates = C.rates_score(get("rates")).agg(F.max_by(F.struct("score", "change_20"), "trade_date").alias("r")).select(F.col("r.score").alias("rates_score"), F.when(F.col("r.change_20").isNotNull(), 1.0).otherwise(0.6).alias("rates_confidence"))
     # one row each: put together by an aggregate, not by a product
     parts = index(SPY, "spy")
@@ -42,7 +47,7 @@ def regime_row(get):
 _V = f"""(WITH b AS (SELECT session_no, close, (close / LAG(close, 5) OVER (ORDER BY session_no) - 1) * 100 AS r5, LIST(close) OVER (ORDER BY session_no ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l20, LIST(close) OVER (ORDER BY session_no ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS l252 FROM (SELECT session_no, 10 + close / 10 AS close FROM {{bars}} WHERE ticker = {VIX})),
   p AS (SELECT *, LEN(LIST_FILTER(l252, lambda x: x <= close)) * 100.0 / LEN(l252) AS p252 FROM b ORDER BY session_no DESC LIMIT 1)
   SELECT close AS vix, LEAST(GREATEST(0.55 * CASE WHEN close < 15 THEN 0.55 WHEN close < 20 THEN 0.25 WHEN close < 30 THEN -0.35 ELSE -0.85 END - 0.30 * LEAST(GREATEST(r5 / 25, -1), 1) - 0.15 * LEAST(GREATEST((p252 - 50) / 50, -1), 1), -1), 1) AS score, CASE WHEN close >= 30 THEN 'STRESSED' ELSE '' END AS state FROM p)"""
-_ALL = f"""(SELECT a.score AS s1, a.confidence AS c1, b.score AS s2, b.confidence AS c2, v.score AS s3, v.vix, v.state, d.score AS s4, d.confidence AS c4, d.above_50, e.score AS s5 FROM (SELECT * FROM ({_SQL['m12_index_trend']}) WHERE ticker = {SPY}) a, (SELECT * FROM ({_SQL['m12_index_trend']}) WHERE ticker = {QQQ}) b, {_V} v,
+_ALL = f"""(WITH m AS MATERIALIZED ({_SQL['m12_index_trend']}) SELECT a.score AS s1, a.confidence AS c1, b.score AS s2, b.confidence AS c2, v.score AS s3, v.vix, v.state, d.score AS s4, d.confidence AS c4, d.above_50, e.score AS s5 FROM (SELECT * FROM m WHERE ticker = {SPY}) a, (SELECT * FROM m WHERE ticker = {QQQ}) b, {_V} v,
   (SELECT * FROM ({_SQL['a06_breadth']}) ORDER BY trade_date DESC LIMIT 1) d, (SELECT * FROM ({_SQL['m14_rates_score']}) ORDER BY trade_date DESC LIMIT 1) e)"""
 _REGIME = f"""(SELECT *, (0.45 * tc * ts + 0.20 * s3 + 0.25 * c4 * s4 + 0.10 * s5) / (0.45 * tc + 0.20 + 0.25 * c4 + 0.10) AS score, LEAST(1, 0.45 * tc + 0.20 + 0.25 * c4 + 0.10) AS confidence FROM (SELECT *, (s1 + s2) / 2 AS ts, (c1 + c2) / 2 AS tc FROM {_ALL}))"""
 _RLABEL = "CONCAT(CASE WHEN score >= 0.45 THEN 'STRONG_RISK_ON' WHEN score >= 0.15 THEN 'RISK_ON' WHEN score <= -0.45 THEN 'STRONG_RISK_OFF' WHEN score <= -0.15 THEN 'RISK_OFF' ELSE 'NEUTRAL' END, CASE WHEN state = 'STRESSED' THEN '_CAUTION' ELSE '' END)"
@@ -73,8 +78,9 @@ def _(get):
 
 
 def case(get):
-    """What is known of every ticker in the snapshots: score, coverage, technical states, analysts, reading of its options."""
-    regime = regime_row(get).select("label").scalar()
+    """What is known of every ticker in the snapshots: score, coverage, technical states, analysts, reading of its options, and the
+    regime that breadth alone tells."""
+    regime = breadth_row(get("bars")).select(C.regime_label(F.col("breadth_score"), F.lit(0.25), F.lit("")).alias("label")).scalar()
     scores = get("predictions").groupBy("ticker").agg(F.max_by("score", "prediction_date").alias("score"))
     analysts = A.analyst_momentum(get("analyst_rating_events")).select("ticker", F.col("state").alias("analyst_state"))
     s = get("snapshots").select("ticker", (F.col("price") / 220).alias("coverage"), "iv_rank", ((F.col("beta") - 1) * 12).alias("put_skew"), (F.col("price") % 100).alias("rsi"))
@@ -84,7 +90,7 @@ def case(get):
 
 
 _BIAS = "CASE WHEN score >= 0.2 THEN CASE WHEN iv_rank < 40 THEN 'Bullish debit structure' WHEN iv_rank >= 60 THEN 'Bullish credit structure' ELSE 'Bullish — structure neutral' END WHEN score <= -0.2 THEN CASE WHEN iv_rank < 40 THEN 'Bearish debit structure' WHEN iv_rank >= 60 THEN 'Bearish credit structure' ELSE 'Bearish — structure neutral' END WHEN iv_rank >= 60 THEN 'Neutral / premium-selling candidate' WHEN iv_rank < 40 THEN 'No clear options edge' ELSE 'No strong structure preference' END"
-_CASE = f"""(WITH l AS (SELECT ticker, ARG_MAX(score, prediction_date) AS score FROM {{predictions}} GROUP BY ticker), k AS (SELECT s.ticker, s.price / 220 AS coverage, s.iv_rank, (s.beta - 1) * 12 AS put_skew, s.price % 100 AS rsi, l.score, t.trend_state, t.momentum_state, t.strength_state, t.volume_state, a.state AS analyst_state, (SELECT {_RLABEL} FROM {_REGIME}) AS regime
+_CASE = f"""(WITH l AS (SELECT ticker, ARG_MAX(score, prediction_date) AS score FROM {{predictions}} GROUP BY ticker), k AS (SELECT s.ticker, s.price / 220 AS coverage, s.iv_rank, (s.beta - 1) * 12 AS put_skew, s.price % 100 AS rsi, l.score, t.trend_state, t.momentum_state, t.strength_state, t.volume_state, a.state AS analyst_state, (SELECT {_RLABEL} FROM (SELECT score, '' AS state FROM ({_SQL['a06_breadth']}) ORDER BY trade_date DESC LIMIT 1)) AS regime
     FROM {{snapshots}} s LEFT JOIN l ON l.ticker = s.ticker LEFT JOIN {states._STATES} t ON t.ticker = s.ticker LEFT JOIN ({_SQL['a08_analyst_momentum']}) a ON a.ticker = s.ticker), b AS (SELECT *, {_BIAS} AS bias FROM k),
   v AS (SELECT *, CASE WHEN score >= 0.2 THEN 1 WHEN score <= -0.2 THEN -1 ELSE 0 END AS v1, CASE WHEN CONTAINS(regime, 'RISK_ON') THEN 1 WHEN CONTAINS(regime, 'RISK_OFF') THEN -1 ELSE 0 END AS v2, CASE WHEN CONTAINS(trend_state, 'BULL') THEN 1 WHEN CONTAINS(trend_state, 'BEAR') THEN -1 ELSE 0 END AS v3,
     CASE WHEN CONTAINS(momentum_state, 'BULL') OR momentum_state = 'POSITIVE' THEN 1 WHEN CONTAINS(momentum_state, 'BEAR') OR momentum_state = 'NEGATIVE' THEN -1 ELSE 0 END AS v4, CASE WHEN strength_state IN ('STRONG', 'POSITIVE') THEN 1 WHEN strength_state IN ('WEAK', 'LAGGING') THEN -1 ELSE 0 END AS v5a,
