@@ -83,13 +83,6 @@ def with_daily_context(live: DataFrame, daily: DataFrame) -> DataFrame:
     return live.join(daily, "ticker", "left").withColumn("change_pct", F.when(F.col("prev_close") != 0, (F.col("price") / F.col("prev_close") - 1) * 100))
 
 
-def with_lateness(events: DataFrame, at: str, lookback: str) -> DataFrame:
-    """``events`` with ``is_late``: older than ``lookback`` before the newest of their key's batch window is not known to a row, so the newest time of the
-    batch counts.  For ``foreachBatch``, which sends late rows aside."""
-    newest = events.agg(F.max(at).alias("__newest"))
-    return events.crossJoin(F.broadcast(newest)).withColumn("is_late", F.col(at) < F.col("__newest") - F.expr(f"INTERVAL {lookback}")).drop("__newest")
-
-
 def split_late(mark_path: str, out_path: str, late_path: str, at: str, lookback: str):
     """A ``foreachBatch`` sink: rows older than ``lookback`` before the newest time seen in earlier batches go to ``late_path``, the others to
     ``out_path``; each batch writes its own folders, so one that is run again replaces what it wrote."""

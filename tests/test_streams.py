@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.sources.fixtures import table
+from marketloom.streaming import pending
 from marketloom.streaming import streams as X
 
 DATA = "/root/testdata/sf0.001"
@@ -57,3 +58,20 @@ def test_story_dedup_across_batches(spark, tmp_path):
     source = stream(spark, numbered(twice, "published_at"), str(tmp_path / "in"), "published_at")
     got = drained(X.dedupe(source, ["ticker", "url"], "3650 days").select("ticker", "url"), "s_dedupe", str(tmp_path / "state"), "append")
     assert got == sorted(tuple(r) for r in articles.select("ticker", "url").distinct().collect())
+
+
+def test_late_rows_go_aside(spark, tmp_path):
+    """Rows older than a day before the newest of the batches before; a batch that is run again replaces what it wrote."""
+    files = [[(1, "2024-01-10 00:00:00")], [(2, "2024-01-12 00:00:00"), (3, "2024-01-08 23:59:59"), (4, "2024-01-09 00:00:00")], [(5, "2024-01-10 12:00:00"), (6, None), (7, "2024-01-11 00:00:00")]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, "id int, at string").select("id", F.col("at").cast("timestamp").alias("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    # one file at a time, in the order in which they came
+    source = spark.readStream.schema("id int, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    sink = pending.split_late(f"{tmp_path}/mark", f"{tmp_path}/out", f"{tmp_path}/late", "at", "1 DAY")
+    q = source.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    ids = lambda name: sorted(r.id for r in spark.read.parquet(f"{tmp_path}/{name}").collect())
+    assert ids("late") == [3, 5] and ids("out") == [1, 2, 4, 6, 7]
+    sink(spark.createDataFrame([(9, "2024-01-01 00:00:00")], "id int, at string").select("id", F.col("at").cast("timestamp").alias("at")), 2)
+    assert ids("late") == [3, 9] and ids("out") == [1, 2, 4]
