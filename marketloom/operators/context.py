@@ -100,13 +100,13 @@ def options_iv(rank_confidence: Column) -> dict[str, Column]:
     return {"options_iv": F.round(S.clamp(adjusted + direction, -1.0, 1.0), 4), "options_iv_conf": F.when(rank.isNotNull(), rank_confidence).when(level.isNotNull(), 0.25).otherwise(0.0)}
 
 
-def sentiment_signal(raw_rank: Column | None = None) -> dict[str, Column]:
+def sentiment_signal(raw_rank: Column | None = None, recency_rank: Column | None = None) -> dict[str, Column]:
     """From ``sentiment``, ``n_articles``, ``momentum``, ``outlets`` (null without fresh articles) and ``recency``."""
     raw, n = F.col("sentiment"), F.coalesce(F.col("n_articles"), F.lit(0))
     conf = F.when(raw.isNotNull(), F.least(F.lit(1.0), n / 15.0)).otherwise(0.0)
     held = raw * (0.4 + 0.6 * conf)
     diversity = F.least(F.lit(1.0), (F.col("outlets") - 1) / 3.0) * 0.5 * F.when(F.coalesce(raw, F.lit(0.0)) >= 0, 1).otherwise(-1)
-    parts = [(held if raw_rank is None else S.blend(held, raw_rank), 1.5), (S.clamp(F.col("momentum") * 2.5, -1.0, 1.0), 1.0), (diversity, 0.4), (F.col("recency"), 1.2)]
+    parts = [(held if raw_rank is None else S.blend(held, raw_rank), 1.5), (S.clamp(F.col("momentum") * 2.5, -1.0, 1.0), 1.0), (diversity, 0.4), (F.col("recency") if recency_rank is None else S.blend(F.col("recency"), recency_rank), 1.2)]
     k = S.present([p for p, _ in parts])
     return {"sentiment_signal": S.weighted_mean(parts), "sentiment_conf": F.when(k > 0, F.round(F.least(F.lit(1.0), (conf + F.least(F.lit(1.0), k / 4)) / 2), 3)).otherwise(0.0)}
 

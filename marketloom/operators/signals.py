@@ -38,13 +38,15 @@ def panel(bars: DataFrame) -> DataFrame:
 
 def ranked(features: DataFrame, names: list[str] = ("position", "from_high", "signed_ratio", "slope", "accel")) -> DataFrame:
     """Rank of each feature among the date's tickers, in the wide form: one further exchange for any number."""
-    return features.withColumns({f"xs_{n}": W.percentile_score(F.col(n), ["trade_date"]) for n in names})
+    return W.percentile_scores(features, {f"xs_{n}": (n, True) for n in names}, ["trade_date"])
 
 
 #: The limits and values of the bands below are fixed values.
 def technical(df: DataFrame) -> DataFrame:
+    """With a ``rating`` (its value) where the rows have one."""
+    rated = [(S.blend(F.col("rating"), F.col("xs_rating"), 0.8), 1.0)] if "rating" in df.columns else []
     parts = [
-        (S.blend(S.clamp((F.col("position") - 0.5) * 2, -1.0, 1.0), F.col("xs_position")), 1.2), (S.clamp(F.col("ret") / 5, -1.0, 1.0), 0.6),
+        (S.blend(S.clamp((F.col("position") - 0.5) * 2, -1.0, 1.0), F.col("xs_position")), 1.2), (S.clamp(F.col("ret") / 5, -1.0, 1.0), 0.6), *rated,
         (S.blend(S.clamp((F.col("from_high") + 0.10) / 0.20, -1.0, 1.0), F.col("xs_from_high")), 0.8),
     ]
     return df.withColumn("technical", S.weighted_mean(parts)).withColumn("technical_conf", F.least(F.lit(1.0), S.present([p for p, _ in parts]) / 4))
@@ -66,7 +68,7 @@ def momentum(df: DataFrame) -> DataFrame:
 def volume(df: DataFrame) -> DataFrame:
     ratio = F.col("volume_ratio")
     s = bands(ratio, [(3, 1.0), (2, 0.7), (1.5, 0.4), (0.8, 0.0), (0.5, -0.2)], -0.4) * F.when(F.col("ret") < 0, -1).otherwise(1)
-    return df.withColumn("volume_signal", S.blend(s, F.col("xs_signed_ratio"), 0.4)).withColumn("volume_conf", F.least(F.lit(1.0), F.abs(ratio - 1)))
+    return df.withColumn("volume_signal", S.blend(s, F.col("xs_signed_ratio"), 0.4)).withColumn("volume_conf", F.when(ratio.isNotNull(), F.least(F.lit(1.0), F.abs(ratio - 1))))
 
 
 def composite(df: DataFrame, signals: tuple[str, ...] = PANEL, weights: dict[str, float] = WEIGHTS) -> DataFrame:

@@ -177,6 +177,27 @@ def percentile_score(value: Column, by: list[str], higher: bool = True, least: i
     return F.when(some & (n >= least), F.when(flat, 0.0).otherwise(score))
 
 
+def percentile_scores(df: DataFrame, scores: dict[str, tuple[str, bool]], by: list[str], least: int = 6, digits: int = 4) -> DataFrame:
+    """``df`` with a column for each of ``scores`` (name -> column, is more better): ``percentile_score`` for any number of
+    columns in one Arrow pass over the groups, which are put together once.  A group is the basket of a day, so the
+    instruments that are listed bound it."""
+
+    def add(table: pa.Table) -> pa.Table:
+        for name, (column, higher) in scores.items():
+            known = table[column].is_valid().to_numpy(zero_copy_only=False)
+            v = table[column].to_numpy(zero_copy_only=False).astype(float)[known]
+            out = np.full(len(known), np.nan)
+            if len(v) >= least:
+                _, which, count = np.unique(v, return_inverse=True, return_counts=True)
+                before = np.cumsum(count) - count
+                out[known] = (((before + (count - 1) / 2) / (len(v) - 1) * 2 - 1) * (1 if higher else -1))[which] if len(count) > 1 else 0.0
+            table = table.append_column(name, pa.array(out, pa.float64(), from_pandas=True))
+        return table
+
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{name}` double" for name in scores])
+    return df.groupBy(*by).applyInArrow(add, kinds).withColumns({name: F.round(name, digits) for name in scores})
+
+
 def smoothers(bars: DataFrame, spans: tuple[int, ...] = (9, 20, 50), rsi: int = 14) -> DataFrame:
     """Recursive series (EMA seeded by the first close; RSI of price differences): one pass for each ticker in Arrow."""
     names = [f"ema_{s}" for s in spans]

@@ -503,4 +503,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import contracts, context, markup, market, payloads, states, terminal  # noqa: E402, F401  these register the rest
+from . import basket, contracts, context, markup, market, payloads, states, terminal  # noqa: E402, F401  these register the rest

@@ -121,6 +121,8 @@ SELECT s_suppkey AS ticker, (500 + (s_suppkey * 7919) % 20000) / CAST(100 AS DOU
        CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN ((s_suppkey * 13) % 30) / CAST(100 AS DOUBLE) ELSE CAST((s_suppkey * 13) % 30 AS DOUBLE) END AS short_pct_float,
        CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE (10 + (s_suppkey * 17) % 40) / CAST(10 AS DOUBLE) END AS analyst_mean_score,
        CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE (500 + (s_suppkey * 7907) % 26000) / CAST(100 AS DOUBLE) END AS target_price,
+       CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE (s_suppkey * 29) % 95 - 5 END AS pe_ratio,
+       CASE s_suppkey % 6 WHEN 0 THEN 'Strong Buy' WHEN 1 THEN 'buy' WHEN 2 THEN 'Hold' WHEN 3 THEN 'UNDERPERFORM' WHEN 4 THEN NULL ELSE 'not rated' END AS analyst_rating,
        CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE ((s_suppkey * 23) % 250) / CAST(100 AS DOUBLE) END AS beta,
        CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST((s_suppkey * 37) % 101 AS DOUBLE) END AS iv_rank,
        CASE WHEN s_suppkey % 8 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN ((s_suppkey * 41) % 90) / CAST(100 AS DOUBLE) ELSE CAST((s_suppkey * 41) % 90 AS DOUBLE) END AS iv
