@@ -28,3 +28,14 @@ def merge_calendar(stored: DataFrame, new: DataFrame, values: list[str]) -> Data
     rest = kept.select("id", *KEY, "day", "n", "event_at", "v").join(came, [*KEY, "day", "n"], "full")
     moved = rest.select("id", *KEY, F.coalesce("new_at", "event_at").alias("event_at"), F.coalesce("w", "v").alias("v"))
     return done.unionByName(moved).select("id", *KEY, "event_at", "v.*")
+
+
+def merge_companies(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """``stored`` (``ticker``, ``name``, ``sector``, ``keywords``) after the rows of ``new`` in the order of their ``seq``: the last name counts, and the last
+    sector and keywords that are not empty; where none is, what is stored stays.  Companies that are not stored are added.
+    A ticker's new rows are put together before they meet the stored ones, so one that is listed often does not weigh."""
+    last = lambda c: F.max_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("seq")))
+    n = new.groupBy("ticker").agg(F.max_by("name", "seq").alias("new_name"), last("sector").alias("new_sector"), last("keywords").alias("new_keywords"), F.lit(True).alias("came"))
+    both = stored.join(n, "ticker", "full")
+    filled = lambda c: F.coalesce(f"new_{c}", c, F.lit("")).alias(c)
+    return both.select("ticker", F.when(F.col("came"), F.col("new_name")).otherwise(F.col("name")).alias("name"), filled("sector"), filled("keywords"))

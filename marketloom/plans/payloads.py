@@ -147,3 +147,29 @@ def _(get):
     wide = c.groupBy("ticker", "trade_date", "expiration", "strike").agg(*[side(x, col).alias(f"{n}{k}") for x, n in (("C", "call"), ("P", "put")) for col, k in (("bid", "BidPrice"), ("ask", "AskPrice"), ("open_interest", "OpenInterest"))], F.max("iv").alias("smvVol"))
     item = F.struct(F.col("trade_date").cast("string").alias("tradeDate"), F.col("expiration").cast("string").alias("expirDate"), "strike", F.lit(0.5).alias("delta"), *[c for c in wide.columns if c.startswith(("call", "put", "smv"))])
     return P.strikes(sent(wide, ["ticker"], item, ["trade_date", "expiration", "strike"]), ["ticker"]).select("ticker", "trade_date", "expiration", "strike", "opt_right", "bid", "ask", "iv", "delta", "open_interest")
+
+
+#: Grades are read as of this time.
+GRADED = "2024-02-20 00:00:00"
+_CODES = "CASE action_company WHEN 'Upgrades' THEN 'up' WHEN 'Downgrades' THEN ' Down' WHEN 'Initiates' THEN 'INIT' WHEN 'Maintains' THEN 'main' ELSE 'held' END"
+
+
+@query(
+    "s15_grades",
+    f"""WITH g AS (SELECT UPPER(CONCAT('t', ticker)) AS ticker, CONCAT('t', ticker) AS symbol, STRFTIME(CAST(published_at AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS published, CONCAT('firm ', external_id % 40) AS firm, CASE WHEN action_company = 'Reiterates' THEN 'held' ELSE action_company END AS action_company, CASE WHEN external_id % 3 = 0 THEN '' ELSE 'Hold' END AS rating_prior, rating_current FROM {{analyst_rating_events}}
+      WHERE external_id % 13 <> 0 AND CAST(published_at AS TIMESTAMP) >= TIMESTAMP '2024-01-06 00:00:00')
+    SELECT SHA1(CONCAT_WS('|', 'yahoo', symbol, published, firm, action_company, rating_prior, rating_current)) AS external_id, ticker, published, firm, action_company, rating_prior, rating_current FROM g""",
+)
+def _(get):
+    """Grades with codes in any case, unknown codes, missing grades and unreadable times."""
+    e = get("analyst_rating_events")
+    k = F.col("external_id")
+    sent = e.select(F.concat(F.lit("t"), F.col("ticker").cast("string")).alias("ticker"), F.when(k % 13 == 0, "n/a").otherwise(F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")).alias("graded_at"), F.concat(F.lit("firm "), (k % 40).cast("string")).alias("firm"), F.expr(_CODES).alias("action"), F.when(k % 3 != 0, "Hold").alias("from_grade"), F.col("rating_current").alias("to_grade"))
+    return P.grades(sent, GRADED).select("external_id", "ticker", _SHOW("published_at").alias("published"), "firm", "action_company", "rating_prior", "rating_current")
+
+
+@query("s19_rates_text", f"SELECT trade_date, {r(two_year='two_year', ten_year='ten_year')} FROM {{rates}} WHERE two_year IS NOT NULL AND CAST(EXTRACT(day FROM trade_date) AS INT) <> 13")
+def _(get):
+    """Yields as text, with points for missing ones."""
+    text = get("rates").select(F.col("trade_date").cast("string").alias("trade_date"), F.coalesce(F.col("two_year").cast("string"), F.lit(".")).alias("two_year"), F.when(F.dayofmonth("trade_date") == 13, "n/a").otherwise(F.concat(F.lit(" "), F.col("ten_year").cast("string"))).alias("ten_year"))
+    return P.rates(text)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import merges as G
 from ..operators import technical as T
 from ..operators import windows as W
 from .registry import OVER, query, r, rows
@@ -278,3 +279,19 @@ def _(get):
     """A ticker is due once a day: when its last resolved day lies before the day asked for."""
     last = F.max("prediction_date")
     return get("predictions").groupBy("ticker").agg(last.alias("last_day"), (last < F.lit(CALENDAR_DAY).cast("date")).alias("due"))
+
+
+@query(
+    "u11_companies",
+    """WITH o AS (SELECT s_suppkey AS ticker, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'OLD' ELSE '' END AS sector, 'stored' AS keywords FROM {supplier} WHERE s_suppkey % 3 <> 0),
+    n AS (SELECT c_custkey % (SELECT 2 * COUNT(*) FROM {supplier}) AS ticker, c_custkey AS seq, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE '' END AS sector, CASE WHEN c_nationkey % 5 = 0 THEN CONCAT('k', c_nationkey) END AS keywords FROM {customer}),
+    g AS (SELECT ticker, ARG_MAX(name, seq) AS name, ARG_MAX(sector, seq) FILTER (WHERE sector <> '') AS sector, ARG_MAX(keywords, seq) FILTER (WHERE keywords <> '') AS keywords FROM n GROUP BY ticker)
+    SELECT COALESCE(o.ticker, g.ticker) AS ticker, COALESCE(g.name, o.name) AS name, COALESCE(g.sector, o.sector, '') AS sector, COALESCE(g.keywords, o.keywords, '') AS keywords FROM o FULL JOIN g ON g.ticker = o.ticker""",
+)
+def _(get):
+    s = get("supplier")
+    stored = s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("ticker"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "OLD").otherwise("").alias("sector"), F.lit("stored").alias("keywords"))
+    key = F.col("c_custkey")
+    n = s.agg(F.count("*") * 2).scalar()
+    new = get("customer").select((key % n).alias("ticker"), key.alias("seq"), F.col("c_name").alias("name"), F.when(key % 4 == 0, F.col("c_mktsegment")).otherwise("").alias("sector"), F.when(F.col("c_nationkey") % 5 == 0, F.concat(F.lit("k"), F.col("c_nationkey").cast("string"))).alias("keywords"))
+    return G.merge_companies(stored, new)

@@ -7,7 +7,7 @@ JSON give no rows; ``bad_records`` tells them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -164,3 +164,31 @@ def strikes(df: DataFrame, keys: list[str]) -> DataFrame:
     common = [F.try_to_date("i.tradeDate").alias("trade_date"), F.try_to_date("i.expirDate").alias("expiration"), _double("i.strike").alias("strike"), _or(_double("i.spotPrice"), _double("i.stockPrice")).alias("underlying_price"), *[_double(f"i.{g}").alias(g) for g in ("gamma", "theta", "vega")]]
     both = F.explode(F.array(side("C", "call", delta), side("P", "put", delta - 1)))
     return i.select(*keys, *common, both.alias("q")).where("trade_date IS NOT NULL AND expiration IS NOT NULL AND strike IS NOT NULL").select(*keys, "trade_date", "expiration", "strike", "underlying_price", "gamma", "theta", "vega", "q.*")
+
+
+#: Codes of a grade's action, and their names; other codes stay as they are.
+GRADE_ACTIONS = {"up": "Upgrades", "down": "Downgrades", "init": "Initiates", "reit": "Reiterates", "main": "Maintains"}
+
+
+def grades(df: DataFrame, as_of: str, lookback_days: int = 45, source: str = "yahoo") -> DataFrame:
+    """Rating events from rows of ``ticker``, ``graded_at`` (text), ``firm``, ``action``, ``from_grade`` and ``to_grade``, each of which may be
+    null: those with a readable time in the days before ``as_of``, under a key that hashes all they say."""
+    at = F.try_to_timestamp(F.trim("graded_at"))
+    plain = lambda c: F.coalesce(F.col(c), F.lit(""))
+    names = F.create_map(*[F.lit(x) for kv in GRADE_ACTIONS.items() for x in kv])
+    action = F.coalesce(names[F.lower(F.trim(plain("action")))], plain("action"))
+    g = df.select("ticker", at.alias("published_at"), plain("firm").alias("firm"), action.alias("action_company"), plain("from_grade").alias("rating_prior"), plain("to_grade").alias("rating_current"))
+    g = g.where(F.col("published_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {lookback_days} DAYS"))
+    key = F.sha1(F.concat_ws("|", F.lit(source), "ticker", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"), "firm", "action_company", "rating_prior", "rating_current"))
+    return g.select(key.alias("external_id"), F.upper("ticker").alias("ticker"), "published_at", "firm", "action_company", "rating_prior", "rating_current", F.lit(source).alias("source"))
+
+
+def rates(df: DataFrame) -> DataFrame:
+    """``trade_date``, ``two_year`` and ``ten_year`` from text columns of these names; rows in which a yield is no finite number, or the date
+    no date, go."""
+    out = df.select(F.try_to_date(F.trim("trade_date"), "yyyy-MM-dd").alias("trade_date"), *[_double(F.trim(c)).alias(c) for c in ("two_year", "ten_year")])
+    return out.dropna()
+
+
+def rates_csv(spark: SparkSession, path: str) -> DataFrame:
+    return rates(spark.read.csv(path, schema="trade_date string, two_year string, ten_year string", header=True))
