@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom.functions import scalars as S
 from marketloom.functions import scoring
 from marketloom.operators import contracts as B
 from marketloom.operators import keywords as K
@@ -181,6 +182,12 @@ def test_many_keywords(spark):
     assert K.containment_join(texts, terms.limit(0)).isEmpty()
 
 
+def test_tickers_beyond_ascii(spark):
+    given = [" brk.b ", "scha\u00df", "\ufb01x", "AB\u0085", "\u000bAB", "a-b\n", ""]
+    df = spark.createDataFrame([(t,) for t in given], "t string").select(S.normalize_ticker(F.col("t")).alias("t"))
+    assert [r.t for r in df.collect()] == ["BRK.B", None, None, None, None, "A-B", None]
+
+
 def test_long_panel_layouts(spark):
     wide = spark.createDataFrame([("d", "1.5", 2.0, "n/a", float("nan"), "z")], "day string, `Close|A` string, `B|Close` double, `A|Volume` string, `Volume|B` double, other string")
     assert sorted((r.ticker, r.close, r.volume) for r in P.long_panel(wide, ["day"], ("Close", "Volume")).collect()) == [("A", 1.5, None), ("B", 2.0, None)]
