@@ -182,6 +182,21 @@ def test_many_keywords(spark):
     assert K.containment_join(texts, terms.limit(0)).isEmpty()
 
 
+def test_keywords_of_tickers_in_parts(spark, monkeypatch):
+    """Many blocks and chunks, several texts of an id, and nothing moved after the match."""
+    for name, value in {"BLOCK": 40, "CHUNK": 300, "LEAST": 200, "STEP": 64, "ROWS": 8}.items():
+        monkeypatch.setattr(K, name, value)
+    words = [f"{a}{b}" * k for a in "ab\u00e9\U0001f600" for b in "bc " for k in (1, 2, 4)]
+    texts = [(k % 40, "".join(words[(k * 7 + j * j) % len(words)] for j in range(k % 6))) for k in range(60)] + [(None, "abab"), (None, "bcbc"), (99, None)]
+    terms = [(k % 17 or None, w) for k, w in enumerate(words)] + [(3, "abab"), (3, "AB"), (4, ""), (5, None)]
+    got = K.match_tickers(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(terms, "ticker int, term string"))
+    want = {(i, t) for i, text in texts for t, w in terms if text and w and w.lower() in text.lower()}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("MapInArrow", 1)
+    assert "Exchange" not in plan[0] and "Join" not in plan[0]
+
+
 def test_tickers_beyond_ascii(spark):
     given = [" brk.b ", "scha\u00df", "\ufb01x", "AB\u0085", "\u000bAB", "a-b\n", ""]
     df = spark.createDataFrame([(t,) for t in given], "t string").select(S.normalize_ticker(F.col("t")).alias("t"))
