@@ -34,7 +34,7 @@ def market_side(bars: DataFrame, sessions: int = 253) -> DataFrame:
     looks back."""
     b = J.latest_n(bars, ["ticker"], [F.desc("session_no")], sessions)
     b = b.withColumn("ret", F.round(W.ret(1) * 100, 4))
-    b = W.run_features(b.withColumns({**W.high_low(252), "volume_ratio": W.volume_ratio(30), "slope": W.slope(), "accel": W.acceleration(), "vol": W.annual_vol()}))
+    b = W.run_features(b.withColumns({"volume_ratio": W.volume_ratio(30), "slope": W.slope(), "accel": W.acceleration(), "vol": W.annual_vol()}), extremes=252)
     names = ["ret", "volume_ratio", "slope", "accel", "vol", "rsi", "n_returns", "streak"]
     row = F.struct(F.col("close").alias("price"), F.col("high_n").alias("week_52_high"), F.col("low_n").alias("week_52_low"), *names)
     return b.groupBy("ticker").agg(F.max_by(row, "session_no").alias("m")).select("ticker", "m.*").withColumnRenamed("ret", "change_pct")

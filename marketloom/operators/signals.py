@@ -24,16 +24,18 @@ def bands(x: Column, steps: list[tuple[float, float]], other: float, strict: boo
     return out.when(x.isNotNull(), other)
 
 
-def panel(bars: DataFrame) -> DataFrame:
-    """Point-in-time features of every bar: backward windows only, one exchange and one sort by ticker."""
-    b = W.with_returns(bars)
-    b = b.withColumns({
-        **W.high_low(252), "volume_ratio": W.volume_ratio(30), "slope": W.slope(), "accel": W.acceleration(), "vol": W.annual_vol(),
-        **{f"fwd_{h}": W.forward(h) for h in (5, 10, 21, 63)},
-    })
-    b = W.run_features(b)
+#: Holding periods of the forward returns.
+HORIZONS = (5, 10, 21, 63)
+
+
+def panel(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """Point-in-time features of every bar, and its forward returns: one exchange and one sort by ticker."""
+    b = W.with_returns(W.dealt(bars))
+    b = b.withColumns({"volume_ratio": W.volume_ratio(30), "slope": W.slope(), "accel": W.acceleration(), "vol": W.annual_vol(), **{f"fwd_{h}": W.forward(h) for h in horizons}})
+    b = W.run_features(b.drop("open", "volume"), extremes=252, ready=True)
     rng = F.nullif(F.col("high_n") - F.col("low_n"), F.lit(0.0))
-    return b.withColumns({"position": (F.col("close") - F.col("low_n")) / rng, "from_high": F.col("close") / F.col("high_n") - 1, "signed_ratio": F.col("volume_ratio") * F.when(F.col("ret") < 0, -1).otherwise(1)})
+    b = b.withColumns({"position": (F.col("close") - F.col("low_n")) / rng, "from_high": F.col("close") / F.col("high_n") - 1, "signed_ratio": F.col("volume_ratio") * F.when(F.col("ret") < 0, -1).otherwise(1)})
+    return b.drop("high", "low", "close", "high_n", "low_n")  # what follows moves all columns
 
 
 def ranked(features: DataFrame, names: list[str] = ("position", "from_high", "signed_ratio", "slope", "accel")) -> DataFrame:
@@ -41,34 +43,55 @@ def ranked(features: DataFrame, names: list[str] = ("position", "from_high", "si
     return W.percentile_scores(features, {f"xs_{n}": (n, True) for n in names}, ["trade_date"])
 
 
+def blended(df: DataFrame, values: dict[str, tuple[Column, str, float]]) -> DataFrame:
+    """``scalars.blend`` of each value and rank (``name -> value, rank, weight``).  What a step uses twice is a column of the step
+    before, as below: written into each other, the steps are more code than the JVM compiles, and run interpreted."""
+    d = df.withColumns({f"{n}_abs": a for n, (a, _, _) in values.items()})
+    d = d.withColumns({f"{n}_mix": w * F.col(x) + (1 - w) * F.col(f"{n}_abs") for n, (_, x, w) in values.items()})
+    d = d.withColumns({f"{n}_mix": S.clamp(F.col(f"{n}_mix"), -1.0, 1.0) for n in values})
+    d = d.withColumns({n: F.when(F.col(x).isNull(), F.col(f"{n}_abs")).otherwise(S.rounded(F.col(f"{n}_mix"), 4)) for n, (_, x, _) in values.items()})
+    return d.drop(*[f"{n}_{k}" for n in values for k in ("abs", "mix")])
+
+
+def mean_of(df: DataFrame, name: str, parts: dict[str, float]) -> DataFrame:
+    """``name`` (``scalars.weighted_mean``) and ``__n`` (how many are there) of the columns ``parts`` (name -> weight), which go."""
+    given = [(F.col(c), w) for c, w in parts.items()]
+    top = sum((F.coalesce(s * w, F.lit(0.0)) for s, w in given), F.lit(0.0))
+    low = sum((F.when(s.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for s, w in given), F.lit(0.0))
+    d = df.withColumns({"__top": top, "__low": low, "__n": S.present([s for s, _ in given])}).drop(*parts)
+    d = d.withColumn("__mean", F.when(F.col("__low") > 0, F.col("__top") / F.col("__low"))).withColumn("__mean", S.clamp(F.col("__mean"), -1.0, 1.0))
+    return d.withColumn(name, F.round("__mean", 4)).drop("__top", "__low", "__mean")
+
+
 #: The limits and values of the bands below are fixed values.
 def technical(df: DataFrame) -> DataFrame:
     """With a ``rating`` (its value) where the rows have one."""
-    rated = [(S.blend(F.col("rating"), F.col("xs_rating"), 0.8), 1.0)] if "rating" in df.columns else []
-    parts = [
-        (S.blend(S.clamp((F.col("position") - 0.5) * 2, -1.0, 1.0), F.col("xs_position")), 1.2), (S.clamp(F.col("ret") / 5, -1.0, 1.0), 0.6), *rated,
-        (S.blend(S.clamp((F.col("from_high") + 0.10) / 0.20, -1.0, 1.0), F.col("xs_from_high")), 0.8),
-    ]
-    return df.withColumn("technical", S.weighted_mean(parts)).withColumn("technical_conf", F.least(F.lit(1.0), S.present([p for p, _ in parts]) / 4))
+    rated = "rating" in df.columns
+    d = blended(df, {
+        "__a": (S.clamp((F.col("position") - 0.5) * 2, -1.0, 1.0), "xs_position", 0.65), **({"__c": (F.col("rating"), "xs_rating", 0.8)} if rated else {}),
+        "__d": (S.clamp((F.col("from_high") + 0.10) / 0.20, -1.0, 1.0), "xs_from_high", 0.65),
+    }).withColumn("__b", S.clamp(F.col("ret") / 5, -1.0, 1.0))
+    d = mean_of(d, "technical", {"__a": 1.2, "__b": 0.6, **({"__c": 1.0} if rated else {}), "__d": 0.8})
+    return d.withColumn("technical_conf", F.least(F.lit(1.0), F.col("__n") / 4)).drop("__n")
 
 
 def momentum(df: DataFrame) -> DataFrame:
     run = F.abs(F.col("streak"))
-    parts = [
-        (bands(F.col("rsi"), [(80, 0.1), (70, 0.5), (60, 0.4), (50, 0.15), (40, -0.15), (30, -0.4), (20, -0.5)], -0.1), 1.5),
-        (S.blend(S.clamp(F.col("slope") / 0.5, -1.0, 1.0), F.col("xs_slope")), 1.2),
-        (F.when(F.col("vol") < 20, 0.3).when(F.col("vol") < 35, 0.1).when(F.col("vol") < 55, -0.1).when(F.col("vol").isNotNull(), -0.4), 0.8),
-        (F.signum(F.col("streak").cast("double")) * bands(run, [(5, 0.7), (4, 0.6), (3, 0.4), (2, 0.2)], 0.0), 0.9),
-        (S.blend(S.clamp(F.col("accel") / 0.5, -1.0, 1.0), F.col("xs_accel")), 1.0),
-    ]
+    d = blended(df, {"__b": (S.clamp(F.col("slope") / 0.5, -1.0, 1.0), "xs_slope", 0.65), "__e": (S.clamp(F.col("accel") / 0.5, -1.0, 1.0), "xs_accel", 0.65)})
+    d = d.withColumns({
+        "__a": bands(F.col("rsi"), [(80, 0.1), (70, 0.5), (60, 0.4), (50, 0.15), (40, -0.15), (30, -0.4), (20, -0.5)], -0.1),
+        "__c": F.when(F.col("vol") < 20, 0.3).when(F.col("vol") < 35, 0.1).when(F.col("vol") < 55, -0.1).when(F.col("vol").isNotNull(), -0.4),
+        "__d": F.signum(F.col("streak").cast("double")) * bands(run, [(5, 0.7), (4, 0.6), (3, 0.4), (2, 0.2)], 0.0),
+    })
     some = F.col("n_returns") >= 5
-    return df.withColumn("momentum", F.when(some, S.weighted_mean(parts))).withColumn("momentum_conf", F.when(some, F.least(F.lit(1.0), F.col("n_returns") / 60)).otherwise(0.0))
+    d = mean_of(d, "momentum", {"__a": 1.5, "__b": 1.2, "__c": 0.8, "__d": 0.9, "__e": 1.0}).drop("__n")
+    return d.withColumn("momentum", F.when(some, F.col("momentum"))).withColumn("momentum_conf", F.when(some, F.least(F.lit(1.0), F.col("n_returns") / 60)).otherwise(0.0))
 
 
 def volume(df: DataFrame) -> DataFrame:
     ratio = F.col("volume_ratio")
     s = bands(ratio, [(3, 1.0), (2, 0.7), (1.5, 0.4), (0.8, 0.0), (0.5, -0.2)], -0.4) * F.when(F.col("ret") < 0, -1).otherwise(1)
-    return df.withColumn("volume_signal", S.blend(s, F.col("xs_signed_ratio"), 0.4)).withColumn("volume_conf", F.when(ratio.isNotNull(), F.least(F.lit(1.0), F.abs(ratio - 1))))
+    return blended(df, {"volume_signal": (s, "xs_signed_ratio", 0.4)}).withColumn("volume_conf", F.when(ratio.isNotNull(), F.least(F.lit(1.0), F.abs(ratio - 1))))
 
 
 def composite(df: DataFrame, signals: tuple[str, ...] = PANEL, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -81,19 +104,24 @@ def composite(df: DataFrame, signals: tuple[str, ...] = PANEL, weights: dict[str
     top = sum((F.when(used[k], c * weights[k] * F.col(f"{k}_conf")).otherwise(0.0) for k, c in named.items()), F.lit(0.0))
     low = sum((F.when(used[k], weights[k] * F.col(f"{k}_conf")).otherwise(0.0) for k in named), F.lit(0.0))
     cover = sum((F.when(used[k], F.lit(weights[k])).otherwise(0.0) for k in named), F.lit(0.0)) / full
-    score = F.round(S.clamp(top / F.nullif(low, F.lit(0.0)), -1.0, 1.0), 4)
-    return df.withColumns({"score": score, "coverage": F.round(cover, 3), "possible": F.lit(round(sum(weights[k] for k in signals) / full, 3))}).withColumn("label", S.tradeability_label(F.col("score")))
+    d = df.withColumns({"__mean": top / F.nullif(low, F.lit(0.0)), "coverage": F.round(cover, 3), "possible": F.lit(round(sum(weights[k] for k in signals) / full, 3))})
+    d = d.withColumn("__mean", S.clamp(F.col("__mean"), -1.0, 1.0)).withColumn("score", F.round("__mean", 4)).drop("__mean")
+    return d.withColumn("label", S.tradeability_label(F.col("score")))
 
 
-def score_panel(bars: DataFrame) -> DataFrame:
-    return composite(volume(momentum(technical(ranked(panel(bars))))))
+def score_panel(bars: DataFrame, horizons: tuple[int, ...] = (), wanted: Column | None = None) -> DataFrame:
+    """The composite of every bar (of those ``wanted``, ranked among all) with its signals and forward returns.  The signals lie behind
+    a pass that parts them from the composite, as all in one are more code than the JVM compiles."""
+    d = ranked(panel(bars, horizons))
+    d = volume(momentum(technical(d if wanted is None else d.where(wanted))))
+    signal = [c for k in PANEL for c in (f"{k}_signal" if k == "volume" else k, f"{k}_conf")]
+    return composite(W.settled(d.select("ticker", "trade_date", "session_no", "n_returns", *signal, *[f"fwd_{h}" for h in horizons])))
 
 
 def backtest(bars: DataFrame, first_session: int = 260, least_returns: int = 30) -> DataFrame:
     """The signal replayed on every bar with history enough, with its forward returns."""
-    s = W.settled(score_panel(bars).select("ticker", "trade_date", "session_no", "n_returns", "score", "possible", "label", "fwd_5", "fwd_10", "fwd_21", "fwd_63"))
-    s = s.where((F.col("session_no") > first_session) & (F.col("n_returns") >= least_returns) & F.col("score").isNotNull())
-    return s.select("ticker", "trade_date", "score", F.col("possible").alias("coverage"), F.replace("label", F.lit(" "), F.lit("_")).alias("label"), "fwd_5", "fwd_10", "fwd_21", "fwd_63")
+    s = score_panel(bars, HORIZONS, (F.col("session_no") > first_session) & (F.col("n_returns") >= least_returns)).where("score IS NOT NULL")
+    return s.select("ticker", "trade_date", "score", F.col("possible").alias("coverage"), F.replace("label", F.lit(" "), F.lit("_")).alias("label"), *[f"fwd_{h}" for h in HORIZONS])
 
 
 def iv_rank(iv: DataFrame, days: int = 365, least: int = 20) -> DataFrame:

@@ -136,3 +136,27 @@ def test_past_scores_ignore_the_future(spark):
 def test_trade_metrics_golden(spark):
     t = spark.createDataFrame([("DEBIT", "OPTION", "BULLISH", 2.0, 4.0, 1, 100, None), ("CREDIT", "OPTION", "BULLISH", 2.0, 0.5, 1, 100, 300.0)], "entry_type string, instrument_type string, direction string, entry_value double, exit_value double, quantity int, multiplier int, planned_max_loss double")
     assert [(r.pnl, r.risk, r.return_on_risk) for r in A.trade_metrics(t).collect()] == [(200.0, 200.0, 100.0), (150.0, 300.0, 50.0)]
+
+
+def test_run_features_over_block_ends(spark):
+    """Tickers that begin, end and go on anywhere in a block, with gaps, as each by itself."""
+    rows = [(f"t{k}", n, None if (n * k) % 11 == 3 else float((n * 37 + k * 11) % 17 - 8), 100.0 + (n * 53 + k) % 29, 90.0 - (n * 31 + k) % 23) for k in range(1, 6) for n in range(1, 60 * k % 97 + 2)]
+    df = spark.createDataFrame(rows, "ticker string, session_no int, ret double, high double, low double")
+    found = {b: {(r.ticker, r.session_no): r for r in W.run_features(df.coalesce(1), bars_seen=20, block=b, extremes=25).collect()} for b in (7, 4096)}
+    assert found[7] == found[4096] and len(found[7]) == len(rows)
+    for k in range(1, 6):
+        alone = W.run_features(df.where(f"ticker = 't{k}'"), bars_seen=20, extremes=25).collect()
+        assert all(found[7][r.ticker, r.session_no] == r for r in alone)
+    for (t, n), r in found[7].items():
+        near = [x for x in rows if x[0] == t and n - 25 < x[1] <= n]
+        assert (r.high_n, r.low_n) == (max(x[3] for x in near), min(x[4] for x in near))
+
+
+def test_signals_are_compiled(spark):
+    """The JVM compiles no method of more than 8,000 bytes of code."""
+    names = ["position", "from_high", "ret", "slope", "accel", "vol", "rsi", "volume_ratio", "xs_position", "xs_from_high", "xs_slope", "xs_accel", "xs_signed_ratio"]
+    df = spark.range(10).select(*[(F.col("id") / (k + 2)).alias(n) for k, n in enumerate(names)], F.col("id").cast("int").alias("streak"), F.col("id").cast("int").alias("n_returns"))
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    for d, out in ((M.technical(df), "technical"), (M.momentum(df), "momentum"), (M.volume(df), "volume_signal")):
+        code = debug.codegenStringSeq(d.select(out)._jdf.queryExecution().executedPlan())
+        assert code.size() and max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000
