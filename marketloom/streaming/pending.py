@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,8 +44,8 @@ def resolve_pending(predictions: DataFrame, closes: DataFrame, late: str = "3 da
         mark = state.getCurrentWatermarkMs()
         days, out, left, due = sorted(price), [], [], []
         for t, score, horizon in waiting:
-            base = [d for d in days if d <= t]
-            ahead = [d for d in days if d > t][:horizon]
+            here = bisect_right(days, t)
+            base, ahead = days[max(0, here - 1) : here], days[here : here + horizon]
             if not base and mark > t:
                 continue  # no earlier close can come any more
             if base and len(ahead) == horizon and ahead[-1] <= mark:
@@ -109,15 +110,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named}/stream-{uuid.uuid4().hex}"
 
 
+#: Rows of a file of a stream, at least, where a part has several.
+FILE_ROWS = 250_000
+
+
 def as_stream(df: DataFrame, at: str, path: str, files: int = 4) -> DataFrame:
-    """``df`` as a file stream: its rows in ``files`` parts of time, one part a batch."""
+    """``df`` as a file stream: its rows in ``files`` parts of time, one part a batch.  ``df`` is worked out once, over all tasks, and
+    parted as it lies there; large parts have several files, as many in each, so that a batch is a part."""
     spark = df.sparkSession
+    df.write.parquet(f"{path}-whole")
+    whole = spark.read.schema(df.schema).parquet(f"{path}-whole")
     number = F.unix_timestamp(F.col(at).cast("timestamp"))
-    cuts = df.select(number.cast("double").alias("n")).approxQuantile("n", [k / files for k in range(1, files)], 0.001)
+    cuts = whole.select(number.cast("double").alias("n")).approxQuantile("n", [k / files for k in range(1, files)], 0.001)
     part = sum(((number > c).cast("int") for c in cuts), F.lit(0))
+    sizes = dict(whole.groupBy(part.alias("part")).count().collect())  # a number a part
+    each = max(1, min(sizes.get(k, 0) for k in range(files)) // FILE_ROWS)
     for k in range(files):
-        df.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows = whole.where(part == k)
+        (rows.repartition(each) if each > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:

@@ -75,3 +75,15 @@ def test_late_rows_go_aside(spark, tmp_path):
     assert ids("late") == [3, 5] and ids("out") == [1, 2, 4, 6, 7]
     sink(spark.createDataFrame([(9, "2024-01-01 00:00:00")], "id int, at string").select("id", F.col("at").cast("timestamp").alias("at")), 2)
     assert ids("late") == [3, 9] and ids("out") == [1, 2, 4]
+
+
+def test_large_parts_lie_in_several_files(spark, tmp_path, monkeypatch):
+    """A part is a batch whatever its number of files, and its rows are worked out over many tasks."""
+    monkeypatch.setattr(pending, "FILE_ROWS", 60)
+    df = spark.range(0, 1000, 1, 4).select("id", F.timestamp_seconds("id").alias("at"))
+    s = pending.as_stream(df, "at", f"{tmp_path}/in")
+    assert len([f for f in os.listdir(f"{tmp_path}/in") if f.endswith(".parquet")]) == 16
+    batches = []
+    q = s.writeStream.foreachBatch(lambda b, n: batches.append(sorted(r.id for r in b.collect()))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert len(batches) == 4 and [x for b in batches for x in b] == list(range(1000))
