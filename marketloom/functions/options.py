@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import ERFC, norm_cdf
+from .scalars import ERFC, norm_cdf, with_norm_cdf
 
 RATE = 0.042
 
@@ -29,6 +29,14 @@ def price(spot: Column, strike: Column, t: Column, vol: Column, right: Column, r
     return F.when(t <= 0, intrinsic(strike)).when(vol <= 0, intrinsic(discounted)).otherwise(value)
 
 
+def with_delta(chain: DataFrame, spot: str = "underlying_price", strike: str = "strike", dte: str = "dte", iv: str = "iv", right: str = "opt_right", rate: float = RATE) -> DataFrame:
+    """``chain`` with ``delta`` alone, for plans that need no other Greek: rows stay in their stage.  Null without a volatility, and at or past
+    expiry."""
+    t, vol = F.greatest(F.col(dte), F.lit(0)) / F.lit(365.0), F.col(iv)
+    c = with_norm_cdf(chain.drop("delta"), "__n1", _d1(F.col(spot), F.col(strike), t, vol, rate))
+    return c.withColumn("delta", F.when((t > 0) & (vol > 0), F.when(F.col(right) == "C", F.col("__n1")).otherwise(F.col("__n1") - 1))).drop("__n1")
+
+
 #: What ``with_greeks`` adds.
 GREEKS = ("price", "delta", "gamma", "theta", "vega", "rho", "prob_itm")
 

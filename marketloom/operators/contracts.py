@@ -28,12 +28,13 @@ def entry_legs(observations: DataFrame, chain: DataFrame, target_dte: int = TARG
     (``ticker``, ``obs_date``, ``score``) that finds both.  The short leg stands beyond the long one: where the nearest
     delta does not, the nearest of those that do."""
     wanted = observations.where(F.abs("score") >= THRESHOLD).select("ticker", "obs_date", "score", F.when(F.col("score") > 0, "C").otherwise("P").alias("right"))
-    c = chain.where(F.col("dte").between(MIN_DTE, MAX_DTE))
-    expiry = c.groupBy("ticker", F.col("trade_date").alias("obs_date")).agg(F.min_by("expiration", F.struct(F.abs(F.col("dte") - target_dte), "expiration")).alias("expiration"))
-    quotes = c.where(liquid()).select("ticker", F.col("trade_date").alias("obs_date"), "expiration", F.col("opt_right").alias("right"), F.struct("strike", "bid", "ask", F.abs("delta").alias("size")).alias("q"))
-    chosen = wanted.join(expiry, ["ticker", "obs_date"]).join(quotes, ["ticker", "obs_date", "expiration", "right"])
+    c = chain.where(F.col("dte").between(MIN_DTE, MAX_DTE)).select("ticker", F.col("trade_date").alias("obs_date"), "expiration", "dte", "opt_right", liquid().alias("liquid"), F.struct("strike", "bid", "ask", F.abs("delta").alias("size")).alias("q"))
+    # one pass over the chain: it goes by the observations of its date, and all expiries of a date, liquid or not, are looked at where they lie
+    seen = c.join(wanted.hint("shuffle_hash"), ["ticker", "obs_date"])
     # the offers of one expiry and right of one chain, by strike, so that ties go to the lowest
-    g = chosen.groupBy("ticker", "obs_date", "score", "right", "expiration").agg(F.sort_array(F.collect_list("q")).alias("offers"))
+    offers = F.sort_array(F.collect_list(F.when((F.col("opt_right") == F.col("right")) & F.col("liquid"), F.col("q"))))
+    each = seen.groupBy("ticker", "obs_date", "score", "right", "expiration", "dte").agg(offers.alias("offers"))
+    g = each.groupBy("ticker", "obs_date", "score", "right").agg(F.min_by(F.struct("expiration", "offers"), F.struct(F.abs(F.col("dte") - target_dte), "expiration")).alias("__chosen")).select("ticker", "obs_date", "score", "right", "__chosen.*")
 
     def nearest(offers: Column, delta: float) -> Column:
         away = F.transform(offers, lambda q: F.struct(F.abs(q["size"] - delta).alias("away"), q.alias("q")))
@@ -52,19 +53,18 @@ def debit_spreads(observations: DataFrame, chain: DataFrame, holding_days: int =
     """The vertical of each observation, from its quotes at entry and those of the same contracts at the first date with a chain, of
     the ``holding_days``-th weekday and the WALK after it."""
     e = entry_legs(observations, chain)
-    e = e.withColumn("debit", F.col("long.ask") - F.col("short.bid")).where(F.col("debit") > LEAST_DEBIT)
+    e = e.select("ticker", "obs_date", "score", "right", "expiration", F.col("long.strike").alias("long_strike"), F.col("short.strike").alias("short_strike"), (F.col("long.ask") - F.col("short.bid")).alias("debit")).where(F.col("debit") > LEAST_DEBIT)
     target = S.add_business_days(F.col("obs_date"), F.lit(holding_days))
-    tries = e.select("ticker", "obs_date", "expiration", F.posexplode(F.array(*[S.add_business_days(target, F.lit(k)) for k in range(WALK + 1)])).alias("k", "exit_date")).where("exit_date < expiration")
-    dates = chain.select("ticker", F.col("trade_date").alias("exit_date"), F.col("expiration").alias("listed")).distinct()
+    tries = e.select("*", F.posexplode(F.array(*[S.add_business_days(target, F.lit(k)) for k in range(WALK + 1)])).alias("k", "exit_date")).where("exit_date < expiration")
     # a date counts once any expiry within two days of the position's is quoted; expiries past are not
-    near = tries.join(dates, ["ticker", "exit_date"]).where((F.abs(F.datediff("listed", "expiration")) <= NEAR_DAYS) & (F.col("listed") >= F.col("exit_date")))
-    exits = near.groupBy("ticker", "obs_date").agg(F.min_by("exit_date", "k").alias("exit_date"))
-    held = e.join(exits, ["ticker", "obs_date"])
-    price = lambda name, side: chain.select("ticker", F.col("trade_date").alias("exit_date"), "expiration", F.col("opt_right").alias("right"), F.col("strike").alias(f"{name}_strike"), F.col(side).alias(f"{name}_close"))
-    held = held.withColumn("long_strike", F.col("long.strike")).withColumn("short_strike", F.col("short.strike"))
-    for name, side in (("long", "bid"), ("short", "ask")):
-        held = held.join(price(name, side), ["ticker", "exit_date", "expiration", "right", f"{name}_strike"])
-    held = held.withColumn("exit_value", F.col("long_close") - F.col("short_close")).where("exit_value IS NOT NULL")
+    quotes = chain.select("ticker", F.col("trade_date").alias("exit_date"), F.col("expiration").alias("listed"), F.col("opt_right").alias("quoted"), "strike", "bid", "ask")
+    near = quotes.join(tries.hint("shuffle_hash"), ["ticker", "exit_date"]).where((F.abs(F.datediff("listed", "expiration")) <= NEAR_DAYS) & (F.col("listed") >= F.col("exit_date")))
+    held = ["ticker", "obs_date", "score", "right", "expiration", "long_strike", "short_strike", "debit"]
+    own = lambda leg, side: F.max(F.when((F.col("listed") == F.col("expiration")) & (F.col("quoted") == F.col("right")) & (F.col("strike") == F.col(leg)), F.col(side)))
+    # the same contracts at each of the dates, and of the dates the first
+    each = near.groupBy(*held, "k", "exit_date").agg(own("long_strike", "bid").alias("long_close"), own("short_strike", "ask").alias("short_close"))
+    first = each.groupBy(*held).agg(F.min_by(F.struct("exit_date", "long_close", "short_close"), "k").alias("__first")).select(*held, "__first.*")
+    held = first.withColumn("exit_value", F.col("long_close") - F.col("short_close")).where("exit_value IS NOT NULL")
     pnl = F.col("exit_value") - F.col("debit")
     return held.select("ticker", "obs_date", "score", F.when(F.col("score") > 0, "bull_call_spread").otherwise("bear_put_spread").alias("strategy"), "expiration", "exit_date", "long_strike", "short_strike", "debit", "exit_value", (pnl / F.col("debit") * 100).alias("pnl_pct"), (pnl > 0).alias("win"))
 

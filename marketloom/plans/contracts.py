@@ -134,7 +134,7 @@ _ENTRY = f"""c AS (SELECT *, {_cdf(_D1)} - CASE opt_right WHEN 'P' THEN 1 ELSE 0
 
 
 def contract_chain(get):
-    return O.with_greeks(get("contract_quotes")).select("ticker", "trade_date", "expiration", "dte", "opt_right", "strike", "bid", "ask", "open_interest", "delta")
+    return O.with_delta(get("contract_quotes")).select("ticker", "trade_date", "expiration", "dte", "opt_right", "strike", "bid", "ask", "open_interest", "delta")
 
 
 def observations(get):
