@@ -20,8 +20,8 @@ SPY, QQQ, VIX = 1, 2, 3
 
 
 def breadth_row(bars):
-    """Breadth at the last session."""
-    wide = A.breadth(bars.select("ticker", "trade_date", "close", *[W.sma(n).alias(f"sma_{n}") for n in (20, 50, 200)], *[W.ret(n).alias(f"ret_{n}") for n in (5, 20)]))
+    """Breadth at the last session: of the tickers whose last row it is."""
+    wide = A.breadth(W.ends(bars.select("ticker", "session_no", "trade_date", "close"), returns=(5, 20), averages=(20, 50, 200)))
     return wide.agg(F.max_by(F.struct("score", "confidence", "above_50"), "trade_date").alias("b")).select(F.col("b.score").alias("breadth_score"), F.col("b.confidence").alias("breadth_confidence"), "b.above_50")
 
 

@@ -2,11 +2,14 @@
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import options as O
 from marketloom.operators import contracts as B
+from marketloom.operators import technical as T
+from marketloom.operators import windows as W
 from marketloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -41,3 +44,30 @@ def test_an_expiry_without_liquid_quotes_is_chosen_all_the_same(spark):
     chain = spark.createDataFrame(q, "ticker long, dte int, opt_right string, strike double, bid double, ask double, open_interest long, delta double").withColumn("trade_date", F.lit("2020-03-02").cast("date")).withColumn("expiration", F.date_add("trade_date", F.col("dte")))
     seen = spark.createDataFrame([(1, 0.5), (2, 0.5), (2, -0.5)], "ticker long, score double").withColumn("obs_date", F.lit("2020-03-02").cast("date"))
     assert [(r.ticker, r.score) for r in B.entry_legs(seen, chain).collect()] == [(2, -0.5)]
+
+
+def test_ends_of_trends_are_those_of_the_series(spark):
+    """Tickers of any length, gaps, flat prices, and blocks that end inside a ticker."""
+    rows = [(t, n, 10.0 + (n * (t + 3)) % 7, 8.0 - (n * t) % 3, None if t == 3 and n in (4, 5) else 9.0 + (n * n * t) % 4) for t, size in ((0, 1), (1, 40), (2, 300), (3, 12), (5, 2)) for n in range(size)]
+    rows += [(4, n, 5.0, 5.0, 5.0) for n in range(30)] + [(6, n, 5.0 + (n > 9), 5.0, 5.0) for n in range(20)]
+    bars = spark.createDataFrame(rows, "ticker long, session_no int, high double, low double, close double").repartition(3)
+    series = T.trend_series(bars).toPandas().sort_values("session_no").groupby("ticker").tail(1).drop(columns="session_no")
+    for block, most in ((1 << 16, 1 << 20), (16, 1 << 20), (1 << 16, 64)):
+        ends = T.trend_ends(bars, block=block, most=most).toPandas()
+        pd.testing.assert_frame_equal(ends.sort_values("ticker").reset_index(drop=True), series.sort_values("ticker").reset_index(drop=True), rtol=1e-12)
+
+
+def test_ends_of_windows_are_those_of_the_windows(spark):
+    rows = [(t, n, None if t == 2 and n == 25 else 0.0 if t == 1 and n == 24 else 5.0 + (n * t) % 9, float(n % 5 + t)) for t, size in ((1, 30), (2, 30), (3, 10), (4, 6)) for n in range(size)]
+    bars = spark.createDataFrame(rows, "ticker long, session_no int, close double, volume double")
+    known = bars.select("ticker", "session_no", "close", W.ret(5).alias("ret_5"), W.sma(10).alias("sma_10"), W.rvol(20).alias("rvol"), F.row_number().over(W.order()).alias("n"))
+    known = known.toPandas().sort_values("session_no").groupby("ticker").tail(1).sort_values("ticker").reset_index(drop=True)
+    ends = W.ends(bars, returns=(5,), averages=(10,), volumes=20).toPandas().sort_values("ticker").reset_index(drop=True)
+    pd.testing.assert_frame_equal(ends[known.columns], known, check_dtype=False, rtol=1e-12)
+
+
+@tables
+@pytest.mark.parametrize("name", ["t07_ranked_opportunities", "m19_conviction", "m20_agreement", "m23_decision"])
+def test_last_rows_take_no_window_over_frames_and_no_pass_for_each_ticker(spark, name):
+    text = plan(registry.queries()[name](spark, DATA))
+    assert "FlatMapGroupsInPandas" not in text and "-199" not in text
