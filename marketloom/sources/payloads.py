@@ -40,6 +40,12 @@ def _parsed(df: DataFrame, keys: list[str], schema: str) -> DataFrame:
     return df.select(*keys, F.from_json("payload", schema).alias("p"))
 
 
+def _once(df: DataFrame, keys: list[str], parsed: Column) -> DataFrame:
+    """``keys`` and ``parsed`` as ``p`` where it is there.  It is made a row of its own by ``explode``, which no filter passes: a condition on what
+    a reader takes from ``p`` would go below it with a further parse of the payload for each field that it names."""
+    return df.select(*keys, F.explode(F.array(parsed)).alias("p")).where("p IS NOT NULL")
+
+
 def bad_records(df: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose payload is no JSON object or array."""
     return df.where(F.try_parse_json("payload").isNull()).select(*keys)
@@ -63,7 +69,7 @@ def bars(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def quote(df: DataFrame, keys: list[str]) -> DataFrame:
     """A snapshot quote: the last price is that of the trade, else the minute's close, else the day's."""
-    p = _parsed(df, keys, f"latestTrade {_struct('p t')}, latestQuote {_struct('bp ap t')}, minuteBar {_struct('c t')}, dailyBar {_struct('o h l c v')}, prevDailyBar {_struct('c')}").where("p IS NOT NULL")
+    p = _once(df, keys, F.from_json("payload", f"latestTrade {_struct('p t')}, latestQuote {_struct('bp ap t')}, minuteBar {_struct('c t')}, dailyBar {_struct('o h l c v')}, prevDailyBar {_struct('c')}"))
     last, before = F.coalesce(_double("p.latestTrade.p"), _double("p.minuteBar.c"), _double("p.dailyBar.c")), _double("p.prevDailyBar.c")
     return p.select(
         *keys, F.try_to_timestamp(F.coalesce("p.latestTrade.t", "p.latestQuote.t", "p.minuteBar.t")).alias("ts"), last.alias("last"), _double("p.latestQuote.bp").alias("bid"), _double("p.latestQuote.ap").alias("ask"),
@@ -82,7 +88,7 @@ PRICE_KEYS = {
 def prices(df: DataFrame, keys: list[str]) -> DataFrame:
     """Price and fundamentals of a key-value snapshot, with today's volume against its mean (of 30 days, else another)."""
     at = lambda k: _double(F.col("m")[k])
-    m = df.select(*keys, F.from_json("payload", "map<string,string>").alias("m")).where("m IS NOT NULL")
+    m = _once(df, keys, F.from_json("payload", "map<string,string>")).withColumnRenamed("p", "m")
     volume, mean = at("regularMarketVolume"), _or(at("averageDailyVolume30Day"), at("averageVolume"))
     return m.select(*keys, _or(at("regularMarketPrice"), at("currentPrice")).alias("price"), volume.alias("volume"), mean.alias("avg_volume_30d"), F.when((volume != 0) & (mean > 0), F.round(volume / mean, 3)).alias("volume_ratio"), F.col("m")["recommendationKey"].alias("analyst_rating"), *[at(k).alias(n) for k, n in PRICE_KEYS.items()])
 

@@ -71,3 +71,9 @@ def test_ends_of_windows_are_those_of_the_windows(spark):
 def test_last_rows_take_no_window_over_frames_and_no_pass_for_each_ticker(spark, name):
     text = plan(registry.queries()[name](spark, DATA))
     assert "FlatMapGroupsInPandas" not in text and "-199" not in text
+
+
+@tables
+@pytest.mark.parametrize("name", ["s04_quotes", "s05_price_snapshots"])
+def test_a_payload_is_parsed_once(spark, name):
+    assert plan(registry.queries()[name](spark, DATA)).count("from_json(") == 1
