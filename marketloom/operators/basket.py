@@ -7,7 +7,9 @@ behind which the signals are worked out.  Tickers without a side have nulls ther
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -30,14 +32,21 @@ ARTICLES, REPORTS, SURPRISES, FRESH_DAYS, HISTORY_DAYS = 50, 8, 4, 7, 14
 
 
 def market_side(bars: DataFrame, sessions: int = 253) -> DataFrame:
-    """Price and price features at each ticker's last session.  Only the last ``sessions`` are moved: more than any window here
-    looks back."""
-    b = J.latest_n(bars, ["ticker"], [F.desc("session_no")], sessions)
-    b = b.withColumn("ret", F.round(W.ret(1) * 100, 4))
-    b = W.run_features(b.withColumns({"volume_ratio": W.volume_ratio(30), "slope": W.slope(), "accel": W.acceleration(), "vol": W.annual_vol()}), extremes=252)
-    names = ["ret", "volume_ratio", "slope", "accel", "vol", "rsi", "n_returns", "streak"]
-    row = F.struct(F.col("close").alias("price"), F.col("high_n").alias("week_52_high"), F.col("low_n").alias("week_52_low"), *names)
-    return b.groupBy("ticker").agg(F.max_by(row, "session_no").alias("m")).select("ticker", "m.*").withColumnRenamed("ret", "change_pct")
+    """Price and price features at each ticker's last session, from the last ``sessions``: more than any of them looks back.  One sort from
+    the end and one aggregation by the distance from it, so a task holds a row of each ticker and no window's frames."""
+    w = Window.partitionBy("ticker").orderBy(F.desc("session_no"))
+    b = bars.select("ticker", "session_no", "high", "low", "close", "volume", (F.row_number().over(w) - 1).alias("back"), F.lead("close").over(w).alias("before")).where(F.col("back") < sessions)
+    b = b.withColumn("ret", F.round(F.when(F.col("before") != 0, F.col("close") / F.col("before") - 1) * 100, 4))
+    at = lambda c: F.max(F.when(F.col("back") == 0, F.col(c)))
+    last = lambda n, c="ret": F.when(F.col("back") < n, F.col(c))
+    some = lambda n, least, value: F.when(F.count(last(n)) >= least, value)
+    known = F.transform(F.sort_array(F.collect_list(F.when(last(120).isNotNull(), F.struct(-F.col("back"), "ret")))), lambda x: x["ret"])
+    g = b.groupBy("ticker").agg(
+        at("close").alias("price"), F.max(last(252, "high")).alias("week_52_high"), F.min(last(252, "low")).alias("week_52_low"), at("ret").alias("change_pct"),
+        (at("volume") / F.avg(last(30, "volume"))).alias("volume_ratio"), some(14, 5, F.regr_slope(last(14), F.col("session_no").cast("double"))).alias("slope"),
+        some(14, 5, F.avg(last(5)) - F.avg(last(14))).alias("accel"), some(30, 10, F.stddev_samp(last(30)) * math.sqrt(252)).alias("vol"), known.alias("__known"), F.count(last(14)).alias("__have"),
+    )
+    return W.run_ends(g, "__known", "__have")
 
 
 def article_side(articles: DataFrame, as_of: str, tau_hours: float = 48.0) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import options as O
+from marketloom.operators import basket as K
 from marketloom.operators import contracts as B
 from marketloom.operators import technical as T
 from marketloom.operators import windows as W
@@ -77,3 +78,15 @@ def test_last_rows_take_no_window_over_frames_and_no_pass_for_each_ticker(spark,
 @pytest.mark.parametrize("name", ["s04_quotes", "s05_price_snapshots"])
 def test_a_payload_is_parsed_once(spark, name):
     assert plan(registry.queries()[name](spark, DATA)).count("from_json(") == 1
+
+
+def test_market_side_is_that_of_the_windows(spark):
+    rows = [(t, n, 9.0 + (n * t) % 11, 7.0 - (n * t) % 5, None if t == 3 and n in (290, 296) else 8.0 + (n * n * t) % 7 / 2, 100.0 + n % 9) for t, size in ((1, 300), (2, 20), (3, 300), (4, 5), (5, 1)) for n in range(size)]
+    bars = spark.createDataFrame(rows, "ticker long, session_no int, high double, low double, close double, volume double")
+    b = bars.withColumn("ret", F.round(W.ret(1) * 100, 4)).withColumns({"volume_ratio": W.volume_ratio(30), "slope": W.slope(), "accel": W.acceleration(), "vol": W.annual_vol()})
+    known = W.run_features(b, extremes=252).toPandas().sort_values("session_no").groupby("ticker").tail(1)
+    known = known.rename(columns={"close": "price", "high_n": "week_52_high", "low_n": "week_52_low", "ret": "change_pct"}).sort_values("ticker").reset_index(drop=True)
+    side = K.market_side(bars)
+    pd.testing.assert_frame_equal(side.toPandas().sort_values("ticker").reset_index(drop=True), known[side.columns], check_dtype=False, rtol=1e-9, atol=1e-9)
+    text = plan(K.market_side(bars))
+    assert text.count("Sort [") == 1 and "rangebetween" not in text.lower() and "RowFrame, -" not in text
