@@ -94,22 +94,24 @@ def scores(scorer: Scorer, texts: list[str]) -> list[tuple[float | None, str | N
         return [_alone(scorer, t) for t in texts]
 
 
-def score_texts(df: DataFrame, scorer: Scorer, text: str = "text", name: str = "score", batch: int = BATCH) -> DataFrame:
-    """``df`` with ``name`` (null where the text could not be scored) and ``<name>_error``.  Tags and runs of white space go before
+def score_texts(df: DataFrame, scorer: Scorer, text: str = "text", name: str = "score", batch: int = BATCH, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (its columns ``keep``, if given: a text that is not kept is sent once, as it is scored, and not back) with ``name`` (null where the text could not be scored) and ``<name>_error``.  Tags and runs of white space go before
     scoring; null and blank texts have 0 and are not sent."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    kept = df.columns if keep is None else keep
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("__clean").to_pylist()
-            value: list[float | None] = [0.0] * len(texts)
-            error: list[str | None] = [None] * len(texts)
-            at = [k for k, t in enumerate(texts) if t]
-            for i in range(0, len(at), batch):
-                part = at[i : i + batch]
-                for k, (x, e) in zip(part, scores(scorer, [texts[k] for k in part]), strict=True):
-                    value[k], error[k] = x, e
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(value, pa.float64()), pa.array(error, pa.string())], [*b.schema.names[:-1], name, f"{name}_error"])
-
-    cleaned = df.withColumn("__clean", F.coalesce(clean_text(F.col(text)), F.lit("")))
+        for whole in batches:
+            for lo in range(0, len(whole), batch):  # texts of one call at a time stand beside the Arrow batch
+                b = whole.slice(lo, batch)
+                texts = b.column("__clean").to_pylist()
+                value: list[float | None] = [0.0] * len(texts)
+                error: list[str | None] = [None] * len(texts)
+                at = [k for k, t in enumerate(texts) if t]
+                if at:
+                    for k, (x, e) in zip(at, scores(scorer, [texts[k] for k in at]), strict=True):
+                        value[k], error[k] = x, e
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(value, pa.float64()), pa.array(error, pa.string())], [*b.schema.names[:-1], name, f"{name}_error"])
+
+    cleaned = df.select(*kept, F.coalesce(clean_text(F.col(text)), F.lit("")).alias("__clean"))
     return cleaned.mapInArrow(run, f"{kinds}, `{name}` double, `{name}_error` string")

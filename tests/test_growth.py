@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import options as O
+from marketloom.functions.scoring import WordScorer, score_texts
 from marketloom.operators import basket as K
 from marketloom.operators import contracts as B
 from marketloom.operators import technical as T
@@ -90,3 +91,10 @@ def test_market_side_is_that_of_the_windows(spark):
     pd.testing.assert_frame_equal(side.toPandas().sort_values("ticker").reset_index(drop=True), known[side.columns], check_dtype=False, rtol=1e-9, atol=1e-9)
     text = plan(K.market_side(bars))
     assert text.count("Sort [") == 1 and "rangebetween" not in text.lower() and "RowFrame, -" not in text
+
+
+def test_a_scorer_gets_a_few_texts_and_what_is_not_kept_stays_behind(spark):
+    df = spark.createDataFrame([(k, f"gain {k}" if k % 3 else "") for k in range(100)], "id long, text string").coalesce(1)
+    out = score_texts(df, WordScorer(), keep=["id"], batch=7)
+    assert out.columns == ["id", "score", "score_error"]
+    assert {(r.id, r.score) for r in out.collect()} == {(k, 1.0 if k % 3 else 0.0) for k in range(100)}
