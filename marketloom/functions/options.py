@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .scalars import ERFC, norm_cdf, with_norm_cdf
 
@@ -41,18 +42,20 @@ def with_delta(chain: DataFrame, spot: str = "underlying_price", strike: str = "
 GREEKS = ("price", "delta", "gamma", "theta", "vega", "rho", "prob_itm")
 
 
-def _added(df: DataFrame, names: tuple[str, ...], work: Callable[[pa.RecordBatch], list[np.ndarray]]) -> DataFrame:
-    """``df`` with columns of doubles that ``work`` gives for whole Arrow batches; NaN is null.  Columns of these names go."""
+def _added(df: DataFrame, names: tuple[str, ...], work: Callable[[pa.RecordBatch], list[np.ndarray]], without: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with columns of doubles that ``work`` gives for whole Arrow batches; NaN is null.  Columns of these names go, and behind the
+    pass those of ``without``."""
     df = df.drop(*names)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    kept = [c for c in df.columns if c not in without]
+    schema = StructType([StructField(c, df.schema[c].dataType) for c in kept] + [StructField(n, DoubleType()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             with np.errstate(all="ignore"):
                 out = work(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.float64(), from_pandas=True) for x in out]], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(x, pa.float64(), from_pandas=True) for x in out]], [*kept, *names])
 
-    return df.mapInArrow(run, f"{kinds}, " + ", ".join(f"`{n}` double" for n in names))
+    return df.mapInArrow(run, schema)
 
 
 def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -100,6 +103,27 @@ def with_values(df: DataFrame, name: str, spot: str, strike: str, years: str, vo
     return _added(df, (name,), work)
 
 
+def with_leg_values(df: DataFrame, spots: dict[str, str], strikes: str, vols: str, signs: str, calls: str, years: str, rate: float = RATE) -> DataFrame:
+    """``df`` with a column for each of ``spots`` (name -> column of a price): the model values of the row's options times their signs, added up; the
+    intrinsic value at or past expiry.  The options stand side by side in four arrays of doubles, which go; one without a value
+    does not count, and a row without any has null.  Rows stay where they are."""
+    lists, df = (strikes, vols, signs, calls), df.drop(*spots)
+
+    def work(batch: pa.RecordBatch) -> list[np.ndarray]:
+        n, (t,) = batch.num_rows, _numbers(batch, years)
+        owner = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(batch.column(strikes)), 0).to_numpy(zero_copy_only=False))
+        k, v, sign, call = (pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False).astype(float) for c in lists)
+        call, t, out = call > 0, t[owner], []
+        for (s,) in (_numbers(batch, c) for c in spots.values()):
+            s = s[owner]
+            worth = sign * np.where(t <= 0, np.where(call, np.maximum(s - k, 0), np.maximum(k - s, 0)) + 0 * v, _value(s, k, t, v, call, rate))
+            some = ~np.isnan(worth)
+            out.append(np.where(np.bincount(owner[some], minlength=n) > 0, np.bincount(owner[some], worth[some], n), np.nan))
+        return out
+
+    return _added(df, tuple(spots), work, lists)
+
+
 def _normal(x: np.ndarray) -> np.ndarray:
     """Normal distribution function, with the same rational approximation as ``norm_cdf``."""
     z = np.abs(x) / np.sqrt(2)

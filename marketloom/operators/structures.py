@@ -166,16 +166,12 @@ def with_economics(df: DataFrame) -> DataFrame:
 def reprice(df: DataFrame, spots: dict[str, str], days: str, dte: str = "dte", iv_shift: float = 0.0) -> DataFrame:
     """``df`` with a column for each of ``spots`` (name -> column of a price): the worth of ``legs`` there after ``days``.  Legs without a
     volatility count with DEFAULT_IV."""
-    left = F.greatest(F.lit(0), F.col(dte) - F.col(days)) / F.lit(365.0)
-    numbered = df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*df.columns).alias("__df"), left.alias("__t"), *[F.col(c).alias(f"__s_{n}") for n, c in spots.items()], "legs")
-    vol = F.greatest(F.lit(0.01), F.coalesce("x.leg.iv", F.lit(DEFAULT_IV)) + iv_shift)
-    rows = numbered.withColumn("x", F.explode_outer("legs")).drop("legs")
-    one = rows.select("*", F.col("x.leg.strike").alias("__k"), F.col("x.leg.right").alias("__r"), vol.alias("__v"), _sign(F.col("x")).alias("__sign")).drop("x")
-    for n in spots:
-        one = O.with_values(one, f"__p_{n}", f"__s_{n}", "__k", "__t", "__v", "__r")
-    # a row comes back with the sum of its legs; it is carried along, not joined again
-    worth = one.groupBy("__row").agg(F.first("__df").alias("__df"), *[F.sum(F.col("__sign") * F.col(f"__p_{n}")).alias(n) for n in spots])
-    return worth.select("__df.*", *spots)
+    vol = lambda x: F.greatest(F.lit(0.01), F.coalesce(x["leg"]["iv"], F.lit(DEFAULT_IV)) + iv_shift)
+    each = {"__k": lambda x: x["leg"]["strike"], "__v": vol, "__sign": _sign, "__call": lambda x: F.when(x["leg"]["right"] == "C", 1.0).otherwise(0.0)}
+    of_legs = lambda f: F.transform("legs", lambda x: f(x).cast("double"))
+    arrays = {n: of_legs(f) for n, f in each.items()}
+    d = df.withColumns({"__t": F.greatest(F.lit(0), F.col(dte) - F.col(days)) / F.lit(365.0), **arrays, **{f"__s_{n}": F.col(c) for n, c in spots.items()}})
+    return O.with_leg_values(d, {n: f"__s_{n}" for n in spots}, "__k", "__v", "__sign", "__call", "__t").drop("__t", *[f"__s_{n}" for n in spots])
 
 
 def setups(opportunities: DataFrame, chain: DataFrame) -> DataFrame:

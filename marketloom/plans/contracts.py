@@ -70,11 +70,12 @@ def _economics(name: str) -> str:
 _RANKED = "q AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker, trade_date, dte, opt_right ORDER BY strike) AS k FROM {option_chain})"
 
 
-def placed_legs(get):
-    """The seven structures of every chain and expiry, one row each."""
-    one = F.struct("strike", F.col("opt_right").alias("right"), "bid", "ask", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), "iv")
+def placed_legs(get, quotes: bool = True):
+    """The seven structures of every chain and expiry, one row each; without ``quotes`` legs have strike, right and volatility alone."""
+    priced = ["bid", "ask", ((F.col("bid") + F.col("ask")) / 2).alias("mid")] if quotes else []
+    one = F.struct("strike", F.col("opt_right").alias("right"), *priced, "iv")
     # thirteen strikes of each right at most
-    g = get("option_chain").groupBy("ticker", "trade_date", "dte", F.col("underlying_price").alias("spot")).agg(*[F.array_sort(F.collect_list(F.when(F.col("opt_right") == x, one))).alias(x) for x in "CP"])
+    g = get("option_chain").groupBy("ticker", "trade_date", "dte", F.col("underlying_price").alias("spot")).agg(*[F.sort_array(F.collect_list(F.when(F.col("opt_right") == x, one))).alias(x) for x in "CP"])
     leg = lambda a, x, k: F.struct(F.lit(a).alias("action"), F.get(F.col(x), F.lit(k - 1)).alias("leg"))
     return g.select("ticker", "trade_date", "dte", "spot", F.explode(F.array(*[F.struct(F.lit(n).alias("structure"), F.array(*[leg(*x) for x in legs]).alias("legs")) for n, legs in PLACED.items()])).alias("s")).select("ticker", "trade_date", "dte", "spot", "s.*")
 
@@ -105,7 +106,7 @@ _LEG_ROWS = " UNION ALL ".join(f"SELECT '{n}' AS structure, '{a}' AS action, '{x
 )
 def _(get):
     """The worth of each structure after 20 days, 5 % up and down."""
-    df = placed_legs(get).withColumns({"s_up": F.col("spot") * 1.05, "s_down": F.col("spot") * 0.95, "days": F.lit(20)})
+    df = placed_legs(get, quotes=False).withColumns({"s_up": F.col("spot") * 1.05, "s_down": F.col("spot") * 0.95, "days": F.lit(20)})
     return X.reprice(df, {"up": "s_up", "down": "s_down"}, "days").select("ticker", "trade_date", "dte", "structure", "up", "down")
 
 

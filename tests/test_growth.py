@@ -10,6 +10,7 @@ from marketloom.functions import options as O
 from marketloom.functions.scoring import WordScorer, score_texts
 from marketloom.operators import basket as K
 from marketloom.operators import contracts as B
+from marketloom.operators import structures as X
 from marketloom.operators import technical as T
 from marketloom.operators import windows as W
 from marketloom.plans import registry
@@ -98,3 +99,18 @@ def test_a_scorer_gets_a_few_texts_and_what_is_not_kept_stays_behind(spark):
     out = score_texts(df, WordScorer(), keep=["id"], batch=7)
     assert out.columns == ["id", "score", "score_error"]
     assert {(r.id, r.score) for r in out.collect()} == {(k, 1.0 if k % 3 else 0.0) for k in range(100)}
+
+
+def test_structures_are_repriced_where_they_stand(spark):
+    """No leg becomes a row and nothing is shuffled; legs without a value do not count, rows without any have null."""
+    one = lambda action, k, right, iv=0.3: (action, (k, right, iv))
+    given = [[one("BUY", 100.0, "C"), one("SELL", 105.0, "C", None)], [one("BUY", 100.0, "C"), ("SELL", None)], [one("BUY", None, "C")], [None], [], None, [one("SELL", 95.0, "P"), one("BUY", 90.0, "P"), one("SELL", 105.0, "C"), one("BUY", 115.0, "C")]]
+    kind = "legs array<struct<action: string, leg: struct<strike: double, right: string, iv: double>>>"
+    df = spark.createDataFrame([(i, legs, dte) for i, legs in enumerate(given) for dte in (10, 35)], f"id int, {kind}, dte int").withColumns({"up": F.lit(108.0), "days": F.lit(20)})
+    out = X.reprice(df, {"worth": "up"}, "days")
+    assert "Exchange" not in plan(out) and "Generate" not in plan(out) and out.columns == [*df.columns, "worth"]
+    flat = df.select("id", "dte", "up", F.explode("legs").alias("x")).where("x.leg.strike IS NOT NULL").select("*", "x.leg.*", F.coalesce("x.leg.iv", F.lit(0.3)).alias("v"), ((F.greatest(F.lit(0), F.col("dte") - 20)) / 365.0).alias("t"))
+    known = {}
+    for r in O.with_values(flat, "p", "up", "strike", "t", "v", "right").collect():
+        known[r.id, r.dte] = known.get((r.id, r.dte), 0.0) + (r.p if r.x.action == "BUY" else -r.p)
+    assert {(r.id, r.dte): r.worth for r in out.collect()} == {(i, d): pytest.approx(known[i, d]) if i in (0, 1, 6) else None for i in range(7) for d in (10, 35)}
