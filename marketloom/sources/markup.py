@@ -1,7 +1,7 @@
 """Rows out of markup: HTML tables (news, calendars, label and value), links, and RSS or Atom feeds.
 
-A page is cut into tags and texts by one expression, and one window over the page's tokens tells in which table, row and
-cell each stands; a page is one value of its table, so its tokens are bounded by it.  What follows are groupings and
+A page is cut into tags and texts by one expression, and these into table rows and cells where the page stands; a page is
+one value of its table, so its tokens are bounded by it.  A window over the page's rows tells in which table each stands.  What follows are groupings and
 forward fills of rows.  End tags of cells and rows may be missing; comments, scripts and styles are passed over; a table
 inside a cell is a table of its own.  Null and empty pages give no rows; pages with one id stay apart.
 """
@@ -26,11 +26,12 @@ def unescape(text: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
         return F.aggregate(found, t, lambda s, ref: F.replace(s, ref, F.coalesce(F.decode(F.unhex(F.lpad(code(ref), 8, "0")), "UTF-32"), ref)))
 
+    plain = text
     text = numbers(text, "&#[0-9]{1,7};", lambda ref: F.hex(F.regexp_extract(ref, "[0-9]+", 0).cast("long")))
     text = numbers(text, "&#[xX][0-9a-fA-F]{1,6};", lambda ref: F.regexp_extract(ref, "[xX]([0-9a-fA-F]+)", 1))
     for name, char in ENTITIES.items():
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    return F.when(plain.contains("&"), F.replace(text, F.lit("&amp;"), F.lit("&"))).otherwise(plain)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -39,55 +40,83 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(found != "", unescape(F.regexp_replace(found, "^[\"']|[\"']$", "")))
 
 
-def tokens(pages: DataFrame, html: str = "html", id: str = "page_id") -> DataFrame:
-    """``doc`` (a number of the page), ``page_id``, ``pos``, ``tag`` (lower case, ``/`` before an end tag; null for texts and for what
-    is passed over), ``token`` and ``text`` (texts only, references replaced)."""
-    cut = F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))
-    numbered = pages.select(F.monotonically_increasing_id().alias("doc"), F.col(id).alias("page_id"), cut.alias("__cut"))  # before the tokens are rows
-    t = numbered.select("doc", "page_id", F.posexplode("__cut").alias("pos", "token"))
-    tag = F.lower(F.regexp_extract("token", "^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
-    is_text = ~F.col("token").rlike("^<[a-zA-Z/!]")
-    t = t.withColumn("tag", F.when(~tag.isin("", "script", "style"), tag)).withColumn("text", F.when(is_text, unescape(F.col("token"))))
-    return t.where("tag IS NOT NULL OR text IS NOT NULL")
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.transform(F.array(value), lambda x: f(x))[0]
 
 
-def links(pages: DataFrame, html: str = "html", id: str = "page_id") -> DataFrame:
-    """``page_id``, ``n`` (from 1 in its page), ``href`` and ``label`` of every anchor."""
-    t = tokens(pages, html, id)
-    w = Window.partitionBy("doc").orderBy("pos")
-    t = t.withColumn("n", F.count(F.when(F.col("tag") == "a", True)).over(w)).withColumn("inside", F.last(F.when(F.col("tag").isin("a", "/a"), F.col("tag")), ignorenulls=True).over(w)).where("inside = 'a'")
-    return t.groupBy("doc", "page_id", "n").agg(F.max(F.when(F.col("tag") == "a", attribute(F.col("token"), "href"))).alias("href"), _joined(F.lit(True)).alias("label")).drop("doc")
+def _pieces(items: Column, opens) -> Column:
+    """An array cut before each item for which ``opens(item, place)`` holds; what stands before the first is left out."""
+
+    def between(a: Column, at: Column) -> Column:
+        ends = F.slice(F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(a) + 1)), 1, F.size(at))
+        return F.zip_with(at, ends, lambda p, q: F.slice(a, p, q - p))
+
+    starts = lambda a: F.filter(F.transform(a, lambda x, i: F.when(opens(x, i), i + 1)), lambda p: p.isNotNull())
+    return _let(items, lambda a: _let(starts(a), lambda at: between(a, at)))
+
+
+def _tokens(html: str) -> Column:
+    """The tokens of a page, in order: ``tag`` (lower case, ``/`` before an end tag; empty for texts, null for what is passed over) and ``token``."""
+    tag = lambda t: F.lower(F.regexp_extract(t, "^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
+    kind = lambda t: F.when(~t.rlike("^<[a-zA-Z/!]"), "").otherwise(F.nullif(F.nullif(F.nullif(tag(t), F.lit("")), F.lit("script")), F.lit("style")))
+    return F.transform(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0)), lambda t: F.struct(kind(t).alias("tag"), t.alias("token")))
 
 
-def _joined(where: Column, apart: str = "") -> Column:
-    """The texts of a group in their order, each without white space at its ends."""
-    pieces = F.array_sort(F.collect_list(F.when(where & F.col("text").isNotNull(), F.struct("pos", S.strip(F.col("text")).alias("t")))))
-    return F.array_join(F.filter(F.transform(pieces, lambda p: p["t"]), lambda t: t != ""), apart)
+def _joined(some: Column) -> Column:
+    """The texts of some tokens in their order, references replaced, each without white space at its ends."""
+    texts = F.transform(F.filter(some, lambda x: x["tag"] == ""), lambda x: S.strip(unescape(x["token"])))
+    return F.array_join(F.filter(texts, lambda t: t != ""), "")
+
+
+def links(pages: DataFrame, html: str = "html", id: str = "page_id") -> DataFrame:
+    """``page_id``, ``n`` (from 1 in its page), ``href`` and ``label`` of every anchor."""
+    runs = F.filter(_pieces(_tokens(html), lambda x, _: x["tag"].isin("a", "/a")), lambda p: p[0]["tag"] == "a")
+    a = pages.select(F.col(id).alias("page_id"), F.posexplode(runs).alias("at", "run"))
+    return a.select("page_id", (F.col("at") + 1).alias("n"), attribute(F.col("run")[0]["token"], "href").alias("href"), _joined(F.col("run")).alias("label"))
+
+
+#: Tags that begin or end a cell.
+EDGES = ("td", "th", "/td", "/th", "tr", "/tr", "table", "/table")
+
+
+def _cell(p: Column) -> Column:
+    """A cell of its tokens, the first of which opens it."""
+    classes = F.array_join(F.transform(F.filter(p, lambda x: x["tag"] != ""), lambda x: attribute(x["token"], "class")), " ")
+    # its first anchor, as far as the next begins or this one ends
+    k = F.coalesce(F.array_position(F.transform(p, lambda x: x["tag"]), "a"), F.lit(0)).cast("int")
+    after = lambda at: F.slice(p, at + 1, F.size(p))
+    end = lambda rest: F.array_position(F.transform(rest, lambda x: F.coalesce(x["tag"].isin("a", "/a"), F.lit(False))), True).cast("int")
+    own = lambda at: _let(after(at), lambda rest: _let(end(rest), lambda e: F.when(e > 0, F.slice(rest, 1, F.greatest(e - 1, F.lit(0)))).otherwise(rest)))
+    anchor = _let(k, lambda at: F.when(at > 0, F.struct(attribute(F.get(p, at - 1)["token"], "href").alias("href"), _joined(own(at)).alias("label"))))
+    return _let(anchor, lambda a: F.struct((p[0]["tag"] == "th").alias("header"), _joined(p).alias("text"), classes.alias("classes"), a["href"].alias("href"), F.coalesce(a["label"], F.lit("")).alias("label")))
+
+
+def table_rows(pages: DataFrame, html: str = "html", id: str = "page_id") -> DataFrame:
+    """One row for each table row that has cells: ``doc`` (a number of the page), ``page_id``, ``tab``, ``tab_id``, ``tab_class``, ``row``, ``place`` (in its
+    page) and ``cells``, in order: ``n`` (from 1 in its row), ``header``, ``text``, ``classes`` (of all its tags), and of its first anchor ``href`` and
+    ``label``.  Cells are cut out in the page's own row; only they are moved."""
+    opens = lambda x, i: (i == 0) | F.coalesce(x["tag"].isin("tr", "table"), F.lit(False))
+    numbered = pages.select(F.monotonically_increasing_id().alias("doc"), F.col(id).alias("page_id"), _pieces(_tokens(html), opens).alias("__runs"))  # before the runs are rows
+    runs = numbered.select("doc", "page_id", F.posexplode("__runs").alias("place", "run"))
+    first = F.col("run")[0]
+    table = F.when(first["tag"] == "table", F.struct(attribute(first["token"], "id").alias("id"), attribute(first["token"], "class").alias("class")))
+    some = F.filter(_pieces(F.col("run"), lambda x, _: x["tag"].isin(*EDGES)), lambda p: p[0]["tag"].isin("td", "th"))
+    r = runs.select("doc", "page_id", "place", first["tag"].alias("tag"), table.alias("table"), F.transform(some, _cell).alias("cells"))
+    w = Window.partitionBy("doc").orderBy("place")
+    r = r.withColumns({
+        "tab": F.count(F.when(F.col("tag") == "table", True)).over(w), "row": F.count(F.when(F.col("tag") == "tr", True)).over(w), "table": F.last("table", ignorenulls=True).over(w),
+        "before": F.coalesce(F.sum(F.size("cells")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    })
+    # a table that begins inside a row goes on with its numbers
+    r = r.withColumn("offset", F.col("before") - F.coalesce(F.last(F.when(F.col("tag") == "tr", F.col("before")), ignorenulls=True).over(w), F.lit(0)))
+    placed = F.transform("cells", lambda c, i: F.struct((F.col("offset") + i + 1).cast("int").alias("n"), *[c[x].alias(x) for x in ("header", "text", "classes", "href", "label")]))
+    return r.where(F.size("cells") > 0).select("doc", "page_id", "tab", F.col("table.id").alias("tab_id"), F.col("table.class").alias("tab_class"), "row", "place", placed.alias("cells"))
 
 
 def cells(pages: DataFrame, html: str = "html", id: str = "page_id") -> DataFrame:
-    """One row for each cell: ``doc``, ``page_id``, ``tab``, ``tab_id``, ``tab_class``, ``row``, ``n`` (from 1 in its row), ``header``,
-    ``text``, ``classes`` (of all its tags), and of its first anchor ``href`` and ``label``."""
-    t = tokens(pages, html, id)
-    w = Window.partitionBy("doc").orderBy("pos")
-    is_ = lambda *names: F.col("tag").isin(*names)
-    count = lambda *names: F.count(F.when(is_(*names), True)).over(w)
-    edges = ("td", "th", "/td", "/th", "tr", "/tr", "table", "/table")
-    t = t.withColumns({
-        "tab": count("table"), "row": count("tr"), "cell": count("td", "th"), "anchor": count("a"),
-        "inside": F.last(F.when(is_(*edges), F.col("tag")), ignorenulls=True).over(w),
-        "linked": F.last(F.when(is_("a", "/a"), F.col("tag")), ignorenulls=True).over(w),
-        "table_tag": F.last(F.when(is_("table"), F.col("token")), ignorenulls=True).over(w),
-    }).where("inside IN ('td', 'th')")
-    opened = t.withColumn("first", F.min(F.when(is_("a"), F.col("anchor"))).over(Window.partitionBy("doc", "row", "cell")))
-    own = (F.col("anchor") == F.col("first")) & (F.col("linked") == "a")
-    classes = F.array_join(F.collect_list(F.when(F.col("tag").isNotNull(), attribute(F.col("token"), "class"))), " ")
-    found = opened.groupBy("doc", "page_id", "tab", "table_tag", "row", "cell").agg(
-        F.max(F.col("inside") == "th").alias("header"), _joined(F.lit(True)).alias("text"), classes.alias("classes"),
-        F.max(F.when(own & is_("a"), attribute(F.col("token"), "href"))).alias("href"), _joined(own).alias("label"),
-    )
-    n = F.row_number().over(Window.partitionBy("doc", "row").orderBy("cell")).alias("n")
-    return found.select("doc", "page_id", "tab", attribute(F.col("table_tag"), "id").alias("tab_id"), attribute(F.col("table_tag"), "class").alias("tab_class"), "row", n, "header", "text", "classes", "href", "label")
+    """One row for each cell: the columns of ``table_rows`` without ``place``, and those of a cell."""
+    return table_rows(pages, html, id).withColumn("cell", F.explode("cells")).select("doc", "page_id", "tab", "tab_id", "tab_class", "row", "cell.*")
 
 
 def rows(cells_: DataFrame) -> DataFrame:
@@ -96,18 +125,18 @@ def rows(cells_: DataFrame) -> DataFrame:
     return cells_.groupBy("doc", "page_id", "tab", "tab_id", "tab_class", "row").agg(packed.alias("cells"))
 
 
-def _filled(value: Column) -> Column:
-    """The last value that is there, in this table up to this row."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy("doc", "tab").orderBy("row"))
+def _filled(value: Column, *by: str) -> Column:
+    """The last value that is there, in this page (and ``by``) up to this row."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy("doc", *by).orderBy("place"))
 
 
 def news(pages: DataFrame, html: str = "html", id: str = "page_id", table_id: str = "news-table") -> DataFrame:
     """``page_id``, ``row``, ``headline``, ``url`` and ``published_at`` of a news table.  Its first cell holds a date and a time, or
     a time alone, and then the date above counts."""
-    r = rows(cells(pages, html, id).where((F.col("tab_id") == table_id) & ~F.col("header"))).where(F.size("cells") >= 2)
+    r = table_rows(pages, html, id).where(F.col("tab_id") == table_id).withColumn("cells", F.filter("cells", lambda c: ~c["header"])).where(F.size("cells") >= 2)
     stamp, link = F.col("cells")[0]["text"], F.col("cells")[1]
     words = F.split(stamp, r"\s+")
-    r = r.withColumn("day", _filled(F.when(stamp.rlike("^[A-Za-z]"), words[0])))
+    r = r.withColumn("day", _filled(F.when(stamp.rlike("^[A-Za-z]"), words[0]), "tab"))
     at = F.try_to_timestamp(F.concat_ws(" ", "day", F.element_at(words, -1)), F.lit("MMM-dd-yy hh:mma"))
     return r.where(F.coalesce(link["label"], F.lit("")) != "").select("page_id", "row", link["label"].alias("headline"), link["href"].alias("url"), F.when(stamp != "", at).alias("published_at"))
 
@@ -137,7 +166,7 @@ def calendar(pages: DataFrame, as_of: str, html: str = "html", id: str = "page_i
     ``event_date``, ``event_at``, ``time_text``, ``name``, ``period``, ``actual``, ``consensus``, ``prior``, ``category``, ``importance``.  A row
     of one cell, or with a cell of class date or day, heads the rows below it; rows have six, five, four or three
     cells."""
-    r = rows(cells(pages, html, id))
+    r = table_rows(pages, html, id)
     named = F.col("tab_class").rlike("calendar|economic")
     chosen = F.coalesce(F.min(F.when(named, F.col("tab"))).over(Window.partitionBy("doc")), F.min("tab").over(Window.partitionBy("doc")))
     r = r.withColumn("chosen", chosen).where("tab = chosen").withColumn("k", F.size("cells"))

@@ -14,6 +14,7 @@ from marketloom.operators import structures as X
 from marketloom.operators import technical as T
 from marketloom.operators import windows as W
 from marketloom.plans import registry
+from marketloom.sources import markup as M
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -114,3 +115,18 @@ def test_structures_are_repriced_where_they_stand(spark):
     for r in O.with_values(flat, "p", "up", "strike", "t", "v", "right").collect():
         known[r.id, r.dte] = known.get((r.id, r.dte), 0.0) + (r.p if r.x.action == "BUY" else -r.p)
     assert {(r.id, r.dte): r.worth for r in out.collect()} == {(i, d): pytest.approx(known[i, d]) if i in (0, 1, 6) else None for i in range(7) for d in (10, 35)}
+
+
+def test_cells_are_cut_where_the_page_stands(spark):
+    """Tokens are not moved, sorted or gathered again; a table that begins inside a row goes on with its numbers, an anchor ends with its cell."""
+    html = '<td>0<table id="a"><td>1<tr><td><a href="/p">x<td>y<!-- <td> --><a href="/q">z</a>w<table class="c"><th>2<td>&lt;3<tr></tr>4'
+    pages = spark.createDataFrame([(7, html), (7, None), (8, "")], "page_id int, html string")
+    for df in (M.cells(pages), M.calendar(pages, "2020-06-01"), M.news(pages)):
+        text = plan(df)
+        assert "Aggregate" not in text and text.count("Exchange") == 1
+    assert "Exchange" not in plan(M.links(pages))
+    got = [(r.tab, r.tab_id, r.tab_class, r.row, r.n, r.header, r.text, r.href, r.label) for r in M.cells(pages).orderBy("row", "n").collect()]
+    assert got == [
+        (0, None, None, 0, 1, False, "0", None, ""), (1, "a", None, 0, 2, False, "1", None, ""), (1, "a", None, 1, 1, False, "x", "/p", "x"),
+        (1, "a", None, 1, 2, False, "yzw", "/q", "z"), (2, None, "c", 1, 3, True, "2", None, ""), (2, None, "c", 1, 4, False, "<3", None, ""),
+    ]
