@@ -87,36 +87,45 @@ def quality(chain: DataFrame) -> DataFrame:
     return c.withColumn("penalty", F.when(strict, 0.0).when(soft, SOFT_PENALTY))
 
 
+def listed(chain: DataFrame) -> DataFrame:
+    """``ticker``, ``trade_date`` and ``listed``, the expiries (``dte``, ``expiration``) of each chain; they are few."""
+    return chain.groupBy("ticker", "trade_date").agg(F.collect_set(F.struct("dte", "expiration")).alias("listed"))
+
+
 def expiries(wanted: DataFrame, chain: DataFrame) -> DataFrame:
-    """``wanted`` with ``expiration`` and ``dte``: the one nearest its target inside its window, else the nearest of a week or more."""
-    dates = chain.select("ticker", "trade_date", "expiration", "dte").distinct()
-    c = wanted.select("ticker", "trade_date", "target_dte", "min_dte", "max_dte").join(dates, ["ticker", "trade_date"])
-    inside = F.col("dte").between(F.col("min_dte"), F.col("max_dte"))
-    best = c.where(inside | (F.col("dte") >= LEAST_DTE)).groupBy("ticker", "trade_date").agg(F.min(F.struct(~inside, F.abs(F.col("dte") - F.col("target_dte")), "dte", "expiration")).alias("m"))
-    return wanted.join(best.select("ticker", "trade_date", "m.expiration", "m.dte"), ["ticker", "trade_date"], "left")
+    """``wanted`` with ``expiration`` and ``dte``: the one nearest its target inside its window, else the nearest of a week or more.  Where
+    ``wanted`` has the columns of ``listed``, the chain is not read for them."""
+    w = wanted if "listed" in wanted.columns else wanted.join(listed(chain), ["ticker", "trade_date"], "left")
+    inside = lambda d: d["dte"].between(F.col("min_dte"), F.col("max_dte"))
+    some = F.filter("listed", lambda d: inside(d) | (d["dte"] >= LEAST_DTE))
+    best = F.array_min(F.transform(some, lambda d: F.struct((~inside(d)).alias("out"), F.abs(d["dte"] - F.col("target_dte")).alias("away"), d["dte"].alias("dte"), d["expiration"].alias("expiration"))))
+    w = w.withColumn("__m", best).drop("listed")
+    return w.select("*", "__m.expiration", "__m.dte").drop("__m")
 
 
 def with_legs(wanted: DataFrame, chain: DataFrame) -> DataFrame:
     """``wanted`` (one row for each ticker and date, with ``expiration`` and ``legs_wanted``) with ``legs``: for each leg in its order the
     liquid contract whose delta is nearest its target, among strikes that no earlier leg took; ``legs`` is shorter
     where one has no contract."""
-    keys = wanted.select("ticker", "trade_date", "expiration").where("expiration IS NOT NULL")
-    c = quality(chain.join(keys, ["ticker", "trade_date", "expiration"])).where("penalty IS NOT NULL AND strike > 0")
+    by = ["ticker", "trade_date", "expiration"]
+    liquid = quality(chain).where("penalty IS NOT NULL AND strike > 0")  # before contracts are moved
+    c = liquid.join(wanted.select(*by).where("expiration IS NOT NULL"), by)
     usable = (F.col("iv") > LEAST_IV) & (F.col("iv") <= MOST_IV)
-    c = O.with_implied_vol(c.withColumn("t", F.col("dte") / F.lit(365.0)), "mid", name="backed_out")
-    c = c.withColumn("iv", F.when(usable, F.col("iv")).otherwise(F.col("backed_out"))).where("iv > 0")
+    # a volatility is looked for where none is quoted
+    c = O.with_implied_vol(c.withColumns({"t": F.col("dte") / F.lit(365.0), "__asked": F.when(usable, None).otherwise(F.col("mid"))}), "__asked", name="backed_out")
+    c = c.withColumn("iv", F.when(usable, F.col("iv")).otherwise(F.col("backed_out"))).where("iv > 0").drop("t", "__asked", "backed_out")
     c = O.with_greeks(c)
     one = F.struct("strike", F.col("opt_right").alias("right"), "bid", "ask", "mid", F.col("open_interest").cast("long").alias("open_interest"), F.col("volume").cast("long").alias("volume"), "iv", "delta", "theta", "vega", "spread_pct", "penalty")
-    offered = c.groupBy("ticker", "trade_date").agg(F.sort_array(F.collect_list(one)).alias("__offered"))  # one expiry of one chain
-    # ties go to the lowest strike, as the offers are in their order
+    offered = c.groupBy(*by).agg(F.collect_list(one).alias("__offered"))  # one expiry of one chain, where the join left it
+    # ties go to the lowest strike; contracts without a delta come last
     pick = """
       aggregate(legs_wanted, CAST(array() AS ARRAY<STRUCT<away: DOUBLE, leg: STRUCT<strike: DOUBLE, right: STRING, bid: DOUBLE, ask: DOUBLE, mid: DOUBLE, open_interest: BIGINT, volume: BIGINT, iv: DOUBLE, delta: DOUBLE, theta: DOUBLE, vega: DOUBLE, spread_pct: DOUBLE, penalty: DOUBLE>, action: STRING>>),
-        (taken, want) -> concat(taken, slice(array_sort(transform(
+        (taken, want) -> concat(taken, transform(filter(array(array_min(transform(
           filter(__offered, o -> o.right = want.right AND NOT exists(taken, t -> t.leg.strike = o.strike)),
-          o -> named_struct('away', abs(abs(o.delta) - want.target) + o.penalty, 'leg', o, 'action', want.action)),
-          (x, y) -> CASE WHEN x.away < y.away OR x.away = y.away AND x.leg.strike < y.leg.strike THEN -1 ELSE 1 END), 1, 1)))"""
-    w = wanted.join(offered, ["ticker", "trade_date"], "left")
-    return w.withColumn("legs", F.expr(pick)).drop("__offered")
+          o -> named_struct('unknown', o.delta IS NULL, 'away', abs(abs(o.delta) - want.target) + o.penalty, 'leg', o, 'action', want.action)))),
+          m -> m IS NOT NULL), m -> named_struct('away', m.away, 'leg', m.leg, 'action', m.action))))"""
+    w = wanted.join(offered, by, "left")
+    return w.withColumn("legs", F.expr(pick)).drop("__offered").select(*wanted.columns, "legs")
 
 
 def _sum(legs: Column, f) -> Column:
@@ -176,7 +185,7 @@ def reprice(df: DataFrame, spots: dict[str, str], days: str, dte: str = "dte", i
 
 def setups(opportunities: DataFrame, chain: DataFrame) -> DataFrame:
     """A full set-up for each opportunity (``ticker``, ``trade_date``, ``spot``, ``score``, ``coverage``, ``iv_rank``, ``iv_basis``,
-    ``days_to_earnings``, ``atr``, ``support``, ``resistance``); those that can't be traded keep a row with a ``reason``."""
+    ``days_to_earnings``, ``atr``, ``support``, ``resistance``, and ``listed`` if it is known); those that can't be traded keep a row with a ``reason``."""
     w = expiries(choose(opportunities), chain)
     # an opportunity that is out already asks for no chain
     asked = F.when(F.col("reason").isNull() & (F.col("spot") > 0), F.col("expiration"))

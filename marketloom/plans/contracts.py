@@ -17,14 +17,17 @@ _OPPORTUNITIES = f"""(SELECT p.ticker, p.prediction_date AS trade_date, p.sessio
   FROM {{predictions}} p JOIN {{snapshots}} s ON s.ticker = p.ticker ASOF LEFT JOIN (SELECT DISTINCT ticker, report_date + {SHIFT} AS day FROM {{earnings_events}}) e ON e.ticker = p.ticker AND e.day >= p.prediction_date)"""
 
 
-def opportunities(get):
-    """Every prediction with its ticker's volatility rank and the days to its next report."""
+def opportunities(get, listed=None):
+    """Every prediction (with ``listed``, those at its dates, and its column) with its ticker's volatility rank and the days to its next report."""
     day = lambda c: -F.datediff(c, F.lit("1970-01-01").cast("date"))  # noqa: E731  backwards, so that the next report is the last at or before
-    p = get("predictions").withColumn("at", day("prediction_date"))
+    p = get("predictions")
+    if listed is not None:
+        p = p.join(listed.withColumnRenamed("trade_date", "prediction_date"), ["ticker", "prediction_date"])
+    p = p.withColumn("at", day("prediction_date"))
     e = get("earnings_events").select("ticker", day(F.date_add("report_date", SHIFT)).alias("day")).distinct()
     s = get("snapshots").select("ticker", "iv_rank", F.when(F.col("ticker") % 4 == 3, "proxy").otherwise("chain").alias("iv_basis"), F.when(F.col("beta").isNull(), 0.35).otherwise(0.75).alias("coverage"))
     o = J.asof_join(p, e, ["ticker"], "at", "day").join(s, "ticker")
-    return o.select("ticker", F.col("prediction_date").alias("trade_date"), "session_no", "score", "iv_rank", "iv_basis", "coverage", (F.col("at") - F.col("day")).alias("days_to_earnings"))
+    return o.select("ticker", F.col("prediction_date").alias("trade_date"), "session_no", "score", "iv_rank", "iv_basis", "coverage", (F.col("at") - F.col("day")).alias("days_to_earnings"), *(["listed"] if listed is not None else []))
 
 
 _DIRECTION = "CASE WHEN score >= 0.2 THEN 'bullish' WHEN score <= -0.2 THEN 'bearish' ELSE 'neutral' END"
@@ -113,7 +116,7 @@ def _(get):
 def basket_setups(get):
     """Set-ups of every opportunity at a date with a chain."""
     b = W.support_resistance(W.atr(get("bars"))).select("ticker", F.col("trade_date"), F.col("close").alias("spot"), "atr", "support", "resistance")
-    o = opportunities(get).join(b, ["ticker", "trade_date"]).join(get("option_chain").select("ticker", "trade_date").distinct(), ["ticker", "trade_date"], "left_semi")
+    o = opportunities(get, X.listed(get("option_chain"))).join(b, ["ticker", "trade_date"])
     return X.setups(o, get("option_chain"))
 
 

@@ -14,6 +14,8 @@ from marketloom.operators import structures as X
 from marketloom.operators import technical as T
 from marketloom.operators import windows as W
 from marketloom.plans import registry
+from marketloom.plans.contracts import opportunities
+from marketloom.sources import fixtures
 from marketloom.sources import markup as M
 
 DATA = "/root/testdata/sf0.001"
@@ -130,3 +132,15 @@ def test_cells_are_cut_where_the_page_stands(spark):
         (0, None, None, 0, 1, False, "0", None, ""), (1, "a", None, 0, 2, False, "1", None, ""), (1, "a", None, 1, 1, False, "x", "/p", "x"),
         (1, "a", None, 1, 2, False, "yzw", "/q", "z"), (2, None, "c", 1, 3, True, "2", None, ""), (2, None, "c", 1, 4, False, "<3", None, ""),
     ]
+
+
+@tables
+def test_setups_read_the_chain_no_more_than_they_must(spark):
+    """For the keys, for what is asked and for the contracts: three readings of three joins; all opportunities at a date with a chain have a row."""
+    text = plan(registry.queries()["o09_o10_setups"](spark, DATA))
+    assert text.count("BroadcastNestedLoopJoin BuildRight, Cross\n") == 9
+    get = lambda name: fixtures.table(spark, DATA, name)
+    dates = get("option_chain").select("ticker", "trade_date").distinct()
+    known = opportunities(get).join(dates, ["ticker", "trade_date"], "left_semi")
+    some = opportunities(get, X.listed(get("option_chain")))
+    assert some.drop("listed").exceptAll(known).isEmpty() and known.exceptAll(some.drop("listed")).isEmpty() and not known.isEmpty()
