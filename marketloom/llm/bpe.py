@@ -5,7 +5,8 @@
 * A text is first cut at spaces and single line ends between two visible characters, and between an ASCII letter and
   a mark.  The byte-level pre-tokenizer always starts a piece there, so the cut parts ("units") encode on their own.
   Each task keeps the ids of units it has met in a table of bounded size, looked up for a whole slice of texts at
-  once; units are compared by all of their bytes.
+  once; units are compared by all of their bytes.  A full table is kept as it is, so frequent units stay known, and
+  begun anew only after RENEW times as many units were encoded beside it.
 * A text of over ``split_chars`` characters is dealt out as pieces of that size, cut anywhere, to many
   tasks.  The ids of neighbouring pieces are then joined as a tree: a window around each join is encoded
   anew and grows until it agrees with both sides at a word start on its left and on its right.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, binary_array, mix, partitions, ragged, slices, text_column, utf8
 
-#: Units that a task keeps; the longest unit in the exact 24-byte table, and in the table of longer ones.
-MEMO_UNITS, TABLE_BYTES, LONG_BYTES = 1 << 20, 24, 96
+#: Units that a task keeps, and how many times as many are encoded beside a full table before it is begun anew; the longest unit in the exact 24-byte table, and in the table of longer ones.
+MEMO_UNITS, RENEW, TABLE_BYTES, LONG_BYTES = 1 << 20, 4, 24, 96
 _SLOTS = 1 << 22
 #: Characters at a cut that may belong to a special token or a contraction split by it.
 MARGIN = 32
@@ -41,18 +42,24 @@ _LETTER[65:91] = _LETTER[97:123] = _PLAIN[0x21:0x7F] = True
 _MARK[list(b",.;:!?")] = True
 
 
-def units(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Starts of the units of a slice of texts: each text's start, each space and each line end between two visible
-    characters (and what follows the line end), and each mark after an ASCII letter."""
-    n = len(raw)
+def _visible(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are of characters that are surely no white space."""
     visible = _PLAIN[raw]
     high = raw >= 0x80
     if high.any():
         visible |= high
         for lead, second, size in ((0xC2, (0x85, 0xA0), 2), (0xE1, (0x9A,), 3), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3)):
-            at = np.flatnonzero(raw[: n - 1] == lead)
+            at = np.flatnonzero(raw[:-1] == lead)
             for p in range(size) if len(at) else ():  # these may be white space
                 visible[at[np.isin(raw[at + 1], second)] + p] = False
+    return visible
+
+
+def units(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Starts of the units of a slice of texts: each text's start, each space and each line end between two visible
+    characters (and what follows the line end), and each mark after an ASCII letter."""
+    n = len(raw)
+    visible = _visible(raw)
     first = np.zeros(n + 1, bool)
     first[off] = True
     inner = ~first[:n]
@@ -108,6 +115,21 @@ class Codec:
         self.key = [_Ids(np.uint64) for _ in range(3)]
         self.size, self.at, self.count, self.ids = _Ids(np.int32), _Ids(np.int64), _Ids(np.int64), _Ids(np.uint32)
         self.long: dict[bytes, int] = {}
+        self.full: tuple[int, int] | None = None  # units and ids of a full table
+        self.beside = 0
+
+    def _bound(self) -> None:
+        """Take back what the last slice encoded beside a full table; after many such units forget all."""
+        if self.full:
+            self.beside += self.size.n - self.full[0]
+            if self.beside > RENEW * MEMO_UNITS:
+                self._forget()
+                return
+            for kept in (*self.key, self.size, self.at, self.count):
+                kept.n = self.full[0]
+            self.ids.n = self.full[1]
+        elif self.size.n > MEMO_UNITS or self.ids.n > 16 * MEMO_UNITS:
+            self.full = self.size.n, self.ids.n
 
     def _alone(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units, one after the other, and how many each has."""
@@ -115,26 +137,33 @@ class Codec:
         counts = np.fromiter(map(len, coded), np.int64, len(coded))
         return np.fromiter(chain.from_iterable(coded), np.uint32, int(counts.sum())), counts
 
-    def _together(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """As ``_alone``, for units with a space before a visible character and a visible end: put one after the other they
-        are a text whose units they are, so one call encodes all.  None if a token goes over a unit's end after all."""
-        text = raw[ragged(starts, size)].tobytes().decode()
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        at, ends = np.cumsum(self.token_size[ids]), np.cumsum(size)
+    def _together(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``_alone``, for units with a visible end that begin with a space before a visible character (``gap`` 0) or with a
+        visible character (``gap`` 1: a line end goes behind each): put one after the other they are a text whose units they
+        are, so one call encodes all.  None if a token goes over a unit's end after all."""
+        ends = np.cumsum(size + gap) - gap
+        text = np.full(int(ends[-1]) + gap, 0x0A, np.uint8)
+        text[ragged(ends - size, size)] = raw[ragged(starts, size)]
+        ids = np.array(self.tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.cumsum(self.token_size[ids])
         last = np.searchsorted(at, ends)
-        if len(at) == 0 or at[-1] != ends[-1] or (at[last] != ends).any():
+        if len(at) == 0 or at[-1] != len(text) or (at[last] != ends).any() or (at[last + gap] != ends + gap).any():
             return None
-        return ids, np.diff(last, prepend=-1)
+        return np.delete(ids, last + 1) if gap else ids, np.diff(last, prepend=-1 - gap) - gap
 
     def _add_units(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
         """Encode units that stand in ``raw`` and keep their ids; their entry numbers."""
         ends = starts + size
-        plain = (size > 1) & (raw[starts] == 0x20) & _PLAIN[raw[np.minimum(starts + 1, len(raw) - 1)]] & _PLAIN[raw[ends - 1]]
-        out = np.empty(len(starts), np.int64)
-        coded = self._together(raw, starts[plain], size[plain]) if plain.any() else None
-        if coded:
-            out[plain] = self._keep(*coded, [k[plain] for k in keys], size[plain])
-        rest = np.flatnonzero(~plain) if coded else np.arange(len(starts))
+        visible = _visible(raw)
+        spaced = (size > 1) & (raw[starts] == 0x20) & visible[np.minimum(starts + 1, len(raw) - 1)]
+        out, left = np.empty(len(starts), np.int64), np.ones(len(starts), bool)
+        for gap, begins in enumerate((spaced, visible[starts])):
+            k = np.flatnonzero(begins & visible[ends - 1])
+            coded = self._together(raw, starts[k], size[k], gap) if len(k) else None
+            if coded:
+                out[k] = self._keep(*coded, [x[k] for x in keys], size[k])
+                left[k] = False
+        rest = np.flatnonzero(left)
         if len(rest):
             data = raw.tobytes()
             out[rest] = self._add([data[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)], [k[rest] for k in keys], size[rest])
@@ -156,8 +185,7 @@ class Codec:
 
     def entries(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The entry of each unit of a slice, and the first unit of each text and the end."""
-        if self.size.n > MEMO_UNITS or self.ids.n > 16 * MEMO_UNITS:
-            self._forget()
+        self._bound()
         starts = units(raw, off) if len(raw) else np.zeros(0, np.int64)
         distinct = binary_array(raw, np.append(starts, len(raw))).dictionary_encode()
         which, first = distinct.indices.to_numpy(), np.searchsorted(starts, off)
@@ -179,8 +207,9 @@ class Codec:
         new = np.flatnonzero(~hit & (size <= TABLE_BYTES))
         if len(new):
             got = entry[new] = self._add_units(raw, starts[new], size[new], [k[new] for k in keys])
-            free = self.slot[slots[0][new]] < 0  # else the unit goes to its other slot
-            self.slot[np.where(free, slots[0][new], slots[1][new])] = got
+            if not self.full:
+                free = self.slot[slots[0][new]] < 0  # else the unit goes to its other slot
+                self.slot[np.where(free, slots[0][new], slots[1][new])] = got
         far = np.flatnonzero(size > TABLE_BYTES).tolist()
         if far:
             texts = [raw[starts[k] : starts[k] + size[k]].tobytes() for k in far]
@@ -188,7 +217,8 @@ class Codec:
             zero = np.zeros(len(ask), np.uint64)
             known = self.long | dict(zip(ask, self._add(ask, [zero] * 3, zero.astype(np.int32)).tolist(), strict=True)) if ask else self.long
             entry[far] = [known[t] for t in texts]
-            self.long.update({t: known[t] for t in ask if len(t) <= LONG_BYTES})
+            if not self.full:
+                self.long.update({t: known[t] for t in ask if len(t) <= LONG_BYTES})
         return entry[which], first
 
     def encode_slice(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
