@@ -144,3 +144,16 @@ def test_setups_read_the_chain_no_more_than_they_must(spark):
     known = opportunities(get).join(dates, ["ticker", "trade_date"], "left_semi")
     some = opportunities(get, X.listed(get("option_chain")))
     assert some.drop("listed").exceptAll(known).isEmpty() and known.exceptAll(some.drop("listed")).isEmpty() and not known.isEmpty()
+
+
+@tables
+def test_articles_move_no_more_of_a_text_than_they_show(spark):
+    """Keywords are looked for without the joins that give articles their labels and times; where these are made, whole texts stay behind."""
+    text = plan(registry.queries()["j08_keyword_tickers"](spark, DATA))
+    assert "labels.parquet" not in text and "events.parquet" not in text
+    articles, shown = fixtures.table(spark, DATA, "articles"), fixtures.table(spark, DATA, "article_texts")
+    moved = articles._jdf.queryExecution().optimizedPlan().toString().split("LeftOuter")[-1]
+    assert "substr" in moved and "1, 380)" in moved
+    known = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id AS id", "substr(text, 1, 80) AS headline", "substr(text, 81, 300) AS body_snippet")
+    for df in (articles.select("id", "headline", "body_snippet").distinct(), shown):
+        assert df.exceptAll(known).isEmpty() and known.exceptAll(df).isEmpty()
