@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .scalars import ERFC, norm_cdf, with_norm_cdf
 
@@ -71,26 +71,41 @@ def with_greeks(chain: DataFrame, spot: str = "underlying_price", strike: str =
     pass.  Rows without a volatility have nulls; at or past expiry only the price, the intrinsic value, is known."""
 
     def work(batch: pa.RecordBatch) -> list[np.ndarray]:
-        s, k, days, v = _numbers(batch, spot, strike, dte, iv)
-        call, t = _is_call(batch, right), np.maximum(days, 0) / 365
-        root = np.sqrt(t)
-        d1 = (np.log(s / k) + (rate + v * v / 2) * t) / (v * root)
-        d2, disc = d1 - v * root, np.exp(-rate * t)
-        n1, n2, density = _normal(d1), _normal(d2), np.exp(-d1 * d1 / 2) / 2.5066282746310002
-        flat = lambda strikes: np.where(call, np.maximum(s - strikes, 0), np.maximum(strikes - s, 0))
-        value = np.where(call, s * n1 - k * disc * n2, k * disc * (1 - n2) - s * (1 - n1))
-        value = np.where(t <= 0, flat(k), np.where(v <= 0, flat(k * disc), value))
-        decay = -s * density * v / (2 * root)
-        live = (t > 0) & (v > 0)
-        greeks = [
-            np.where(call, n1, n1 - 1), density / (s * v * root), np.where(call, decay - rate * k * disc * n2, decay + rate * k * disc * (1 - n2)) / 365,
-            s * density * root / 100, np.where(call, k * t * disc * n2, -k * t * disc * (1 - n2)) / 100, np.where(call, n2, 1 - n2),
-        ]
-        return [value + 0 * v, *[np.where(live, x, np.nan) for x in greeks]]
+        return _greeks(*_numbers(batch, spot, strike, dte, iv), _is_call(batch, right), rate)
 
     return _added(chain, GREEKS, work)
 
 
+def with_list_greeks(df: DataFrame, column: str, target: str, usable: tuple[float, float], spot: str = "underlying_price", strike: str = "strike", dte: str = "dte", iv: str = "iv", right: str = "opt_right", names: tuple[str, ...] = ("delta", "theta", "vega"), block: int = 1024, rate: float = RATE) -> DataFrame:
+    """``df`` whose arrays of options ``column`` (structs) have ``names`` of GREEKS too; volatilities over ``usable[0]`` and up to ``usable[1]`` stay, others
+    are those that give ``target``, if any.  Rows stay where they are; a null array becomes an empty one."""
+    kept = [f for f in df.schema[column].dataType.elementType if f.name not in (iv, *names)]
+    element = StructType([*[StructField(f.name, f.dataType) for f in kept], *[StructField(n, DoubleType()) for n in (iv, *names)]])
+    schema = StructType([StructField(f.name, ArrayType(element) if f.name == column else f.dataType) for f in df.schema])
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(column)
+        rows = pa.RecordBatch.from_struct_array(lists.flatten())
+        s, k, days, v, p = _numbers(rows, spot, strike, dte, iv, target)
+        call = _is_call(rows, right)
+        with np.errstate(all="ignore"):
+            quoted = (v > usable[0]) & (v <= usable[1])
+            v = np.where(quoted, v, _implied(np.where(quoted, np.nan, p), s, k, days / 365, call, rate=rate))
+            known = dict(zip(GREEKS, _greeks(s, k, days, v, call, rate), strict=True))
+        new = [pa.array(x, pa.float64(), from_pandas=True) for x in (v, *[known[n] for n in names])]
+        flat = pa.StructArray.from_arrays([*[rows.column(f.name) for f in kept], *new], [*[f.name for f in kept], iv, *names])
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
+        return pa.RecordBatch.from_arrays([out if n == column else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), block):
+                yield add(b.slice(lo, block))
+
+    return df.mapInArrow(run, schema)
+
+
 def with_values(df: DataFrame, name: str, spot: str, strike: str, years: str, vol: str, right: str, rate: float = RATE) -> DataFrame:
     """``df`` with the model value of each row's option as ``name``; the intrinsic value at or past expiry."""
 
@@ -132,6 +147,43 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return np.where(x >= 0, 1 - tail, tail)
 
 
+def _greeks(s: np.ndarray, k: np.ndarray, days: np.ndarray, v: np.ndarray, call: np.ndarray, rate: float) -> list[np.ndarray]:
+    t = np.maximum(days, 0) / 365
+    root = np.sqrt(t)
+    d1 = (np.log(s / k) + (rate + v * v / 2) * t) / (v * root)
+    d2, disc = d1 - v * root, np.exp(-rate * t)
+    n1, n2, density = _normal(d1), _normal(d2), np.exp(-d1 * d1 / 2) / 2.5066282746310002
+    flat = lambda strikes: np.where(call, np.maximum(s - strikes, 0), np.maximum(strikes - s, 0))
+    value = np.where(call, s * n1 - k * disc * n2, k * disc * (1 - n2) - s * (1 - n1))
+    value = np.where(t <= 0, flat(k), np.where(v <= 0, flat(k * disc), value))
+    decay = -s * density * v / (2 * root)
+    live = (t > 0) & (v > 0)
+    greeks = [
+        np.where(call, n1, n1 - 1), density / (s * v * root), np.where(call, decay - rate * k * disc * n2, decay + rate * k * disc * (1 - n2)) / 365,
+        s * density * root / 100, np.where(call, k * t * disc * n2, -k * t * disc * (1 - n2)) / 100, np.where(call, n2, 1 - n2),
+    ]
+    return [value + 0 * v, *[np.where(live, x, np.nan) for x in greeks]]
+
+
+def _implied(p: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, call: np.ndarray, steps: int = 100, tol: float = 1e-6, rate: float = RATE) -> np.ndarray:
+    """See ``with_implied_vol``; NaN where there is none."""
+    ok = (t > 0) & (s > 0) & (k > 0) & (p > 0) & (p >= np.maximum(0, np.where(call, s - k, k - s)) - tol)
+    ok &= _value(s, k, t, np.full(len(p), 5.0), call, rate) >= p
+    at = np.flatnonzero(ok)
+    out, lo, hi = np.full(len(p), np.nan), np.full(len(p), 1e-4), np.full(len(p), 5.0)
+    for _ in range(steps):
+        if not len(at):
+            break
+        mid = (lo[at] + hi[at]) / 2
+        value = _value(s[at], k[at], t[at], mid, call[at], rate)
+        out[at] = mid
+        high = value > p[at]
+        hi[at], lo[at] = np.where(high, mid, hi[at]), np.where(high, lo[at], mid)
+        at = at[np.abs(value - p[at]) >= tol]
+    out[at] = (lo[at] + hi[at]) / 2
+    return out
+
+
 def _value(s: np.ndarray, k: np.ndarray, t: np.ndarray, v: np.ndarray, call: np.ndarray, rate: float) -> np.ndarray:
     root = v * np.sqrt(t)
     d1 = (np.log(s / k) + (rate + v * v / 2) * t) / root
@@ -150,20 +202,7 @@ def with_implied_vol(chain: DataFrame, target: str, spot: str = "underlying_pric
             p, s, k, t = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (target, spot, strike, years))
             call = np.array(pc.equal(batch.column(right), "C").fill_null(False).to_pylist(), bool)
             with np.errstate(all="ignore"):
-                ok = (t > 0) & (s > 0) & (k > 0) & (p > 0) & (p >= np.maximum(0, np.where(call, s - k, k - s)) - tol)
-                ok &= _value(s, k, t, np.full(len(p), 5.0), call, rate) >= p
-                at = np.flatnonzero(ok)
-                out, lo, hi = np.full(len(p), np.nan), np.full(len(p), 1e-4), np.full(len(p), 5.0)
-                for _ in range(steps):
-                    if not len(at):
-                        break
-                    mid = (lo[at] + hi[at]) / 2
-                    value = _value(s[at], k[at], t[at], mid, call[at], rate)
-                    out[at] = mid
-                    high = value > p[at]
-                    hi[at], lo[at] = np.where(high, mid, hi[at]), np.where(high, lo[at], mid)
-                    at = at[np.abs(value - p[at]) >= tol]
-                out[at] = (lo[at] + hi[at]) / 2
+                out = _implied(p, s, k, t, call, steps, tol, rate)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64(), from_pandas=True)], [*batch.schema.names, name])
 
     return chain.mapInArrow(run, f"{kinds}, {name} double")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import options as O
 from ..functions import scalars as S
+from . import joins as J
 
 # The grid of structures by direction and volatility bucket, with their legs (action, right, target delta), and
 # the limits of days, sizes and quotes.
@@ -108,15 +109,14 @@ def with_legs(wanted: DataFrame, chain: DataFrame) -> DataFrame:
     liquid contract whose delta is nearest its target, among strikes that no earlier leg took; ``legs`` is shorter
     where one has no contract."""
     by = ["ticker", "trade_date", "expiration"]
-    liquid = quality(chain).where("penalty IS NOT NULL AND strike > 0")  # before contracts are moved
-    c = liquid.join(wanted.select(*by).where("expiration IS NOT NULL"), by)
-    usable = (F.col("iv") > LEAST_IV) & (F.col("iv") <= MOST_IV)
-    # a volatility is looked for where none is quoted
-    c = O.with_implied_vol(c.withColumns({"t": F.col("dte") / F.lit(365.0), "__asked": F.when(usable, None).otherwise(F.col("mid"))}), "__asked", name="backed_out")
-    c = c.withColumn("iv", F.when(usable, F.col("iv")).otherwise(F.col("backed_out"))).where("iv > 0").drop("t", "__asked", "backed_out")
-    c = O.with_greeks(c)
-    one = F.struct("strike", F.col("opt_right").alias("right"), "bid", "ask", "mid", F.col("open_interest").cast("long").alias("open_interest"), F.col("volume").cast("long").alias("volume"), "iv", "delta", "theta", "vega", "spread_pct", "penalty")
-    offered = c.groupBy(*by).agg(F.collect_list(one).alias("__offered"))  # one expiry of one chain, where the join left it
+    liquid = quality(chain).where("penalty IS NOT NULL AND strike > 0")
+    c = J.join_beside(liquid, wanted.select(*by, "legs_wanted"), "ticker", by[1:])  # contracts are not moved, only the legs that are found
+    quote = ["bid", "ask", "mid", F.col("open_interest").cast("long").alias("open_interest"), F.col("volume").cast("long").alias("volume"), "iv", "spread_pct", "penalty", "underlying_price", "dte"]
+    offered = c.groupBy(*by).agg(F.collect_list(F.struct("strike", "opt_right", *quote)).alias("__offered"), F.first("legs_wanted").alias("legs_wanted"))
+    offered = O.with_list_greeks(offered, "__offered", "mid", (LEAST_IV, MOST_IV))  # a volatility is looked for where none is quoted
+    fields = ("strike", ("opt_right", "right"), "bid", "ask", "mid", "open_interest", "volume", "iv", "delta", "theta", "vega", "spread_pct", "penalty")
+    one = lambda o: F.struct(*[o[f].alias(f) if isinstance(f, str) else o[f[0]].alias(f[1]) for f in fields])
+    offered = offered.withColumn("__offered", F.transform(F.filter("__offered", lambda o: o["iv"] > 0), one))
     # ties go to the lowest strike; contracts without a delta come last
     pick = """
       aggregate(legs_wanted, CAST(array() AS ARRAY<STRUCT<away: DOUBLE, leg: STRUCT<strike: DOUBLE, right: STRING, bid: DOUBLE, ask: DOUBLE, mid: DOUBLE, open_interest: BIGINT, volume: BIGINT, iv: DOUBLE, delta: DOUBLE, theta: DOUBLE, vega: DOUBLE, spread_pct: DOUBLE, penalty: DOUBLE>, action: STRING>>),
@@ -124,8 +124,9 @@ def with_legs(wanted: DataFrame, chain: DataFrame) -> DataFrame:
           filter(__offered, o -> o.right = want.right AND NOT exists(taken, t -> t.leg.strike = o.strike)),
           o -> named_struct('unknown', o.delta IS NULL, 'away', abs(abs(o.delta) - want.target) + o.penalty, 'leg', o, 'action', want.action)))),
           m -> m IS NOT NULL), m -> named_struct('away', m.away, 'leg', m.leg, 'action', m.action))))"""
-    w = wanted.join(offered, by, "left")
-    return w.withColumn("legs", F.expr(pick)).drop("__offered").select(*wanted.columns, "legs")
+    w = wanted.join(offered.select(*by, F.expr(pick).alias("legs")), by, "left")
+    found = F.when(F.col("legs_wanted").isNotNull(), F.coalesce("legs", F.array().cast(w.schema["legs"].dataType)))
+    return w.select(*wanted.columns, found.alias("legs"))
 
 
 def _sum(legs: Column, f) -> Column:

@@ -116,7 +116,7 @@ def _(get):
 def basket_setups(get):
     """Set-ups of every opportunity at a date with a chain."""
     b = W.support_resistance(W.atr(get("bars"))).select("ticker", F.col("trade_date"), F.col("close").alias("spot"), "atr", "support", "resistance")
-    o = opportunities(get, X.listed(get("option_chain"))).join(b, ["ticker", "trade_date"])
+    o = J.join_beside(b, opportunities(get, X.listed(get("option_chain"))), "ticker", ["trade_date"])  # bars lie by ticker
     return X.setups(o, get("option_chain"))
 
 

@@ -10,6 +10,7 @@ from marketloom.functions import options as O
 from marketloom.functions.scoring import WordScorer, score_texts
 from marketloom.operators import basket as K
 from marketloom.operators import contracts as B
+from marketloom.operators import joins as J
 from marketloom.operators import structures as X
 from marketloom.operators import technical as T
 from marketloom.operators import windows as W
@@ -157,3 +158,36 @@ def test_articles_move_no_more_of_a_text_than_they_show(spark):
     known = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id AS id", "substr(text, 1, 80) AS headline", "substr(text, 81, 300) AS body_snippet")
     for df in (articles.select("id", "headline", "body_snippet").distinct(), shown):
         assert df.exceptAll(known).isEmpty() and known.exceptAll(df).isEmpty()
+
+
+def test_a_join_beside_moves_the_small_side_alone(spark):
+    big = spark.createDataFrame([(t, d, e, 10 * (t or 0) + k) for t in (1, 2, None) for d in (1, 2, None) for e in (5, None) for k in (0, 1)], "ticker long, day int, other int, x long").repartition("ticker")
+    small = spark.createDataFrame([(1, 1, 5, [("a", 0.5)]), (1, 2, None, [("b", 0.5)]), (2, 2, 5, None), (2, 9, 5, [("c", 0.5)]), (3, 1, 5, []), (None, 1, 5, [])], "ticker long, day long, other int, legs array<struct<n: string, d: double>>")
+    known = big.join(small, ["ticker", "day", "other"]).select("ticker", "day", "other", "x", "legs")
+    got = J.join_beside(big, small, "ticker", ["day", "other"])
+    assert got.columns == known.columns and sorted(got.collect(), key=str) == sorted(known.collect(), key=str) and got.count() == 4
+    text = plan(J.join_beside(big, small, "ticker", ["day", "other"]))
+    assert text.count("Exchange") == 2 and "SortMergeJoin" not in text
+    assert J.join_beside(big, small.select("ticker", "day", "other"), "ticker", ["day", "other"]).columns == big.columns
+
+
+@tables
+def test_bars_are_moved_once_and_contracts_not_at_all(spark):
+    """Only opportunities and the legs found meet by ticker, date and expiry; the day's bar is looked up where the bars lie."""
+    assert plan(fixtures.table(spark, DATA, "bars")).count("Exchange") == 1
+    moved = [x for x in plan(registry.queries()["o09_o10_setups"](spark, DATA)).splitlines() if "Exchange hashpartitioning(" in x]
+    assert sum("expiration" in x for x in moved) == 2
+    assert sum("trade_date" in x or "prediction_date" in x for x in moved if "expiration" not in x) <= 4
+
+
+def test_values_in_lists_are_those_of_rows(spark):
+    rows = [(i, 100.0, k, d, v, r, p) for i, d in ((1, 35), (2, 0)) for k in (95.0, 105.0) for r in "CP" for v, p in ((0.3, 5.0), (None, 6.5), (4.0, 12.0), (None, 0.0))]
+    flat = spark.createDataFrame(rows, "id int, underlying_price double, strike double, dte int, iv double, opt_right string, mid double")
+    usable = (F.col("iv") > 0.01) & (F.col("iv") <= 3.0)
+    known = O.with_implied_vol(flat.withColumns({"t": F.col("dte") / 365.0, "asked": F.when(~F.coalesce(usable, F.lit(False)), F.col("mid"))}), "asked").withColumn("iv", F.when(usable, F.col("iv")).otherwise(F.col("found")))
+    known = O.with_greeks(known).select("id", "strike", "opt_right", "mid", "iv", "delta", "theta", "vega")
+    lists = flat.groupBy("id").agg(F.collect_list(F.struct(*flat.columns[1:])).alias("xs")).union(spark.createDataFrame([(3, [])], "id int, xs array<struct<underlying_price: double, strike: double, dte: int, iv: double, opt_right: string, mid: double>>"))
+    got = O.with_list_greeks(lists, "xs", "mid", (0.01, 3.0), block=1)
+    assert got.count() == 3
+    got = got.select("id", F.explode("xs").alias("x")).select("id", "x.strike", "x.opt_right", "x.mid", "x.iv", "x.delta", "x.theta", "x.vega")
+    assert sorted(got.collect(), key=str) == sorted(known.collect(), key=str) and known.where("iv IS NULL").count() > 0 and known.where("delta IS NOT NULL").count() > 8
