@@ -140,10 +140,31 @@ def breadth(panel: DataFrame) -> DataFrame:
     return out.withColumn("score", F.when(n > 0, sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) / n)).withColumn("confidence", F.col("usable") / F.col("total"))
 
 
+def medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``by`` and the exact median (as Spark's) of the known values of each group, of any size: values are counted in bins, 256 for each factor
+    e of their size, and only those of the bins in the middle are gathered, equal ones as one.  ``df`` is read twice."""
+    v = F.col(value)
+    size = F.floor(F.least(F.log(F.abs(v)), F.lit(710.0)) * 256) + 200_000  # over 0 for all but 0; infinite values and NaN come last
+    d = df.where(v.isNotNull()).select(*by, value).withColumn("__bin", F.when(v > 0, size).when(v < 0, -size).otherwise(0))
+    upto = lambda n, *cols: F.sum(n).over(Window.partitionBy(*by, *cols[:-1]).orderBy(cols[-1]))
+    inside = "__upto > (__all - 1) DIV 2 AND __upto - __n <= __all DIV 2"  # the one or two places in the middle
+    counts = d.groupBy(*by, "__bin").agg(F.count("*").alias("__n")).withColumns({"__upto": upto("__n", "__bin"), "__all": F.sum("__n").over(Window.partitionBy(*by))})
+    middle = counts.where(inside).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__bin").alias("__middle"), (F.col("__upto") - F.col("__n")).alias("__before"), "__all")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__bin") == F.col("__middle")]
+    known = d.join(F.broadcast(middle), same).groupBy(*by, "__bin", value).agg(F.count("*").alias("__n"), F.first("__before").alias("__before"), F.first("__all").alias("__all"))
+    known = known.withColumn("__upto", F.col("__before") + upto("__n", "__bin", value)).where(inside)
+    return known.groupBy(*by).agg((0.5 * F.min(value) + 0.5 * F.max(value)).alias(name))
+
+
 def backtest_summary(observations: DataFrame, horizons: tuple[int, ...] = (5, 10, 21, 63)) -> DataFrame:
-    """Forward returns by label and holding period, against the mean of all rows of the period."""
-    long = observations.select("label", F.explode(F.array(*[F.struct(F.lit(h).alias("holding_days"), F.col(f"fwd_{h}").alias("r")) for h in horizons])).alias("x")).select("label", "x.*").where("r is not null")
-    g = long.groupBy("label", "holding_days").agg(F.count("*").alias("n"), F.avg("r").alias("mean_return"), F.median("r").alias("median_return"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.coalesce(F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0)) * F.sqrt(F.lit(252.0) / F.first("holding_days")), F.lit(0.0)).alias("sharpe"), F.max("r").alias("best"), F.min("r").alias("worst"))
+    """Forward returns by label and holding period, against the mean of all rows of the period.  What is summed up is moved once by itself, as it
+    is read three times."""
+    given, by = [f"fwd_{h}" for h in horizons], ["label", "holding_days"]
+    o = observations.select("label", *given).where(F.coalesce(*given).isNotNull()).repartition(*given)
+    long = o.select("label", F.explode(F.array(*[F.struct(F.lit(h).alias("holding_days"), F.col(f"fwd_{h}").alias("r")) for h in horizons])).alias("x")).select("label", "x.*").where("r is not null")
+    g = long.groupBy(*by).agg(F.count("*").alias("n"), F.avg("r").alias("mean_return"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.coalesce(F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0)) * F.sqrt(F.lit(252.0) / F.first("holding_days")), F.lit(0.0)).alias("sharpe"), F.max("r").alias("best"), F.min("r").alias("worst"))
+    m = medians(long, by, "r", "median_return").select(*[F.col(c).alias(f"__{c}") for c in by], "median_return")
+    g = g.join(F.broadcast(m), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]).select(*by, "n", "mean_return", "median_return", "win_rate", "sharpe", "best", "worst")
     every = Window.partitionBy("holding_days")  # one row for each label: the means of all rows follow from theirs
     mean = lambda c: F.sum(F.col(c) * F.col("n")).over(every) / F.sum("n").over(every)
     return g.withColumns({"benchmark_mean": mean("mean_return"), "benchmark_win_rate": mean("win_rate")}).withColumn("excess", F.col("mean_return") - F.col("benchmark_mean"))

@@ -38,7 +38,21 @@ def panel(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     return b.drop("high", "low", "close", "high_n", "low_n")  # what follows moves all columns
 
 
-def ranked(features: DataFrame, names: list[str] = ("position", "from_high", "signed_ratio", "slope", "accel")) -> DataFrame:
+#: What is ranked by date.
+RANKED = ("position", "from_high", "signed_ratio", "slope", "accel")
+
+
+def slim(features: DataFrame, wanted: Column | None) -> DataFrame:
+    """``features`` as they are moved to their dates: ``volume_ratio`` follows from ``signed_ratio``, bands stand for what is only banded, and rows that
+    are not ``wanted`` hold what is ranked alone."""
+    d = banded(features).drop("volume_ratio", "rsi", "vol", "streak")
+    if wanted is None:
+        return d
+    stay = ("ticker", "trade_date", "session_no", "n_returns", *RANKED)
+    return d.withColumns({c: F.when(wanted, F.col(c)) for c in d.columns if c not in stay})
+
+
+def ranked(features: DataFrame, names: list[str] = RANKED) -> DataFrame:
     """Rank of each feature among the date's tickers, in the wide form: one further exchange for any number."""
     return W.percentile_scores(features, {f"xs_{n}": (n, True) for n in names}, ["trade_date"])
 
@@ -75,16 +89,21 @@ def technical(df: DataFrame) -> DataFrame:
     return d.withColumn("technical_conf", F.least(F.lit(1.0), F.col("__n") / 4)).drop("__n")
 
 
-def momentum(df: DataFrame) -> DataFrame:
+def banded(df: DataFrame) -> DataFrame:
+    """The values of a few that ``momentum`` makes of ``rsi``, ``vol`` and ``streak``."""
     run = F.abs(F.col("streak"))
-    d = blended(df, {"__b": (S.clamp(F.col("slope") / 0.5, -1.0, 1.0), "xs_slope", 0.65), "__e": (S.clamp(F.col("accel") / 0.5, -1.0, 1.0), "xs_accel", 0.65)})
-    d = d.withColumns({
-        "__a": bands(F.col("rsi"), [(80, 0.1), (70, 0.5), (60, 0.4), (50, 0.15), (40, -0.15), (30, -0.4), (20, -0.5)], -0.1),
-        "__c": F.when(F.col("vol") < 20, 0.3).when(F.col("vol") < 35, 0.1).when(F.col("vol") < 55, -0.1).when(F.col("vol").isNotNull(), -0.4),
-        "__d": F.signum(F.col("streak").cast("double")) * bands(run, [(5, 0.7), (4, 0.6), (3, 0.4), (2, 0.2)], 0.0),
+    return df.withColumns({
+        "rsi_band": bands(F.col("rsi"), [(80, 0.1), (70, 0.5), (60, 0.4), (50, 0.15), (40, -0.15), (30, -0.4), (20, -0.5)], -0.1),
+        "vol_band": F.when(F.col("vol") < 20, 0.3).when(F.col("vol") < 35, 0.1).when(F.col("vol") < 55, -0.1).when(F.col("vol").isNotNull(), -0.4),
+        "run_band": F.signum(F.col("streak").cast("double")) * bands(run, [(5, 0.7), (4, 0.6), (3, 0.4), (2, 0.2)], 0.0),
     })
+
+
+def momentum(df: DataFrame) -> DataFrame:
+    """Of rows ``banded`` already, or not."""
+    d = blended(df if "rsi_band" in df.columns else banded(df), {"__b": (S.clamp(F.col("slope") / 0.5, -1.0, 1.0), "xs_slope", 0.65), "__e": (S.clamp(F.col("accel") / 0.5, -1.0, 1.0), "xs_accel", 0.65)})
     some = F.col("n_returns") >= 5
-    d = mean_of(d, "momentum", {"__a": 1.5, "__b": 1.2, "__c": 0.8, "__d": 0.9, "__e": 1.0}).drop("__n")
+    d = mean_of(d, "momentum", {"rsi_band": 1.5, "__b": 1.2, "vol_band": 0.8, "run_band": 0.9, "__e": 1.0}).drop("__n")
     return d.withColumn("momentum", F.when(some, F.col("momentum"))).withColumn("momentum_conf", F.when(some, F.least(F.lit(1.0), F.col("n_returns") / 60)).otherwise(0.0))
 
 
@@ -112,7 +131,8 @@ def composite(df: DataFrame, signals: tuple[str, ...] = PANEL, weights: dict[str
 def score_panel(bars: DataFrame, horizons: tuple[int, ...] = (), wanted: Column | None = None) -> DataFrame:
     """The composite of every bar (of those ``wanted``, ranked among all) with its signals and forward returns.  The signals lie behind
     a pass that parts them from the composite, as all in one are more code than the JVM compiles."""
-    d = ranked(panel(bars, horizons))
+    d = ranked(slim(panel(bars, horizons), wanted))
+    d = d.withColumn("volume_ratio", F.col("signed_ratio") * F.when(F.col("ret") < 0, -1).otherwise(1))
     d = volume(momentum(technical(d if wanted is None else d.where(wanted))))
     signal = [c for k in PANEL for c in (f"{k}_signal" if k == "volume" else k, f"{k}_conf")]
     return composite(W.settled(d.select("ticker", "trade_date", "session_no", "n_returns", *signal, *[f"fwd_{h}" for h in horizons])))

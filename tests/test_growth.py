@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import options as O
 from marketloom.functions.scoring import WordScorer, score_texts
+from marketloom.operators import aggregates as A
 from marketloom.operators import basket as K
 from marketloom.operators import contracts as B
 from marketloom.operators import joins as J
+from marketloom.operators import signals as S
 from marketloom.operators import structures as X
 from marketloom.operators import technical as T
 from marketloom.operators import windows as W
@@ -191,3 +193,34 @@ def test_values_in_lists_are_those_of_rows(spark):
     assert got.count() == 3
     got = got.select("id", F.explode("xs").alias("x")).select("id", "x.strike", "x.opt_right", "x.mid", "x.iv", "x.delta", "x.theta", "x.vega")
     assert sorted(got.collect(), key=str) == sorted(known.collect(), key=str) and known.where("iv IS NULL").count() > 0 and known.where("delta IS NOT NULL").count() > 8
+
+
+def test_medians_of_groups_of_any_size(spark):
+    """Ties, zeros, both signs, infinite values, NaN, few and no values: as Spark's own, whose groups stand whole in memory."""
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "ties": [0.5] * 7 + [0.25] * 7, "even": [-3.0, 4.0, 1e-300, 2.0], "odd": [k * 0.37 - 5 for k in range(101)], "zeros": [0.0, -0.0, 0.0, 1.0], "signs": [-1e-9, 1e-9], "one": [7.0],
+        "none": [None, None], "ends": [-inf, inf, 1.0, inf, nan], "last": [nan, inf], "near": [1.0 + k * 1e-12 for k in range(1000)], None: [1.0, None, 5.0],
+    }
+    df = spark.createDataFrame([(g, h, None if x is None else x * h) for g, xs in groups.items() for x in xs for h in (1, 2)], "label string, h int, r double").repartition(5)
+    known = df.groupBy("label", "h").agg(F.median("r").alias("m")).where("m IS NOT NULL")
+    got = A.medians(df, ["label", "h"], "r", "m")
+    assert sorted(map(str, got.collect())) == sorted(map(str, known.collect())) and got.count() == 20  # text: NaN is not NaN
+
+
+@tables
+def test_a_backtest_holds_no_group_whole(spark):
+    text = plan(registry.queries()["v04_backtest_summary"](spark, DATA))
+    assert "median(" not in text and "percentile" not in text
+
+
+@tables
+def test_rows_that_are_moved_slim_give_the_same_signals(spark):
+    bars = fixtures.table(spark, DATA, "bars")
+    signals = ["technical", "momentum", "momentum_conf", "volume_signal", "volume_conf"]
+    known = S.volume(S.momentum(S.technical(S.ranked(S.panel(bars, (5,)))))).select("ticker", "session_no", "fwd_5", *signals).toPandas().sort_values(["ticker", "session_no"]).reset_index(drop=True)
+    wanted = S.score_panel(bars, (5,), F.col("session_no") > 100).select(*known.columns).toPandas().sort_values(["ticker", "session_no"]).reset_index(drop=True)
+    every = S.score_panel(bars, (5,)).select(*known.columns).toPandas().sort_values(["ticker", "session_no"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(every, known)
+    pd.testing.assert_frame_equal(wanted, known[known["session_no"] > 100].reset_index(drop=True))
+    assert len(wanted) and set(S.slim(S.panel(bars), None).columns).isdisjoint({"volume_ratio", "rsi", "vol", "streak"})
