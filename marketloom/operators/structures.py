@@ -109,10 +109,10 @@ def with_legs(wanted: DataFrame, chain: DataFrame) -> DataFrame:
     liquid contract whose delta is nearest its target, among strikes that no earlier leg took; ``legs`` is shorter
     where one has no contract."""
     by = ["ticker", "trade_date", "expiration"]
-    liquid = quality(chain).where("penalty IS NOT NULL AND strike > 0")
-    c = J.join_beside(liquid, wanted.select(*by, "legs_wanted"), "ticker", by[1:])  # contracts are not moved, only the legs that are found
+    c = quality(J.join_beside(chain, wanted.select(*by, "legs_wanted"), "ticker", by[1:]))  # contracts are not moved, only the legs that are found
+    liquid = F.col("penalty").isNotNull() & (F.col("strike") > 0)  # no filter: it would be worked out below the join, from the chain's own expressions
     quote = ["bid", "ask", "mid", F.col("open_interest").cast("long").alias("open_interest"), F.col("volume").cast("long").alias("volume"), "iv", "spread_pct", "penalty", "underlying_price", "dte"]
-    offered = c.groupBy(*by).agg(F.collect_list(F.struct("strike", "opt_right", *quote)).alias("__offered"), F.first("legs_wanted").alias("legs_wanted"))
+    offered = c.groupBy(*by).agg(F.collect_list(F.when(liquid, F.struct("strike", "opt_right", *quote))).alias("__offered"), F.first("legs_wanted").alias("legs_wanted"))
     offered = O.with_list_greeks(offered, "__offered", "mid", (LEAST_IV, MOST_IV))  # a volatility is looked for where none is quoted
     fields = ("strike", ("opt_right", "right"), "bid", "ask", "mid", "open_interest", "volume", "iv", "delta", "theta", "vega", "spread_pct", "penalty")
     one = lambda o: F.struct(*[o[f].alias(f) if isinstance(f, str) else o[f[0]].alias(f[1]) for f in fields])
@@ -212,11 +212,11 @@ def setups(opportunities: DataFrame, chain: DataFrame) -> DataFrame:
     t = F.col("dte") / F.lit(365.0)
     d2 = (F.log(spot / breakeven) + (O.RATE - iv * iv / 2) * t) / (iv * F.sqrt(t))
     live = F.col("reason").isNull()
+    w = S.with_norm_cdf(w, "prob_profit", F.when(F.col("direction") == "bullish", d2).otherwise(-d2))
     w = w.withColumns({
         "tradeable": live, "pnl_at_target": gain, "pnl_at_stop": loss, "reward_risk": F.round(F.greatest(F.lit(0.0), gain) / F.greatest(F.lit(1e-9), F.abs(loss)), 2),
         "breakeven": breakeven, "breakeven_lower": F.when(F.size("breakevens") == 2, F.col("breakevens")[0]), "breakeven_upper": F.when(F.size("breakevens") == 2, F.col("breakevens")[1]),
         "slippage": F.abs(F.col("net_debit") - F.col("net_debit_mid")), "avg_iv": iv,
-        "prob_profit": S.norm_cdf(F.when(F.col("direction") == "bullish", d2).otherwise(-d2)),
         **{f"net_{g}": _sum(legs, lambda x, g=g: _sign(x) * x["leg"][g]) for g in ("delta", "theta", "vega")},
         "tier": F.when(live, F.when((cover >= 0.7) & (size >= 0.4) & clean, "HIGH").when((cover >= 0.45) & (size >= 0.2), "MEDIUM").otherwise("LOW")),
         "poor_payoff": F.col("max_profit") < F.abs("max_loss") * 0.5,

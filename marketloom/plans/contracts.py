@@ -24,7 +24,8 @@ def opportunities(get, listed=None):
     if listed is not None:
         p = p.join(listed.withColumnRenamed("trade_date", "prediction_date"), ["ticker", "prediction_date"])
     p = p.withColumn("at", day("prediction_date"))
-    e = get("earnings_events").select("ticker", day(F.date_add("report_date", SHIFT)).alias("day")).distinct()
+    # reports of no ticker meet none
+    e = get("earnings_events").where("ticker IS NOT NULL").select("ticker", day(F.date_add("report_date", SHIFT)).alias("day")).distinct()
     s = get("snapshots").select("ticker", "iv_rank", F.when(F.col("ticker") % 4 == 3, "proxy").otherwise("chain").alias("iv_basis"), F.when(F.col("beta").isNull(), 0.35).otherwise(0.75).alias("coverage"))
     o = J.asof_join(p, e, ["ticker"], "at", "day").join(s, "ticker")
     return o.select("ticker", F.col("prediction_date").alias("trade_date"), "session_no", "score", "iv_rank", "iv_basis", "coverage", (F.col("at") - F.col("day")).alias("days_to_earnings"), *(["listed"] if listed is not None else []))

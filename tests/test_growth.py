@@ -224,3 +224,10 @@ def test_rows_that_are_moved_slim_give_the_same_signals(spark):
     pd.testing.assert_frame_equal(every, known)
     pd.testing.assert_frame_equal(wanted, known[known["session_no"] > 100].reset_index(drop=True))
     assert len(wanted) and set(S.slim(S.panel(bars), None).columns).isdisjoint({"volume_ratio", "rsi", "vol", "streak"})
+
+
+@tables
+def test_no_step_of_setups_is_written_out_of_what_stands_below_it(spark):
+    """A filter on quotes, or a long expression used a dozen times, would copy all the chain's expressions into one step."""
+    text = registry.queries()["o09_o10_setups"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(map(len, text.splitlines())) < 20_000
